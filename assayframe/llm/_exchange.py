@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import written
 
 BATCH_BYTES = 6 << 20
-PACKED = "batch long, docs binary"
+PACKED = "batch long, apart boolean, docs binary"
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -35,33 +36,39 @@ def unpack(blob: bytes) -> pa.RecordBatch:
         return read.read_next_batch()
 
 
-def pack(docs: DataFrame, tag: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Write the rows of ``docs`` as (batch, docs): compressed Arrow batches of about ``batch_bytes`` of its column ``text``."""
+def pack(docs: DataFrame, tag: str, batch_bytes: int = BATCH_BYTES, apart: str | None = None) -> DataFrame:
+    """Write the rows of ``docs`` as (batch, apart, docs): compressed Arrow batches of about ``batch_bytes`` of its column ``text``.
+
+    Rows for which the boolean column ``apart`` holds go to batches of their own.
+    """
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        top, seq, held, size = TaskContext.get().partitionId() << 28, 0, [], 0
-
-        def out() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-            return pa.RecordBatch.from_arrays([pa.array([top + seq], pa.int64()), pa.array([_ipc(whole[0])], pa.binary())], ["batch", "docs"])
-
-        for batch in rows:
-            texts = batch.column("text")
-            sizes = np.cumsum(np.diff(_offsets(texts)))
-            start = 0
-            while start < len(texts):
-                base = int(sizes[start - 1]) if start else 0
-                stop = min(len(texts), int(np.searchsorted(sizes, base + batch_bytes - size)) + 1)
-                held.append(batch.slice(start, stop - start))
-                size += int(sizes[stop - 1]) - base
-                start = stop
-                if size >= batch_bytes:
-                    yield out()
-                    seq, held, size = seq + 1, [], 0
-        if held:
-            yield out()
+        seq, held, size = TaskContext.get().partitionId() << 28, {False: [], True: []}, {False: 0, True: 0}
+
+        def out(kind: bool) -> pa.RecordBatch:
+            nonlocal seq
+            whole = pa.Table.from_batches(held[kind]).combine_chunks().to_batches()[0]
+            held[kind], size[kind], seq = [], 0, seq + 1
+            return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([kind]), pa.array([_ipc(whole)], pa.binary())], ["batch", "apart", "docs"])
+
+        for rows_in in rows:
+            masks = [(False, None)] if apart is None else [(k, pc.equal(rows_in.column(apart), k)) for k in (False, True)]
+            for kind, mask in masks:
+                batch = rows_in if mask is None else rows_in.filter(mask)
+                sizes, start = np.cumsum(np.diff(_offsets(batch.column("text")))), 0
+                while start < batch.num_rows:
+                    base = int(sizes[start - 1]) if start else 0
+                    stop = min(batch.num_rows, int(np.searchsorted(sizes, base + batch_bytes - size[kind])) + 1)
+                    held[kind].append(batch.slice(start, stop - start))
+                    size[kind] += int(sizes[stop - 1]) - base
+                    start = stop
+                    if size[kind] >= batch_bytes:
+                        yield out(kind)
+        for kind in held:
+            if held[kind]:
+                yield out(kind)
 
     return written(docs.mapInArrow(packed, PACKED), tag)
 
@@ -74,9 +81,8 @@ def _offsets(texts: pa.Array) -> np.ndarray:
 def by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket bounds in sorted 64-bit keys: the bucket is the key's place in ``n_buckets`` equal ranges of its top 32 bits."""
     edges = (np.arange(n_buckets + 1, dtype=object) * (1 << 32)) // n_buckets
-    cuts = np.searchsorted(keys >> np.uint64(32), edges[1:-1].astype(np.uint64))
-    lo = np.concatenate([[0], cuts])
-    return lo.astype(np.int64), np.concatenate([cuts, [len(keys)]]).astype(np.int64)
+    cuts = np.searchsorted(keys, edges[1:-1].astype(np.uint64) << np.uint64(32))
+    return np.append(0, cuts), np.append(cuts, len(keys))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -104,7 +110,3 @@ def answers_in_order(pdf, column: str, kind: type) -> np.ndarray:
     if not len(pdf):
         return np.zeros(0, kind)
     return np.concatenate([unplanes(x, kind) for x in pdf.sort_values("bucket")[column]])
-
-
-def balanced(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.repartition(n, F.col(key))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .ngrams import op10_ngrams
 from .simhash import op9_simhash
+from .substrings import op6_substrings
 
 
 def queries() -> dict:
     return {
+        "op6_substrings": op6_substrings,
         "op9_simhash": op9_simhash,
+        "op10_ngrams": op10_ngrams,
     }
 
 
