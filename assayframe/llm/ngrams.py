@@ -92,19 +92,19 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.when(rest == held, _HELD).when(rest == learn, _DEV).otherwise(_TRAIN).alias("fold"))
     docs = docs.withColumn("learn", F.col("fold") == _DEV)
     n_bytes = text_bytes(docs, "text")
-    n_buckets = parts(spark, n_bytes)
+    n_buckets = parts(spark, n_bytes, 10 << 20)
     mask = ((1 << 64) - 1) ^ ((1 << max(0, 40 - n_bytes.bit_length())) - 1)  # a bigram meets another's key with probability 2^-24 or less
-    packed = pack(docs, "ngrams", apart="learn")
+    packed = pack(docs, "ngrams", 4 << 20, apart="learn")
 
     def ask(rows):
         for batch in rows:
-            for number, blob in zip(batch.column("batch").to_pylist(), batch.column("docs")):
+            for number, apart, blob in zip(batch.column("batch").to_pylist(), batch.column("apart").to_pylist(), batch.column("docs")):
                 b = _Batch(blob.as_py(), mask)
                 for kind, keys, which in (("u", b.uni, b.u), ("b", b.bi, b.b)):
                     train, dev = b.counts(which, len(keys))
                     at = [(k, i, j) for k, (i, j) in enumerate(zip(*by_bucket(keys, n_buckets))) if j > i]
                     yield pa.RecordBatch.from_pydict({
-                        "kind": pa.array([kind] * len(at), pa.string()), "bucket": pa.array([k for k, _, _ in at], pa.int32()), "batch": pa.array([number] * len(at), pa.int64()),
+                        "kind": pa.array([kind] * len(at), pa.string()), "bucket": pa.array([k for k, _, _ in at], pa.int32()), "batch": pa.array([number] * len(at), pa.int64()), "apart": pa.array([apart] * len(at), pa.bool_()),
                         "keys": pa.array([pack_sorted(keys[i:j]) for _, i, j in at], pa.binary()),
                         "train": pa.array([planes(train[i:j]) for _, i, j in at], pa.binary()), "dev": pa.array([planes(dev[i:j]) for _, i, j in at], pa.binary()),
                     })
@@ -119,13 +119,13 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             np.add.at(s, which, np.concatenate([unplanes(x, np.uint64) for x in pdf[c]]))
             sums.append(s)
         train, dev = ([planes(x) for x in np.split(s[which], cuts)] for s in sums)
-        out = pd.DataFrame({"kind": pdf["kind"], "bucket": pdf["bucket"], "batch": pdf["batch"], "train": train, "dev": dev, "tokens": 0, "types": 0, "learned": 0})
+        out = pd.DataFrame({"kind": pdf["kind"], "bucket": pdf["bucket"], "batch": pdf["batch"], "apart": pdf["apart"], "train": train, "dev": dev, "tokens": 0, "types": 0, "learned": 0})
         if pdf["kind"].iloc[0] == "u":
             out.loc[out.index[0], ["tokens", "types", "learned"]] = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(sums[1].sum())]
         return out
 
-    answers = packed.mapInArrow(ask, "kind string, bucket int, batch long, keys binary, train binary, dev binary").groupBy("kind", "bucket")
-    answers = written(answers.applyInPandas(total, "kind string, bucket int, batch long, train binary, dev binary, tokens long, types long, learned long"), "ngram-counts")
+    answers = packed.mapInArrow(ask, "kind string, bucket int, batch long, apart boolean, keys binary, train binary, dev binary").groupBy("kind", "bucket")
+    answers = written(answers.applyInPandas(total, "kind string, bucket int, batch long, apart boolean, train binary, dev binary, tokens long, types long, learned long"), "ngram-counts")
     n_tokens, n_types, n_learn = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types"), F.sum("learned")).first())
     uniform = 1.0 / (n_types + 1)
 
@@ -149,7 +149,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             out.append(pd.DataFrame({"bucket": cell[0], "q1": cell[1], "q2": cell[2], "n": n}))
         return pd.concat(out)
 
-    both = packed.where("apart").groupBy("batch").cogroup(answers.join(packed.where("apart").select("batch"), "batch", "left_semi").groupBy("batch"))
+    both = packed.where("apart").groupBy("batch").cogroup(answers.where("apart").groupBy("batch"))
     grid = both.applyInPandas(learn_grid, "bucket long, q1 long, q2 long, n long").groupBy("bucket", "q1", "q2").agg(F.sum("n").alias("n"))
     weights = _mixture(grid.toPandas(), uniform)  # a bounded grid: buckets x steps x steps
 
