@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .digests import op5_digests
+from .langid import op1_langid
 from .ngrams import op10_ngrams
+from .secrets import op8_secrets
 from .simhash import op9_simhash
 from .substrings import op6_substrings
+from .warc import op7_warc
 
 
 def queries() -> dict:
     return {
+        "op1_langid": op1_langid,
+        "op5_digests": op5_digests,
         "op6_substrings": op6_substrings,
+        "op7_warc": op7_warc,
+        "op8_secrets": op8_secrets,
         "op9_simhash": op9_simhash,
         "op10_ngrams": op10_ngrams,
     }
