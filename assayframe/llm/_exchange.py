@@ -86,14 +86,17 @@ def by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Integers as byte planes, which the shuffle's compression shrinks well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """64-bit integers as byte planes, which the shuffle's compression shrinks well; planes that are zero throughout are left out."""
+    u = x.view(np.uint64)
+    width = max(1, (int(u.max()).bit_length() + 7) // 8) if len(u) else 1
+    return bytes([width]) + np.ascontiguousarray(u.view(np.uint8).reshape(len(u), 8).T[:width]).tobytes()
 
 
 def unplanes(blob: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(blob, np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).reshape(-1)
+    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, : len(raw)] = raw.T
+    return out.view(kind).reshape(-1)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
