@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .digests import op5_digests
 from .langid import op1_langid
+from .mixing import op3_mixing
 from .ngrams import op10_ngrams
+from .pii import op4_pii
 from .secrets import op8_secrets
 from .simhash import op9_simhash
 from .substrings import op6_substrings
@@ -14,6 +17,9 @@ from .warc import op7_warc
 def queries() -> dict:
     return {
         "op1_langid": op1_langid,
+        "op2_decontaminate": op2_decontaminate,
+        "op3_mixing": op3_mixing,
+        "op4_pii": op4_pii,
         "op5_digests": op5_digests,
         "op6_substrings": op6_substrings,
         "op7_warc": op7_warc,

@@ -152,6 +152,16 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose component holds a smaller doc_id.
+
+    Rows without doc_id stay, and so do all rows that share the smallest doc_id of their component.
+    """
+    near = near_duplicates(docs, text_col, id_col, shingle, radius)
+    gone = written(near.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Query: 4-word SimHash fingerprints of all documents and their components at 4 bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
