@@ -1,0 +1,6 @@
+"""Queries over the test tables, with the SQL that checks them."""
+
+from . import documents, events, statements, verification
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "documents", "events", "statements", "verification"]

@@ -1,0 +1,161 @@
+"""Sources: statements, logs, transcripts, consents, audit logs, archives, PDF text.
+
+Parsers work on a column of file texts, so that one job reads many small files; each returns valid rows, and
+``rejects`` names what is wrong with the others.
+"""
+
+from __future__ import annotations
+
+import io
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.checks import plus_years
+from ..functions.ids import sha
+
+STATEMENT = "statement_id string, period_start string, period_end string, transactions array<struct<date:string,amount:double,account:string,category:string,description:string>>"
+LOG = "struct<timestamp:string,source_system:string,actor:string,action:string,affected_resource:string,evidence_text:string>"
+TRANSCRIPT = "patient_id string, date string, provider string, specialty string, content string, confidence float"
+CONSENT = "patient_id string, date_given string, scope string, status string"
+AUDIT = "ts_utc string, event_type string, run_id string, vault_id string, actor string, details string, prev_event_hash string, event_hash string"
+HASHES = "artifact_id string, bundle_rel_path string, sha256 string, bytes string, content_type string, logical_role string"
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): whole files as rows."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def parse_statements(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """Transactions of statement files in order of date, then place: statement_id, ordinal, date, amount, account, category, description, reject_reason.
+
+    A file that doesn't parse or lacks a required field is one row with a reason and nothing else; a description may be absent.
+    """
+    s = F.from_json(text_col, STATEMENT)
+    bad_tx = F.exists("s.transactions", lambda t: t["date"].isNull() | t["amount"].isNull() | t["account"].isNull() | t["category"].isNull())
+    reason = F.when(F.col("s.statement_id").isNull() | F.col("s.period_start").isNull() | F.col("s.period_end").isNull(), "missing field").when(F.coalesce(F.size("s.transactions"), F.lit(0)) <= 0, "no transactions").when(bad_tx, "bad transaction")
+    rows = files.select(s.alias("s")).withColumn("reject_reason", reason)
+    good = rows.where("reject_reason is null").select("s.statement_id", F.posexplode("s.transactions").alias("ordinal", "t")).select("statement_id", "ordinal", "t.date", "t.amount", "t.account", "t.category", F.coalesce("t.description", F.lit("")).alias("description"), F.lit(None).cast("string").alias("reject_reason"))
+    return good.unionByName(rows.where("reject_reason is not null").select("s.statement_id", "reject_reason"), allowMissingColumns=True)
+
+
+def parse_logs(files: DataFrame, text_col: str = "text", id_col: str = "incident_id") -> DataFrame:
+    """Log rows of JSON-array or NDJSON texts (told apart by the first character): incident_id, idx, line_no, the fields, reject_reason. Blank lines are skipped."""
+    text = F.col(text_col)
+    array = F.regexp_replace(text, r"^\s+", "").startswith("[")
+    from_array = files.where(array).select(F.col(id_col).alias("incident_id"), F.from_json(text, f"array<{LOG}>").alias("a"))
+    one = from_array.select("incident_id", F.posexplode_outer("a").alias("k", "e"))
+    lines = files.where(~array).select(F.col(id_col).alias("incident_id"), F.posexplode(F.split(text, "\r?\n")).alias("k", "line")).where(F.trim("line") != "")
+    many = lines.select("incident_id", "k", F.from_json("line", LOG).alias("e"))
+    fields = [f"e.{c}" for c in ("timestamp", "source_system", "actor", "action", "affected_resource", "evidence_text")]
+    rows = one.unionByName(many).select("incident_id", F.coalesce("k", F.lit(0)).alias("line"), *fields)
+    whole = F.greatest(*[F.when(F.col(c.split(".")[1]).isNull(), 1).otherwise(0) for c in fields]) == 0
+    before = F.row_number().over(_by("incident_id", "line")) - 1
+    return rows.withColumn("reject_reason", F.when(~whole, "missing field or malformed")).withColumn("idx", before)
+
+
+def _by(key: str, order: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(key).orderBy(order)
+
+
+def parse_transcripts(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """Transcripts with reject_reason; blank content is rejected."""
+    rows = files.select(F.from_json(text_col, TRANSCRIPT).alias("t")).select("t.*")
+    missing = F.col("patient_id").isNull() | F.col("date").isNull() | F.col("provider").isNull() | F.col("specialty").isNull() | F.col("content").isNull()
+    return rows.withColumn("reject_reason", F.when(missing, "missing field").when(F.trim("content") == "", "empty content")).withColumn("transcript_id", sha(F.concat("patient_id", "date", "content"), 16))
+
+
+def parse_consents(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """Consents with their expiry date and reject_reason; an absent status is VALID."""
+    rows = files.select(F.from_json(text_col, CONSENT).alias("t")).select("t.*").withColumn("status", F.coalesce("status", F.lit("VALID")))
+    return rows.withColumns({"date_expires": plus_years(F.col("date_given")), "reject_reason": F.when(F.col("patient_id").isNull() | F.col("date_given").isNull() | F.col("scope").isNull(), "missing field")})
+
+
+def parse_audit_log(files: DataFrame, text_col: str = "text", id_col: str = "bundle_id") -> DataFrame:
+    """Events of NDJSON audit logs with line_no (from 1), details as JSON text; unparsable lines have nulls. Blank lines are skipped."""
+    lines = files.select(F.col(id_col), F.posexplode(F.split(text_col, "\r?\n")).alias("k", "line")).where(F.trim("line") != "")
+    return lines.select(id_col, (F.col("k") + 1).alias("line_no"), F.from_json("line", AUDIT).alias("e")).select(id_col, "line_no", "e.*")
+
+
+def last_hash(events: DataFrame, key: str = "run_id") -> DataFrame:
+    return events.groupBy(key).agg(F.max_by("event_hash", "line_no").alias("last_hash"))
+
+
+def read_artifact_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """artifact_hashes.csv files; a size that doesn't parse is 0."""
+    return spark.read.csv(path, header=True, schema=HASHES).withColumn("bytes", F.coalesce(F.col("bytes").try_cast("long"), F.lit(0).cast("long")))
+
+
+def parse_reports(lines: DataFrame, prefix: str = "AIGC_FIXTURE_REPORT=", schema: str = "map<string,string>", text_col: str = "value") -> DataFrame:
+    """JSON reports in lines that begin with ``prefix``."""
+    return lines.where(F.col(text_col).startswith(prefix)).select(F.from_json(F.expr(f"substring({text_col}, {len(prefix) + 1})"), schema).alias("report"))
+
+
+def decode_payloads(payloads: DataFrame, max_text: int = 5 << 20, max_binary: int = 20 << 20) -> DataFrame:
+    """Payloads (artifact_id, encoding base64|utf8, data, declared_sha256, content_type) with bytes, sha256 and the first failed check.
+
+    Each artifact must have one payload.
+    """
+    n = payloads.groupBy("artifact_id").agg(F.count("*").alias("n"))
+    out = payloads.join(n, "artifact_id").withColumn("bytes", F.when(F.col("encoding") == "base64", F.try_to_binary("data", F.lit("base64"))).otherwise(F.col("data").cast("binary")))
+    out = out.withColumn("sha256", F.sha2("bytes", 256))
+    size, pdf = F.octet_length("bytes"), F.col("content_type") == "application/pdf"
+    declared = F.col("declared_sha256").rlike("^[0-9a-fA-F]{64}$")
+    reason = (
+        F.when(F.col("n") > 1, "duplicate payload").when(F.col("bytes").isNull(), "bad encoding").when(size > F.when(F.col("encoding") == "base64", max_binary).otherwise(max_text), "too large")
+        .when(pdf & (F.hex(F.substring("bytes", 1, 5)) != "255044462D"), "not a PDF").when(declared & (F.lower("declared_sha256") != F.col("sha256")), "sha256 mismatch")
+    )
+    return out.drop("n").withColumn("reject_reason", reason)
+
+
+def pdf_text(files: DataFrame, content_col: str = "content", id_col: str = "path") -> DataFrame:
+    """(id, text, pages): strings shown by Tj operators between BT and ET; blocks are joined by spaces, an ET ends a line.
+
+    Content streams must be plain. Rows that don't begin with %PDF- have null text.
+    """
+    raw = F.decode(content_col, "ISO-8859-1")
+    blocks = F.regexp_extract_all(raw, F.lit(r"(?s)\bBT\b(.*?)\bET\b"), F.lit(1))
+    shown = F.transform(blocks, lambda b: F.array_join(F.transform(F.regexp_extract_all(b, F.lit(r"\(((?:[^()\\\n]|\\.)*)\)[^\n]*Tj"), F.lit(1)), lambda s: F.regexp_replace(s, r"\\([()\\])", "$1")), " "))
+    pages = F.greatest(F.size(F.split(raw, "/Type /Page", -1)) - 1, F.lit(1))
+    return files.select(F.col(id_col), F.when(raw.startswith("%PDF-"), F.array_join(shown, "\n")).alias("text"), pages.alias("pages"))
+
+
+def zip_entries(bundles: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(bundle_id, ord, path, bytes, method, mtime, mode) of each entry of ZIP files."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bundle, content in zip(batch[id_col], batch[content_col]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for k, i in enumerate(z.infolist()):
+                        method = "DEFLATE" if i.compress_type == zipfile.ZIP_DEFLATED else "STORE"
+                        yield pd.DataFrame({"bundle_id": [str(bundle)], "ord": [k], "path": [i.filename], "bytes": [z.read(i)], "method": [method], "mtime": ["%04d-%02d-%02d %02d:%02d:%02d" % i.date_time], "mode": [i.external_attr >> 16 & 0o777]})
+
+    return bundles.select(id_col, content_col).mapInPandas(each, "bundle_id string, ord int, path string, bytes binary, method string, mtime string, mode int")
+
+
+def tar_entries(archives: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(archive_id, ord, path, kind, bytes) of each entry of tar files; ``kind`` other than file or directory isn't admissible."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, content in zip(batch[id_col], batch[content_col]):
+                with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                    for k, m in enumerate(t.getmembers()):
+                        yield pd.DataFrame({"archive_id": [str(archive)], "ord": [k], "path": [m.name], "kind": ["file" if m.isreg() else "directory" if m.isdir() else "other"], "bytes": [t.extractfile(m).read() if m.isreg() else None]})
+
+    return archives.select(id_col, content_col).mapInPandas(each, "archive_id string, ord int, path string, kind string, bytes binary")
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    """(path relative to the folder, bytes) of all files under a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = F.lit(path.rstrip("/") + "/")
+    return files.select(F.substring_index("path", root, -1).alias("path"), F.col("content").alias("bytes"))
