@@ -6,8 +6,11 @@ documents at once and the documents' offsets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SPACE = np.zeros(256, bool)
@@ -38,6 +41,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(index of the first, texts) of consecutive parts of about ``size`` bytes; a longer text is a part of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + size)))
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
 def find_words(raw: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each document the index of its first word (one entry more at the end)."""
     word = ~space[raw]

@@ -110,8 +110,12 @@ class Index:
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """(row, what it contains) of each text that contains an item."""
-        if not self.sets:
-            return
+        if self.sets:
+            for start, part in words_.slices(texts):
+                for row, found in self._matches(part):
+                    yield start + row, found
+
+    def _matches(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         raw, at, first, h = _hashed(texts)
         doc = words_.doc_of(first)
         docs, shingles = [], []
