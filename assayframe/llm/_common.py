@@ -56,6 +56,16 @@ def _remove_written() -> None:
             return
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8MB") -> None:
+    """Let Spark hand texts to Python in Arrow batches of at most so many rows and bytes; smaller settings stay.
+
+    Batches of the default 10,000 rows of long texts take tens of MB in the JVM and in each Python worker.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text modulo ``n`` (a null id counts as empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
