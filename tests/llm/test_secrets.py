@@ -73,3 +73,8 @@ def test_odd_rows(odd_docs, make_docs):
     docs = make_docs([(1, "password=abcdef123"), (2, "clean"), (3, None)])
     kept = drop_secrets(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_long_runs_take_linear_time():
+    assert scan("x" * 400_000 + "%zz password=abcdef1") == ([("assign", 400_004, 400_020, "", "abcdef1")],) * 2
+    assert [x[:4] for x in scan("x" * 400_000 + "%zz%20pass%77ord=abcdef1")[1]] == [("assign", 400_006, 400_024, "url")]
