@@ -24,7 +24,7 @@ from ._words import mix
 ORDER = 4
 START, END = "\x02", "\x03"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SLICE = 2 << 20  # characters whose words are held at once
+_SLICE = 1 << 19  # characters whose words are held at once
 RESULT = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
