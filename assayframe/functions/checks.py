@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +120,22 @@ def loopback(url: Column) -> Column:
     return host.rlike(r"^127(\.\d{1,3}){3}$") | host.isin("::1", "[::1]")
 
 
+def ascii_host(host: Column) -> Column:
+    """A host name in lower case, its international labels in their ASCII form; null if it has none."""
+
+    def encode(hosts: pd.Series) -> pd.Series:
+        out = []
+        for h in hosts:
+            try:
+                out.append(None if h is None else h.encode("idna").decode("ascii").lower())
+            except UnicodeError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    plain = host.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.lower(host)).otherwise(F.pandas_udf(encode, "string")(F.when(~plain, host)))
+
+
 def sensitive(classification: Column, tags: Column) -> Column:
     return (classification == "Restricted") | F.coalesce(F.arrays_overlap(tags, F.array(*map(F.lit, ("PII", "PHI", "PCI", "SECRET")))), F.lit(False))
 

@@ -24,3 +24,22 @@ def integers_only(text: Column) -> Column:
     """Whether a JSON text holds no fraction or exponent outside of strings."""
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
     return ~bare.rlike(r"\d[.eE]")
+
+
+def seccomp_profile(options: Column) -> tuple[Column, Column, Column]:
+    """(digest, architectures, reason) of the one ``seccomp=`` option among an array of security options.
+
+    The digest is that of the profile's canonical JSON. Architectures are named by ``architectures`` or else, entry by
+    entry, by ``archMap``. A reason says why there is no identity; the digest and the architectures are null then.
+    """
+    own = F.filter(options, lambda o: o.startswith("seccomp="))
+    text = F.substring(F.try_element_at(own, F.lit(1)), 9, 1 << 30)
+    whole = canonical(text)
+    listed = F.from_json(F.get_json_object(text, "$.architectures"), "array<string>")
+    mapped = F.from_json(F.get_json_object(text, "$.archMap"), "array<struct<architecture:string,subArchitectures:array<string>>>")
+    from_map = F.flatten(F.transform(mapped, lambda e: F.array_compact(F.concat(F.array(e["architecture"]), F.coalesce(e["subArchitectures"], F.array().cast("array<string>"))))))
+    names = F.coalesce(listed, from_map)
+    bad = F.coalesce(F.exists(listed, lambda a: a.isNull() | (a == "")), F.lit(False))
+    unbound = names.isNull() | (F.size(names) == 0) | (F.size(F.array_distinct(names)) != F.size(names))
+    reason = F.when(F.coalesce(F.size(own), F.lit(0)) != 1, "not exactly one profile").when(whole.isNull(), "not JSON").when(bad, "invalid architecture").when(unbound, "no architecture binding")
+    return F.when(reason.isNull(), F.sha2(whole.cast("binary"), 256)), F.when(reason.isNull(), names), reason

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import bbox_contains, span_contains
+from ..functions.checks import ascii_host, bbox_contains, span_contains
 
 #: Files that a bundle must hold; a name with a final slash is a prefix.
 REQUIRED_FILES = (
@@ -90,6 +90,18 @@ def egress_decisions(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select("request_id", "host", F.when(F.col("idx").isNull(), "BLOCKED").otherwise("ALLOWED").alias("decision"), F.format_string("ALW%04d", "idx").alias("rule_id")).withColumn("rule_id", F.when(F.col("decision") == "ALLOWED", F.col("rule_id")))
 
 
+def canonical_rules(rules: DataFrame) -> DataFrame:
+    """Allowlist rules (idx, scheme, host, port, path_prefix) in canonical form, with reject_reason.
+
+    A missing or zero port is the scheme's own; a prefix gets forward slashes, the first one included.
+    """
+    scheme, prefix = F.lower("scheme"), F.replace(F.col("path_prefix"), F.lit("\\"), F.lit("/"))
+    port = F.when(F.coalesce("port", F.lit(0)) != 0, F.col("port")).when(scheme == "https", 443).otherwise(80)
+    out = rules.withColumns({"scheme": scheme, "host": ascii_host(F.col("host")), "port": port, "path_prefix": F.when(prefix.startswith("/"), prefix).otherwise(F.concat(F.lit("/"), prefix))})
+    reason = F.when(~F.coalesce(F.col("scheme").isin("http", "https"), F.lit(False)), "scheme").when(F.coalesce("host", F.lit("")) == "", "host").when(F.coalesce(F.col("path_prefix").contains(".."), F.lit(False)), "path_prefix")
+    return out.withColumn("reject_reason", reason)
+
+
 def egress_gate(log: DataFrame) -> DataFrame:
     """Per run of an audit log (run_id, event_type, origin, reason, rule_id): counts and the allowlist gate's result."""
     t = F.col("event_type")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import days_apart_compat
 from ..functions.text import money2
-from ..operators import finance
+from ..operators import finance, reports
 from ..sinks.writers import documents_from_lines, json_rows
 from .registry import query, table
 
@@ -111,3 +111,38 @@ _LINE = """ordinal || ',' || date || ',' || printf('%.2f', amount) || ',' || rul
 def fin_exceptions_csv(spark, sf_dir):
     out = documents_from_lines(finance.csv_lines(all_exceptions(spark, sf_dir)), "statement_id", ["position"], "id,date,amount,rule,severity,description\n")
     return out.select("statement_id", F.sha2(F.col("content").cast("binary"), 256).alias("csv_sha256"))
+
+
+_FINDING = """CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'Transaction amount $' || printf('%.2f', amount) || ' exceeds threshold $10000.00' WHEN 'DUPLICATE_DETECTED' THEN 'Duplicate transaction detected: $' || printf('%.2f', amount) || ' in ' || account || ' on similar date'
+    WHEN 'ROUND_NUMBER' THEN 'Transaction amount $' || printf('%.2f', amount) || ' is suspiciously round' ELSE 'Unexpected category for account ''' || account || '''' END"""
+_REPORT_SQL = f"""WITH {EX_SQL}, f AS (SELECT *, {_FINDING} AS finding, CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'EXC_THRESHOLD_' WHEN 'DUPLICATE_DETECTED' THEN 'EXC_DUPLICATE_' WHEN 'ROUND_NUMBER' THEN 'EXC_ROUND_' ELSE 'EXC_ANOMALY_' END || left(ordinal::VARCHAR, 16) AS id,
+    CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'Manual approval required for large transactions' WHEN 'DUPLICATE_DETECTED' THEN 'Verify transaction not a duplicate entry' WHEN 'ROUND_NUMBER' THEN 'Review for possible rounding or estimate' ELSE 'Confirm correct categorization' END AS action FROM placed),
+  c AS (SELECT statement_id, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l FROM f GROUP BY 1),
+  s AS (SELECT tx.statement_id, printf('%.2f', CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)) AS total, count(*) AS n, array_to_string(list_sort(list(DISTINCT account)), ', ') AS accounts, array_to_string(list_sort(list(DISTINCT category)), ', ') AS categories,
+    min(date) AS a, max(date) AS b, coalesce(any_value(h), 0) AS h, coalesce(any_value(m), 0) AS m, coalesce(any_value(l), 0) AS l FROM tx LEFT JOIN c USING (statement_id) GROUP BY 1),
+  parts AS (%s)
+  SELECT statement_id, CAST(section AS INTEGER) AS section, CAST(position AS INTEGER) AS position, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM (SELECT statement_id, section, position, string_split(txt, '~') AS ls FROM parts)"""
+_AUDIT_PARTS = """SELECT statement_id, 0 AS section, 0 AS position, '# Financial Audit - Exceptions Report~~## Executive Summary~~- **Statement Period:** ' || a || ' to ' || b || '~- **Total Transactions:** ' || n || '~- **Total Amount:** $' || total || '~- **Exceptions Found:** ' || h || ' HIGH, ' || m || ' MEDIUM, ' || l || ' LOW~' AS txt FROM s
+  UNION ALL SELECT statement_id, 1, 0, CASE WHEN h + m + l = 0 THEN '## Conclusion~~No exceptions detected. Statement appears compliant.' ELSE '## Flagged Transactions~' END FROM s
+  UNION ALL SELECT statement_id, 2, position, '### [' || severity || '] ' || ordinal || ' on ' || date || '~~**Amount:** $' || printf('%.2f', amount) || '~**Rule:** ' || rule || '~**Finding:** ' || finding || '~**Action Required:** ' || action || '~~<!-- CLAIM:C' || id || ' ANCHOR:' || id || ' -->~' FROM f
+  UNION ALL SELECT statement_id, 3, 0, '---~~*This audit report contains exceptions for investigation*' FROM s"""
+_INTERNAL_PARTS = """SELECT statement_id, 0 AS section, 0 AS position, '# Financial Compliance - Internal Analysis~~## Statement Overview~~- **Statement ID:** ' || statement_id || '~- **Period:** ' || a || ' to ' || b || '~- **Transactions:** ' || n || '~- **Total Amount:** $' || total || '~- **Accounts:** ' || accounts || '~- **Categories:** ' || categories
+    || '~~## Exception Analysis~~**Status:** ' || CASE WHEN h + m + l = 0 THEN 'COMPLIANT - No exceptions detected' ELSE h || ' HIGH, ' || m || ' MEDIUM, ' || l || ' LOW exceptions' END || '~' AS txt FROM s
+  UNION ALL SELECT statement_id, 1, 0, '### HIGH Severity Items~' FROM s WHERE h + m + l > 0 UNION ALL SELECT statement_id, 3, 0, '~### MEDIUM Severity Items~' FROM s WHERE m > 0 UNION ALL SELECT statement_id, 5, 0, '~### LOW Severity Items~' FROM s WHERE l > 0
+  UNION ALL SELECT statement_id, CASE severity WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 4 ELSE 6 END, position, '- **' || ordinal || '** on ' || date || CASE severity WHEN 'HIGH' THEN ' ($' || printf('%.2f', amount) || ')~  - Rule: ' || rule || '~  - Finding: ' || finding ELSE '' END || '~  <!-- CLAIM:C' || id || ' ANCHOR:' || id || ' -->' FROM f
+  UNION ALL SELECT statement_id, 7, 0, '~---~~*This compliance report contains full analysis for internal teams*' FROM s"""
+
+
+def _reported(spark, sf_dir, report):
+    tx = transactions(spark, sf_dir)
+    return report(tx, finance.exceptions(tx, known_categories(spark)).withColumn("transaction_id", F.col("ordinal").cast("string")))
+
+
+@query("fin_report_audit", _REPORT_SQL.replace("%s", _AUDIT_PARTS))
+def fin_report_audit(spark, sf_dir):
+    return _reported(spark, sf_dir, reports.audit_report)
+
+
+@query("fin_report_compliance", _REPORT_SQL.replace("%s", _INTERNAL_PARTS))
+def fin_report_compliance(spark, sf_dir):
+    return _reported(spark, sf_dir, reports.compliance_report)

@@ -93,7 +93,7 @@ def read_artifact_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=HASHES).withColumn("bytes", F.coalesce(F.col("bytes").try_cast("long"), F.lit(0).cast("long")))
 
 
-def parse_reports(lines: DataFrame, prefix: str = "AIGC_FIXTURE_REPORT=", schema: str = "map<string,string>", text_col: str = "value") -> DataFrame:
+def parse_reports(lines: DataFrame, prefix: str, schema: str = "map<string,string>", text_col: str = "value") -> DataFrame:
     """JSON reports in lines that begin with ``prefix``."""
     return lines.where(F.col(text_col).startswith(prefix)).select(F.from_json(F.expr(f"substring({text_col}, {len(prefix) + 1})"), schema).alias("report"))
 
@@ -112,7 +112,7 @@ def decode_payloads(payloads: DataFrame, max_text: int = 5 << 20, max_binary: in
         F.when(F.col("n") > 1, "duplicate payload").when(F.col("bytes").isNull(), "bad encoding").when(size > F.when(F.col("encoding") == "base64", max_binary).otherwise(max_text), "too large")
         .when(pdf & (F.hex(F.substring("bytes", 1, 5)) != "255044462D"), "not a PDF").when(declared & (F.lower("declared_sha256") != F.col("sha256")), "sha256 mismatch")
     )
-    return out.drop("n").withColumn("reject_reason", reason)
+    return out.withColumn("reject_reason", reason).drop("n")
 
 
 def pdf_text(files: DataFrame, content_col: str = "content", id_col: str = "path") -> DataFrame:
