@@ -1,6 +1,6 @@
 """Markdown reports as ordered lines.
 
-A report is rows (key, section, position, line_no, line), so that a key with a third of all findings isn't gathered in one
+A report is rows (key, section, the place in it, line_no, line), so that a key with a third of all findings isn't gathered in one
 value; ``write_lines`` writes them in order, and ``documents_from_lines`` makes one text of each key where reports are small.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import money2
 from .finance import compliance, summary
+from .incident import redact, timeline
 
 LINE = ("statement_id", "section", "position", "line_no", "line")
 #: What a finding's id begins with, and the action that its rule asks for.
@@ -101,3 +102,31 @@ def compliance_report(tx: DataFrame, found: DataFrame) -> DataFrame:
         more = [F.concat(F.lit("  - Rule: "), "rule"), F.concat(F.lit("  - Finding: "), finding_text())] if level == "HIGH" else []
         out = out.union(_lines(found.where(F.col("severity") == level), 2 * k + 2, F.col("position"), item, *more, F.concat(F.lit("  "), marker())))
     return out.union(_lines(all_, 7, first, "", "---", "", "*This compliance report contains full analysis for internal teams*"))
+
+
+def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:
+    """(incident_id, section, ts, idx, line_no, line): the packet on every incident of ``events`` (see ``incident.parse_events``).
+
+    With a redaction profile it is the customer's, whose evidence is masked; without one the internal packet.
+    """
+    whole = timeline(events).join(events.groupBy("incident_id").agg(F.count("*").alias("n")), "incident_id")
+    zero, claim = F.lit(0).cast("long"), F.concat(F.lit("<!-- CLAIM:C"), "anchor_id", F.lit(" ANCHOR:"), "anchor_id", F.lit(" -->"))
+
+    def part(rows: DataFrame, section: int, ts: Column, idx: Column, *lines: Column | str) -> DataFrame:
+        texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
+        return rows.select("incident_id", F.lit(section).alias("section"), ts.alias("ts"), idx.cast("long").alias("idx"), F.posexplode(texts).alias("line_no", "line"))
+
+    title, tally, last, heading, end = (
+        ("Internal Analysis", "Breakdown", F.concat(F.lit("- **Timeline Hash:** "), "timeline_hash"), "Complete Timeline with Citations", "*This internal packet contains full unredacted details*") if profile is None
+        else ("Customer Summary", "Summary", F.lit(f"- **Redaction Profile:** {profile}"), "Redacted Timeline", "*This customer packet has redactions applied per profile*")
+    )
+    head = part(
+        whole, 0, zero, zero, f"# Incident Timeline - {title}", "", "## Overview", "", F.concat(F.lit("- **Total Events:** "), F.col("n").cast("string")),
+        F.concat(F.lit("- **Timeline Duration:** "), F.floor(F.col("duration") / 1000).cast("string"), F.lit("s")), F.concat(F.lit(f"- **Severity {tally}:** "), _tally()), last, "", f"## {heading}", "",
+    )
+    evidence = [F.concat(F.lit("Evidence: "), "evidence_text")] if profile is None else [redact(F.col("evidence_text"), profile), F.lit("")]
+    body = part(
+        events, 1, F.col("ts"), F.col("idx"), F.concat(F.lit("**"), "timestamp", F.lit("** | "), "source_system", F.lit(" | "), "severity"), F.concat("actor", F.lit(" → "), "action"),
+        F.concat(F.lit("Resource: "), "affected_resource"), *evidence, claim, "",
+    )
+    return head.union(body).union(part(whole, 2, zero, zero, "---", "", end))

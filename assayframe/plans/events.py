@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import canonical
 from ..functions.text import digit_fold
-from ..operators import audit, bundles, incident
+from ..operators import audit, bundles, incident, reports
 from ..streaming import stateful
 from .registry import query, table
 
@@ -202,3 +202,28 @@ def ext_tumbling(spark, sf_dir):
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
 def ext_session(spark, sf_dir):
     return stateful.sessions(table(spark, sf_dir, "events"))
+
+
+def _packet_sql(title: str, tally: str, last: str, heading: str, evidence: str, end: str) -> str:
+    return f"""WITH {LOG_SQL}, s AS (SELECT incident_id, count(*) AS n, max(t) - min(t) AS duration, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l, sha256(string_agg(anchor_id || t, '' ORDER BY t, idx)) AS hash FROM ev3 GROUP BY 1),
+  p AS (SELECT incident_id, 0 AS section, 0 AS ts, 0 AS idx, ['# Incident Timeline - {title}', '', '## Overview', '', '- **Total Events:** ' || n, '- **Timeline Duration:** ' || (duration // 1000) || 's', '- **Severity {tally}:** ' || h || ' HIGH, ' || m || ' MEDIUM, ' || l || ' LOW', {last}, '', '## {heading}', ''] AS ls FROM s
+    UNION ALL SELECT incident_id, 1, t, idx, ['**' || stamp || '** | ' || source_system || ' | ' || severity, 'u' || incident_id || ' → ' || action, 'Resource: ' || regexp_replace(evidence, ' timeout$', ''), {evidence}, '<!-- CLAIM:C' || anchor_id || ' ANCHOR:' || anchor_id || ' -->', ''] FROM ev3
+    UNION ALL SELECT incident_id, 2, 0, 0, ['---', '', '{end}'] FROM s)
+  SELECT incident_id, CAST(section AS INTEGER) AS section, CAST(ts AS BIGINT) AS ts, CAST(idx AS BIGINT) AS idx, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM p"""
+
+
+def _masked_sql() -> str:
+    x = "evidence"
+    for reason, pattern in [*incident.PII.values(), incident.IP]:
+        x = f"regexp_replace({x}, '{pattern}', '[REDACTED: {reason}]', 'g')"
+    return x
+
+
+@query("inc_packet_internal", _packet_sql("Internal Analysis", "Breakdown", "'- **Timeline Hash:** ' || hash", "Complete Timeline with Citations", "'Evidence: ' || evidence", "*This internal packet contains full unredacted details*"))
+def inc_packet_internal(spark, sf_dir):
+    return reports.incident_packet(incident.parse_events(log_rows(spark, sf_dir)))
+
+
+@query("inc_packet_customer", _packet_sql("Customer Summary", "Summary", "'- **Redaction Profile:** STANDARD'", "Redacted Timeline", f"{_masked_sql()}, ''", "*This customer packet has redactions applied per profile*"))
+def inc_packet_customer(spark, sf_dir):
+    return reports.incident_packet(incident.parse_events(log_rows(spark, sf_dir)), "STANDARD")
