@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import money2
+from .documents import risk
 from .finance import compliance, summary
 from .incident import redact, timeline
 
@@ -118,7 +119,7 @@ def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:
 
     title, tally, last, heading, end = (
         ("Internal Analysis", "Breakdown", F.concat(F.lit("- **Timeline Hash:** "), "timeline_hash"), "Complete Timeline with Citations", "*This internal packet contains full unredacted details*") if profile is None
-        else ("Customer Summary", "Summary", F.lit(f"- **Redaction Profile:** {profile}"), "Redacted Timeline", "*This customer packet has redactions applied per profile*")
+        else ("Customer Summary", "Summary", F.lit(f"- **Redaction Profile:** {profile.capitalize()}"), "Redacted Timeline", "*This customer packet has redactions applied per profile*")
     )
     head = part(
         whole, 0, zero, zero, f"# Incident Timeline - {title}", "", "## Overview", "", F.concat(F.lit("- **Total Events:** "), F.col("n").cast("string")),
@@ -130,3 +131,46 @@ def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:
         F.concat(F.lit("Resource: "), "affected_resource"), *evidence, claim, "",
     )
     return head.union(body).union(part(whole, 2, zero, zero, "---", "", end))
+
+
+def assess(clauses: DataFrame) -> DataFrame:
+    """Clauses (contract_id, start_offset, anchor_id, text) with risk_level, keywords and advisory."""
+    level, found = risk(F.col("text"))
+    said = F.concat(F.lit("Risk level: "), "risk_level", F.lit(". Keywords found: "), F.array_join("keywords", ", "), F.lit(". Recommend legal review."))
+    rows = clauses.withColumns({"risk_level": level, "keywords": found})
+    return rows.withColumn("advisory", F.when(F.size("keywords") == 0, "No significant risk keywords detected. Standard contract language.").otherwise(said))
+
+
+def clause_map_lines(assessed: DataFrame) -> DataFrame:
+    """(contract_id, start_offset, line): the clause map's CSV lines."""
+    return assessed.select("contract_id", "start_offset", F.concat_ws(",", "anchor_id", "risk_level", F.array_join("keywords", ";"), "anchor_id").alias("line"))
+
+
+def _clause_lines(rows: DataFrame, section: int, place: Column, *lines: Column | str) -> DataFrame:
+    texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
+    return rows.select("contract_id", F.lit(section).alias("section"), place.cast("int").alias("start_offset"), F.posexplode(texts).alias("line_no", "line"))
+
+
+def risk_memo(assessed: DataFrame) -> DataFrame:
+    """(contract_id, section, start_offset, line_no, line): the memo on the risks of each contract's clauses."""
+    counts = [F.count_if(F.col("risk_level") == level).alias(level.lower()) for level in ("HIGH", "MEDIUM", "LOW")]
+    whole, first = assessed.groupBy("contract_id").agg(*counts), F.lit(0)
+    tally = [F.concat(F.lit(f"- **{level} Risk Clauses:** "), F.col(level.lower()).cast("string")) for level in ("HIGH", "MEDIUM", "LOW")]
+    head = _clause_lines(whole, 0, first, "# Risk Assessment Memo", "", "## Summary", "", *tally, "", "## Detailed Findings", "")
+    claim = F.concat(F.lit("<!-- CLAIM:C"), "anchor_id", F.lit(" ANCHOR:"), "anchor_id", F.lit(" -->"))
+    body = _clause_lines(
+        assessed, 1, F.col("start_offset"), F.concat(F.lit("### Clause: "), "anchor_id", F.lit(" ")), F.concat(F.lit("**Risk Level:** "), "risk_level"), "", F.concat(F.lit("**Advisory:** "), "advisory"), "", claim, "",
+    )
+    return head.union(body).union(_clause_lines(whole, 2, first, "---", "", "*Determinism: Enabled (reproducible outputs)*"))
+
+
+def redline_suggestions(assessed: DataFrame) -> DataFrame:
+    """(contract_id, section, start_offset, line_no, line): what should be redlined in each contract."""
+    whole, first = assessed.groupBy("contract_id").agg(F.count_if(F.col("risk_level") == "HIGH").alias("high")), F.lit(0)
+    said = F.when(F.col("high") == 0, F.lit("No HIGH-risk clauses requiring redlines.")).otherwise(F.format_string("## %d HIGH-Risk Clauses Requiring Review", "high"))
+    head = _clause_lines(whole, 0, first, "# Suggested Redlines", "", said)
+    body = _clause_lines(
+        assessed.where("risk_level = 'HIGH'"), 1, F.col("start_offset"), "", F.concat(F.lit("### Clause: "), "anchor_id"), "", F.concat(F.lit("**Issue:** "), "advisory"), "",
+        "**Recommended Action:** Consult legal counsel for appropriate redlines.",
+    )
+    return head.union(body)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import plus_years
 from ..functions.ids import stable_anchor
-from ..operators import bundles, documents, incident
+from ..operators import bundles, documents, incident, reports
 from .registry import query, table
 
 _PII_TAIL = " call 555-123-4567 or 555.123.4567, id 123-45-6789 at 10.0.0.255"
@@ -158,3 +158,32 @@ def fingerprint(spark, sf_dir):
 def egress_match(spark, sf_dir):
     rules = spark.createDataFrame([(k, "http", "ththre.example.com", 80, f"/{lang}/") for k, lang in enumerate(("en", "fr", "de"), 1)], "idx int, scheme string, host string, port int, path_prefix string")
     return bundles.egress_decisions(table(spark, sf_dir, "pages").where("url is not null").select(F.col("page_id").alias("request_id"), "url"), rules)
+
+
+_ASSESSED = _CLAUSES.rsplit("\n  SELECT", 1)[0] + f""", k AS (SELECT contract_id, start_offset, 'REDLINE_' || contract_id || '_' || substr(sha256(t), 1, 8) || '_' || start_offset AS anchor_id,
+    list_filter({list(documents.HIGH_RISK)}, lambda x: contains(lower(t), x)) AS h, list_filter({list(documents.MEDIUM_RISK)}, lambda x: contains(lower(t), x)) AS m FROM c),
+  a AS (SELECT *, CASE WHEN len(h) > 0 THEN 'HIGH' WHEN len(m) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS level, list_concat(h, m) AS found FROM k),
+  b AS (SELECT *, CASE WHEN len(found) = 0 THEN 'No significant risk keywords detected. Standard contract language.' ELSE 'Risk level: ' || level || '. Keywords found: ' || array_to_string(found, ', ') || '. Recommend legal review.' END AS advisory FROM a)"""
+_CLAUSE_LINES = "SELECT contract_id, CAST(section AS INTEGER) AS section, CAST(start_offset AS INTEGER) AS start_offset, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM r"
+
+
+def _assessed(spark, sf_dir):
+    return reports.assess(documents.clauses(contracts(spark, sf_dir)))
+
+
+@query("ctr_clause_map", f"{_ASSESSED} SELECT contract_id, start_offset, anchor_id || ',' || level || ',' || array_to_string(found, ';') || ',' || anchor_id AS line FROM b")
+def ctr_clause_map(spark, sf_dir):
+    return reports.clause_map_lines(_assessed(spark, sf_dir))
+
+
+@query("ctr_risk_memo", f"""{_ASSESSED}, r AS (SELECT contract_id, 0 AS section, 0 AS start_offset, ['# Risk Assessment Memo', '', '## Summary', '', '- **HIGH Risk Clauses:** ' || count(*) FILTER (level = 'HIGH'), '- **MEDIUM Risk Clauses:** ' || count(*) FILTER (level = 'MEDIUM'), '- **LOW Risk Clauses:** ' || count(*) FILTER (level = 'LOW'), '', '## Detailed Findings', ''] AS ls FROM b GROUP BY 1
+  UNION ALL SELECT contract_id, 1, start_offset, ['### Clause: ' || anchor_id || ' ', '**Risk Level:** ' || level, '', '**Advisory:** ' || advisory, '', '<!-- CLAIM:C' || anchor_id || ' ANCHOR:' || anchor_id || ' -->', ''] FROM b
+  UNION ALL SELECT DISTINCT contract_id, 2, 0, ['---', '', '*Determinism: Enabled (reproducible outputs)*'] FROM b) {_CLAUSE_LINES}""")
+def ctr_risk_memo(spark, sf_dir):
+    return reports.risk_memo(_assessed(spark, sf_dir))
+
+
+@query("ctr_suggestions", f"""{_ASSESSED}, r AS (SELECT contract_id, 0 AS section, 0 AS start_offset, ['# Suggested Redlines', '', CASE WHEN count(*) FILTER (level = 'HIGH') = 0 THEN 'No HIGH-risk clauses requiring redlines.' ELSE '## ' || count(*) FILTER (level = 'HIGH') || ' HIGH-Risk Clauses Requiring Review' END] AS ls FROM b GROUP BY 1
+  UNION ALL SELECT contract_id, 1, start_offset, ['', '### Clause: ' || anchor_id, '', '**Issue:** ' || advisory, '', '**Recommended Action:** Consult legal counsel for appropriate redlines.'] FROM b WHERE level = 'HIGH') {_CLAUSE_LINES}""")
+def ctr_suggestions(spark, sf_dir):
+    return reports.redline_suggestions(_assessed(spark, sf_dir))

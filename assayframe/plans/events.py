@@ -224,6 +224,6 @@ def inc_packet_internal(spark, sf_dir):
     return reports.incident_packet(incident.parse_events(log_rows(spark, sf_dir)))
 
 
-@query("inc_packet_customer", _packet_sql("Customer Summary", "Summary", "'- **Redaction Profile:** STANDARD'", "Redacted Timeline", f"{_masked_sql()}, ''", "*This customer packet has redactions applied per profile*"))
+@query("inc_packet_customer", _packet_sql("Customer Summary", "Summary", "'- **Redaction Profile:** Standard'", "Redacted Timeline", f"{_masked_sql()}, ''", "*This customer packet has redactions applied per profile*"))
 def inc_packet_customer(spark, sf_dir):
     return reports.incident_packet(incident.parse_events(log_rows(spark, sf_dir)), "STANDARD")
