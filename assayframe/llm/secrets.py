@@ -1,9 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is scanned for secrets; then its encoded parts (URL percent codes, Unicode escapes, base64,
-zlib and gzip data) are decoded and scanned in turn, and so on until nothing new decodes. A layer
-seen before in the same text isn't decoded again. What is found in a layer is mapped back to the
-span of the original text that it came from.
+A text is scanned for secrets; then it is scanned with its percent codes and its Unicode escapes decoded in
+place, and its encoded parts (base64, zlib and gzip data) are decoded and scanned in turn, and so on until
+nothing new decodes. Each distinct part of a text is decoded once, and what is found in it counts at every
+place where the part stands. What is found in a layer is mapped back to the span of the original text that it came from.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import base64
 import binascii
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +28,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-_PERCENT = re.compile(r"(?<![^\s%])(?:[^\s%]*%[0-9A-Fa-f]{2})+[^\s%]*")  # a run is tried at its start alone: linear in long runs
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _KEY = {k: i for i, k in enumerate(KINDS)}
@@ -68,52 +68,105 @@ def _as_text(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _decodings(text: str, runs: list[tuple[int, int]], limit: int) -> Iterator[tuple[str, int, int, str, list[int] | None]]:
-    """(layer, start, end, decoded, where) of each encoded part; where: the place in ``text`` of each decoded character, if known."""
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            data, where, i = bytearray(), [], m.start()
-            while i < m.end():
-                n = 3 if text[i] == "%" else 1
-                piece = bytes([int(text[i + 1 : i + 3], 16)]) if n == 3 else text[i].encode()
-                data += piece
-                where += [i] * len(piece)
-                i += n
-            try:
-                decoded = data.decode()
-            except UnicodeDecodeError:
-                continue
-            at, places = 0, []
-            for c in decoded:
-                places.append(where[at])
-                at += len(c.encode())
-            yield "url", m.start(), m.end(), decoded, [*places, m.end()]
-    if "\\" in text and _ESCAPE.search(text):
-        out, places, last = [], [], 0
-        for m in _ONE_ESCAPE.finditer(text):
-            code = int(next(g for g in m.groups() if g), 16)
-            if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-                continue
-            out += [text[last : m.start()], chr(code)]
-            places += [*range(last, m.start()), m.start()]
-            last = m.end()
-        out.append(text[last:])
-        yield "unicode", 0, len(text), "".join(out), [*places, *range(last, len(text)), len(text)]
-    if runs:
-        for m in _BASE64.finditer(text):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            layer, inner = "base64", data
-            while (more := _inflate(inner, limit)) is not None:
-                layer, inner = f"{layer}>inflate", more
-            decoded = _as_text(inner)
-            if decoded is not None:
-                yield layer, m.start(), m.end(), decoded, None
+def _percent(m: re.Match) -> list[tuple[str, int]] | None:
+    """(character, its place in the text) of a run of percent codes; None if it doesn't decode."""
+    try:
+        decoded = bytes.fromhex(m[0].replace("%", "")).decode()
+    except UnicodeDecodeError:
+        return None
+    out, at = [], m.start()
+    for c in decoded:
+        out.append((c, at))
+        at += 3 * len(c.encode())
+    return out
+
+
+def _escape(m: re.Match) -> list[tuple[str, int]] | None:
+    code = int(next(g for g in m.groups() if g), 16)
+    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), m.start())]
+
+
+def _substituted(text: str, pattern: re.Pattern, decode: Callable) -> tuple[str, Callable[[int], int]] | None:
+    """The text with what the pattern finds decoded in place, and the place in ``text`` of each of its characters; None if nothing decodes."""
+    out, new, old, last, n = [], [], [], 0, 0
+    for m in pattern.finditer(text):
+        chars = decode(m)
+        if chars is None:
+            continue
+        if m.start() > last:
+            new.append(n)
+            old.append(last)
+            out.append(text[last : m.start()])
+            n += m.start() - last
+        for c, at in chars:
+            new.append(n)
+            old.append(at)
+            out.append(c)
+            n += 1
+        last = m.end()
+    if not out:
+        return None
+    new.append(n)
+    old.append(last)
+    out.append(text[last:])
+
+    def where(k: int) -> int:
+        i = bisect_right(new, k) - 1
+        return old[i] + k - new[i]
+
+    return "".join(out), where
+
+
+def _opened(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
+    """(layer, text) of what a base64 part holds."""
+    layer, inner = "base64", data
+    while (more := _inflate(inner, limit)) is not None:
+        layer, inner = f"{layer}>inflate", more
+    decoded = _as_text(inner)
+    if decoded is not None:
+        yield layer, decoded
+
+
+def _part(coded: str, limit: int, parts: dict) -> dict[str, tuple[str, str]]:
+    """The kinds of secrets in a base64 part, each with the layers and value of one; a part within itself adds nothing."""
+    if coded in parts:
+        return parts[coded]
+    parts[coded] = found = {}
+    body = coded.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return found
+    try:
+        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return found
+    for layer, text in _opened(data, limit):
+        for kind, _, _, path, value in _layers(text, limit, parts):
+            found.setdefault(kind, (f"{layer}>{path}" if path else layer, value))
+        if len(found) == len(KINDS):
+            break
+    return found
+
+
+def _layers(text: str, limit: int, parts: dict) -> Iterator[tuple[str, int, int, str, str]]:
+    """All spans of one text, the plain ones first; of equal kind and place the first."""
+    have, seen = set(), {text}
+    work = deque([(text, "", lambda k: k)])
+    while work:
+        layer, path, place = work.popleft()  # place: of each character in the first text
+        runs = [m.span() for m in _LONG.finditer(layer)]
+        spans = [(k, i, j, path, v) for k, i, j, v in base_spans(layer, runs)]
+        for m in _BASE64.finditer(layer) if runs else ():
+            spans += [(k, *m.span(), f"{path}>{inner}" if path else inner, v) for k, (inner, v) in _part(m[0], limit, parts).items()]
+        for k, i, j, layers, v in spans:
+            at = (k, place(i), place(j))
+            if at not in have:
+                have.add(at)
+                yield *at, layers, v
+        for name, sign, pattern, decode in (("url", "%", _PERCENT, _percent), ("unicode", "\\", _ONE_ESCAPE, _escape)):
+            made = _substituted(layer, pattern, decode) if sign in layer else None
+            if made and made[0] not in seen:
+                seen.add(made[0])
+                work.append((made[0], f"{path}>{name}" if path else name, lambda k, inner=made[1], outer=place: outer(inner(k))))
 
 
 def scan(text: str | None, limit: int = 16 << 20) -> tuple[list[tuple], list[tuple]]:
@@ -124,37 +177,8 @@ def scan(text: str | None, limit: int = 16 << 20) -> tuple[list[tuple], list[tup
     """
     if not text:
         return [], []
-    base = None
-    found: dict[tuple, None] = {}
-    seen = {text}
-    work = deque([(text, "", None)])
-    while work:
-        layer, path, place = work.popleft()  # place: (start, end) of each character in the original text; None: itself
-        runs = [m.span() for m in _LONG.finditer(layer)]
-        spans = base_spans(layer, runs)
-        if base is None:
-            base = [(k, i, j, "", v) for k, i, j, v in spans]
-            have = {(k, i, j) for k, i, j, _, _ in base}
-        else:
-            for k, i, j, v in spans:
-                lo, hi = place(i, j)
-                if (k, lo, hi) not in have:
-                    have.add((k, lo, hi))
-                    found[(k, lo, hi, path, v)] = None
-        for name, i, j, decoded, where in _decodings(layer, runs, limit):
-            if decoded in seen:
-                continue
-            seen.add(decoded)
-            work.append((decoded, f"{path}>{name}" if path else name, _placed(place, i, j, where)))
-    return base, sorted([*base, *found], key=lambda s: (s[1], _KEY[s[0]], s[2], s[3]))
-
-
-def _placed(outer, i: int, j: int, where: list[int] | None):
-    def place(a: int, b: int) -> tuple[int, int]:
-        lo, hi = (i, j) if where is None else (where[a], where[b])
-        return (lo, hi) if outer is None else outer(lo, hi)
-
-    return place
+    spans = sorted(_layers(text, limit, {}), key=lambda s: (s[1], _KEY[s[0]], s[2], s[3]))
+    return [s for s in spans if not s[3]], spans
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = 16 << 20) -> DataFrame:

@@ -78,3 +78,15 @@ def test_odd_rows(odd_docs, make_docs):
 def test_long_runs_take_linear_time():
     assert scan("x" * 400_000 + "%zz password=abcdef1") == ([("assign", 400_004, 400_020, "", "abcdef1")],) * 2
     assert [x[:4] for x in scan("x" * 400_000 + "%zz%20pass%77ord=abcdef1")[1]] == [("assign", 400_006, 400_024, "url")]
+
+
+def test_repeated_parts_have_spans_at_every_place():
+    secret = b"password=hunter2hunter2"
+    inner = base64.b64encode(secret).decode()
+    for coded in (inner, base64.b64encode(zlib.compress(secret)).decode(), base64.b64encode(inner.encode()).decode(), "".join(f"%{c:02X}" for c in secret), "".join(f"\\u{c:04x}" for c in secret)):
+        t = f"one {coded} two {coded} three"
+        second = t.rindex(coded)
+        assert {s[1:3] for s in scan(t)[1]} == {(4, 4 + len(coded)), (second, second + len(coded))}, coded
+    nested = base64.b64encode(f"x {inner} y {inner}".encode()).decode()
+    t = f"{inner} {nested} {nested} {inner}"
+    assert len(scan(t)[1]) == 4
