@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import re
 import zlib
 from bisect import bisect_right
@@ -31,6 +32,8 @@ _LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=%\\{}-]")
+_PIECE, _CHUNK, _OVERLAP = 1 << 14, 1 << 20, 1 << 16
 _KEY = {k: i for i, k in enumerate(KINDS)}
 
 
@@ -49,14 +52,70 @@ def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tup
     return sorted(out, key=lambda s: (s[1], _KEY[s[0]]))
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """The contents of zlib or gzip data; of data that inflate beyond ``limit``, the first ``limit`` bytes."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(data, limit) or None
-    except zlib.error:
-        return None
+def _compressed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0)
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The contents of zlib or gzip data in pieces, member after member, and what follows the last; of broken data what comes before the break."""
+    rest = next(chunks, b"")
+    while True:
+        while len(rest) < 2 and (more := next(chunks, b"")):
+            rest += more
+        if not _compressed(rest):
+            break
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            rest = rest or next(chunks, b"")
+            try:
+                out = member.decompress(rest[:_PIECE], _CHUNK)
+            except zlib.error:
+                return
+            if not rest and not out:
+                return
+            rest = (member.unused_data if member.eof else member.unconsumed_tail) + rest[_PIECE:]
+            if out:
+                yield out
+        while not rest.strip(b"\0") and (more := next(chunks, b"")):  # members may be padded
+            rest = more
+        rest = rest.lstrip(b"\0")
+    if rest:
+        yield rest
+    yield from chunks
+
+
+def _windows(chunks: Iterator[bytes], size: int, overlap: int) -> Iterator[str]:
+    """The text of the chunks, whole up to ``size`` characters, else in windows that overlap.
+
+    Windows are cut where no encoded part can run on; in a run of over four times ``size`` a multiple of four characters from its start.
+    """
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    held, n, want = [], 0, size
+    for chunk in chunks:
+        held.append(decode(chunk))
+        n += len(held[-1])
+        while n > want:
+            text = "".join(held)
+            cut = _break_before(text, want)
+            if not cut and want < 4 * size:
+                want *= 2
+                held = [text]
+                continue
+            yield text[: cut or want]
+            # the next window begins at a break as well, so that it doesn't start inside a part
+            start = _break_before(text, cut - overlap) if cut > 2 * overlap else cut
+            text = text[(start if cut - start <= 2 * overlap else cut) if cut else want :]
+            held, n, want = [text], len(text), size
+    yield "".join(held) + decode(b"", True)
+
+
+def _break_before(text: str, end: int) -> int:
+    """The end of the last character before ``end`` that no encoded part holds; 0 if there is none."""
+    for k in range(end, 0, -4096):
+        low = max(k - 4096, 0)
+        if last := max((m.end() for m in _BREAK.finditer(text, low, k)), default=0):
+            return last
+    return 0
 
 
 def _as_text(data: bytes) -> str | None:
@@ -68,16 +127,13 @@ def _as_text(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _percent(m: re.Match) -> list[tuple[str, int]] | None:
-    """(character, its place in the text) of a run of percent codes; None if it doesn't decode."""
-    try:
-        decoded = bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> list[tuple[str, int]]:
+    """(character, its place in the text) of a run of percent codes; U+FFFD for each byte that isn't UTF-8."""
     out, at = [], m.start()
-    for c in decoded:
-        out.append((c, at))
-        at += 3 * len(c.encode())
+    for c in bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape"):
+        odd = "\udc80" <= c <= "\udcff"
+        out.append(("\ufffd" if odd else c, at))
+        at += 3 if odd else 3 * len(c.encode())
     return out
 
 
@@ -118,12 +174,21 @@ def _substituted(text: str, pattern: re.Pattern, decode: Callable) -> tuple[str,
 
 
 def _opened(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
-    """(layer, text) of what a base64 part holds."""
-    layer, inner = "base64", data
-    while (more := _inflate(inner, limit)) is not None:
-        layer, inner = f"{layer}>inflate", more
-    decoded = _as_text(inner)
-    if decoded is not None:
+    """(layer, text) of what a base64 part holds: compressed data in windows, other data if it is text."""
+    layer, depth, heads = "base64", 0, set()
+
+    def chunks(depth: int) -> Iterator[bytes]:
+        out = iter([data])
+        for _ in range(depth):
+            out = _inflated(out)
+        return out
+
+    while _compressed(head := next(chunks(depth), b"")) and head not in heads and next(chunks(depth + 1), None) is not None:
+        heads.add(head)
+        layer, depth = f"{layer}>inflate", depth + 1
+    if depth:
+        yield from ((layer, text) for text in _windows(chunks(depth), limit, min(_OVERLAP, limit // 8)))
+    elif (decoded := _as_text(data)) is not None:
         yield layer, decoded
 
 
@@ -173,7 +238,7 @@ def scan(text: str | None, limit: int = 16 << 20) -> tuple[list[tuple], list[tup
     """(base spans, all spans) of one text; a span is (kind, start, end, layers, value), in code points of the text.
 
     Spans found in a percent or Unicode layer cover the characters they were decoded from, those in a base64
-    or compressed layer the whole encoded part. Compressed data is inflated up to ``limit`` bytes a layer.
+    or compressed layer the whole encoded part. Compressed data of over ``limit`` characters is scanned in windows of about so many.
     """
     if not text:
         return [], []

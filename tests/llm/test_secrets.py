@@ -90,3 +90,30 @@ def test_repeated_parts_have_spans_at_every_place():
     nested = base64.b64encode(f"x {inner} y {inner}".encode()).decode()
     t = f"{inner} {nested} {nested} {inner}"
     assert len(scan(t)[1]) == 4
+
+
+def test_all_of_an_inflated_part_is_scanned():
+    secret = b"password=hunter2hunter2"
+    b64 = lambda x: base64.b64encode(x).decode()
+    long = " ".join(f"é{i}" for i in range(3000)).encode()
+    for data in (long + b" " + secret, long + b" " + b64(secret).encode() + b" " + long, secret + b" " + long, long.replace(b" ", b"") + b" " + secret, b"\xe9 " + secret, b"z" * 9000 + b" " + secret):
+        for packed in (gzip.compress(data), zlib.compress(data), gzip.compress(gzip.compress(data))):
+            for limit in (101, 1000, 1 << 24):
+                t = f"x {b64(packed)} y"
+                assert [s[:3] for s in scan(t, limit)[1]] == [("assign", 2, len(t) - 2)], (data[:20], limit)
+
+
+def test_later_members_and_trailing_data_are_scanned():
+    secret = b"password=hunter2hunter2"
+    for data in (gzip.compress(b"first") + gzip.compress(secret), gzip.compress(b"first") + b"\0" * 9 + gzip.compress(secret), zlib.compress(b"first") + zlib.compress(secret), gzip.compress(b"first ") + secret, gzip.compress(b"") + gzip.compress(secret)):
+        t = base64.b64encode(data).decode()
+        assert [s[:3] for s in scan(t)[1]] == [("assign", 0, len(t))]
+    many = base64.b64encode(gzip.compress(b"x") * 3000 + gzip.compress(secret)).decode()
+    assert scan(many)[1]
+
+
+def test_percent_runs_with_odd_bytes():
+    t = "name=caf%E9&password%3Dhunter22"
+    assert [(t[s[1] : s[2]], s[3], s[4]) for s in scan(t)[1]] == [("password%3Dhunter22", "url", "hunter22")]
+    t = "password%3D 'hunter22' %FF%C3%A9%80 token%3Dabc%64ef"
+    assert [t[s[1] : s[2]] for s in scan(t)[1]] == ["password%3D 'hunter22", "token%3Dabc%64ef"]
