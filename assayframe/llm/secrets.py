@@ -1,21 +1,23 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is scanned for secrets; then it is scanned with its percent codes and its Unicode escapes decoded in
-place, and its encoded parts (base64, zlib and gzip data) are decoded and scanned in turn, and so on until
-nothing new decodes. Each distinct part of a text is decoded once, and what is found in it counts at every
-place where the part stands. What is found in a layer is mapped back to the span of the original text that it came from.
+A text is scanned for secrets; then it is scanned with its percent codes, its Unicode escapes and both decoded in
+place, each down to the bottom, and its encoded parts (base64, zlib and gzip data) are decoded and scanned in turn,
+and so on until nothing new decodes. Each distinct part of a text is decoded once, so cycles end, and what is found in it
+counts at every place where the part stands. What is found in a layer is mapped back to the span of the original text that it came from.
+The work is a list, not a recursion, and codes within codes are undone in one pass: time and memory are linear in the depth of nesting.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +30,19 @@ _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_CODE = {
+    "url": re.compile(r"%[0-9A-Fa-f]{2}"),
+    "unicode": re.compile(r"\\(?:u\{[0-9A-Fa-f]{1,6}\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})"),
+}
+_STRETCH = re.compile(r"[%\\][%\\uUx{}0-9A-Fa-f]*")  # codes, and what may be one once others are decoded, lie within these
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
+_PACKED_URL = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()+$-])*")
 _BREAK = re.compile(r"[^A-Za-z0-9+/_=%\\{}-]")
 _PIECE, _CHUNK, _OVERLAP = 1 << 14, 1 << 20, 1 << 16
 _KEY = {k: i for i, k in enumerate(KINDS)}
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 
 
 def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[str, int, int, str]]:
@@ -44,9 +52,10 @@ def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tup
     out = []
     if _NAMES.search(text):
         out += [("assign", m.start(), m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
-    # both others lie within runs of 20 or more of the longer class
+    # both others lie within long runs of the larger class
     for i, j in runs:
-        out += [("access", m.start(), m.end(), m[0]) for m in _ACCESS.finditer(text, i, j) if len(m[0]) >= 20]
+        if j - i >= 20:
+            out += [("access", m.start(), m.end(), m[0]) for m in _ACCESS.finditer(text, i, j) if len(m[0]) >= 20]
         if j - i >= 24:
             out += [("hex", m.start(), m.end(), m[0]) for m in _HEX.finditer(text, i, j) if len(m[0]) >= 24]
     return sorted(out, key=lambda s: (s[1], _KEY[s[0]]))
@@ -89,7 +98,8 @@ def _windows(chunks: Iterator[bytes], size: int, overlap: int) -> Iterator[str]:
 
     Windows are cut where no encoded part can run on; in a run of over four times ``size`` a multiple of four characters from its start.
     """
-    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    first = next(chunks, b"")
+    chunks, decode = chain([first], chunks), codecs.getincrementaldecoder(_utf16(first[:4096]) or "utf-8")("replace").decode
     held, n, want = [], 0, size
     for chunk in chunks:
         held.append(decode(chunk))
@@ -118,50 +128,92 @@ def _break_before(text: str, end: int) -> int:
     return 0
 
 
-def _as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+def _utf16(head: bytes) -> str | None:
+    """The codec of bytes that look like UTF-16."""
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    half = len(head) // 2
+    if half < 3:
         return None
-    odd = sum(c < " " and c not in "\t\r\n" for c in text)
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _percent(m: re.Match) -> list[tuple[str, int]]:
-    """(character, its place in the text) of a run of percent codes; U+FFFD for each byte that isn't UTF-8."""
-    out, at = [], m.start()
-    for c in bytes.fromhex(m[0].replace("%", "")).decode(errors="surrogateescape"):
-        odd = "\udc80" <= c <= "\udcff"
-        out.append(("\ufffd" if odd else c, at))
-        at += 3 if odd else 3 * len(c.encode())
+    low, high = head[1 : 2 * half : 2].count(0), head[0 : 2 * half : 2].count(0)
+    return "utf-16-le" if 2 * low > half > 2 * high else "utf-16-be" if 2 * high > half > 2 * low else None
+
+
+def _texts(data: bytes) -> list[str]:
+    """The text of UTF-8 or UTF-16 bytes; of other bytes each is a character. Bytes that only look like UTF-16 are read both ways."""
+    codec, out = _utf16(data[:4096]), []
+    if codec:
+        out.append(data.decode(codec, "replace"))
+    if codec != "utf-16":
+        try:
+            out.append(data.decode())
+        except UnicodeDecodeError:
+            out.append(data.decode("latin-1"))
     return out
 
 
-def _escape(m: re.Match) -> list[tuple[str, int]] | None:
-    code = int(next(g for g in m.groups() if g), 16)
-    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), m.start())]
-
-
-def _substituted(text: str, pattern: re.Pattern, decode: Callable) -> tuple[str, Callable[[int], int]] | None:
-    """The text with what the pattern finds decoded in place, and the place in ``text`` of each of its characters; None if nothing decodes."""
+def _code_at_end(out: list[str], url: bool, unicode: bool) -> tuple[int, str] | None:
+    """(length, character) of the code that the characters end with; U+DC80 to U+DCFF stand for single bytes."""
+    last = out[-1]
+    if last not in _HEX_DIGITS and last != "}":
+        return None
+    if url and len(out) > 2 and out[-3] == "%" and last != "}" and out[-2] in _HEX_DIGITS:
+        n = int(out[-2] + last, 16)
+        return 3, chr(n if n < 128 else 0xDC00 + n)
+    if unicode:
+        if last == "}":
+            digits = next((k for k in range(2, min(len(out), 9)) if out[-k] == "{"), 0)
+            text = "".join(out[1 - digits : -1]) if digits > 2 and out[-digits - 2 : -digits] == ["\\", "u"] else ""
+            size = digits + 2
+        else:
+            size = next((k for k, sign in ((4, "x"), (6, "u"), (10, "U")) if len(out) >= k and out[-k] == "\\" and out[1 - k] == sign), 0)
+            text = "".join(out[2 - size :]) if size else ""
+        if text and all(c in _HEX_DIGITS for c in text):
+            code = int(text, 16)
+            if code < 0xD800 or 0xE000 <= code <= 0x10FFFF:
+                return size, chr(code)
+    return None
+
+
+def _undone(stretch: str, start: int, url: bool, unicode: bool) -> list[tuple[str, int]]:
+    """(character, its place in the text) with all codes decoded, and those that this makes, to the last; U+FFFD for a byte that isn't UTF-8."""
+    out, at = [], []
+    for place, c in enumerate(stretch, start):
+        out.append(c)
+        at.append(place)
+        while found := _code_at_end(out, url, unicode):
+            size, made = found
+            del out[1 - size :], at[1 - size :]
+            out[-1] = made
+    chars, k = [], 0
+    for odd, run in groupby(out, lambda c: "\udc80" <= c <= "\udcff"):
+        run = "".join(run)
+        for c in run.encode(errors="surrogateescape").decode(errors="surrogateescape") if odd else run:
+            single = "\udc80" <= c <= "\udcff"
+            chars.append(("\ufffd" if single else c, at[k]))
+            k += 1 if single or not odd else len(c.encode())
+    return chars
+
+
+def _decoded(text: str, *kinds: str) -> tuple[str, Callable[[int], int]] | None:
+    """The text with its codes of these kinds decoded in place, and the place in ``text`` of each of its characters; None without codes."""
+    if not any(_CODE[k].search(text) for k in kinds):
+        return None
     out, new, old, last, n = [], [], [], 0, 0
-    for m in pattern.finditer(text):
-        chars = decode(m)
-        if chars is None:
+    for m in _STRETCH.finditer(text):
+        if not any(_CODE[k].search(text, *m.span()) for k in kinds):
             continue
         if m.start() > last:
             new.append(n)
             old.append(last)
             out.append(text[last : m.start()])
             n += m.start() - last
-        for c, at in chars:
+        for c, at in _undone(m[0], m.start(), "url" in kinds, "unicode" in kinds):
             new.append(n)
             old.append(at)
             out.append(c)
             n += 1
         last = m.end()
-    if not out:
-        return None
     new.append(n)
     old.append(last)
     out.append(text[last:])
@@ -173,76 +225,170 @@ def _substituted(text: str, pattern: re.Pattern, decode: Callable) -> tuple[str,
     return "".join(out), where
 
 
-def _opened(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
-    """(layer, text) of what a base64 part holds: compressed data in windows, other data if it is text."""
-    layer, depth, heads = "base64", 0, set()
+def _readings(text: str) -> Iterator[tuple[str, str, Callable[[int], int]]]:
+    """(name, text, place of its characters) of a text as it stands and with its codes decoded."""
+    yield "", text, lambda k: k
+    url = _decoded(text, "url") if "%" in text else None
+    unicode = _decoded(text, "unicode") if "\\" in text else None
+    if url:
+        yield "url", *url
+    if unicode:
+        yield "unicode", *unicode
+    if url and "\\" in url[0] or unicode and "%" in unicode[0]:
+        both = _decoded(text, "url", "unicode")
+        if both[0] not in (url and url[0], unicode and unicode[0]):
+            yield "url+unicode", *both
+
+
+def _coded(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(coded, start, end) of base64 parts, on a line and wrapped over lines, and of compressed data in percent codes."""
+    wrapped = 0  # the end of the last wrapped part
+    for m in _BASE64.finditer(text) if runs else ():
+        yield m[0], *m.span()
+        lines, end = [m[0]], m.end()
+        while m.start() >= wrapped and len(lines[-1]) == len(m[0]) and not len(m[0]) % 4 and m[0][-1] != "=" and (more := _NEXT_LINE.match(text, end)) and len(more[1]) <= len(m[0]):
+            lines.append(more[1])
+            end = more.end()
+        if len(lines) > 1:
+            wrapped = end
+            yield "".join(lines), m.start(), end
+    for m in _PACKED_URL.finditer(text) if "%" in text else ():
+        yield m[0], *m.span()
+
+
+def _bytes(coded: str) -> bytes:
+    if "%" in coded:
+        return unquote_to_bytes(coded)
+    body = coded.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _opened(data: bytes, layer: str, limit: int) -> Iterator[tuple[str, str]]:
+    """(layer, text) of what an encoded part holds; compressed data of over ``limit`` bytes in windows."""
+    seen = set()
+    while _compressed(data):
+        mark = hashlib.sha256(data).digest()
+        stream, held, size = _inflated(iter([data])), [], 0
+        while size <= limit and (piece := next(stream, None)) is not None:
+            held.append(piece)
+            size += len(piece)
+        if not held or mark in seen:
+            break
+        seen.add(mark)
+        layer += ">inflate"
+        if size > limit:
+            stream, heads = chain(held, stream), set()
+            while True:
+                head = next(stream)
+                if not _compressed(head) or head[:4096] in heads:
+                    break
+                heads.add(head[:4096])
+                inner = _inflated(chain([head], stream))
+                first = next(inner, None)
+                if first is None:
+                    return
+                stream, layer = chain([first], inner), layer + ">inflate"
+            yield from ((layer, text) for text in _windows(chain([head], stream), limit, min(_OVERLAP, limit // 8)))
+            return
+        data = b"".join(held)
+    yield from ((layer, text) for text in _texts(data))
+
+
+class _Part:
+    """What an encoded part holds: of each kind of secret the layers and value of one; and the parts it stands in."""
+
+    __slots__ = ("found", "within")
+
+    def __init__(self):
+        self.found, self.within = {}, set()
+
+
+def _expand(part: _Part, coded: str, limit: int) -> Iterator[tuple[str, str]]:
+    """Scan a part; (coded, layers it stands in) of the parts within it."""
+    for layer, text in _opened(_bytes(coded), "url" if "%" in coded else "base64", limit):
+        for name, reading, _ in _readings(text):
+            layers = f"{layer}>{name}" if name else layer
+            runs = [m.span() for m in _LONG.finditer(reading)]
+            for kind, _, _, value in base_spans(reading, runs):
+                part.found.setdefault(kind, ((layers, None), value))
+            yield from ((inner, layers) for inner, _, _ in _coded(reading, runs))
+
+
+def _explored(roots: list[str], limit: int) -> dict[bytes, _Part]:
+    """All parts within the ``roots``, by the hash of their coded text, with what is found in them and in the parts within them."""
+    parts: dict[bytes, _Part] = {}
+    for root in roots:
+        stack = [(None, iter([(root, "")]))]
+        while stack:
+            part, inner = stack[-1]
+            coded, layers = next(inner, (None, None))
+            if coded is None:
+                stack.pop()
+                continue
+            mark = _mark(coded)
+            if mark not in parts:
+                parts[mark] = _Part()
+                stack.append((parts[mark], _expand(parts[mark], coded, limit)))
+            if part:
+                parts[mark].within.add((part, layers))
+    work = [(p, kind) for p in parts.values() for kind in p.found]
+    while work:
+        p, kind = work.pop()
+        way, value = p.found[kind]
+        for outer, layers in p.within:
+            if kind not in outer.found:
+                outer.found[kind] = ((layers, way), value)
+                work.append((outer, kind))
+    return parts
 
-    def chunks(depth: int) -> Iterator[bytes]:
-        out = iter([data])
-        for _ in range(depth):
-            out = _inflated(out)
-        return out
 
-    while _compressed(head := next(chunks(depth), b"")) and head not in heads and next(chunks(depth + 1), None) is not None:
-        heads.add(head)
-        layer, depth = f"{layer}>inflate", depth + 1
-    if depth:
-        yield from ((layer, text) for text in _windows(chunks(depth), limit, min(_OVERLAP, limit // 8)))
-    elif (decoded := _as_text(data)) is not None:
-        yield layer, decoded
+def _mark(coded: str) -> bytes:
+    return hashlib.blake2b(coded.encode(), digest_size=16).digest()
 
 
-def _part(coded: str, limit: int, parts: dict) -> dict[str, tuple[str, str]]:
-    """The kinds of secrets in a base64 part, each with the layers and value of one; a part within itself adds nothing."""
-    if coded in parts:
-        return parts[coded]
-    parts[coded] = found = {}
-    body = coded.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return found
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return found
-    for layer, text in _opened(data, limit):
-        for kind, _, _, path, value in _layers(text, limit, parts):
-            found.setdefault(kind, (f"{layer}>{path}" if path else layer, value))
-        if len(found) == len(KINDS):
-            break
-    return found
+def _path(name: str, way: tuple | None) -> str:
+    """The layers from the outside in; one that repeats three times or more is counted."""
+    names = [name] if name else []
+    while way:
+        names.append(way[0])
+        way = way[1]
+    runs = [(k, len(list(g))) for k, g in groupby(names)]
+    return ">".join(f"({k})*{n}" if n > 2 else ">".join([k] * n) for k, n in runs)
 
 
-def _layers(text: str, limit: int, parts: dict) -> Iterator[tuple[str, int, int, str, str]]:
+def _layers(text: str, limit: int) -> Iterator[tuple[str, int, int, str, str]]:
     """All spans of one text, the plain ones first; of equal kind and place the first."""
-    have, seen = set(), {text}
-    work = deque([(text, "", lambda k: k)])
-    while work:
-        layer, path, place = work.popleft()  # place: of each character in the first text
-        runs = [m.span() for m in _LONG.finditer(layer)]
-        spans = [(k, i, j, path, v) for k, i, j, v in base_spans(layer, runs)]
-        for m in _BASE64.finditer(layer) if runs else ():
-            spans += [(k, *m.span(), f"{path}>{inner}" if path else inner, v) for k, (inner, v) in _part(m[0], limit, parts).items()]
-        for k, i, j, layers, v in spans:
-            at = (k, place(i), place(j))
+    have, places = set(), {}
+    for name, reading, place in _readings(text):
+        runs = [m.span() for m in _LONG.finditer(reading)]
+        for kind, i, j, value in base_spans(reading, runs):
+            at = (kind, place(i), place(j))
             if at not in have:
                 have.add(at)
-                yield *at, layers, v
-        for name, sign, pattern, decode in (("url", "%", _PERCENT, _percent), ("unicode", "\\", _ONE_ESCAPE, _escape)):
-            made = _substituted(layer, pattern, decode) if sign in layer else None
-            if made and made[0] not in seen:
-                seen.add(made[0])
-                work.append((made[0], f"{path}>{name}" if path else name, lambda k, inner=made[1], outer=place: outer(inner(k))))
+                yield *at, name, value
+        for coded, i, j in _coded(reading, runs):
+            places.setdefault(coded, {}).setdefault((place(i), place(j)), name)
+    parts = _explored(list(places), limit)
+    for coded, where in places.items():
+        for kind, (way, value) in parts[_mark(coded)].found.items():
+            for (i, j), name in where.items():
+                if (kind, i, j) not in have:
+                    have.add((kind, i, j))
+                    yield kind, i, j, _path(name, way), value
 
 
 def scan(text: str | None, limit: int = 16 << 20) -> tuple[list[tuple], list[tuple]]:
     """(base spans, all spans) of one text; a span is (kind, start, end, layers, value), in code points of the text.
 
-    Spans found in a percent or Unicode layer cover the characters they were decoded from, those in a base64
-    or compressed layer the whole encoded part. Compressed data of over ``limit`` characters is scanned in windows of about so many.
+    Spans found behind percent codes or Unicode escapes cover the characters they were decoded from, those in a base64
+    or compressed layer the whole encoded part. Codes within codes (``%2525``) are undone to the bottom at once.
+    Base64 is taken from 16 characters on, on one line or wrapped over lines of equal length. Bytes that are neither UTF-8 nor
+    UTF-16 are scanned one character a byte. Compressed data of over ``limit`` characters is scanned in windows of about so many.
     """
     if not text:
         return [], []
-    spans = sorted(_layers(text, limit, {}), key=lambda s: (s[1], _KEY[s[0]], s[2], s[3]))
+    spans = sorted(_layers(text, limit), key=lambda s: (s[1], _KEY[s[0]], s[2], s[3]))
     return [s for s in spans if not s[3]], spans
 
 

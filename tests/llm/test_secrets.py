@@ -66,6 +66,40 @@ def test_cycles_and_broken_layers_end():
         scan(t)
 
 
+def test_samples_that_once_failed():
+    b64 = lambda x: base64.b64encode(x).decode()
+    secret = b"password=hunter2hunter2"
+    for t in ["dG9rZW49YWJjZGVm", "x%FFtoken%3Dabcdefgh", b64(secret.decode().encode("utf-16")), b64(secret.decode().encode("utf-16-be")), b64(b"\xfe\x00" + secret + b"\xff" * 9), b64(gzip.compress(b"filler words " * 1_700_000 + secret))]:
+        assert any(s[3] for s in scan(t)[1]), t[:40]
+    packed = zlib.compress(secret + bytes(range(256)) * 3)
+    for eol in ("\n", "\r\n  "):
+        lines = b64(b"a" * 100 + secret + b"\xfe" * 200)
+        t = "see\n" + eol.join(lines[k : k + 64] for k in range(0, len(lines), 64)) + "\nend"
+        assert t[4:-4] in [t[s[1] : s[2]] for s in scan(t)[1] if s[3] == "base64"]
+    t = "q=" + "".join(f"%{c:02X}" for c in packed) + "&x"
+    assert [(s[1], s[2], s[3]) for s in scan(t)[1]] == [(2, len(t) - 2, "url>inflate")]
+
+
+def test_deep_nesting_is_linear():
+    t = "token%" + "25" * 100_000 + "3Dabcdefgh"
+    assert ("assign", 0, len(t), "url", "abcdefgh") in scan(t)[1]
+    data = b"password=hunter2hunter2"
+    for _ in range(250):
+        data = base64.b64encode(zlib.compress(data))
+    assert [s[:4] for s in scan(data.decode())[1]] == [("assign", 0, len(data), "(base64>inflate)*250")]
+    data = b"password=hunter2hunter2"
+    for _ in range(3000):
+        data = gzip.compress(data)
+    assert len(scan(base64.b64encode(data).decode())[1]) == 1
+    assert [t[3] for t in scan("\\u0025" + "5Cu0025" * 500 + "5Cu0074oken=abcdefgh")[1]] == ["url+unicode"]
+
+
+def test_codes_that_codes_make():
+    cases = {"%2574oken=abcdefgh": "url", "%%374oken=abcdefgh": "url", "\\x5cu0074oken=abcdefgh": "unicode", "\\u{74}oken=abcdefgh": "unicode", "\\U00000074oken=abcdefgh": "unicode", "%5Cu0074oken=abcdefgh": "url+unicode", "\\u002574oken=abcdefgh": "url+unicode"}
+    for coded, path in cases.items():
+        assert [s[:4] for s in scan(f"é {coded} z")[1]] == [("assign", 2, 2 + len(coded), path)], coded
+
+
 def test_odd_rows(odd_docs, make_docs):
     got = scan_secrets(odd_docs).collect()
     assert len(got) == odd_docs.count()
