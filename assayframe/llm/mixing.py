@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ._common import written
 
+_NEW = ("mix_epoch", "mix_tokens", "mix_order")
 _ARMS, _ROUNDS = 32, 4  # the exponent's interval shrinks 32-fold a round
 
 
@@ -56,12 +57,18 @@ def mix_sources(docs: DataFrame, budget_ratio: float = 1.0, entropy: float | Non
     """All columns of ``docs`` for each time a row is used, with ``mix_epoch``, ``mix_tokens`` and ``mix_order`` (a random order within the epoch).
 
     The budget is ``budget_ratio`` times the table's tokens. Weights reach the share ``entropy`` of the greatest
-    entropy (None: as flat as can be), unless that would use a source more than ``repetition`` times (None: no limit). A source
-    gets its weight of the budget, to within one document. A null source is one source of its own;
-    null and empty texts count one token; repeated rows are used alike. An empty table gives no rows.
+    entropy (None: as flat as can be), unless that would use a source more than ``repetition`` times (None: no limit); a
+    ``budget_ratio`` above ``repetition`` can't be met and raises ValueError. A source gets its weight of the budget, to
+    within one document, with repeated rows too: equal rows are used equally often but for one use. A null source is one source
+    of its own; null and empty texts count one token. Columns of ``docs`` named as the three new ones (in any case) are
+    replaced. An empty table gives no rows.
     """
-    row = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    work = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("none")).alias("src"), tokens(F.col(text_col).cast("string")).alias("tokens"), row.alias("h"))
+    if repetition is not None and budget_ratio > repetition:
+        raise ValueError(f"a budget of {budget_ratio} times the tokens repeats some source more than {repetition} times")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in _NEW])
+    # equal rows have equal hashes, and only equal rows, so that each may stand for the others
+    row = F.xxhash64(F.lit(seed), id_col, text_col, *[F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()])
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("none")).alias("src"), tokens(F.col(text_col).cast("string")).alias("tokens"), row.alias("h"))
     slim = written(work.select("src", "tokens", "h"), "mix-rows")
     sizes = written(slim.groupBy("src").agg(F.sum("tokens").alias("all"), F.count("*").alias("rows")), "mix-sources")
     total = sizes.agg(F.sum("all")).first()[0] or 0
@@ -80,16 +87,21 @@ def mix_sources(docs: DataFrame, budget_ratio: float = 1.0, entropy: float | Non
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 1), "src", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("part") - F.coalesce(F.sum("size").over(order), F.lit(0))
     cut = written(sums.select("src", "block", "size", left.alias("left")).where("left > 0"), "mix-blocks")
-    # the rows of the one block a source that the budget cuts are taken in order of their hash
-    within = Window.partitionBy("src").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    some = placed.join(cut.where("left < size"), ["src", "block"]).select("src", "block", "h", (F.sum("tokens").over(within) <= F.col("left")).alias("fits"))
-    top = some.where("fits").groupBy("src", "block").agg(F.max("h").alias("top"))
-    taken = cut.where("left >= size").select("src", "block", F.lit(2**63 - 1).alias("top")).union(top)
-    taken = written(taken, "mix-taken")
+    # the distinct rows of the one block a source that the budget cuts are taken in order of their hash, the last with some of its copies
+    groups = placed.join(cut.where("left < size"), ["src", "block"]).groupBy("src", "block", "h").agg(F.count("*").alias("copies"), F.first("tokens").alias("tokens"), F.first("left").alias("left"))
+    within = Window.partitionBy("src").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("left") - F.coalesce(F.sum(F.col("copies") * F.col("tokens")).over(within), F.lit(0))
+    some = groups.select("src", "block", "h", "copies", F.greatest(F.least(F.floor(rest / F.col("tokens")), F.col("copies")), F.lit(0)).alias("fit"), "left", rest.alias("rest"))
+    edge = some.where("rest > 0").groupBy("src", "block").agg(F.max("h").alias("edge"), F.max_by("fit", "h").alias("extra"), F.max_by("copies", "h").alias("copies"))
+    # below the edge all rows are taken; of the equal rows at it, one stands for as many as fit
+    whole = cut.where("left >= size").select("src", "block", F.lit(None).cast("long").alias("edge"), F.lit(0).cast("long").alias("extra"))
+    taken = written(whole.union(edge.select("src", "block", "edge", F.col("extra").cast("long"))), "mix-taken").withColumn("taken", F.lit(True))
     used = work.join(plan, "src").select("row", "src", "tokens", "h", "full", of).join(taken, ["src", "block"], "left")
-    used = used.withColumn("n", F.col("full") + F.when(F.col("h") <= F.col("top"), 1).otherwise(0)).where("n > 0")
-    out = used.select("row", "tokens", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("epoch"))
-    return out.select("row.*", F.col("epoch").alias("mix_epoch"), F.col("tokens").alias("mix_tokens"), F.xxhash64(F.lit(seed + 2), "epoch", "h").alias("mix_order"))
+    more = F.coalesce(F.col("taken") & (F.col("edge").isNull() | (F.col("h") < F.col("edge"))), F.lit(False))
+    main = used.withColumn("n", F.col("full") + more.cast("long")).where("n > 0").select("row", "tokens", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("epoch"))
+    copies = used.where("h = edge and extra > 0").groupBy("src", "h").agg(*[F.first(c).alias(c) for c in ("row", "tokens", "full", "extra")])
+    copies = copies.select("row", "tokens", "h", F.col("full").alias("epoch"), F.explode(F.sequence(F.lit(1).cast("long"), "extra"))).drop("col")
+    return main.union(copies.select("row", "tokens", "h", "epoch")).select("row.*", F.col("epoch").alias("mix_epoch"), F.col("tokens").alias("mix_tokens"), F.xxhash64(F.lit(seed + 2), "epoch", "h").alias("mix_order"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -73,3 +73,25 @@ def test_same_result_again_and_odd_rows(odd_docs):
 
 def test_exponent_of_one_source(spark):
     assert 0 <= exponent(spark.createDataFrame([(1.0, 10)], "share double, tokens long"), 10.0, repetition=4.0) <= 1
+
+
+@pytest.mark.parametrize("ratio, entropy", [(0.5, 0.0), (1.0, 1.0), (2.5, None), (3.7, None)])
+def test_repeated_rows_are_cut_to_the_token(spark, make_docs, ratio, entropy):
+    rows = [(7, "one two three four", "en", "big")] * 400 + [(k, "w", "en", "small") for k in range(20)]
+    rows += [(8, "a b", "en", "big")] * 37
+    got = Counter()
+    for _, s, _, n in use(mix_sources(make_docs(rows), budget_ratio=ratio, entropy=entropy, repetition=4.0, block=8)):
+        got[s] += n
+    total = 400 * 4 + 20 + 74
+    assert ratio * total - 2 * 4 <= sum(got.values()) <= ratio * total
+    if entropy == 0.0:
+        assert got["big"] >= ratio * (total - 20) - 4
+
+
+def test_impossible_limits_and_clashing_columns(spark, make_docs):
+    docs = make_docs([(k, "a b c", "en", "s") for k in range(30)])
+    with pytest.raises(ValueError):
+        mix_sources(docs, budget_ratio=6.0, repetition=4.0)
+    assert Counter(n for n in Counter(d for d, *_ in use(mix_sources(docs, budget_ratio=6.0, repetition=None))).values()) == {6: 30}
+    again = mix_sources(mix_sources(docs).withColumnRenamed("mix_tokens", "MIX_tokens"))
+    assert again.columns == [*docs.columns, "mix_epoch", "mix_tokens", "mix_order"] and again.count() == 30
