@@ -1,8 +1,9 @@
 """Document fingerprints: improbable-feature digests.
 
-Byte windows are taken where the content says so (a hash of eight bytes), ranked by how far their
-entropy lies from that of ordinary text, and the rarest of each few neighbours are chosen. Chosen windows
-go into a chain of Bloom filters in text order. Two digests are compared filter by filter, by the overlap of bits beyond chance.
+Every byte window of a text is ranked by how rare the class of its entropy is in the corpus. In each stretch of
+neighbouring windows the rarest, leftmost one gets a vote, and windows with many votes are features, at one density
+for texts of any size. Features go into a chain of Bloom filters in text order. Two digests are compared
+filter by filter, by the overlap of bits beyond chance.
 """
 
 from __future__ import annotations
@@ -18,59 +19,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import parts, text_bytes
-from ._words import hash_spans
+from ._words import buffers, hash_spans, slices
 
-WINDOW, NEIGHBOURS, TYPICAL = 32, 4, 3.7  # bytes; windows ranked together; bits a byte of ordinary text
-#: Texts of at least so many bytes have a window in one of so many places; the places of a longer class are among those of a shorter.
-RATES = ((0, 1), (256, 4), (1024, 8), (4096, 16))
-FILTER_BITS, HASHES, FEATURES = 2048, 5, 160
+WINDOW, NEIGHBOURS, VOTES = 32, 64, 16  # bytes; windows that vote together; votes that make a feature
+FILTER_BITS, HASHES, FEATURES, CLASSES = 2048, 5, 160, 256
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_GAIN = np.concatenate([[0], np.diff(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)))])
-
-
-def _entropy(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bits a byte of the windows at ``starts``."""
-    out = np.empty(len(starts))
-    for i in range(0, len(starts), 16384):
-        w = np.sort(raw[starts[i : i + 16384, None] + np.arange(WINDOW)], axis=1)
-        at = np.broadcast_to(np.arange(WINDOW, dtype=np.int8), w.shape)
-        new = np.ones(w.shape, bool)
-        new[:, 1:] = w[:, 1:] != w[:, :-1]
-        run = at - np.maximum.accumulate(np.where(new, at, np.int8(0)), axis=1)
-        out[i : i + 16384] = np.log2(WINDOW) - _GAIN[run + 1].sum(1) / WINDOW
+_N = np.arange(WINDOW + 1)
+_TERMS = np.round(_N * np.log2(np.maximum(_N, 1)) * 4096).astype(np.int32)  # the entropy's terms, whole numbers so that sums are exact
+_STEP = np.diff(_TERMS)
+_AT_ONCE = 1 << 17
+
+
+def entropy_classes(raw: np.ndarray) -> np.ndarray:
+    """The class of the byte entropy of the window that starts at each byte (the last ones left out): 0 most even, 255 one byte alone.
+
+    The sum of n log n over a window's bytes is carried from window to window: the byte that leaves and the one that
+    enters change it by how often they occur among the bytes between, so a window costs the same whatever it holds.
+    """
+    n = max(len(raw) - WINDOW + 1, 0)
+    out = np.empty(n, np.uint8)
+    for lo in range(0, n, _AT_ONCE):
+        x = raw[lo : min(lo + _AT_ONCE, n) + WINDOW - 1]
+        m = len(x) - WINDOW
+        after, before = np.zeros(len(x), np.uint8), np.zeros(len(x), np.uint8)
+        for d in range(1, WINDOW):
+            same = (x[:-d] == x[d:]).view(np.uint8)
+            after[:-d] += same
+            before[d:] += same
+        total = np.empty(m + 1, np.int32)
+        total[0] = _TERMS[np.bincount(x[:WINDOW])].sum()
+        total[1:] = _STEP[before[WINDOW:]] - _STEP[after[:m]]
+        out[lo : lo + m + 1] = np.cumsum(total, dtype=np.int32) // (_TERMS[WINDOW] // (CLASSES - 1) + 1)
+    return out
+
+
+def _most_voted(rank: np.ndarray) -> np.ndarray:
+    """Places that are the leftmost lowest rank of at least ``VOTES`` of the stretches of ``NEIGHBOURS`` places."""
+    places, votes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(rank) - NEIGHBOURS + 1, _AT_ONCE):
+        part = rank[lo : lo + _AT_ONCE + NEIGHBOURS - 1]
+        low = (part.astype(np.int32) << 20) | np.arange(len(part), dtype=np.int32)
+        size = 1
+        while size < NEIGHBOURS:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        starts = np.flatnonzero(np.diff(low, prepend=-1))
+        places.append((low[starts] & ((1 << 20) - 1)) + lo)
+        votes.append(np.diff(np.append(starts, len(low))))
+    places, votes = np.concatenate(places), np.concatenate(votes)
+    if not len(places):
+        return places
+    new = np.flatnonzero(np.diff(places, prepend=-1))  # a place may have votes in two parts
+    return places[new][np.add.reduceat(votes, new) >= VOTES]
+
+
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """The rank of each entropy class, the rarest first, from its windows in a corpus."""
+    out = np.empty(CLASSES, np.int16)
+    out[np.lexsort((np.arange(CLASSES), counts))] = np.arange(CLASSES)
+    return out
+
+
+def class_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How many byte windows of all texts have each entropy class; 256 numbers reach the driver."""
+
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
+        for batch in rows:
+            for _, part in slices(batch.column(0), 1 << 20):
+                raw, at = buffers(part)
+                kinds = entropy_classes(raw)
+                whole = at[:-1][np.diff(at) >= WINDOW], at[1:][np.diff(at) >= WINDOW] - WINDOW + 1
+                total += np.bincount(kinds[_within(*whole, len(kinds))], minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(total)], ["kind", "n"])
+
+    out = np.zeros(CLASSES, np.int64)
+    for r in docs.select(F.col(text_col).cast("string")).mapInArrow(each, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect():
+        out[r["kind"]] = r["n"]
     return out
 
 
-def digests(texts: list[str]) -> list[np.ndarray]:
-    """Of each text an array of Bloom filters (n, 256 bytes), none for an empty text."""
+def _within(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in one of the ranges."""
+    mark = np.zeros(n + 1, np.int8)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, stops, -1)
+    return np.cumsum(mark[:-1], dtype=np.int8) > 0
+
+
+def digests(texts: list[str], rank: np.ndarray) -> list[np.ndarray]:
+    """Of each text an array of Bloom filters (n, 256 bytes), none for an empty text; a text shorter than a window is one feature."""
     coded = [t.encode() for t in texts]
     sizes = np.array([len(c) for c in coded], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(b"".join(coded) + bytes(WINDOW), np.uint8)
-    lanes = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    chance = np.zeros(len(raw) - 7, np.uint8)
-    share = np.array([16 // r for _, r in RATES], np.uint8)
-    chance[: at[-1]] = np.repeat(share[np.searchsorted([n for n, _ in RATES], sizes, "right") - 1], sizes)
-    places = np.flatnonzero((lanes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) < chance)
+    gap = bytes(NEIGHBOURS - 1)  # so that no stretch reaches from one text into another
+    raw = np.frombuffer(gap + gap.join(coded) + gap + bytes(WINDOW), np.uint8)
+    at = np.cumsum(sizes + len(gap)) - sizes
+    ends, whole = at + sizes, sizes >= WINDOW
+    kinds = entropy_classes(raw)
+    ranked = np.where(_within(at[whole], ends[whole] - WINDOW + 1, len(kinds)), rank[kinds], np.int16(CLASSES))
+    places = _most_voted(ranked)
+    places = places[ranked[places] < CLASSES]
+    short = np.flatnonzero(~whole & (sizes > 0))
+    places = np.sort(np.concatenate([places, at[short]]))
     doc = np.searchsorted(at, places, "right") - 1
-    doc = np.minimum(doc, len(texts) - 1)
-    fits = (places + WINDOW <= at[doc + 1]) & (places < at[-1])
-    places, doc = places[fits], doc[fits]
-    bare = np.setdiff1d(np.flatnonzero(sizes), doc)  # texts without a window: their first bytes are one
-    order = np.argsort(np.concatenate([doc, bare]), kind="stable")
-    places, doc = np.concatenate([places, at[bare]])[order], np.concatenate([doc, bare])[order]
-    stops = np.minimum(places + WINDOW, at[doc + 1])
-    rarity = np.round(np.abs(_entropy(raw, places) - TYPICAL) * 1000)
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    few = np.diff(first) < NEIGHBOURS
-    chosen = few[doc] if len(doc) else np.zeros(0, bool)
-    m = len(doc) - NEIGHBOURS + 1
-    if m > 0:
-        near = np.stack([rarity[k : k + m] for k in range(NEIGHBOURS)])
-        one = doc[:m] == doc[NEIGHBOURS - 1 :]
-        chosen[(np.arange(m) + near.argmax(0))[one]] = True
-    places, stops, doc = places[chosen], stops[chosen], doc[chosen]
-    h = hash_spans(raw, places, stops)
+    h = hash_spans(raw, places, np.minimum(places + WINDOW, ends[doc]))
     _, once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1, return_index=True) if len(h) else (None, np.zeros(0, np.int64))
     once.sort()
     doc, h = doc[once], h[once]
@@ -110,13 +162,17 @@ def from_string(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, FILTER_BITS // 8)
 
 
-def fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint) for every row's whole text; null and empty texts have the empty fingerprint."""
+def fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rank: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, fingerprint) for every row's whole text; null and empty texts have the empty fingerprint.
+
+    Classes are ranked by all texts of ``docs`` unless ``rank`` is given; digests compare only under equal ranks.
+    """
+    rank = ranks(class_counts(docs, text_col)) if rank is None else rank
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            made = [as_string(d) for i, j in _slices(texts) for d in digests(texts[i:j])]
+            made = [as_string(d) for i, j in _slices(texts) for d in digests(texts[i:j], rank)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(each, "doc_id long, fingerprint string")
@@ -137,7 +193,8 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) in ``n`` partitions of consecutive ids, each followed by the first row of the next.
 
     Columns: run, after, doc_id, text; sorted. Rows with ``after`` set are the extra ones; the last run gets the very first row.
-    Only one id a run reaches the driver. Nulls come first, equal ids in order of their texts.
+    Only one id a run reaches the driver. Nulls come first, equal ids in order of their texts; all rows of one id (or
+    without one) are in one partition, so ids are taken to be near to unique.
     """
     low = np.iinfo(np.int64).min
     cuts = np.unique(np.array(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [], np.int64))
@@ -165,9 +222,9 @@ def compare_edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next
     document in order of doc_id; the last document's next is the first. Nulls are empty texts; rows of equal
     doc_id follow each other in order of their texts, and of the first doc_id of a run of ids the smallest text
-    counts as the next. A single row is its own next. An empty table gives no rows.
+    counts as the next. A single row is its own next. Entropy classes are ranked by the texts of ``docs``. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, rank = docs.sparkSession, ranks(class_counts(docs, text_col))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     placed = with_successor(docs, parts(spark, text_bytes(docs, "text"), 24 << 20))
 
@@ -186,15 +243,15 @@ def compare_edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             slice_.append(pair)
             size += len(pair[1])
             if size >= 1 << 20:
-                yield _compared(slice_)
+                yield _compared(slice_, rank)
                 slice_, size = [], 0
         if slice_:
-            yield _compared(slice_)
+            yield _compared(slice_, rank)
 
     return placed.mapInArrow(each, RESULT)
 
 
-def _compared(rows: list[tuple]) -> pa.RecordBatch:
+def _compared(rows: list[tuple], rank: np.ndarray) -> pa.RecordBatch:
     n, texts, edited = len(rows), [], []
     for _, t, after in rows:
         half = len(t) // 2
@@ -202,8 +259,8 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
         texts.append(t)
     chained = all(rows[k][2] == rows[k + 1][1] for k in range(n - 1))
     nexts = [rows[-1][2]] if chained else [r[2] for r in rows]
-    made = digests(texts + nexts)
-    own, new = made[:n], digests(edited)
+    made = digests(texts + nexts, rank)
+    own, new = made[:n], digests(edited, rank)
     following = made[1 : n + 1] if chained else made[n:]
     return pa.RecordBatch.from_arrays([
         pa.array([r[0] for r in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
