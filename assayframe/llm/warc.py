@@ -10,18 +10,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path
+from ._common import new_path, written
 
 EOL = b"\r\n"
-RECORDS = "record_id string, type string, uri string, refers_to string, digest string, payload_length long, segment int, origin string, total long, block binary"
-RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, intact boolean"
+RECORDS = "record_id string, type string, uri string, refers_to string, digest string, payload_length long, segment long, origin string, total long, block binary, whole boolean"
+RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, intact boolean, record_id string"
 
 
 def _cut(data: bytes, size: int) -> Iterator[bytes]:
@@ -97,8 +99,9 @@ def write_warc(pages: DataFrame, path: str, html_col: str = "html", id_col: str
     """
     data = F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), data)
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     large = rows.where(F.octet_length("html") >= min_revisit).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    large = written(large, "warc-repeats")  # of known size, so that Spark itself can tell whether to broadcast it
     refers = F.when(F.coalesce(F.col("page_id") > F.col("first"), F.lit(True)), F.col("first"))
     rows = rows.join(large, "sha", "left").select("page_id", "url", "html", F.when(F.col("first").isNotNull(), refers).alias("refers"), F.monotonically_increasing_id().alias("row"))
 
@@ -113,90 +116,159 @@ def write_warc(pages: DataFrame, path: str, html_col: str = "html", id_col: str
     rows.mapInArrow(each, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
 
 
-def _parse(content: bytes) -> Iterator[tuple]:
-    """The records of one file (plain, or gzip of one or many members)."""
-    if content[:2] == b"\x1f\x8b":
-        plain, rest = [], content
+def _lines(content: bytes) -> Iterator[bytes]:
+    """The lines of a file held in memory, plain or gzip; of damaged gzip those before the damage."""
+
+    def pieces() -> Iterator[bytes]:
+        if content[:2] != b"\x1f\x8b":
+            yield content
+            return
+        rest = content
         while rest:
-            one = zlib.decompressobj(31)
-            plain.append(one.decompress(rest))
-            rest = one.unused_data
-        content = b"".join(plain)
-    i = 0
-    while (i := content.find(b"WARC/1.", i)) >= 0:
-        j = content.index(EOL + EOL, i)
-        head = {}
-        for line in content[i:j].split(EOL)[1:]:
-            k, _, v = line.partition(b":")
-            head[k.strip().lower()] = v.strip().decode()
-        get = lambda k: head.get(k.encode())
-        size = int(get("content-length") or 0)
-        block = content[j + 4 : j + 4 + size]
-        number = lambda k: int(get(k)) if get(k) else None
-        digest = get("warc-payload-digest")
-        yield get("warc-record-id"), get("warc-type"), get("warc-target-uri"), get("warc-refers-to"), digest and digest.removeprefix("sha1:"), number("x-payload-length"), number("warc-segment-number"), get("warc-segment-origin-id"), number("warc-segment-total-length"), block
-        i = j + 4 + size
+            member = zlib.decompressobj(31)
+            while not member.eof:
+                try:
+                    out = member.decompress(rest, 1 << 20)
+                except zlib.error:
+                    return
+                if not out and not member.unconsumed_tail and not member.eof:
+                    return
+                yield out
+                rest = member.unused_data if member.eof else member.unconsumed_tail
+
+    held = b""
+    for piece in pieces():
+        *whole, held = (held + piece).split(EOL)
+        yield from whole
+    yield held
+
+
+def _int(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"[0-9]{1,18}", value) else None
+
+
+def _parse(lines: Iterator[bytes]) -> Iterator[tuple]:
+    """The records of one file from its lines (as cut at CRLF), in the order of ``RECORDS``; one that ends too soon or has no length is not whole."""
+    line = next(lines, None)
+    while line is not None:
+        if not line.startswith(b"WARC/"):
+            line = next(lines, None)
+            continue
+        head, key = {}, None
+        while (line := next(lines, None)) and not line.startswith(b"WARC/"):
+            if line[:1] in b" \t" and key:
+                head[key] += " " + line.strip().decode(errors="replace")
+            else:
+                key, _, value = line.partition(b":")
+                key = key.strip().lower().decode(errors="replace")
+                head[key] = value.strip().decode(errors="replace")
+        size, held, have = _int(head.get("content-length")), [], 0
+        whole = line == b"" and size is not None
+        while whole and have < size:
+            line = next(lines, None)
+            if line is None:
+                whole = False
+            else:
+                held.append(line + EOL)
+                have += len(line) + 2
+        block = b"".join(held)
+        if not line or not line.startswith(b"WARC/") or held:  # not the start of the next record, met within the header
+            rest = block[size:-2] if whole else b""  # what stands in the block's last line where the record's end should be
+            line = rest or next(lines, None)
+        digest = head.get("warc-payload-digest")
+        yield (
+            head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-refers-to"), digest, _int(head.get("x-payload-length")), _int(head.get("warc-segment-number")),
+            head.get("warc-segment-origin-id"), _int(head.get("warc-segment-total-length")), block[:size] if whole else block, whole,
+        )
+
+
+_RECORDS = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_length", pa.int64()), ("segment", pa.int64()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary()), ("whole", pa.bool_())])
+
+
+def _batches(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for record in records:
+        held.append(record)
+        size += len(record[9])
+        if len(held) == 1000 or size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _RECORDS)], schema=_RECORDS)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _RECORDS)], schema=_RECORDS)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path`` as they stand, continuations apart."""
+    """The records of all archives under ``path`` as they stand, continuations apart.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_length", pa.int64()), ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary())])
+    Archives named ``.gz`` are streamed line by line and take the memory of one record, however large they are; a file that
+    can't be decompressed further ends there. Other archives are held in memory whole, one to a task at a time.
+    """
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for _, lines in groupby(rows, lambda row: row[0]):
+            yield from _batches(_parse(line for _, line in lines))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                held = []
-                for record in _parse(content.as_py()):
-                    held.append(record)
-                    if len(held) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                yield from _batches(_parse(_lines(content.as_py())))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, RECORDS)
+    lines = spark.read.option("lineSep", "\r\n").option("pathGlobFilter", "*.gz").option("ignoreCorruptFiles", "true").text(path)
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))  # a number that changes with the file
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{*[^z],*[^g]z,*[^.]gz}").load(path).select("content")
+    return lines.mapInArrow(streamed, RECORDS).union(files.mapInArrow(held, RECORDS))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row a response or revisit under ``path``, segments reassembled: page_id, payload_bytes, payload_digest, record_type, refers_to, uri, intact.
+    """One row a response or revisit under ``path``, segments reassembled: page_id, payload_bytes, payload_digest, record_type, refers_to, uri, intact, record_id.
 
-    ``intact`` is false where segments are missing or repeated, lengths differ, the framing is broken or the
-    digest doesn't match; such rows keep the header's figures. Continuations without a first record are one
-    row, not intact, with null page_id.
+    page_id and refers_to are the numbers of this module's identifiers, null for any others. ``intact`` is false where a
+    record is cut short or has no length, segments are missing or repeated, lengths differ, the framing is broken or a SHA-1
+    digest doesn't match; such rows keep the header's figures, as far as it has them. Continuations without a first record are one
+    row, not intact; without an origin each is one. A digest that isn't SHA-1 is not checked, one that is missing is computed.
     """
     records = read_records(spark, path)
-    whole = records.where("segment is null")
+    kept = records.where("type is null or lower(type) in ('response', 'revisit', 'continuation')")
+    single = F.col("segment").isNull() | ((F.col("segment") != 1) & F.col("origin").isNull()) | ((F.col("segment") == 1) & F.col("record_id").isNull())
     heads = ("type", "uri", "refers_to", "digest", "payload_length")
-    parts_ = records.where("segment is not null").groupBy(F.when(F.col("segment") == 1, F.col("record_id")).otherwise(F.col("origin")).alias("record_id")).agg(
-        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in heads], F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts")
+    parts_ = kept.where(~single).groupBy(F.when(F.col("segment") == 1, F.col("record_id")).otherwise(F.col("origin")).alias("record_id")).agg(
+        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in heads], F.max("total").alias("total"), F.min("whole").alias("whole"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts")
     )
-    pieces = "record_id", *heads, "total"
-    both = whole.select(*pieces, F.array(F.struct(F.lit(1).alias("segment"), "block")).alias("parts")).union(parts_.select(*pieces, "parts"))
+    pieces = "record_id", *heads, "total", "whole"
+    both = kept.where(single).select(*pieces, F.array(F.struct(F.coalesce("segment", F.lit(1)).cast("long").alias("segment"), "block")).alias("parts")).union(parts_.select(*pieces, "parts"))
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("intact", pa.bool_()), ("record_id", pa.string())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([_page(r) for r in batch.to_pylist()], pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("intact", pa.bool_())]))
+            yield pa.RecordBatch.from_pylist([_page(r) for r in batch.to_pylist()], schema)
 
     return both.mapInArrow(each, RESULT)
 
 
 def _number(urn: str | None) -> int | None:
-    at = (urn or "").strip("<>").split(":")
-    return int(at[2]) if len(at) > 2 and at[2] else None
+    """The page's number in an identifier of this module."""
+    at = re.fullmatch(r"<?urn:page:(-?[0-9]{1,19})(?::[0-9]+)?>?", urn or "")
+    return int(at[1]) if at and -(1 << 63) <= int(at[1]) < 1 << 63 else None
 
 
 def _page(r: dict) -> dict:
+    kind = (r["type"] or "").lower() or None
     numbers = [p["segment"] for p in r["parts"]]
-    block = b"".join(p["block"] for p in r["parts"])
-    intact = r["type"] is not None and numbers == list(range(1, len(numbers) + 1)) and (r["total"] is None) == (len(numbers) == 1) and r["total"] in (None, len(block))
-    n, digest = r["payload_length"], r["digest"]
-    if r["type"] == "response":
+    block = b"".join(p["block"] or b"" for p in r["parts"])
+    intact = r["whole"] and kind in ("response", "revisit") and numbers == list(range(1, len(numbers) + 1)) and (r["total"] is None) == (len(numbers) == 1) and r["total"] in (None, len(block))
+    n, (method, _, digest) = r["payload_length"], (r["digest"] or "").rpartition(":")
+    if kind == "response" and intact:
         head, _, body = block.partition(EOL + EOL)
-        payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-        intact = intact and payload is not None and base32_sha1(payload) == digest and n in (None, len(payload))
+        payload = unchunked(body) if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head) else body
+        intact = payload is not None and n in (None, len(payload))
+        if intact and not digest:
+            digest = base32_sha1(payload)
+        elif intact and method.lower() in ("", "sha1"):
+            intact = digest.upper() in (base32_sha1(payload), base32_sha1(body), hashlib.sha1(payload).hexdigest().upper())
         if intact:
             n = len(payload)
-    return {"page_id": _number(r["record_id"]), "payload_bytes": n, "payload_digest": digest, "record_type": r["type"], "refers_to": _number(r["refers_to"]), "uri": r["uri"], "intact": intact}
+    return {"page_id": _number(r["record_id"]), "payload_bytes": n, "payload_digest": digest or None, "record_type": kind, "refers_to": _number(r["refers_to"]), "uri": r["uri"], "intact": intact, "record_id": r["record_id"]}
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -65,3 +66,63 @@ def test_chunk_framing():
         assert unchunked(chunked(data, 7)) == data
     assert unchunked(b"4;x=y\r\nabcd\r\n0\r\nTrailer: 1\r\n\r\n") == b"abcd"
     assert unchunked(b"5\r\nabcd\r\n0\r\n\r\n") is None and unchunked(b"zz") is None
+
+
+def foreign(kind, ident, block, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(block)), **{k.replace("_", "-"): v for k, v in more.items()}}
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    body = b"<html>\r\nWARC/1.0\r\nbin \xff\x00</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    good = [
+        foreign("warcinfo", "<urn:uuid:0>", b"software: x\r\n"),
+        foreign("response", "<urn:uuid:1>", http, WARC_Payload_Digest=f"sha1:{sha}"),
+        foreign("response", "<urn:uuid:2>", http),
+        foreign("response", "<urn:uuid:3>", http, WARC_Payload_Digest="sha1:" + "A" * 32),
+        foreign("revisit", "<urn:uuid:4>", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Refers_To="<urn:uuid:1>", WARC_Payload_Digest=f"sha1:{sha}"),
+        foreign("Response", "<urn:uuid:5>", http, X="a\r\n folded"),
+        foreign("continuation", "<urn:uuid:6>", b"tail", WARC_Segment_Number="2"),
+        foreign("response", "<urn:uuid:7>", b""),
+    ]
+    bad_length = foreign("response", "<urn:uuid:8>", http.replace(b"WARC", b"warc")).replace(b"Content-Length: ", b"Content-Length: x")
+    cut_head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:9>\r\n"
+    cut_block = foreign("response", "<urn:uuid:10>", http)[:-40]
+    whole = b"".join(good)
+    want = {"1": True, "2": True, "3": False, "4": True, "5": True, "6": False, "7": True}
+    files = {
+        "plain.warc": (whole, want),
+        "members.warc.gz": (b"".join(gzip.compress(g) for g in good), want),
+        "unnamed.gzip": (b"".join(gzip.compress(g) for g in good), want),
+        "length.warc.gz": (gzip.compress(bad_length + good[1]), {"8": False, "1": True}),
+        "head.warc": (good[1] + cut_head, {"1": True, "9": False}),
+        "head_within.warc.gz": (gzip.compress(cut_head + good[1]), {"1": True, "9": False}),
+        "block.warc.gz": (gzip.compress(good[1] + cut_block), {"1": True, "10": False}),
+        "no_ends.warc": (good[1][:-4] + good[2], {"1": True, "2": True}),
+        "junk.warc": (b"\x00junk\r\n\r\nmore", {}),
+        "empty.warc": (b"", {}),
+    }
+    for name, (data, expect) in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(data)
+        got = read_warc(spark, str(tmp_path / name)).collect()
+        assert {r.record_id.rpartition(":")[2].rstrip(">"): r.intact for r in got} == expect, name
+        assert all(r.page_id is None and r.refers_to is None for r in got)
+        assert all(r.payload_digest == sha and r.payload_bytes == len(body) for r in got if r.record_id in ("<urn:uuid:1>", "<urn:uuid:2>"))
+    both = tmp_path / "both"
+    both.mkdir()
+    for name in ("head.warc", "members.warc.gz", "length.warc.gz", "block.warc.gz"):
+        (both / name).write_bytes(files[name][0])
+    assert read_warc(spark, str(both)).count() == 2 + 7 + 2 + 2
+
+
+def test_cut_gzip(spark, tmp_path):
+    rng = __import__("random").Random(0)
+    blocks = [foreign("response", f"<urn:uuid:{k}>", b"HTTP/1.1 200 OK\r\n\r\n" + rng.randbytes(20_000)) for k in range(40)]
+    for name, data in (("one.warc.gz", gzip.compress(b"".join(blocks))), ("many.warc.gz", b"".join(map(gzip.compress, blocks))), ("named.other", gzip.compress(b"".join(blocks)))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(data[: len(data) // 2])
+        got = read_warc(spark, str(tmp_path / name)).collect()
+        assert 18 <= sum(r.intact for r in got) <= 20 and sum(not r.intact for r in got) <= 1, name
