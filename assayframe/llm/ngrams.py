@@ -19,13 +19,14 @@ from ._exchange import answers_in_order, by_bucket, pack, pack_sorted, planes, u
 
 _END = np.uint64(0x0123456789ABCDEF)
 _TRAIN, _DEV, _HELD = 0, 1, 2
-N_BUCKETS, GRID = 64, 20  # context-frequency buckets; steps a decade in which EM sees probabilities
+N_BUCKETS, ROUNDS, STILL = 64, 40, 1e-4  # context-frequency buckets; rounds of EM at most; the change of a weight at which it ends
+START = (0.01, 0.49, 0.5)
 
 
 class _Batch:
     """The tokens of one packed batch and its distinct unigram and bigram keys."""
 
-    def __init__(self, blob: bytes, mask: int):
+    def __init__(self, blob: bytes):
         self.docs = unpack(blob)
         raw, at = words_.buffers(self.docs.column("text"))
         raw = words_.LOWER[raw]
@@ -39,7 +40,7 @@ class _Batch:
         self.lens = np.diff(first) + 1
         self.doc = np.repeat(np.arange(n), self.lens)
         before = np.concatenate([[_END], tokens[:-1]]).astype(np.uint64)
-        pairs = words_.mix(before * np.uint64(0x9E3779B97F4A7C15) ^ words_.mix(tokens + np.uint64(1))) & np.uint64(mask)
+        pairs = words_.mix(before * np.uint64(0x9E3779B97F4A7C15) ^ words_.mix(tokens + np.uint64(1)))
         self.fold = np.asarray(self.docs.column("fold").to_numpy(zero_copy_only=False))[self.doc]
         self.uni, self.u = np.unique(tokens, return_inverse=True)
         self.bi, self.b = np.unique(pairs, return_inverse=True)
@@ -50,29 +51,30 @@ class _Batch:
         return tuple(np.bincount(which, weights=w, minlength=n).astype(np.uint64) for w in (self.fold != _HELD, self.fold == _DEV))
 
 
-def _mixture(grid: pd.DataFrame, uniform: float, rounds: int = 40) -> np.ndarray:
-    """EM: weights of (uniform, unigram, bigram) for each context-frequency bucket."""
-    weights = np.tile([0.01, 0.49, 0.5], (N_BUCKETS, 1))
-    weights[0] = [0.02, 0.98, 0.0]  # contexts never seen have no bigrams
-    pooled = weights[1].copy()
-    groups = dict(list(grid.groupby("bucket")))
-    for bucket, part in [(-1, grid[grid["bucket"] > 0]), *groups.items()]:
-        p = np.stack([np.full(len(part), uniform), *(np.where(part[q] < 0, 0.0, 10.0 ** (-part[q] / GRID)) for q in ("q1", "q2"))], 1)
-        n = part["n"].to_numpy(float)
-        w = pooled.copy() if bucket else weights[0].copy()
-        for _ in range(rounds):
-            if not n.sum():
-                break
-            share = p * w
-            share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-            w = (share * n[:, None]).sum(0) / n.sum()
-        w = np.maximum(w, [1e-6, 1e-6, 0 if bucket == 0 else 1e-6])
-        if bucket < 0:
-            pooled = w / w.sum()
-            weights[1:] = pooled
-        else:
-            weights[bucket] = w / w.sum()
-    return weights
+def _mixture(cells: DataFrame, uniform: float) -> np.ndarray:
+    """EM: weights of (uniform, unigram, bigram) for each context-frequency bucket, from ``cells`` (bucket, p1, p2, n).
+
+    Each round is one aggregation over all held-out counts, of which a row a bucket reaches the driver. Buckets without
+    held-out tokens get the weights learned on all of them together, which are the last row here.
+    """
+    both = cells.union(cells.select(F.lit(N_BUCKETS).cast("long").alias("bucket"), "p1", "p2", "n"))
+    weights = np.tile(START, (N_BUCKETS + 1, 1))
+    seen = np.zeros(N_BUCKETS + 1, bool)
+    for _ in range(ROUNDS):
+        w = [F.element_at(F.lit(weights[:, k].tolist()), (F.col("bucket") + 1).cast("int")) for k in range(3)]
+        parts_ = [w[0] * F.lit(uniform), w[1] * F.col("p1"), w[2] * F.col("p2")]
+        total = parts_[0] + parts_[1] + parts_[2]
+        rows = both.groupBy("bucket").agg(F.sum("n").alias("all"), *[F.sum(F.col("n") * x / total).alias(f"s{k}") for k, x in enumerate(parts_)]).collect()
+        new = weights.copy()
+        for r in rows:
+            seen[r["bucket"]], new[r["bucket"]] = True, [r["s0"] / r["all"], r["s1"] / r["all"], r["s2"] / r["all"]]
+        moved, weights = np.abs(new - weights).max(), new
+        if moved < STILL:
+            break
+    weights = np.maximum(weights, 1e-6)
+    weights[~seen] = weights[N_BUCKETS]
+    weights[0, 2] = 0.0  # a context never seen has no bigrams
+    return weights / weights.sum(1, keepdims=True)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -93,13 +95,12 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     docs = docs.withColumn("learn", F.col("fold") == _DEV)
     n_bytes = text_bytes(docs, "text")
     n_buckets = parts(spark, n_bytes, 10 << 20)
-    mask = ((1 << 64) - 1) ^ ((1 << max(0, 40 - n_bytes.bit_length())) - 1)  # a bigram meets another's key with probability 2^-24 or less
     packed = pack(docs, "ngrams", 4 << 20, apart="learn")
 
     def ask(rows):
         for batch in rows:
             for number, apart, blob in zip(batch.column("batch").to_pylist(), batch.column("apart").to_pylist(), batch.column("docs")):
-                b = _Batch(blob.as_py(), mask)
+                b = _Batch(blob.as_py())
                 for kind, keys, which in (("u", b.uni, b.u), ("b", b.bi, b.b)):
                     train, dev = b.counts(which, len(keys))
                     at = [(k, i, j) for k, (i, j) in enumerate(zip(*by_bucket(keys, n_buckets))) if j > i]
@@ -138,25 +139,24 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             out.append((c - answers_in_order(part, "dev", np.uint64) if main else c).astype(float))
         return out[0][b.u], out[0][b.h], out[1][b.b]
 
-    def learn_grid(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def learn_cells(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for blob in left["docs"]:
-            b = _Batch(blob, mask)
+            b = _Batch(blob)
             c, h, ch = looked_up(b, right, True)
-            p1, p2 = c / max(n_tokens - n_learn, 1), ch / np.maximum(h, 1)
-            q = [np.where(p > 0, np.round(-np.log10(np.maximum(p, 1e-30)) * GRID), -1).astype(np.int64) for p in (p1, p2)]
-            cell, n = np.unique(np.stack([_bucket(h), *q]), axis=1, return_counts=True)
-            out.append(pd.DataFrame({"bucket": cell[0], "q1": cell[1], "q2": cell[2], "n": n}))
+            cell, n = np.unique(np.stack([h, c, ch]).astype(np.int64), axis=1, return_counts=True)
+            out.append(pd.DataFrame({"bucket": _bucket(cell[0]), "h": cell[0], "c": cell[1], "ch": cell[2], "n": n}))
         return pd.concat(out)
 
     both = packed.where("apart").groupBy("batch").cogroup(answers.where("apart").groupBy("batch"))
-    grid = both.applyInPandas(learn_grid, "bucket long, q1 long, q2 long, n long").groupBy("bucket", "q1", "q2").agg(F.sum("n").alias("n"))
-    weights = _mixture(grid.toPandas(), uniform)  # a bounded grid: buckets x steps x steps
+    cells = both.applyInPandas(learn_cells, "bucket long, h long, c long, ch long, n long").groupBy("bucket", "h", "c", "ch").agg(F.sum("n").alias("n"))
+    p1, p2 = F.col("c") / F.lit(float(max(n_tokens - n_learn, 1))), F.col("ch") / F.greatest("h", F.lit(1))
+    weights = _mixture(written(cells.select("bucket", p1.alias("p1"), p2.alias("p2"), "n"), "ngram-cells"), uniform)
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for blob in left["docs"]:
-            b = _Batch(blob, mask)
+            b = _Batch(blob)
             c, h, ch = looked_up(b, right, False)
             w = weights[_bucket(h)]
             p = w[:, 0] * uniform + w[:, 1] * c / max(n_tokens, 1) + w[:, 2] * ch / np.maximum(h, 1)

@@ -3,7 +3,7 @@ import re
 import zlib
 from collections import Counter
 
-from assayframe.llm.ngrams import op10_ngrams, score_texts
+from assayframe.llm.ngrams import N_BUCKETS, ROUNDS, START, STILL, op10_ngrams, score_texts
 
 
 def brute(rows):
@@ -28,12 +28,71 @@ def test_query_equals_brute_force(spark, sf):
     assert all(r.score < 0 for r in got)
 
 
-def test_mixture_sums_to_one_over_vocabulary(make_docs):
+def plain_model(rows, folds=7, held=2, learn=3):
+    """(p(word, context), score of each row): the model by dictionaries; None is the end."""
+    toks = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in rows}
+    fold = {i: zlib.crc32(str(i).encode()) % folds for i, _ in rows}
+
+    def counts(keep):
+        uni, bi = Counter(), Counter()
+        for i, ts in toks.items():
+            if keep(fold[i]):
+                uni.update(ts)
+                bi.update(zip([None, *ts], ts))
+        return uni, bi
+
+    bucket = lambda n: min(n.bit_length(), N_BUCKETS - 1)
+    uni, bi = counts(lambda f: f != held)
+    main_uni, main_bi = counts(lambda f: f not in (held, learn))
+    n_main, n, v = sum(main_uni.values()), sum(uni.values()), len(uni)
+    heldout = Counter()
+    for i, ts in toks.items():
+        if fold[i] == learn and learn != held:
+            for h, w in zip([None, *ts], ts):
+                heldout[h, w] += 1
+    weights = {b: list(START) for b in range(N_BUCKETS + 1)}
+    cells = [(b, 1 / (v + 1), main_uni[w] / max(n_main, 1), main_bi[h, w] / max(main_uni[h], 1), k) for (h, w), k in heldout.items() for b in (bucket(main_uni[h]), N_BUCKETS)]
+    for _ in range(ROUNDS):
+        sums, alls = {}, Counter()
+        for b, *p, k in cells:
+            x = [wt * q for wt, q in zip(weights[b], p)]
+            for j in range(3):
+                sums[b, j] = sums.get((b, j), 0.0) + k * x[j] / sum(x)
+            alls[b] += k
+        new = {b: [sums[b, j] / alls[b] for j in range(3)] if alls[b] else weights[b] for b in weights}
+        moved = max(abs(x - y) for b in weights for x, y in zip(new[b], weights[b]))
+        weights = new
+        if moved < STILL:
+            break
+    weights = {b: [max(x, 1e-6) for x in (ws if alls[b] else weights[N_BUCKETS])] for b, ws in weights.items()}
+    weights[0][2] = 0.0
+    weights = {b: [x / sum(ws) for x in ws] for b, ws in weights.items()}
+
+    def p(w, h):
+        u, v1, v2 = weights[bucket(uni[h])]
+        return u / (v + 1) + v1 * uni[w] / max(n, 1) + v2 * bi[h, w] / max(uni[h], 1)
+
+    return p, {i: sum(math.log10(p(w, h)) for h, w in zip([None, *ts], ts)) for i, ts in toks.items()}, uni
+
+
+def test_scores_equal_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    p, want, uni = plain_model(rows)
+    for r in op10_ngrams(spark, sf).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-6 * -want[r.doc_id]
+    for h in (None, *list(uni)[:40], "never seen before"):
+        assert abs(sum(p(w, h) for w in uni) + p("an unknown word", h) - 1) < 1e-9
+
+
+def test_small_corpora_equal_brute_force(make_docs):
     """Over all words after a context, the model's probabilities and the unknown word's sum to one."""
-    rows = [(i, t) for i, t in enumerate(["a b a c", "a b", "b c a", "c a b a"] * 6)]
-    docs = make_docs(rows + [(1000 + k, f"a {w}") for k, w in enumerate(["a", "b", "c", "unseen"])] + [(2000, "a")])
-    got = {r.doc_id: r.score for r in score_texts(docs, held=-1).collect()}
-    assert all(s <= 0 for s in got.values())
+    for rows in ([(i, t) for i, t in enumerate(["a b a c", "a B", "b c a", "c a b a", None, ""] * 9)], [(i, "a b") for i in range(3)], [(i, f"w{i}") for i in range(50)]):
+        p, want, uni = plain_model(rows)
+        got = {r.doc_id: r.score for r in score_texts(make_docs(rows)).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-6 * max(1, -want[i]) for i, _ in rows)
+        for h in (None, "a", "b", "unseen"):
+            total = sum(p(w, h) for w in uni) + p("unknown", h)
+            assert abs(total - 1) < 1e-9
 
 
 def test_odd_rows(odd_docs):
