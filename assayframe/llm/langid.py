@@ -2,14 +2,18 @@
 
 One model a language, over the letters of single words (start and end marks included), is trained on a
 bounded sample of labelled documents. Every n-gram's discounted probability and every context's
-back-off weight are stored in sorted arrays of 64-bit hashes, one column a language. A text gets the language with the
+back-off weight are stored in sorted arrays of 64-bit hashes, each with the languages that have it. A text gets the language with the
 lowest cross-entropy per symbol; a text that is worse than its language's calibrated limit is rejected.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,16 +22,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold
+from ._common import fold, written
 from ._words import mix
 
 ORDER = 4
 START, END = "\x02", "\x03"
-_LETTERS = re.compile(r"[^\W\d_]+")
 _SLICE = 1 << 19  # characters whose words are held at once
 RESULT = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
+@cache
+def _word() -> re.Pattern:
+    """A word: a letter (Unicode category L), then letters and their marks (M)."""
+
+    def ranges(kinds: str) -> str:
+        runs = groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c))[0] in kinds)
+        return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in (list(r) for inside, r in runs if inside))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The lowered words of a text."""
+    return _word().findall(text.lower()) if text else []
+
+
 def _keys(grams: np.ndarray, n: int, last: int = 1) -> np.ndarray:
     """Hashes of the last ``n`` columns (code points) without the last ``1 - last``: ``last=0`` gives contexts."""
     cols = range(grams.shape[1] - n, grams.shape[1] - (1 - last))
@@ -38,7 +57,7 @@ def _keys(grams: np.ndarray, n: int, last: int = 1) -> np.ndarray:
 
 
 class Model:
-    """Sorted hash arrays: for each order the n-grams' and the contexts' keys with a column for each language."""
+    """Sorted hash arrays: for each order the n-grams' and the contexts' keys, and of each key the languages that have it, with their values."""
 
     def __init__(self, counts: pd.DataFrame, order: int = ORDER):
         """counts: lang, gram (``order`` characters), n."""
@@ -53,16 +72,19 @@ class Model:
         self.uniform = 1.0 / (len(symbols) + 1)
         self.tables = []
         for k in range(order):
-            columns = []
-            for what, empty in ((0, 0.0), (1, 1.0)):
-                keys = np.unique(np.concatenate([p[k][what][0] for p in per])) if per else np.zeros(0, np.uint64)
-                values = np.full((len(keys) + 1, len(self.langs)), empty)
-                for j, p in enumerate(per):
-                    values[np.searchsorted(keys, p[k][what][0]), j] = p[k][what][1]
-                columns.append((keys, values))
-            self.tables.append(columns)
+            self.tables.append([self._table([p[k][what] for p in per]) for what in (0, 1)])
         self.limits = np.zeros((len(self.langs), 2))
 
+    @staticmethod
+    def _table(by_lang: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """(keys, where each key's entries start, their languages, their values)."""
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in by_lang)])
+        langs = np.repeat(np.arange(len(by_lang), dtype=np.int16), [len(k) for k, _ in by_lang])
+        values = np.concatenate([np.zeros(0), *(v for _, v in by_lang)])
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        return keys, np.append(first, len(order)), langs[order], values[order]
+
     @staticmethod
     def _estimate(grams: np.ndarray, n: np.ndarray) -> list:
         out, rows = [], np.arange(len(grams))
@@ -84,19 +106,25 @@ class Model:
         keys, at, which = np.unique(_keys(grams, self.order), return_index=True, return_inverse=True)
         some = grams[at]
         p = np.full((len(some), len(self.langs)), self.uniform)
-        for k, ((gram_keys, direct), (ctx_keys, back)) in enumerate(self.tables, 1):
-            p = self._at(gram_keys, direct, _keys(some, k)) + self._at(ctx_keys, back, _keys(some, k, 0)) * p
+        for k, (direct, back) in enumerate(self.tables, 1):
+            p = self._at(direct, _keys(some, k), 0.0) + self._at(back, _keys(some, k, 0), 1.0) * p
         return np.log(p)[which]
 
-    @staticmethod
-    def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    def _at(self, table: tuple[np.ndarray, ...], wanted: np.ndarray, absent: float) -> np.ndarray:
+        """The values of the keys ``wanted``, a column for each language."""
+        keys, first, langs, values = table
+        out = np.full((len(wanted), len(self.langs)), absent)
         i = np.searchsorted(keys, wanted)
-        i[(i == len(keys)) | (keys[np.minimum(i, max(len(keys) - 1, 0))] != wanted if len(keys) else True)] = len(keys)
-        return values[i]
+        rows = np.flatnonzero(keys[np.minimum(i, max(len(keys) - 1, 0))] == wanted) if len(keys) else np.zeros(0, np.int64)
+        start = first[i[rows]]
+        n = first[i[rows] + 1] - start
+        entries = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(rows, n), langs[entries]] = values[entries]
+        return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: log probability by language, symbols, words."""
-        found = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
+        found = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in found], np.int64)
         coded = pa.array([w for ws in found for w in ws], pa.string()).dictionary_encode()
         words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
@@ -161,22 +189,24 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list]]:
         start = stop
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 1000, z: float = 3.0, reach: float = 0.6, order: int = ORDER) -> Model:
-    """Fit models on labelled rows of ``docs``: about ``docs_per_lang`` whole texts a language, chosen by a hash of
-    the id (all, where there are fewer); a fifth of them only calibrates the rejection limits.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1000, z: float = 3.0, reach: float = 0.6, order: int = ORDER) -> Model:
+    """Fit models on labelled rows of ``docs``: about ``docs_per_lang`` different whole texts a language, chosen by a hash of
+    the text (all, where there are fewer); a fifth of them only calibrates the rejection limits.
 
-    Rows with null text or language are not learned from; without any labelled row the model knows no language.
-    The number of languages is taken to be small, as is that of ISO codes.
+    Rows with null text or language are not learned from; repeated texts count once, whatever their ids. Without any labelled
+    row the model knows no language. The number of languages is taken to be small, as is that of ISO codes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    docs = docs.where("text is not null and lang is not null")
-    sizes = docs.groupBy("lang").count().collect()
+    docs = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    mark = F.xxhash64("text")
+    sizes = docs.groupBy("lang").agg(F.approx_count_distinct(mark).alias("n")).collect()
     if not sizes:
         return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}), order)
-    share = spark.createDataFrame([(r["lang"], min(1.0, docs_per_lang / r["count"])) for r in sizes], "lang string, share double")
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("draw")), F.lit(1_000_000)) / 1_000_000
-    sample = docs.join(F.broadcast(share), "lang").where(draw < F.col("share")).withColumn("test", F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("test")), F.lit(5)) == 0).drop("share")
+    share = spark.createDataFrame([(r["lang"], min(1.0, docs_per_lang / max(r["n"], 1))) for r in sizes], "lang string, share double")
+    draw = F.pmod(F.xxhash64("mark", F.lit("draw")), F.lit(1_000_000)) / 1_000_000
+    drawn = docs.withColumn("mark", mark).join(F.broadcast(share), "lang").where(draw < F.col("share"))  # a row a language
+    sample = drawn.groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    sample = written(sample.select("lang", "text", (F.pmod(F.xxhash64("mark", F.lit("test")), F.lit(5)) == 0).alias("test")), "langid-sample")
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -184,7 +214,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             for lang in sorted(set(langs)):
                 texts = batch.column("text").filter(pa.array(langs == lang))
                 for _, part in _slices(texts):
-                    words = pd.Series([w for t in part for w in _LETTERS.findall(t.lower())], dtype=object).value_counts()
+                    words = pd.Series([w for t in part for w in words_of(t)], dtype=object).value_counts()
                     if len(words):
                         grams, size = word_grams(list(words.index), order)
                         keys, at, which = np.unique(_keys(grams, order), return_index=True, return_inverse=True)

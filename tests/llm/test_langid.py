@@ -1,6 +1,62 @@
+from collections import Counter, defaultdict
+
 import numpy as np
+import pandas as pd
+
+from assayframe.llm.langid import ORDER, Model, identify, keep_identified, op1_langid, train, words_of
+
+
+def plain_kneser_ney(words, symbols, order):
+    """p(symbol, context) by dictionaries: interpolated Kneser-Ney over the letters of words."""
+    counts, grams = [None] * (order + 1), Counter()
+    for w in words:
+        t = "\x02" * (order - 1) + w + "\x03"
+        grams.update(t[k : k + order] for k in range(len(t) - order + 1))
+    for k in range(order, 0, -1):
+        counts[k], grams = grams, Counter(g[1:] for g in grams)  # below the top: in how many different n-grams
+
+    def p(symbol, context, k):
+        if not k:
+            return 1 / (len(symbols) + 1)
+        context = context[len(context) - k + 1 :]
+        c = counts[k]
+        once, twice = (sum(n == x for n in c.values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        after = [n for g, n in c.items() if g[:-1] == context]
+        lower = p(symbol, context, k - 1)
+        return (max(c[context + symbol] - d, 0) + d * len(after) * lower) / sum(after) if after else lower
+
+    return lambda symbol, context: p(symbol, context, order)
+
+
+def test_probabilities_equal_brute_force():
+    texts = {"aa": ["banana", "bandana", "anna", "an", "ban", "banana", "nab"], "bb": ["otto", "tot", "tott", "o"], "cc": ["x"]}
+    symbols = sorted({c for ws in texts.values() for w in ws for c in w} | {"\x03"})
+    rows = defaultdict(int)
+    for lang, ws in texts.items():
+        for w in ws:
+            t = "\x02" * (ORDER - 1) + w + "\x03"
+            for k in range(len(t) - ORDER + 1):
+                rows[lang, t[k : k + ORDER]] += 1
+    model = Model(pd.DataFrame([(a, g, n) for (a, g), n in rows.items()], columns=["lang", "gram", "n"]))
+    contexts = ["\x02\x02\x02", "\x02\x02b", "ban", "ana", "tto", "xyz", "\x02xx"]
+    grams = [c + s for c in contexts for s in [*symbols, "\u4e00"]]
+    got = np.exp(model.log_probs(np.array([[ord(c) for c in g] for g in grams], np.uint32)))
+    for j, lang in enumerate(model.langs):
+        p = plain_kneser_ney(texts[lang], symbols, ORDER)
+        assert np.allclose(got[:, j], [p(g[-1], g[:-1]) for g in grams]), lang
+
+
+def test_letters():
+    assert words_of("²½ ① Ⅷ 3 _ ') ٣") == [] and words_of("Ab1é_हिन्दी x̄Y") == ["ab", "é", "हिन्दी", "x̄y"]
+
 
-from assayframe.llm.langid import Model, identify, keep_identified, op1_langid, train
+def test_sample_is_bounded_by_different_texts(spark, make_docs):
+    rows = [(None, "the one text of all these", "en")] * 300 + [(7, f"und noch ein wort {'x' * k}", "de") for k in range(300)]
+    model = train(make_docs(rows), docs_per_lang=20)
+    assert "en" in model.langs or model.langs == ["de"]
+    by = identify(make_docs([(1, "²½"), (2, "und noch")]), train(make_docs(rows))).collect()
+    assert {r.doc_id: r.lang_pred for r in by} == {1: "und", 2: "de"}
 
 
 def test_held_out_accuracy(spark, sf):
