@@ -1,30 +1,43 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by one pattern. Every distinct entity of the corpus gets one surrogate of its type,
-drawn by a keyed hash: digits for digits and letters for letters of the same script and case, cards that keep
-their check digit, names of the same gender and script. Surrogates that meet another's, or any real
-entity, are drawn anew, so that different entities stay different and equal ones stay equal everywhere.
+Mentions are found by patterns and brought to an identity: an e-mail address in lower case, the digits of a phone, card or
+security number, an account without blanks, each part of a person's name. Every identity of the corpus gets
+one surrogate of its type, drawn by a keyed hash, and each mention shows its identity's surrogate in its own format. So
+all spellings of one identity change alike everywhere, and a name's full and short forms stay together. Surrogates
+that meet another's, or any real identity, are drawn anew, so that different identities stay different.
 """
 
 from __future__ import annotations
 
+import secrets
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import written
 
-#: Titles that introduce a name, by gender.
+#: Titles that introduce a name, by gender (n: either).
 TITLES = {
     "m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин"),
     "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа"),
+    "n": ("Dr", "Prof", "Doctor", "Professor"),
 }
-#: Names to draw from, by gender and script.
-NAMES = {
-    "m": ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Noel", "Oscar", "Paul"),
-    "f": ("Anna", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"),
-    "m cyrillic": ("Андрей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Леонид", "Максим", "Никита", "Олег"),
-    "f cyrillic": ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Лидия", "Мария", "Нина", "Ольга"),
-}
+#: What names are made of, by script: starts and vowels of syllables, ends of family names, and ends of given names by gender.
+SOUNDS = {
+    "latin": {
+        "start": ("b", "br", "d", "dr", "f", "g", "gr", "h", "k", "kl", "l", "m", "n", "p", "r", "s", "st", "t", "v", "w"), "vowel": ("a", "e", "i", "o", "u"),
+        "family": ("n", "r", "s", "t", "ck", "ll", "mann", "ner", "sen", "son", "ton", "ler", "dt", "ng", "rd", "lin"), "m": ("n", "r", "s", "l", "d", "k"), "f": ("na", "ra", "sa", "la", "da", "lia"), "n": ("ny", "ry", "sy", "ly", "dy", "xy"),
+    },
+    "cyrillic": {
+        "start": ("б", "бр", "в", "г", "гр", "д", "др", "з", "к", "кл", "л", "м", "н", "п", "р", "с", "ст", "т", "ф", "х"), "vowel": ("а", "е", "и", "о", "у"),
+        "family": ("в", "нов", "ров", "лин", "нин", "рский", "нко", "тов"), "m": ("н", "р", "с", "л", "д", "м"), "f": ("на", "ра", "са", "ла", "да", "лия"), "n": ("ня", "ря", "ся", "ля", "дя", "мя"),
+    },
+    "greek": {
+        "start": ("β", "γ", "δ", "ζ", "θ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ", "φ", "χ"), "vowel": ("α", "ε", "ι", "ο", "υ"),
+        "family": ("ς", "δης", "κης", "λος", "νος", "ρας"), "m": ("νος", "ρης", "λος", "δας"), "f": ("να", "ρα", "λα", "δα"), "n": ("νι", "ρι", "λι", "δι"),
+    },
+}
 _POOLS = (
     ("[a-zß-öø-ÿ]", "abcdefghijklmnopqrstuvwxyz"), ("[A-ZÀ-ÖØ-Þ]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("[0-9]", "0123456789"),
     ("[а-яё]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-ЯЁ]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
@@ -36,118 +49,188 @@ _IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _CARD = r"(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w])"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-_NAME = rf"(?<!\w)(?:{_ALL_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-ENTITY = rf"(?U){_EMAIL}|{_CARD}|{_SSN}|{_IP}|{_PHONE}|{_IBAN}|{_NAME}"
+_PART = r"\p{Lu}(?:[\p{L}\p{M}]|['-](?=\p{L}))+"
+NAME = rf"(?U)(?<!\w)({_ALL_TITLES})\.? ({_PART})(?: ({_PART}))?"
+ENTITY = rf"(?U){_EMAIL}|{_CARD}|{_SSN}|{_IP}|{_PHONE}|{_IBAN}"
+ENTITY_OR_PART = rf"{ENTITY}|(?<![\w'-]){_PART}(?!\w)"
+_MAYBE = rf"(?U)[@\d]|{NAME[4:]}"
+_ROUNDS = 64
 
 
 def kind_of(value: Column) -> Column:
-    """The type of an entity that ``ENTITY`` found."""
+    """The type of a mention that ``ENTITY_OR_PART`` found; ``part`` may be one of a name."""
     is_ = lambda p: value.rlike(f"(?U)^(?:{p})$")
-    return F.when(value.contains("@"), "email").when(is_(_CARD), "card").when(is_(_SSN), "ssn").when(is_(_IP), "ip").when(is_(_IBAN), "iban").when(value.rlike(r"^[+(\d]"), "phone").otherwise("name")
+    return F.when(value.contains("@"), "email").when(is_(_PART), "part").when(is_(_CARD), "card").when(is_(_SSN), "ssn").when(is_(_IP), "ip").when(is_(_IBAN), "iban").otherwise("phone")
+
+
+def identity(kind: Column, value: Column) -> Column:
+    """What all mentions of one entity have in common."""
+    digits = F.regexp_replace(value, r"(?U)\D", "")
+    bare = F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits))
+    return bare.when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when(kind == "ip", value).otherwise(F.lower(value))
+
+
+def _number(i: Column) -> Column:
+    """The ``i``-th number (from 0) drawn for an identity, of its hexadecimal digits ``drawn``."""
+    return F.conv(F.substr("drawn", F.pmod(i, F.lit(64)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _draw(key: str, *seeds: Column | str) -> Column:
-    """A keyed number below 2^48."""
-    text = F.concat_ws("\x1f", F.lit(key), *[F.col(s).cast("string") if isinstance(s, str) else s.cast("string") for s in seeds])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
+def _pick(pool: tuple[str, ...] | str, n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in pool]), F.pmod(n, F.lit(len(pool))) + 1)
 
 
-def _pick(pool: str | tuple, n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in pool]), (F.pmod(n, F.lit(len(pool))) + 1).cast("int"))
+def _chars(value: Column) -> Column:
+    return F.split(value, "(?<=.)(?=.)")
 
 
-def _like(key: str, value: Column, fixed: Column | None = None) -> Column:
-    """Each letter or digit replaced by one of its script and case; characters up to ``fixed`` stay."""
+def _like(value: Column, kept: Column | int = 0, skipped: int = 0) -> Column:
+    """Each letter or digit replaced by one of its script and case, by the numbers after those ``skipped``; the first ``kept`` characters stay."""
 
     def one(c: Column, i: Column) -> Column:
-        n = _draw(key, F.col("kind"), F.col("value"), F.col("round"), i)
-        out = F.when(F.lit(False), "")
-        if fixed is not None:
-            out = out.when(i < fixed, c)
+        out = F.when(i < kept, c)
         for pattern, pool in _POOLS:
-            out = out.when(c.rlike(f"^{pattern}$"), _pick(tuple(pool), n))
-        return out.when(c.rlike(r"^\p{L}$"), _pick(tuple("abcdefghijklmnopqrstuvwxyz"), n)).otherwise(c)
+            out = out.when(c.rlike(f"^{pattern}$"), _pick(pool, _number(i + skipped)))
+        out = out.when(c.rlike(r"(?U)^\d$"), _pick("0123456789", _number(i + skipped)))
+        return out.when(c.rlike(r"^\p{L}$"), _pick(_POOLS[0][1], _number(i + skipped))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, "(?<=.)(?=.)"), one), "")
+    return F.array_join(F.transform(_chars(value), one), "")
 
 
 def _luhn(digits: Column, doubled_last: int) -> Column:
     """The Luhn sum modulo 10; ``doubled_last``: 1 if the last digit counts double."""
-    each = F.transform(F.reverse(F.split(digits, "(?<=.)(?=.)")), lambda d, i: F.when((i + doubled_last) % 2 == 1, d.try_cast("int") * 2 - F.when(d.try_cast("int") > 4, 9).otherwise(0)).otherwise(d.try_cast("int")))
+    each = F.transform(F.reverse(_chars(digits)), lambda d, i: F.when((i + doubled_last) % 2 == 1, d.try_cast("int") * 2 - F.when(d.try_cast("int") > 4, 9).otherwise(0)).otherwise(d.try_cast("int")))
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
-def surrogate(key: str) -> tuple[list[tuple[str, Column]], Column]:
-    """The surrogate of an entity (columns kind, value, round), and the columns to be added for it first."""
-    value = F.col("value")
+def _name() -> Column:
+    """A name part of two syllables and an end, by columns kind, gender and script; a later round has more syllables."""
+
+    def made(script: str) -> Column:
+        sounds = SOUNDS[script]
+        syllable = lambda i: F.concat(_pick(sounds["start"], _number(2 * i)), _pick(sounds["vowel"], _number(2 * i + 1)))
+        end = lambda what: _pick(sounds[what], _number(F.lit(0)))
+        body = F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.col("round"), F.lit(8)) + 2), syllable), "")
+        return F.concat(body, F.when(F.col("kind") == "family", end("family")).when(F.col("gender") == "m", end("m")).when(F.col("gender") == "f", end("f")).otherwise(end("n")))
+
+    return F.when(F.col("script") == "cyrillic", made("cyrillic")).when(F.col("script") == "greek", made("greek")).otherwise(made("latin"))
+
+
+def surrogate() -> Column:
+    """The surrogate identity of an identity (columns kind, id, gender, script, round, drawn)."""
+    kind, id_ = F.col("kind"), F.col("id")
+    octets = F.array_join(F.transform(F.split(id_, r"\."), lambda c, i: (F.pmod(_number(i), F.lit(254)) + 1).cast("string")), ".")
     # a card whose check digit holds gets one that holds
-    drawn = _like(key, value, F.lit(1))
-    digits, bare = F.regexp_replace(value, "[^0-9]", ""), F.regexp_replace(drawn, "[^0-9]", "")
-    check = ((10 - _luhn(F.expr("left(__b, length(__b) - 1)"), 1)) % 10).cast("string")
-    card = F.when(_luhn(F.col("__d"), 0) == 0, F.concat(F.expr("left(__s, length(__s) - 1)"), check)).otherwise(F.col("__s"))
-    octets = F.array_join(F.transform(F.split(value, r"\."), lambda c, i: (F.pmod(_draw(key, F.lit("ip"), value, F.col("round"), i), F.lit(254)) + 1).cast("string")), ".")
-    local = _like(key, F.substring_index(value, "@", 1))
-    domain = F.expr("substring(value, instr(value, '@') + 1)")
-    host = F.concat(_like(key, F.regexp_replace(domain, r"\.[^.]*$", "")), F.concat(F.lit("."), F.substring_index(domain, ".", -1)))
-    title = F.regexp_extract(value, rf"^((?:{_ALL_TITLES})\.? )", 1)
-    rest = F.expr("substring(value, length(__t) + 1)")
-    cyrillic, female = value.rlike(r"\p{IsCyrillic}"), F.regexp_replace(title, r"[. ]", "").isin(*TITLES["f"])
-    first = F.when(cyrillic & female, _pick(NAMES["f cyrillic"], _draw(key, "kind", "value", "round"))).when(cyrillic, _pick(NAMES["m cyrillic"], _draw(key, "kind", "value", "round")))
-    first = first.when(female, _pick(NAMES["f"], _draw(key, "kind", "value", "round"))).otherwise(_pick(NAMES["m"], _draw(key, "kind", "value", "round")))
-    family = _like(key, F.when(F.instr(rest, " ") > 0, F.substring_index(rest, " ", -1)).otherwise(rest))
-    name = F.concat(title, F.when(F.instr(rest, " ") > 0, F.concat(first, F.lit(" "), family)).otherwise(family))
-    made = F.when(F.col("kind") == "card", F.col("__card")).when(F.col("kind") == "ip", octets).when(F.col("kind") == "email", F.concat(local, F.lit("@"), host))
-    return [("__d", digits), ("__s", drawn), ("__b", bare), ("__t", title), ("__card", card)], made.when(F.col("kind") == "name", name).when(F.col("kind") == "phone", _like(key, value, F.when(value.startswith("+"), F.lit(2)).otherwise(F.lit(0)))).when(F.col("kind") == "iban", _like(key, value, F.lit(2))).otherwise(_like(key, value))
+    card = _like(id_, 1)
+    front = F.substr(card, F.lit(1), F.length(card) - 1)
+    card = F.when(_luhn(id_, 0) == 0, F.concat(front, ((10 - _luhn(front, 1)) % 10).cast("string"))).otherwise(card)
+    domain = F.substr(id_, F.instr(id_, "@") + 1)
+    # short addresses may run out: from the third round they grow
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.col("round") - 1, F.lit(1))), lambda i: F.when(F.col("round") < 2, "").otherwise(_pick(_POOLS[0][1], _number(40 + i)))), "")
+    local = F.concat(_like(F.substring_index(id_, "@", 1)), more)
+    host = _like(F.regexp_replace(domain, r"\.[^.]*$", ""), 0, 20)
+    email = F.concat(local, F.lit("@"), host, F.lit("."), F.substring_index(domain, ".", -1))
+    phone = _like(id_, F.when(id_.startswith("+"), 2).otherwise(0))
+    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "email", email).when(kind == "phone", phone).when(kind == "iban", _like(id_, 2)).when(kind == "ssn", _like(id_)).otherwise(_name())
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for the distinct ``entities`` (kind, value): distinct surrogates, none of them an entity."""
-    helpers, made = surrogate(key)
-    open_ = entities.withColumn("round", F.lit(0))
-    values = entities.select(F.col("value").alias("surrogate"))
-    done = None
-    while True:
-        tried = open_
-        for c, x in helpers:
-            tried = tried.withColumn(c, x)
-        tried = tried.select("kind", "value", "round", made.alias("surrogate"))
-        # a surrogate belongs to the smallest entity that drew it, unless it is taken or real
-        owner = tried.groupBy("surrogate").agg(F.min("value").alias("owner"))
-        owner = owner.join(values, "surrogate", "left_anti")
-        if done is not None:
-            owner = owner.join(done.select("surrogate"), "surrogate", "left_anti")
-        tried = written(tried.join(owner, "surrogate", "left").select("kind", "value", "round", "surrogate", F.coalesce(F.col("owner") == F.col("value"), F.lit(False)).alias("ok")), "surrogates")
-        new = tried.where("ok").select("kind", "value", "surrogate")
-        done = new if done is None else done.union(new)
-        open_ = tried.where("not ok").select("kind", "value", (F.col("round") + 1).alias("round"))
-        # draws of short entities may run out: from the ninth round they grow by a letter or digit
-        if not tried.where("not ok").limit(1).count():
-            return done
-        if tried.agg(F.max("round")).first()[0] >= 8:
-            more = tried.where("not ok").select("kind", "value", F.concat("surrogate", F.lit("-"), F.conv(F.substring(F.sha2(F.concat(F.lit(key), "value"), 256), 1, 15), 16, 10)).alias("surrogate"))
-            return done.union(more)
-
-
-def replace_entities(docs: DataFrame, key: str = "surrogate-key", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(kind, id, surrogate) for the distinct ``entities`` (kind, id, gender, script): distinct surrogates, none of them an identity.
+
+    Given and family names share one space. The table grows with the corpus's identities; it is joined as Spark sees fit,
+    broadcast only below its threshold. The key is a column of a joined table of one row a kind, so plans don't show it.
+    RuntimeError if ``_ROUNDS`` draws find no free surrogate, as when a type has more identities than values.
+    """
+    spark = entities.sparkSession
+    kinds = ("email", "card", "ssn", "ip", "iban", "phone", "given", "family")
+    keys = F.broadcast(spark.createDataFrame([(k, key) for k in kinds], "kind string, key string"))
+    space = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
+    entities = entities.withColumn("space", space)
+    real = entities.select("space", F.col("id").alias("surrogate")).distinct()
+    open_, done = entities.withColumn("round", F.lit(0)), []
+    for _ in range(_ROUNDS):
+        inner = F.sha2(F.concat_ws("\x1f", "key", "kind", "id", F.col("round").cast("string")), 256)
+        seed = F.sha2(F.concat_ws("\x1f", "key", inner), 256)
+        drawn = F.concat(*[F.sha2(F.concat(F.col("seed"), F.lit(str(k))), 256) for k in range(4)])
+        tried = open_.join(keys, "kind").withColumn("seed", seed).withColumn("drawn", drawn).select("kind", "id", "gender", "script", "space", "round", surrogate().alias("surrogate"))
+        # a surrogate belongs to the first identity that drew it, unless it is taken or real
+        owner = tried.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "id")).alias("owner"))
+        for taken in [real, *(d.select("space", "surrogate") for d in done)]:
+            owner = owner.join(taken, ["space", "surrogate"], "left_anti")
+        ok = F.coalesce((F.col("owner.kind") == F.col("kind")) & (F.col("owner.id") == F.col("id")), F.lit(False))
+        tried = written(tried.join(owner, ["space", "surrogate"], "left").withColumn("ok", ok).drop("owner"), "surrogates")
+        done.append(tried.where("ok"))
+        open_ = tried.where("not ok").select("kind", "id", "gender", "script", "space", (F.col("round") + 1).alias("round"))
+        if open_.isEmpty():
+            return reduce(DataFrame.union, [d.select("kind", "id", "surrogate") for d in done])
+    raise RuntimeError(f"no free surrogate after {_ROUNDS} draws")
+
+
+def rendered(kind: Column, value: Column, new: Column) -> Column:
+    """A surrogate identity in the format of the mention ``value``."""
+    bare = F.when(new.startswith("+"), F.substr(new, F.lit(2))).otherwise(new)
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+
+    def fill(a: Column, c: Column) -> Column:
+        taken = F.struct(F.concat(a["out"], F.substr(bare, a["next"], F.lit(1))).alias("out"), (a["next"] + 1).alias("next"))
+        return F.when(c.rlike(r"(?U)^[\dA-Z]$"), taken).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["next"].alias("next")))
+
+    filled = F.aggregate(_chars(value), start, fill)["out"]
+    capital = F.concat(F.upper(F.substr(new, F.lit(1), F.lit(1))), F.substr(new, F.lit(2)))
+    email = F.when(value == F.lower(value), new).when(value == F.upper(value), F.upper(new)).when(value.rlike(r"^\p{Lu}"), capital).otherwise(new)
+    name = F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(new)).otherwise(capital)
+    return F.when(kind == "email", email).when(kind == "ip", new).when(kind.isin("given", "family"), name).otherwise(filled)
+
+
+def _name_parts(hit: DataFrame) -> DataFrame:
+    """(row, id, kind, gender): the parts of all names that follow a title in a row's text; what is a family name there counts as one."""
+    text = F.array_join("pieces", "")
+    named = hit.where("titled").select("row", F.explode(F.regexp_extract_all(text, F.lit(NAME), F.lit(0))).alias("name"))
+    part = lambda k: F.regexp_extract("name", NAME, k)
+    gender = F.when(part(1).isin(*TITLES["m"]), "m").when(part(1).isin(*TITLES["f"]), "f").otherwise("n")
+    two = part(3) != ""
+    named = named.select("row", gender.alias("gender"), F.when(two, part(2)).alias("given"), F.when(two, part(3)).otherwise(part(2)).alias("family"))
+    parts = named.select("row", F.lower("family").alias("id"), F.lit("family").alias("kind"), "gender").union(named.where("given is not null").select("row", F.lower("given"), F.lit("given"), "gender"))
+    return parts.groupBy("row", "id").agg(F.min("kind").alias("kind"), F.max(F.col("gender") == "m").alias("m"), F.max(F.col("gender") == "f").alias("f"))
+
+
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text, n_entities) for every row, each entity of its whole text replaced by its surrogate.
 
-    Null texts stay null with no entities, empty texts stay empty; repeated rows are replaced alike; an empty table
-    gives no rows. Titles before names, country codes and top-level domains stay.
+    Names are found after a title; then every capitalised mention of a part of one is replaced in that text, title or not. A given
+    name that follows titles of one gender gets a name of that gender, any other one of neither. Null texts stay null with no
+    entities, empty texts stay empty; repeated rows are replaced alike; an empty table gives no rows. Titles, country codes,
+    top-level domains and the format stay. ``key`` decides the surrogates: keep it secret, or they can be undone by trial.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("ents", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    some = F.coalesce(F.size("ents") > 0, F.lit(False))
-    plain = found.where(~some).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    hit = written(found.where(some).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
-    each = hit.select("row", F.posexplode("ents").alias("pos", "value"))
-    entities = written(each.select("value").distinct().select(kind_of(F.col("value")).alias("kind"), "value"), "pii-entities")
-    table = surrogates(entities, key)
-    drawn = each.join(table, "value").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda s: s["surrogate"]).alias("new"))
-    # the pieces between entities, by the same pattern, joined with the surrogates in turn
-    pieces = F.split("text", ENTITY, -1)
-    text = F.array_join(F.zip_with(pieces, F.concat("new", F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
-    return hit.join(drawn, "row").select("doc_id", text.alias("text"), F.size("new").cast("long").alias("n_entities")).union(plain)
+    text = F.col("text")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("maybe", F.coalesce(text.rlike(_MAYBE), F.lit(False)))
+    plain = found.where("not maybe").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
+    # one pass of the patterns sets marks around the mentions; odd pieces between marks are mentions
+    mark = F.when(F.instr(text, "\ue000") == 0, "\ue000").otherwise(F.concat(F.lit("\ue000"), F.sha2(text, 256)))
+    around = F.concat("mark", F.lit("$0"), "mark")
+    marked = F.when(F.col("titled"), F.regexp_replace("text", F.lit(ENTITY_OR_PART), around)).otherwise(F.regexp_replace("text", F.lit(ENTITY), around))
+    cut = found.where("maybe").withColumn("titled", text.rlike(NAME)).withColumn("mark", mark)
+    cut = written(cut.select("doc_id", "titled", F.split(marked, F.col("mark")).alias("pieces"), F.monotonically_increasing_id().alias("row")), "pii-rows")
+    none = cut.where("size(pieces) = 1").select("doc_id", F.col("pieces")[0], F.lit(0).cast("long"))
+    hit = cut.where("size(pieces) > 1")
+    each = hit.select("row", F.posexplode("pieces").alias("pos", "value")).where("pos % 2 = 1").withColumn("kind", kind_of(F.col("value")))
+    each = each.withColumn("id", identity(F.col("kind"), F.col("value")))
+    names = written(_name_parts(hit), "pii-names")
+    parts = each.where("kind = 'part'").join(names.select("row", "id", F.col("kind").alias("known")), ["row", "id"], "left")
+    each = each.where("kind <> 'part'").select("row", "pos", "value", "kind", "id").union(parts.select("row", "pos", "value", "known", "id"))
+    script = F.when(F.col("id").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("id").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    people = names.groupBy("kind", "id").agg(F.max("m").alias("m"), F.max("f").alias("f"))
+    people = people.select("kind", "id", F.when(F.col("m") == F.col("f"), "n").when(F.col("m"), "m").otherwise("f").alias("gender"), script.alias("script"))
+    others = each.where("kind not in ('given', 'family')").select("kind", "id").distinct().select("kind", "id", F.lit("n"), F.lit("latin"))
+    table = surrogates(written(people.union(others), "pii-entities"), key)
+    new = each.join(table, ["kind", "id"], "left").select("row", "pos", F.coalesce(rendered(F.col("kind"), F.col("value"), F.col("surrogate")), "value").alias("new"), F.col("surrogate").isNotNull().cast("long").alias("one"))
+    new = new.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]).alias("new"), F.sum("one").alias("n_entities"))
+    # plain pieces and replaced mentions in turn
+    even = F.filter("pieces", lambda p, i: i % 2 == 0)
+    joined = F.array_join(F.zip_with(even, F.concat("new", F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
+    return hit.join(new, "row").select("doc_id", joined.alias("text"), "n_entities").union(none).union(plain)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
-    """Query: personal data in all documents replaced by surrogates."""
-    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Query: personal data in all documents replaced by surrogates, under the session's key or one drawn for this run."""
+    key = spark.conf.get("spark.assayframe.surrogate.key", None) or secrets.token_hex(32)
+    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"), key)
