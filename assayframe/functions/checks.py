@@ -117,7 +117,7 @@ def secret_key(name: Column) -> Column:
 def loopback(url: Column) -> Column:
     """Whether a URL's host is a loopback address literal."""
     host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
-    return host.rlike(r"^127(\.\d{1,3}){3}$") | host.isin("::1", "[::1]")
+    return host.rlike(r"^127(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$") | host.isin("::1", "[::1]")
 
 
 def ascii_host(host: Column) -> Column:

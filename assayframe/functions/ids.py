@@ -16,14 +16,16 @@ def sha(text: Column, n: int = 64) -> Column:
 
 
 def double_bits(x: Column) -> Column:
-    """The IEEE bits of a normal double or zero, as an unsigned decimal number (decimal(20,0))."""
-    a = F.abs(x)
+    """The IEEE bits of a double as an unsigned decimal number (decimal(20,0)); every NaN has those of the quiet one."""
+    a, whole = F.abs(x), lambda n: F.lit(Decimal(n)).cast("decimal(20,0)")
     e = F.floor(F.log2(a))
     e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)
     mantissa = (a / F.pow(F.lit(2.0), e) - 1) * F.lit(float(2**52))
-    bits = (e + 1023).cast("long") * F.lit(2**52) + mantissa.cast("long")
-    sign = F.when(x < 0, F.lit(Decimal(2**63))).otherwise(F.lit(Decimal(0)))
-    return F.when(a == 0, F.lit(Decimal(0))).otherwise(bits.cast("decimal(20,0)") + sign).cast("decimal(20,0)")
+    normal = (e + 1023).cast("long") * F.lit(2**52) + mantissa.cast("long")
+    tiny = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    magnitude = F.when(F.isnan(x), whole(0x7FF8 << 48)).when(a == float("inf"), whole(0x7FF0 << 48)).when(a == 0, whole(0)).when(a < F.lit(2.0**-1022), tiny.cast("decimal(20,0)")).otherwise(normal.cast("decimal(20,0)"))
+    negative = ~F.isnan(x) & (F.atan2(x, F.lit(-1.0)) < 0)  # of a negative zero as well
+    return (magnitude + F.when(negative, whole(2**63)).otherwise(whole(0))).cast("decimal(20,0)")
 
 
 def transaction_id(statement_id: Column, date: Column, amount: Column, account: Column, idx: Column) -> Column:

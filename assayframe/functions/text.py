@@ -16,9 +16,12 @@ def money2(amount: Column) -> Column:
 def digit_fold(text: Column) -> Column:
     """All ASCII digits of a text read as one number modulo 2^64 (as a signed long); null if there are none or all are zero.
 
-    More than 38 digits give null.
+    Digits are taken 18 at a time, so texts of any length have a value.
     """
-    n = F.regexp_replace(text, "[^0-9]", "").try_cast("decimal(38,0)") % F.lit(Decimal(2**64))
+    whole = lambda x: x.cast("decimal(38,0)")
+    pieces = F.regexp_extract_all(F.regexp_replace(text, "[^0-9]", ""), F.lit("[0-9]{1,18}"), F.lit(0))
+    power = lambda piece: whole(F.rpad(F.lit("1"), F.length(piece) + 1, F.lit("0")))
+    n = F.aggregate(pieces, whole(F.lit(0)), lambda acc, piece: whole((whole(acc * power(piece)) + whole(piece)) % F.lit(Decimal(2**64))))
     signed = F.when(n >= F.lit(Decimal(2**63)), n - F.lit(Decimal(2**64))).otherwise(n)
     return F.nullif(signed.cast("long"), F.lit(0).cast("long"))
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import days_apart, days_apart_compat, severity_rank
-from ..functions.text import csv_quoted, money2
 
 #: Amounts that count as round.
 ROUND_AMOUNTS = (100.0, 500.0, 1000.0, 5000.0, 10000.0, 50000.0)
@@ -35,15 +34,19 @@ def category_anomalies(tx: DataFrame, known: DataFrame) -> DataFrame:
 def duplicates(tx: DataFrame, tolerance: float = 0.01, max_days: int = 1, compat: bool = False) -> DataFrame:
     """Pairs of transactions of one account with nearly equal amounts and dates; the earlier row with other_ordinal.
 
-    The join's key holds a bucket of amounts twice the tolerance wide, so that an account with a
-    third of all rows is spread over its amounts; the later row is filed in its bucket and both neighbours.
+    The join's key holds a bucket of amounts twice the tolerance wide and one of ``max_days`` days, so that neither an account with a
+    third of all rows nor a fee paid daily for years meets itself; the later row is filed in its bucket and those beside it. The
+    older rule for days has no such bucket, as it takes dates of different years for 99 days apart and no more.
     """
     bucket = F.floor(F.col("amount") / (2 * tolerance))
-    a = tx.withColumn("bucket", bucket)
-    b = tx.select("statement_id", "account", F.col("ordinal").alias("other_ordinal"), F.col("date").alias("o_date"), F.col("amount").alias("o_amount"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
+    day = F.lit(0).cast("long") if compat else F.floor(F.unix_date(F.col("date").try_cast("date")) / max(max_days, 1))
+    days_of = F.array(day) if compat else F.array(day - 1, day)
+    a = tx.withColumns({"bucket": bucket, "day": day})
+    b = tx.select("statement_id", "account", F.col("ordinal").alias("other_ordinal"), F.col("date").alias("o_date"), F.col("amount").alias("o_amount"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"), days_of.alias("days"))
+    b = b.withColumn("day", F.explode("days")).drop("days")
     days = (days_apart_compat if compat else days_apart)(F.col("date"), F.col("o_date"))
     later = (F.col("o_date") > F.col("date")) | ((F.col("o_date") == F.col("date")) & (F.col("other_ordinal") > F.col("ordinal")))
-    return a.join(b, ["statement_id", "account", "bucket"]).where(later & (F.abs(F.col("amount") - F.col("o_amount")) < tolerance) & (days <= max_days)).drop("bucket", "o_date", "o_amount")
+    return a.join(b, ["statement_id", "account", "bucket", "day"]).where(later & (F.abs(F.col("amount") - F.col("o_amount")) < tolerance) & (days <= max_days)).drop("bucket", "day", "o_date", "o_amount")
 
 
 def exceptions(tx: DataFrame, known: DataFrame, threshold: float = 10000.0) -> DataFrame:
@@ -70,13 +73,8 @@ def summary(tx: DataFrame) -> DataFrame:
     )
 
 
-def compliance(found: DataFrame) -> DataFrame:
-    """Findings by severity of each statement; COMPLIANT without HIGH and MEDIUM ones."""
+def compliance(found: DataFrame, tx: DataFrame) -> DataFrame:
+    """Findings by severity of each statement of ``tx``; COMPLIANT without HIGH and MEDIUM ones."""
     n = found.groupBy("statement_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")])
+    n = tx.select("statement_id").distinct().join(n, "statement_id", "left").na.fill(0)
     return n.withColumn("status", F.when((F.col("n_high") == 0) & (F.col("n_medium") == 0), "COMPLIANT").otherwise("REVIEW_REQUIRED"))
-
-
-def csv_lines(found: DataFrame) -> DataFrame:
-    """(statement_id, position, line): the exception report's CSV lines."""
-    line = F.concat_ws(",", F.col("ordinal").cast("string"), "date", money2(F.col("amount")), "rule", "severity", csv_quoted(F.concat_ws(" ", "rule", "account")))
-    return found.select("statement_id", "position", line.alias("line"))

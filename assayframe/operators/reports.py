@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import money2
+from ..functions.text import csv_quoted, money2
 from .documents import risk
 from .finance import compliance, summary
 from .incident import redact, timeline
@@ -55,8 +55,7 @@ def _lines(rows: DataFrame, section: int, position: Column, *lines: Column | str
 
 
 def _counted(tx: DataFrame, found: DataFrame) -> DataFrame:
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_high", "n_medium", "n_low")]
-    return summary(tx).join(compliance(found), "statement_id", "left").select("statement_id", "total", "n", "accounts", "categories", "first_date", "last_date", *counts)
+    return summary(tx).join(compliance(found, tx), "statement_id").select("statement_id", "total", "n", "accounts", "categories", "first_date", "last_date", "n_high", "n_medium", "n_low")
 
 
 def _tally(sep: str = "") -> Column:
@@ -105,6 +104,22 @@ def compliance_report(tx: DataFrame, found: DataFrame) -> DataFrame:
     return out.union(_lines(all_, 7, first, "", "---", "", "*This compliance report contains full analysis for internal teams*"))
 
 
+#: The heading of the exceptions file.
+EXCEPTIONS_CSV = "transaction_id,date,amount,rule,severity,description\n"
+
+
+def exception_lines(found: DataFrame) -> DataFrame:
+    """(statement_id, position, line): the lines of the exceptions file; ``found`` as for ``audit_report``."""
+    line = F.concat_ws(",", "transaction_id", "date", money2(F.col("amount")), "rule", "severity", csv_quoted(finding_text()))
+    return found.select("statement_id", "position", line.alias("line"))
+
+
+def exceptions_map(found: DataFrame) -> DataFrame:
+    """(statement_id, position, item): the exceptions file's items as JSON objects, in order of position."""
+    item = F.struct(finding_id().alias("exception_id"), "transaction_id", "date", "amount", F.col("rule").alias("rule_triggered"), "severity", _of_rule(1).alias("recommended_action"))
+    return found.select("statement_id", "position", F.to_json(item).alias("item"))
+
+
 def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:
     """(incident_id, section, ts, idx, line_no, line): the packet on every incident of ``events`` (see ``incident.parse_events``).
 

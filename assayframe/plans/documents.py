@@ -10,18 +10,25 @@ from ..operators import bundles, documents, incident, reports
 from .registry import query, table
 
 _PII_TAIL = " call 555-123-4567 or 555.123.4567, id 123-45-6789 at 10.0.0.255"
-_EMAIL_SQL, _PHONE_SQL, _SSN_SQL = (incident.PII[k][1] for k in ("email", "phone", "ssn"))
+#: The patterns and lists again, written out, so that the SQL doesn't follow a slip in the operators.
+_PATTERNS = {
+    "PII.email": ("Email address", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
+    "PII.phone": ("Phone number", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"),
+    "PII.ssn": ("Social security number", r"\b\d{3}-\d{2}-\d{4}\b"),
+    "SYSTEM.ip_address": ("Network address", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"),
+}
+_COMMANDS_SQL = "['SELECT', 'INSERT', 'UPDATE', 'DELETE', 'curl', 'wget', 'password', 'secret', 'token']"
 
 
 def _redact_sql(ip: bool) -> str:
     x = f"text || '{_PII_TAIL}'"
-    for reason, pattern in [*incident.PII.values(), *([incident.IP] if ip else [])]:
+    for reason, pattern in list(_PATTERNS.values())[: 4 if ip else 3]:
         x = f"regexp_replace({x}, '{pattern}', '[REDACTED: {reason}]', 'g')"
-    return f"SELECT doc_id, sha256({x}) AS redacted_sha256 FROM documents WHERE text IS NOT NULL"
+    return f"SELECT doc_id, sha256({x}) AS redacted_sha256 FROM documents"
 
 
 def _redacted(spark, sf_dir, profile):
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(incident.redact(F.concat("text", F.lit(_PII_TAIL)), profile).cast("binary"), 256).alias("redacted_sha256"))
 
 
@@ -35,14 +42,11 @@ def inc_redact_standard(spark, sf_dir):
     return _redacted(spark, sf_dir, "STANDARD")
 
 
-_RULES = [*((f"PII.{k}", p) for k, (_, p) in incident.PII.items()), ("SYSTEM.ip_address", incident.IP[1])]
-
-
-@query("inc_redaction_records", "WITH d AS (SELECT doc_id, text || '" + _PII_TAIL + "' AS text FROM documents WHERE text IS NOT NULL), r AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{rule}' AS rule, regexp_extract_all(text, '{p}') AS found FROM d" for rule, p in _RULES
-) + f" UNION ALL SELECT doc_id, 'COMMAND.output', list_filter({list(incident.COMMANDS)}, lambda k: contains(text, k)) FROM d) SELECT doc_id, rule, CAST(i - 1 AS INTEGER) AS ordinal, found[i] AS original FROM (SELECT doc_id, rule, found, unnest(range(1, len(found) + 1)) AS i FROM r)")
+@query("inc_redaction_records", "WITH d AS (SELECT doc_id, text || '" + _PII_TAIL + "' AS text FROM documents), r AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{rule}' AS rule, regexp_extract_all(text, '{p}') AS found FROM d" for rule, (_, p) in _PATTERNS.items()
+) + f" UNION ALL SELECT doc_id, 'COMMAND.output', list_filter({_COMMANDS_SQL}, lambda k: contains(text, k)) FROM d) SELECT doc_id, rule, CAST(i - 1 AS INTEGER) AS ordinal, found[i] AS original FROM (SELECT doc_id, rule, found, unnest(range(1, len(found) + 1)) AS i FROM r)")
 def inc_redaction_records(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat("text", F.lit(_PII_TAIL)).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(_PII_TAIL)).alias("text"))
     return incident.redaction_records(d, "text", ["doc_id"])
 
 
@@ -75,7 +79,8 @@ def contracts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contract_id"), F.when(F.col("doc_id") % 4 == 0, text).otherwise(long).alias("text"))
 
 
-_HIGH, _MEDIUM = list(documents.HIGH_RISK), list(documents.MEDIUM_RISK)
+_HIGH = "['indemnify', 'indemnification', 'perpetual', 'irrevocable', 'sole discretion', 'unrestricted', 'terminate at will', 'unlimited liability']"
+_MEDIUM = "['limit liability', 'limitation of liability', 'liability', 'breach', 'default', 'force majeure', 'governing law', 'dispute', 'arbitration']"
 _HITS = f"WITH {_CONTRACT_SQL}, k AS (SELECT contract_id, list_filter({_HIGH}, lambda k: contains(lower(text), k)) AS h, list_filter({_MEDIUM}, lambda k: contains(lower(text), k)) AS m FROM ct)"
 
 
@@ -98,9 +103,9 @@ def ctr_clauses(spark, sf_dir):
     return documents.clauses(contracts(spark, sf_dir)).select("contract_id", "clause_id", "clause_number", "title", "start_offset", "end_offset", "confidence", "anchor_id")
 
 
-@query("ctr_ws_anchor", r"SELECT doc_id, 'clause_' || substr(sha256(regexp_replace(regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[ \t\r\n]+', ' ', 'g')), 1, 16) AS anchor FROM documents WHERE text IS NOT NULL")
+@query("ctr_ws_anchor", r"SELECT doc_id, 'clause_' || substr(sha256(regexp_replace(regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[ \t\r\n]+', ' ', 'g')), 1, 16) AS anchor FROM documents")
 def ctr_ws_anchor(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", stable_anchor(F.col("text")).alias("anchor"))
+    return table(spark, sf_dir, "documents").select("doc_id", stable_anchor(F.col("text")).alias("anchor"))
 
 
 _CONTROLS = [("C1", "en"), ("C2", "fr"), ("C3", "src1"), ("C4", "src2"), ("C5", "none")]
@@ -134,34 +139,34 @@ def evd_line_ranges(spark, sf_dir):
 def cit_missing_claims(spark, sf_dir):
     marked = F.concat(F.lit("<!-- CLAIM: C"), F.col("doc_id").cast("string"), F.lit(" -->\n"), "text", F.lit("<!-- CLAIM: X1 -->"))
     cited = table(spark, sf_dir, "labels").where("quality = 1").select(F.concat(F.lit("C"), F.col("doc_id").cast("string")).alias("claim_id"))
-    return documents.uncited_claims(table(spark, sf_dir, "documents").where("text is not null").select(marked.alias("text")), cited)
+    return documents.uncited_claims(table(spark, sf_dir, "documents").select(marked.alias("text")), cited)
 
 
-@query("hash_verify", """SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'size mismatch' WHEN doc_id % 5 = 0 THEN 'sha256 mismatch' ELSE 'ok' END AS verdict FROM documents WHERE text IS NOT NULL""")
+@query("hash_verify", """SELECT 'f' || doc_id AS path, CASE WHEN text IS NULL OR doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'size mismatch' WHEN doc_id % 5 = 0 THEN 'sha256 mismatch' ELSE 'ok' END AS verdict FROM documents""")
 def hash_verify(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = table(spark, sf_dir, "documents")
     size, n = F.octet_length("text"), F.col("doc_id")
     declared = d.select(F.concat(F.lit("f"), n.cast("string")).alias("path"), F.when(n % 5 == 0, "0").otherwise(F.upper(F.sha2("text", 256))).alias("sha256"), F.when(n % 7 == 0, size + 1).otherwise(size).alias("bytes"))
     entries = d.where(n % 11 != 0).select(F.concat(F.lit("f"), n.cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), size.alias("bytes"))
     return bundles.verify_hashes(declared, entries).select("path", "verdict")
 
 
-@query("fingerprint", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), '|' ORDER BY doc_id || ':' || sha256(text))) AS fingerprint FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source")
+@query("fingerprint", "SELECT source, sha256(string_agg(e, '|' ORDER BY e)) AS fingerprint FROM (SELECT source, doc_id || coalesce(':' || sha256(text), '') AS e FROM documents) GROUP BY source")
 def fingerprint(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null and source is not null")
+    d = table(spark, sf_dir, "documents")
     return bundles.input_fingerprint(d.select("source", F.col("doc_id").cast("string").alias("artifact_id"), F.sha2("text", 256).alias("sha256")), "source")
 
 
-@query("egress_match", r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, url FROM pages WHERE url IS NOT NULL),
+@query("egress_match", r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, url FROM pages),
   r AS (SELECT CAST(i + 1 AS INTEGER) AS idx, '/' || ['en', 'fr', 'de'][i + 1] || '/' AS prefix FROM range(3) t(i)), m AS (SELECT page_id, min(idx) AS idx FROM p JOIN r ON url LIKE 'http://%' AND host = 'ththre.example.com' AND starts_with(path, prefix) GROUP BY page_id)
   SELECT page_id AS request_id, host, CASE WHEN idx IS NULL THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, CASE WHEN idx IS NOT NULL THEN printf('ALW%04d', idx) END AS rule_id FROM p LEFT JOIN m USING (page_id)""")
 def egress_match(spark, sf_dir):
     rules = spark.createDataFrame([(k, "http", "ththre.example.com", 80, f"/{lang}/") for k, lang in enumerate(("en", "fr", "de"), 1)], "idx int, scheme string, host string, port int, path_prefix string")
-    return bundles.egress_decisions(table(spark, sf_dir, "pages").where("url is not null").select(F.col("page_id").alias("request_id"), "url"), rules)
+    return bundles.egress_decisions(table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), "url"), rules)
 
 
 _ASSESSED = _CLAUSES.rsplit("\n  SELECT", 1)[0] + f""", k AS (SELECT contract_id, start_offset, 'REDLINE_' || contract_id || '_' || substr(sha256(t), 1, 8) || '_' || start_offset AS anchor_id,
-    list_filter({list(documents.HIGH_RISK)}, lambda x: contains(lower(t), x)) AS h, list_filter({list(documents.MEDIUM_RISK)}, lambda x: contains(lower(t), x)) AS m FROM c),
+    list_filter({_HIGH}, lambda x: contains(lower(t), x)) AS h, list_filter({_MEDIUM}, lambda x: contains(lower(t), x)) AS m FROM c),
   a AS (SELECT *, CASE WHEN len(h) > 0 THEN 'HIGH' WHEN len(m) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS level, list_concat(h, m) AS found FROM k),
   b AS (SELECT *, CASE WHEN len(found) = 0 THEN 'No significant risk keywords detected. Standard contract language.' ELSE 'Risk level: ' || level || '. Keywords found: ' || array_to_string(found, ', ') || '. Recommend legal review.' END AS advisory FROM a)"""
 _CLAUSE_LINES = "SELECT contract_id, CAST(section AS INTEGER) AS section, CAST(start_offset AS INTEGER) AS start_offset, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM r"

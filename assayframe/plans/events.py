@@ -8,6 +8,7 @@ from ..functions.jsons import canonical
 from ..functions.text import digit_fold
 from ..operators import audit, bundles, incident, reports
 from ..streaming import stateful
+from .documents import _PATTERNS
 from .registry import query, table
 
 LOG_SQL = """log AS (SELECT CAST(user_id AS VARCHAR) AS incident_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS idx, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp,
@@ -214,7 +215,7 @@ def _packet_sql(title: str, tally: str, last: str, heading: str, evidence: str,
 
 def _masked_sql() -> str:
     x = "evidence"
-    for reason, pattern in [*incident.PII.values(), incident.IP]:
+    for reason, pattern in _PATTERNS.values():
         x = f"regexp_replace({x}, '{pattern}', '[REDACTED: {reason}]', 'g')"
     return x
 

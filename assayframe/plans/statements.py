@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.checks import days_apart_compat
+from ..functions.ids import transaction_id
 from ..functions.text import money2
 from ..operators import finance, reports
 from ..sinks.writers import documents_from_lines, json_rows
@@ -16,6 +17,7 @@ ITEM_SQL = """it AS (SELECT CAST(l_suppkey AS VARCHAR) AS statement_id, l_orderk
     l_quantity AS amount, CAST(l_partkey % 20 AS VARCHAR) AS account FROM lineitem)"""
 KNOWN_SQL = "known AS (SELECT CAST(i AS VARCHAR) AS account, ['1-URGENT', '2-HIGH', '3-MEDIUM'] AS categories FROM range(0, 20, 2) t(i))"
 ROUND_SQL = "list_bool_or(list_transform([100.0, 500.0, 1000.0, 5000.0, 10000.0, 50000.0], lambda r: abs(amount - r) < 0.01))"
+ID_SQL = "'FINANCE_' || replace(account, ' ', '_') || '_' || left(sha256(statement_id || date || CAST(CAST(amount AS BIT) AS UBIGINT) || account || ordinal), 16)"
 LATER = "(b.date > a.date OR (b.date = a.date AND b.ordinal > a.ordinal))"
 DUP = f"a.statement_id = b.statement_id AND a.account = b.account AND {LATER} AND abs(a.amount - b.amount) < 0.01 AND abs(date_diff('day', CAST(a.date AS DATE), CAST(b.date AS DATE))) <= 1"
 EX_SQL = f"""{TX_SQL}, {KNOWN_SQL}, ex AS (
@@ -44,6 +46,11 @@ def all_exceptions(spark, sf_dir):
     return finance.exceptions(transactions(spark, sf_dir), known_categories(spark))
 
 
+def identified(found):
+    """Findings with their transactions' ids."""
+    return found.withColumn("transaction_id", transaction_id(*map(F.col, ("statement_id", "date", "amount", "account", "ordinal"))))
+
+
 @query("fin_threshold", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000")
 def fin_threshold(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_totalprice").alias("amount"))
@@ -86,17 +93,17 @@ def fin_summary(spark, sf_dir):
     return finance.summary(transactions(spark, sf_dir))
 
 
-_COMPLIANCE = "SELECT statement_id, count(*) FILTER (severity = 'HIGH') AS n_high, count(*) FILTER (severity = 'MEDIUM') AS n_medium, count(*) FILTER (severity = 'LOW') AS n_low, CASE WHEN count(*) FILTER (severity <> 'LOW') = 0 THEN 'COMPLIANT' ELSE 'REVIEW_REQUIRED' END AS status FROM placed GROUP BY statement_id"
+_COMPLIANCE = "SELECT statement_id, count(*) FILTER (severity = 'HIGH') AS n_high, count(*) FILTER (severity = 'MEDIUM') AS n_medium, count(*) FILTER (severity = 'LOW') AS n_low, CASE WHEN count(*) FILTER (severity <> 'LOW') = 0 THEN 'COMPLIANT' ELSE 'REVIEW_REQUIRED' END AS status FROM (SELECT statement_id, severity FROM placed UNION ALL SELECT DISTINCT statement_id, NULL FROM tx) GROUP BY statement_id"
 
 
 @query("fin_compliance", f"WITH {EX_SQL} {_COMPLIANCE}")
 def fin_compliance(spark, sf_dir):
-    return finance.compliance(all_exceptions(spark, sf_dir))
+    return finance.compliance(all_exceptions(spark, sf_dir), transactions(spark, sf_dir))
 
 
 @query("fin_compliance_json", f"""WITH {EX_SQL}, c AS ({_COMPLIANCE}) SELECT statement_id, CAST(to_json({{'statement_id': statement_id, 'n_high': n_high, 'n_medium': n_medium, 'n_low': n_low, 'status': status}}) AS VARCHAR) AS json FROM c""")
 def fin_compliance_json(spark, sf_dir):
-    return json_rows(finance.compliance(all_exceptions(spark, sf_dir)), "statement_id")
+    return json_rows(finance.compliance(all_exceptions(spark, sf_dir), transactions(spark, sf_dir)), "statement_id")
 
 
 @query("fin_money_render", "SELECT o_orderkey, printf('%.2f', o_totalprice) AS money FROM orders")
@@ -104,18 +111,32 @@ def fin_money_render(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", money2(F.col("o_totalprice")).alias("money"))
 
 
-_LINE = """ordinal || ',' || date || ',' || printf('%.2f', amount) || ',' || rule || ',' || severity || ',"' || rule || ' ' || account || '"'"""
+_FINDING = """CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'Transaction amount $' || printf('%.2f', amount) || ' exceeds threshold $10000.00' WHEN 'DUPLICATE_DETECTED' THEN 'Duplicate transaction detected: $' || printf('%.2f', amount) || ' in ' || account || ' on similar date'
+    WHEN 'ROUND_NUMBER' THEN 'Transaction amount $' || printf('%.2f', amount) || ' is suspiciously round' ELSE 'Unexpected category for account ''' || account || '''' END"""
+_LINE = f"""{ID_SQL} || ',' || date || ',' || printf('%.2f', amount) || ',' || rule || ',' || severity || ',"' || replace({_FINDING}, '"', '""') || '"'"""
 
 
-@query("fin_exceptions_csv", f"""WITH {EX_SQL} SELECT statement_id, sha256('id,date,amount,rule,severity,description' || chr(10) || string_agg({_LINE} || chr(10), '' ORDER BY position)) AS csv_sha256 FROM placed GROUP BY statement_id""")
+@query("fin_exceptions_csv", f"""WITH {EX_SQL} SELECT statement_id, sha256('transaction_id,date,amount,rule,severity,description' || chr(10) || string_agg({_LINE} || chr(10), '' ORDER BY position)) AS csv_sha256 FROM placed GROUP BY statement_id""")
 def fin_exceptions_csv(spark, sf_dir):
-    out = documents_from_lines(finance.csv_lines(all_exceptions(spark, sf_dir)), "statement_id", ["position"], "id,date,amount,rule,severity,description\n")
+    out = documents_from_lines(reports.exception_lines(identified(all_exceptions(spark, sf_dir))), "statement_id", ["position"], reports.EXCEPTIONS_CSV)
     return out.select("statement_id", F.sha2(F.col("content").cast("binary"), 256).alias("csv_sha256"))
 
 
-_FINDING = """CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'Transaction amount $' || printf('%.2f', amount) || ' exceeds threshold $10000.00' WHEN 'DUPLICATE_DETECTED' THEN 'Duplicate transaction detected: $' || printf('%.2f', amount) || ' in ' || account || ' on similar date'
-    WHEN 'ROUND_NUMBER' THEN 'Transaction amount $' || printf('%.2f', amount) || ' is suspiciously round' ELSE 'Unexpected category for account ''' || account || '''' END"""
-_REPORT_SQL = f"""WITH {EX_SQL}, f AS (SELECT *, {_FINDING} AS finding, CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'EXC_THRESHOLD_' WHEN 'DUPLICATE_DETECTED' THEN 'EXC_DUPLICATE_' WHEN 'ROUND_NUMBER' THEN 'EXC_ROUND_' ELSE 'EXC_ANOMALY_' END || left(ordinal::VARCHAR, 16) AS id,
+@query("fin_transaction_ids", f"WITH {TX_SQL} SELECT ordinal, {ID_SQL} AS transaction_id FROM tx UNION ALL SELECT -o_orderkey, 'FINANCE_x_' || left(sha256('sd' || CAST(CAST(v AS BIT) AS UBIGINT) || 'x1'), 16) FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN -o_totalprice WHEN 1 THEN o_totalprice * 1e-310 WHEN 2 THEN o_totalprice / 7 ELSE o_totalprice * -1e300 END AS v FROM orders)")
+def fin_transaction_ids(spark, sf_dir):
+    n, p = F.col("o_orderkey"), F.col("o_totalprice")
+    v = F.when(n % 4 == 0, -p).when(n % 4 == 1, p * 1e-310).when(n % 4 == 2, p / 7).otherwise(p * -1e300)
+    odd = table(spark, sf_dir, "orders").select((-n).alias("ordinal"), transaction_id(F.lit("s"), F.lit("d"), v, F.lit("x"), F.lit(1)).alias("transaction_id"))
+    return identified(transactions(spark, sf_dir)).select("ordinal", "transaction_id").union(odd)
+
+
+@query("fin_exceptions_map", f"""WITH {EX_SQL} SELECT statement_id, position, CAST(to_json({{'exception_id': CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'EXC_THRESHOLD_' WHEN 'DUPLICATE_DETECTED' THEN 'EXC_DUPLICATE_' WHEN 'ROUND_NUMBER' THEN 'EXC_ROUND_' ELSE 'EXC_ANOMALY_' END || left({ID_SQL}, 16), 'transaction_id': {ID_SQL}, 'date': date, 'amount': amount, 'rule_triggered': rule, 'severity': severity,
+    'recommended_action': CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'Manual approval required for large transactions' WHEN 'DUPLICATE_DETECTED' THEN 'Verify transaction not a duplicate entry' WHEN 'ROUND_NUMBER' THEN 'Review for possible rounding or estimate' ELSE 'Confirm correct categorization' END}}) AS VARCHAR) AS item FROM placed""")
+def fin_exceptions_map(spark, sf_dir):
+    return reports.exceptions_map(identified(all_exceptions(spark, sf_dir)))
+
+
+_REPORT_SQL = f"""WITH {EX_SQL}, f AS (SELECT *, {_FINDING} AS finding, CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'EXC_THRESHOLD_' WHEN 'DUPLICATE_DETECTED' THEN 'EXC_DUPLICATE_' WHEN 'ROUND_NUMBER' THEN 'EXC_ROUND_' ELSE 'EXC_ANOMALY_' END || left({ID_SQL}, 16) AS id, {ID_SQL} AS tid,
     CASE rule WHEN 'THRESHOLD_VIOLATION' THEN 'Manual approval required for large transactions' WHEN 'DUPLICATE_DETECTED' THEN 'Verify transaction not a duplicate entry' WHEN 'ROUND_NUMBER' THEN 'Review for possible rounding or estimate' ELSE 'Confirm correct categorization' END AS action FROM placed),
   c AS (SELECT statement_id, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l FROM f GROUP BY 1),
   s AS (SELECT tx.statement_id, printf('%.2f', CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)) AS total, count(*) AS n, array_to_string(list_sort(list(DISTINCT account)), ', ') AS accounts, array_to_string(list_sort(list(DISTINCT category)), ', ') AS categories,
@@ -124,18 +145,18 @@ _REPORT_SQL = f"""WITH {EX_SQL}, f AS (SELECT *, {_FINDING} AS finding, CASE rul
   SELECT statement_id, CAST(section AS INTEGER) AS section, CAST(position AS INTEGER) AS position, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM (SELECT statement_id, section, position, string_split(txt, '~') AS ls FROM parts)"""
 _AUDIT_PARTS = """SELECT statement_id, 0 AS section, 0 AS position, '# Financial Audit - Exceptions Report~~## Executive Summary~~- **Statement Period:** ' || a || ' to ' || b || '~- **Total Transactions:** ' || n || '~- **Total Amount:** $' || total || '~- **Exceptions Found:** ' || h || ' HIGH, ' || m || ' MEDIUM, ' || l || ' LOW~' AS txt FROM s
   UNION ALL SELECT statement_id, 1, 0, CASE WHEN h + m + l = 0 THEN '## Conclusion~~No exceptions detected. Statement appears compliant.' ELSE '## Flagged Transactions~' END FROM s
-  UNION ALL SELECT statement_id, 2, position, '### [' || severity || '] ' || ordinal || ' on ' || date || '~~**Amount:** $' || printf('%.2f', amount) || '~**Rule:** ' || rule || '~**Finding:** ' || finding || '~**Action Required:** ' || action || '~~<!-- CLAIM:C' || id || ' ANCHOR:' || id || ' -->~' FROM f
+  UNION ALL SELECT statement_id, 2, position, '### [' || severity || '] ' || tid || ' on ' || date || '~~**Amount:** $' || printf('%.2f', amount) || '~**Rule:** ' || rule || '~**Finding:** ' || finding || '~**Action Required:** ' || action || '~~<!-- CLAIM:C' || id || ' ANCHOR:' || id || ' -->~' FROM f
   UNION ALL SELECT statement_id, 3, 0, '---~~*This audit report contains exceptions for investigation*' FROM s"""
 _INTERNAL_PARTS = """SELECT statement_id, 0 AS section, 0 AS position, '# Financial Compliance - Internal Analysis~~## Statement Overview~~- **Statement ID:** ' || statement_id || '~- **Period:** ' || a || ' to ' || b || '~- **Transactions:** ' || n || '~- **Total Amount:** $' || total || '~- **Accounts:** ' || accounts || '~- **Categories:** ' || categories
     || '~~## Exception Analysis~~**Status:** ' || CASE WHEN h + m + l = 0 THEN 'COMPLIANT - No exceptions detected' ELSE h || ' HIGH, ' || m || ' MEDIUM, ' || l || ' LOW exceptions' END || '~' AS txt FROM s
   UNION ALL SELECT statement_id, 1, 0, '### HIGH Severity Items~' FROM s WHERE h + m + l > 0 UNION ALL SELECT statement_id, 3, 0, '~### MEDIUM Severity Items~' FROM s WHERE m > 0 UNION ALL SELECT statement_id, 5, 0, '~### LOW Severity Items~' FROM s WHERE l > 0
-  UNION ALL SELECT statement_id, CASE severity WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 4 ELSE 6 END, position, '- **' || ordinal || '** on ' || date || CASE severity WHEN 'HIGH' THEN ' ($' || printf('%.2f', amount) || ')~  - Rule: ' || rule || '~  - Finding: ' || finding ELSE '' END || '~  <!-- CLAIM:C' || id || ' ANCHOR:' || id || ' -->' FROM f
+  UNION ALL SELECT statement_id, CASE severity WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 4 ELSE 6 END, position, '- **' || tid || '** on ' || date || CASE severity WHEN 'HIGH' THEN ' ($' || printf('%.2f', amount) || ')~  - Rule: ' || rule || '~  - Finding: ' || finding ELSE '' END || '~  <!-- CLAIM:C' || id || ' ANCHOR:' || id || ' -->' FROM f
   UNION ALL SELECT statement_id, 7, 0, '~---~~*This compliance report contains full analysis for internal teams*' FROM s"""
 
 
 def _reported(spark, sf_dir, report):
     tx = transactions(spark, sf_dir)
-    return report(tx, finance.exceptions(tx, known_categories(spark)).withColumn("transaction_id", F.col("ordinal").cast("string")))
+    return report(tx, identified(finance.exceptions(tx, known_categories(spark))))
 
 
 @query("fin_report_audit", _REPORT_SQL.replace("%s", _AUDIT_PARTS))

@@ -57,7 +57,7 @@ def gate_rollup(spark, sf_dir):
     return bundles.prefix_rollup(check_results(spark, sf_dir), ("CHK.BUNDLE.", "CHK.AUDIT.", "CHK.NONE."))
 
 
-@query("gate_completeness", """WITH g AS (SELECT 'r' || (event_id % 1000) AS run_id, 'G' || lpad(CAST(event_id % 15 AS VARCHAR), 2, '0') AS gate_id, CASE event_id % 4 WHEN 0 THEN 'MAJOR' ELSE 'BLOCKER' END AS severity, CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'PASS' END AS result FROM events WHERE event_id % 2 = 0),
+@query("gate_completeness", """WITH g AS (SELECT 'r' || (event_id % 1000) AS run_id, 'G' || lpad(CAST(event_id % 15 AS VARCHAR), 2, '0') AS gate_id, CASE event_id % 4 WHEN 0 THEN 'MAJOR' ELSE 'BLOCKER' END AS severity, CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'PASS' END AS result FROM events),
   due AS (SELECT 'G' || lpad(CAST(i AS VARCHAR), 2, '0') AS gate_id, CASE WHEN i < 6 THEN 'BLOCKER' ELSE 'MAJOR' END AS severity FROM range(13) t(i) WHERE i % 4 <> 3),
   got AS (SELECT run_id, gate_id, count(*) AS n, min(CASE severity WHEN 'MAJOR' THEN 2 ELSE 3 END) AS low, bool_and(result = 'PASS') AS passed FROM g GROUP BY 1, 2),
   x AS (SELECT run_id, gate_id, severity FROM (SELECT DISTINCT run_id FROM g) CROSS JOIN due),
@@ -65,7 +65,7 @@ def gate_rollup(spark, sf_dir):
   SELECT run_id, gate_id, status, coalesce(passed AND status = 'ok', false) AS satisfied FROM j""")
 def gate_completeness(spark, sf_dir):
     n = F.col("event_id")
-    results = table(spark, sf_dir, "events").where(n % 2 == 0).select(F.concat(F.lit("r"), (n % 1000).cast("string")).alias("run_id"), F.format_string("G%02d", n % 15).alias("gate_id"), F.when(n % 4 == 0, "MAJOR").otherwise("BLOCKER").alias("severity"), F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS").alias("result"))
+    results = table(spark, sf_dir, "events").select(F.concat(F.lit("r"), (n % 1000).cast("string")).alias("run_id"), F.format_string("G%02d", n % 15).alias("gate_id"), F.when(n % 4 == 0, "MAJOR").otherwise("BLOCKER").alias("severity"), F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS").alias("result"))
     registry = spark.createDataFrame([(f"G{i:02d}", "BLOCKER" if i < 6 else "MAJOR", ["BALANCED"] if i % 4 == 3 else ["STRICT", "BALANCED"]) for i in range(13)], "gate_id string, severity string, policies array<string>")
     return bundles.gate_report(results, registry, "STRICT")
 

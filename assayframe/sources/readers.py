@@ -45,24 +45,22 @@ def parse_statements(files: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def parse_logs(files: DataFrame, text_col: str = "text", id_col: str = "incident_id") -> DataFrame:
-    """Log rows of JSON-array or NDJSON texts (told apart by the first character): incident_id, idx, line_no, the fields, reject_reason. Blank lines are skipped."""
-    text = F.col(text_col)
-    array = F.regexp_replace(text, r"^\s+", "").startswith("[")
-    from_array = files.where(array).select(F.col(id_col).alias("incident_id"), F.from_json(text, f"array<{LOG}>").alias("a"))
-    one = from_array.select("incident_id", F.posexplode_outer("a").alias("k", "e"))
-    lines = files.where(~array).select(F.col(id_col).alias("incident_id"), F.posexplode(F.split(text, "\r?\n")).alias("k", "line")).where(F.trim("line") != "")
-    many = lines.select("incident_id", "k", F.from_json("line", LOG).alias("e"))
-    fields = [f"e.{c}" for c in ("timestamp", "source_system", "actor", "action", "affected_resource", "evidence_text")]
-    rows = one.unionByName(many).select("incident_id", F.coalesce("k", F.lit(0)).alias("line"), *fields)
-    whole = F.greatest(*[F.when(F.col(c.split(".")[1]).isNull(), 1).otherwise(0) for c in fields]) == 0
-    before = F.row_number().over(_by("incident_id", "line")) - 1
-    return rows.withColumn("reject_reason", F.when(~whole, "missing field or malformed")).withColumn("idx", before)
-
-
-def _by(key: str, order: str):
-    from pyspark.sql import Window
+    """Log rows of JSON-array or NDJSON texts (told apart by the first character): incident_id, idx, line_no (from 1), the fields, reject_reason.
 
-    return Window.partitionBy(key).orderBy(order)
+    Blank lines are skipped. A text without any row, null and empty ones included, is one row with the reason ``no events``.
+    """
+    text, names = F.col(text_col), ("timestamp", "source_system", "actor", "action", "affected_resource", "evidence_text")
+    array = F.regexp_replace(text, r"^\s+", "").startswith("[")
+    blank = F.coalesce(F.trim(F.regexp_replace(text, r"[\r\n\t]", "")) == "", F.lit(True))
+    many = F.from_json(text, f"array<{LOG}>")
+    rows = F.when(blank, F.array().cast(f"array<struct<line:int,e:{LOG}>>")).when(array, F.transform(many, lambda e, i: F.struct((i + 1).alias("line"), e.alias("e"))))
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("x"))), lambda r: F.trim(r["x"]) != "")
+    rows = rows.otherwise(F.transform(lines, lambda r: F.struct(r["line"].alias("line"), F.from_json(r["x"], LOG).alias("e"))))
+    out = files.select(F.col(id_col).alias("incident_id"), blank.alias("blank"), array.alias("array"), F.posexplode_outer(rows).alias("idx", "r"))
+    out = out.select("incident_id", F.coalesce("idx", F.lit(0)).alias("idx"), F.col("r.line").alias("line_no"), *[F.col(f"r.e.{c}").alias(c) for c in names], "blank", "array")
+    empty = F.col("blank") | (F.col("array") & F.col("line_no").isNull())
+    whole = F.forall(F.array(*names), lambda c: c.isNotNull())
+    return out.withColumn("reject_reason", F.when(empty, "no events").when(~whole, "missing field or malformed")).drop("blank", "array")
 
 
 def parse_transcripts(files: DataFrame, text_col: str = "text") -> DataFrame:
