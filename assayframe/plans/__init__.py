@@ -1,6 +1,6 @@
 """Queries over the test tables, with the SQL that checks them."""
 
-from . import documents, events, policies, statements, verification
+from . import documents, events, policies, statements, validation, verification
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "documents", "events", "policies", "statements", "verification"]
+__all__ = ["QUERIES", "SQL", "documents", "events", "policies", "statements", "validation", "verification"]
