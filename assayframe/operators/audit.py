@@ -89,15 +89,29 @@ def build_chain(events: DataFrame) -> DataFrame:
     return rows.repartition("run_id").sortWithinPartitions("run_id", "line_no", "head", "tail").mapInArrow(fold, CHAIN)
 
 
+def before(rows: DataFrame, value: Column | str, key: str = "run_id", order: str = "line_no", name: str = "before", block: int = 100_000) -> DataFrame:
+    """``rows`` with the ``value`` of the row before each in its group, null for the first; ``order`` is a whole number, unique in a group.
+
+    Windows run over blocks of ``block`` numbers, and the first row of a block takes the last value of the block before it, so a group
+    of any size is spread over tasks. Columns ``__b``, ``__v`` and ``__prev`` are used inside.
+    """
+    cut = rows.withColumns({"__b": F.floor(F.col(order) / block), "__v": F.struct((F.col(value) if isinstance(value, str) else value).alias("x"))})
+    lasts = cut.groupBy(key, "__b").agg(F.max_by("__v", order).alias("__prev"))
+    lasts = lasts.withColumn("__prev", F.lag("__prev").over(Window.partitionBy(key).orderBy("__b")))
+    within = F.lag("__v").over(Window.partitionBy(key, "__b").orderBy(order))
+    out = cut.withColumn("__v", within).join(lasts, [key, "__b"], "left")
+    return out.withColumn(name, F.coalesce("__v", "__prev")["x"]).drop("__b", "__v", "__prev")
+
+
 def verify_chain(events: DataFrame) -> DataFrame:
     """Per run: events, broken links, wrong hashes, the first bad line and the verdict. ``events`` has both hashes as well.
 
-    Hashes are checked row by row, links by one window.
+    Hashes are checked row by row, links by blocks of lines (see ``before``).
     """
     head, tail = envelope()
     own = F.sha2(F.concat(head, F.col("prev_event_hash"), tail).cast("binary"), 256) == F.col("event_hash")
-    before = F.lag("event_hash", 1, ZERO).over(Window.partitionBy("run_id").orderBy("line_no"))
-    rows = events.select("run_id", "line_no", own.alias("own"), (before == F.col("prev_event_hash")).alias("linked"))
+    rows = before(events.select("run_id", "line_no", own.alias("own"), "event_hash", "prev_event_hash"), "event_hash", name="last")
+    rows = rows.withColumn("linked", F.coalesce("last", F.lit(ZERO)) == F.col("prev_event_hash"))
     bad = ~(F.coalesce("own", F.lit(False)) & F.coalesce("linked", F.lit(False)))
     out = rows.groupBy("run_id").agg(F.count("*").alias("n_events"), F.count_if(~F.coalesce("linked", F.lit(False))).alias("n_unlinked"), F.count_if(~F.coalesce("own", F.lit(False))).alias("n_altered"), F.min(F.when(bad, F.col("line_no"))).alias("first_bad_line"))
     return out.withColumn("result", F.when(F.col("first_bad_line").isNull(), "PASS").otherwise("FAIL"))
@@ -115,7 +129,6 @@ def taxonomy(events: DataFrame, required: dict[str, str] = REQUIRED) -> DataFram
 
 def illegal_transitions(states: DataFrame, legal: dict[str, tuple[str, ...]] = TRANSITIONS, always: str = "CANCELLED") -> DataFrame:
     """Changes of state (run_id, line_no, state) that are not legal: run_id, line_no, from_state, to_state."""
-    before = F.lag("state").over(Window.partitionBy("run_id").orderBy("line_no"))
     edges = [f"{a}>{b}" for a, bs in legal.items() for b in bs]
-    rows = states.select("run_id", "line_no", before.alias("from_state"), F.col("state").alias("to_state")).where("from_state is not null")
+    rows = before(states.select("run_id", "line_no", F.col("state").alias("to_state")), "to_state", name="from_state").where("from_state is not null")
     return rows.where((F.col("to_state") != always) & ~F.concat_ws(">", "from_state", "to_state").isin(edges))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import ascii_host, bbox_contains, span_contains
+from .audit import before
 
 #: Files that a bundle must hold; a name with a final slash is a prefix.
 REQUIRED_FILES = (
@@ -77,17 +78,28 @@ def gate_report(results: DataFrame, registry: DataFrame, policy: str) -> DataFra
 def egress_decisions(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Requests (request_id, url) with the first rule of ``rules`` (idx from 1, scheme, host, port, path_prefix) that allows them.
 
-    Joined on scheme, host and port; the path decides among a host's rules, whose number doesn't grow with the requests.
+    A host's rules are one sorted array, joined on scheme, host and port, and the first that fits the path is taken within the row; so
+    this works on streams, and requests are shuffled once at most.
     """
     part = lambda p: F.try_parse_url("url", F.lit(p))
     scheme = F.lower(part("PROTOCOL"))
     authority = F.regexp_extract(F.coalesce(part("AUTHORITY"), F.lit("")), r":(\d+)$", 1)
     port = F.when(authority != "", authority.try_cast("int")).when(scheme == "https", 443).otherwise(80)
-    asked = requests.select("request_id", "url", scheme.alias("scheme"), F.lower(part("HOST")).alias("host"), port.alias("port"), F.when(F.coalesce(part("PATH"), F.lit("")) == "", "/").otherwise(part("PATH")).alias("path"))
-    own = asked.join(rules, ["scheme", "host", "port"]).where(F.col("path_prefix").isNull() | F.expr("startswith(path, path_prefix)"))
-    first = own.groupBy("request_id").agg(F.min("idx").alias("idx"))
-    out = asked.join(first, "request_id", "left")
-    return out.select("request_id", "host", F.when(F.col("idx").isNull(), "BLOCKED").otherwise("ALLOWED").alias("decision"), F.format_string("ALW%04d", "idx").alias("rule_id")).withColumn("rule_id", F.when(F.col("decision") == "ALLOWED", F.col("rule_id")))
+    keys = [c for c in requests.columns if c != "url"]
+    asked = requests.select(*keys, "url", scheme.alias("scheme"), F.lower(part("HOST")).alias("host"), port.alias("port"), F.when(F.coalesce(part("PATH"), F.lit("")) == "", "/").otherwise(part("PATH")).alias("path"))
+    by_host = rules.groupBy("scheme", "host", "port").agg(F.array_sort(F.collect_list(F.struct("idx", "path_prefix"))).alias("rules"))
+    fits = F.filter("rules", lambda r: r["path_prefix"].isNull() | F.startswith(F.col("path"), r["path_prefix"]))
+    out = asked.join(by_host, ["scheme", "host", "port"], "left").withColumn("idx", F.try_element_at(fits, F.lit(1))["idx"])
+    return out.select(*keys, "url", "scheme", "host", "port", "path", F.when(F.col("idx").isNull(), "BLOCKED").otherwise("ALLOWED").alias("decision"), F.when(F.col("idx").isNotNull(), F.format_string("ALW%04d", "idx")).alias("rule_id"))
+
+
+def egress_events(decisions: DataFrame, reason: str = "NOT_ALLOWLISTED") -> DataFrame:
+    """Decisions (run_id, line_no, ts_utc, vault_id and, if there is one, body) as the audit events that record them, ready for a chain. Works on streams."""
+    body = F.col("body") if "body" in decisions.columns else F.lit("")
+    allowed = F.col("decision") == "ALLOWED"
+    destination = F.struct(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("port", F.lit(0)).alias("port"), F.coalesce("scheme", F.lit("")).alias("scheme"))
+    details = F.to_json(F.struct(F.col("rule_id").alias("allowlist_rule_id"), F.when(~allowed, reason).alias("block_reason"), destination.alias("destination"), F.lit("RUNTIME_OBSERVATION").alias("evidence_origin"), F.sha2(body.cast("binary"), 256).alias("request_hash_sha256")))
+    return decisions.select("run_id", "line_no", "ts_utc", F.when(allowed, "EGRESS_REQUEST_ALLOWED").otherwise("EGRESS_REQUEST_BLOCKED").alias("event_type"), "vault_id", F.lit("system").alias("actor"), details.alias("details"))
 
 
 def canonical_rules(rules: DataFrame) -> DataFrame:
@@ -163,8 +175,7 @@ def claim_decisions(claims: DataFrame, as_of: str) -> DataFrame:
 
 def order_violations(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
     """Rows whose ``value`` is smaller than that of the row before them (binary order)."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("before", before).withColumn("value", value).where("before > value")
+    return before(rows.withColumn("value", value), "value", key, order).where("before > value")
 
 
 def input_fingerprint(items: DataFrame, key: str) -> DataFrame:

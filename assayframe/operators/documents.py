@@ -14,7 +14,6 @@ UNCERTAIN_TERMS = ("possible", "may have", "suspected", "rule out")
 #: Phrases of risky clauses.
 HIGH_RISK = ("indemnify", "indemnification", "perpetual", "irrevocable", "sole discretion", "unrestricted", "terminate at will", "unlimited liability")
 MEDIUM_RISK = ("limit liability", "limitation of liability", "liability", "breach", "default", "force majeure", "governing law", "dispute", "arbitration")
-EXTRACTION_CONFIDENCE = {"DIGITAL": 0.98, "OCR": 0.85}
 CLAUSE = r"(?md)^(\d+(?:\.\d+)*)\s+([^\n]+)"
 _MARK = "￿"  # not a character, so no text holds it
 

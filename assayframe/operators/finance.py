@@ -49,17 +49,22 @@ def duplicates(tx: DataFrame, tolerance: float = 0.01, max_days: int = 1, compat
     return a.join(b, ["statement_id", "account", "bucket", "day"]).where(later & (F.abs(F.col("amount") - F.col("o_amount")) < tolerance) & (days <= max_days)).drop("bucket", "day", "o_date", "o_amount")
 
 
-def exceptions(tx: DataFrame, known: DataFrame, threshold: float = 10000.0) -> DataFrame:
-    """All rules' findings, with their position in the statement's report (severity, rule, date, row)."""
+def _rule(name: str, level: str, seq: int) -> Column:
+    return F.struct(F.lit(name).alias("rule"), F.lit(level).alias("severity"), F.lit(seq).alias("rule_seq"))
 
-    def rule(df: DataFrame, name: str, level: str, seq: int) -> DataFrame:
-        other = F.col("other_ordinal") if "other_ordinal" in df.columns else F.lit(None).cast("long")
-        return df.withColumn("other_ordinal", other).withColumns({"rule": F.lit(name), "severity": F.lit(level), "rule_seq": F.lit(seq)}).select(*EXCEPTION)
 
-    found = rule(over_threshold(tx, threshold), "THRESHOLD_VIOLATION", "HIGH", 0)
-    found = found.unionByName(rule(duplicates(tx), "DUPLICATE_DETECTED", "MEDIUM", 1))
-    found = found.unionByName(rule(tx.where(is_round(F.col("amount"))), "ROUND_NUMBER", "LOW", 2))
-    found = found.unionByName(rule(category_anomalies(tx, known), "CATEGORY_ANOMALY", "MEDIUM", 3))
+def exceptions(tx: DataFrame, known: DataFrame, threshold: float = 10000.0) -> DataFrame:
+    """All rules' findings, with their position in the statement's report (severity, rule, date, row). Rules on one row take one pass together."""
+
+    amount = F.col("amount")
+    own = [
+        F.when(amount > threshold, _rule("THRESHOLD_VIOLATION", "HIGH", 0)), F.when(is_round(amount), _rule("ROUND_NUMBER", "LOW", 2)),
+        F.when(~F.array_contains("categories", F.col("category")), _rule("CATEGORY_ANOMALY", "MEDIUM", 3)),
+    ]
+    rows = tx.join(known, "account", "left").withColumn("r", F.explode(F.array_compact(F.array(*own)))).withColumn("other_ordinal", F.lit(None).cast("long"))
+    twins = duplicates(tx).withColumn("r", _rule("DUPLICATE_DETECTED", "MEDIUM", 1))
+    columns = [F.col(f"r.{c}").alias(c) if c in ("rule", "severity", "rule_seq") else F.col(c) for c in EXCEPTION]
+    found = rows.select(*columns).union(twins.select(*columns))
     order = Window.partitionBy("statement_id").orderBy(severity_rank(F.col("severity")), "rule_seq", "date", "ordinal", "other_ordinal")
     return found.withColumn("position", F.row_number().over(order))
 

@@ -54,6 +54,37 @@ def redact(text: Column, profile: str = "STANDARD") -> Column:
     return text
 
 
+def redaction_spans(docs: DataFrame, text_col: str, id_cols: list[str], profile: str = "STANDARD") -> DataFrame:
+    """One row a match of the patterns: the id columns, span_start and span_end (bytes, end exclusive), original, reason, rule.
+
+    A text is cut at its matches, so that offsets are sums of lengths; no row leaves the JVM.
+    """
+    text, size = F.col(text_col), lambda x: F.octet_length(x)
+    rules = [(f"PII.{k}", reason, p) for k, (reason, p) in PII.items()] + ([] if profile == "BASIC" else [("SYSTEM.ip_address", *IP)])
+
+    def spans(rule: str, reason: str, pattern: str) -> Column:
+        found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+        step = lambda acc, z: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["end"] + size(z["b"])).alias("start"), (F.element_at(acc, -1)["end"] + size(z["b"]) + size(z["f"])).alias("end"), z["f"].alias("original"))))
+        first = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("original")))
+        walked = F.aggregate(F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("f")), first, step)
+        return F.transform(F.slice(walked, 2, 1 << 30), lambda s: F.struct(s["start"].alias("span_start"), s["end"].alias("span_end"), s["original"].alias("original"), F.lit(reason).alias("reason"), F.lit(rule).alias("rule")))
+
+    return docs.where(text.isNotNull()).select(*id_cols, F.explode(F.flatten(F.array(*[spans(*r) for r in rules]))).alias("r")).select(*id_cols, "r.*")
+
+
+def redactions_map(events: DataFrame, profile: str = "STANDARD") -> DataFrame:
+    """(incident_id, ts, idx, item): what is masked in the evidence of parsed events, as JSON objects."""
+    spans = redaction_spans(events, "evidence_text", ["incident_id", "ts", "idx", "anchor_id", "timestamp"], profile)
+    item = F.struct(F.col("anchor_id").alias("event_id"), "timestamp", F.col("original").alias("original_text"), "reason", F.col("rule").alias("profile_rule"))
+    return spans.select("incident_id", "ts", "idx", F.to_json(item).alias("item"))
+
+
+def citations_map(events: DataFrame) -> DataFrame:
+    """(incident_id, ts, idx, item): each parsed event as the JSON object that cites it."""
+    item = F.struct(F.concat(F.lit("C"), "anchor_id").alias("claim_id"), "anchor_id", "timestamp", F.col("source_system").alias("system"), "action")
+    return events.select("incident_id", "ts", "idx", F.to_json(item).alias("item"))
+
+
 def redaction_records(docs: DataFrame, text_col: str, id_cols: list[str], profile: str = "STRICT") -> DataFrame:
     """One row a match: the id columns, rule, ordinal (from 0, within the rule), original."""
     text = F.col(text_col)

@@ -162,7 +162,7 @@ def fingerprint(spark, sf_dir):
   SELECT page_id AS request_id, host, CASE WHEN idx IS NULL THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, CASE WHEN idx IS NOT NULL THEN printf('ALW%04d', idx) END AS rule_id FROM p LEFT JOIN m USING (page_id)""")
 def egress_match(spark, sf_dir):
     rules = spark.createDataFrame([(k, "http", "ththre.example.com", 80, f"/{lang}/") for k, lang in enumerate(("en", "fr", "de"), 1)], "idx int, scheme string, host string, port int, path_prefix string")
-    return bundles.egress_decisions(table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), "url"), rules)
+    return bundles.egress_decisions(table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), "url"), rules).select("request_id", "host", "decision", "rule_id")
 
 
 _ASSESSED = _CLAUSES.rsplit("\n  SELECT", 1)[0] + f""", k AS (SELECT contract_id, start_offset, 'REDLINE_' || contract_id || '_' || substr(sha256(t), 1, 8) || '_' || start_offset AS anchor_id,

@@ -176,7 +176,10 @@ def _streamed(spark, sf_dir, make):
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assayframe-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="assayframe-stream-")
     at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     batch = table(spark, sf_dir, "events")
     out = make(spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events*.parquet"))

@@ -79,12 +79,17 @@ def publish_passed(bundles: DataFrame, verdicts: DataFrame, path: str, key: str
 
 
 def encrypt(df: DataFrame, column: str, key: str) -> DataFrame:
-    """A column replaced by its AES-256-GCM ciphertext (nonce first); ``key`` has 32 bytes."""
-    return df.withColumn(column, F.aes_encrypt(F.col(column).cast("binary"), F.lit(key), F.lit("GCM")))
+    """A column replaced by its AES-256-GCM ciphertext (nonce first); ``key`` has 32 bytes. The key is a joined value, so plans don't show it."""
+    return _keyed(df, key).withColumn(column, F.aes_encrypt(F.col(column).cast("binary"), F.col("__key"), F.lit("GCM"))).select(*df.columns)
 
 
 def decrypt(df: DataFrame, column: str, key: str) -> DataFrame:
-    return df.withColumn(column, F.aes_decrypt(column, F.lit(key), F.lit("GCM")))
+    return _keyed(df, key).withColumn(column, F.aes_decrypt(column, F.col("__key"), F.lit("GCM"))).select(*df.columns)
+
+
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    one = df.sparkSession.createDataFrame([(1, key)], "__one int, __key string")
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one")  # one row
 
 
 def rotate_key(df: DataFrame, column: str, old: str, new: str) -> DataFrame:

@@ -113,6 +113,30 @@ def decode_payloads(payloads: DataFrame, max_text: int = 5 << 20, max_binary: in
     return out.withColumn("reject_reason", reason).drop("n")
 
 
+def ingest_payloads(artifacts: DataFrame, payloads: DataFrame, max_text: int = 5 << 20, max_binary: int = 20 << 20) -> DataFrame:
+    """Artifacts (artifact_id, expected: TEXT or PDF, declared_sha256) with the one payload (artifact_id, content_text, content_base64) of each.
+
+    Gives bytes, text, sha256, sha_enforced (a digest was declared), transformations, and the first fault: missing or duplicate, empty,
+    of the wrong kind, bad base64, not UTF-8, not a PDF, too large, a malformed or other digest.
+    """
+    sets = payloads.groupBy("artifact_id").agg(F.count("*").alias("n"), F.first("content_text").alias("t"), F.first("content_base64").alias("b"))
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    text = F.col("expected") == "TEXT"
+    plain = text & filled("t")
+    decoded = F.try_to_binary(F.when(filled("b"), F.trim("b")), F.lit("base64"))
+    out = artifacts.join(sets, "artifact_id", "left").withColumn("bytes", F.when(plain, F.col("t").cast("binary")).otherwise(decoded))
+    out = out.withColumns({"sha256": F.sha2("bytes", 256), "text": F.when(text, F.try_validate_utf8(F.col("bytes").cast("string")))})
+    declared = F.lower(F.trim("declared_sha256"))
+    told = filled("declared_sha256")
+    fault = (
+        F.when(F.col("n").isNull(), "missing payload").when(F.col("n") > 1, "duplicate payload").when(~text & ~filled("b") & filled("t"), "unsupported content type").when(~plain & ~filled("b"), "empty payload").when(F.col("bytes").isNull(), "invalid base64")
+        .when(text & F.col("text").isNull(), "invalid UTF-8").when(~text & (F.hex(F.substring("bytes", 1, 5)) != "255044462D"), "not a PDF").when(F.octet_length("bytes") > F.when(text, max_text).otherwise(max_binary), "too large")
+        .when(told & ~declared.rlike("^[0-9a-f]{64}$"), "malformed sha256").when(told & (declared != F.col("sha256")), "sha256 mismatch")
+    )
+    done = F.when(plain, F.array().cast("array<string>")).when(text, F.array(F.lit("BASE64_DECODE"), F.lit("UTF8_DECODE"))).otherwise(F.array(F.lit("BASE64_DECODE")))
+    return out.withColumns({"sha_enforced": told, "transformations": done, "reject_reason": fault}).drop("n", "t", "b")
+
+
 def pdf_text(files: DataFrame, content_col: str = "content", id_col: str = "path") -> DataFrame:
     """(id, text, pages): strings shown by Tj operators between BT and ET; blocks are joined by spaces, an ET ends a line.
 

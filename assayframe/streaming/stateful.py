@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.audit import CHAIN, TRANSITIONS, ZERO, envelope
+from ..operators.bundles import egress_decisions, egress_events
 
 
 def chain_stream(events: DataFrame) -> DataFrame:
@@ -52,6 +53,11 @@ def transition_stream(states: DataFrame, legal: dict[str, tuple[str, ...]] = TRA
     return states.groupBy("run_id").applyInPandasWithState(follow, "run_id string, line_no long, from_state string, to_state string", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def egress_stream(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """A stream of requests (run_id, line_no, ts_utc, vault_id, url) decided by the allowlist and recorded as chained audit events; state is each run's last hash."""
+    return chain_stream(egress_events(egress_decisions(requests, rules)))
+
+
 def tumbling(events: DataFrame, ts_col: str = "ts", width: str = "1 day", late: str = "1 hour", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts and sums by time window; the watermark only acts on streams."""
     df = events.withWatermark(ts_col, late) if events.isStreaming else events
