@@ -15,16 +15,14 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without that setting (tests, one machine) gets a folder of its own: below the
-    warehouse on a cluster, a temporary one in local mode.
+    Only a session in local mode without that setting (tests, one machine) gets a temporary folder of its own; a cluster without it is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        if sc.master.startswith("local["):
-            base = tempfile.mkdtemp(prefix="assayframe-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_assayframe"
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="assayframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 

@@ -120,6 +120,11 @@ def _linked(cols: list[np.ndarray], radius: int, small: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def blocks_for(n: int, radius: int = 4) -> int:
+    """The least number of blocks whose keys are so long that of ``n`` random fingerprints some eight or fewer share one. Any number finds all links."""
+    return next((b for b in range(radius + 2, 3 * radius + 3) if n >> (64 * (b - radius) // b) < 8), 3 * radius + 2)
+
+
 def links(nodes: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 2048) -> DataFrame:
     """(a, b): links that connect all ``nodes`` (node, fp; fp distinct) within ``radius`` bits of each other.
 
@@ -135,19 +140,20 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 2048)
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links of at most ``radius`` bits.
 
     Null and wordless texts have fingerprint zero and link like any other. Rows that share a doc_id
     share a node for each fingerprint. A row without doc_id gets the component of its fingerprint if
-    a document with an id has that fingerprint, else null. An empty table gives no rows.
+    a document with an id has that fingerprint, else null. An empty table gives no rows. ``blocks`` is chosen by the number of
+    fingerprints unless given; it decides the work, not the result.
     """
     fps = written(fingerprints(docs, text_col, id_col, shingle), "simhash")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-nodes")
     same = fps.join(nodes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     again = fps.groupBy("doc_id").agg(F.countDistinct("fp").alias("k")).where("k > 1").select("doc_id")
     same = same.join(again, F.col("a") == F.col("doc_id"), "left_semi")  # an id with several fingerprints bridges them
-    comps = connected_components(links(nodes, radius, blocks).union(same))
+    comps = connected_components(links(nodes, radius, blocks or blocks_for(nodes.count(), radius)).union(same))
     known = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 

@@ -275,4 +275,4 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     """Query: all pages written as WARC records and read back."""
     path = new_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_warc(spark, path)
+    return read_warc(spark, path).drop("record_id")

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from assayframe.llm.components import connected_components
-from assayframe.llm.simhash import links, near_duplicates, op9_simhash
+from assayframe.llm.simhash import blocks_for, links, near_duplicates, op9_simhash
 
 
 def fingerprint(t):
@@ -63,3 +63,10 @@ def test_odd_rows(odd_docs, make_docs):
     assert by[4].component_id == by[5].component_id == by[12].component_id == 4 and by[4].fp == 0
     assert by[2].component_id == 1 and by[None].component_id == 1
     assert near_duplicates(make_docs([(1, "x")]).limit(0)).collect() == []
+
+
+def test_blocks_decide_the_work_alone(spark, sf):
+    assert [blocks_for(n) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**13)] == sorted(blocks_for(n) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**13)) and blocks_for(0) == 6 and blocks_for(10**11) > 7
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    six, eight = (sorted(tuple(r) for r in near_duplicates(docs, blocks=b).collect()) for b in (6, 8))
+    assert six == eight
