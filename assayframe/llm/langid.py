@@ -8,17 +8,13 @@ lowest cross-entropy per symbol; a text that is worse than its language's calibr
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
-from functools import cache
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +23,14 @@ from ._words import mix
 
 ORDER = 4
 START, END = "\x02", "\x03"
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # a letter, then letters and their marks
 _SLICE = 1 << 19  # characters whose words are held at once
 RESULT = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
-@cache
-def _word() -> re.Pattern:
-    """A word: a letter (Unicode category L), then letters and their marks (M)."""
-
-    def ranges(kinds: str) -> str:
-        runs = groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c))[0] in kinds)
-        return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in (list(r) for inside, r in runs if inside))
-
-    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
-
-
 def words_of(text: str | None) -> list[str]:
     """The lowered words of a text."""
-    return _word().findall(text.lower()) if text else []
+    return _WORD.findall(text.lower()) if text else []
 
 
 def _keys(grams: np.ndarray, n: int, last: int = 1) -> np.ndarray:
