@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as words_
@@ -19,8 +19,9 @@ from ._exchange import answers_in_order, by_bucket, pack, pack_sorted, planes, u
 
 _END = np.uint64(0x0123456789ABCDEF)
 _TRAIN, _DEV, _HELD = 0, 1, 2
-N_BUCKETS, ROUNDS, STILL = 64, 40, 1e-4  # context-frequency buckets; rounds of EM at most; the change of a weight at which it ends
+N_BUCKETS, ROUNDS, STILL = 64, 40, 1e-3  # context-frequency buckets; rounds of EM at most; the change of a weight at which it ends
 START = (0.01, 0.49, 0.5)
+HOT_KEYS, HOT_SAMPLE, _CHUNK = 1 << 16, 64, 4096  # hot keys of a kind at most; batches in which they are looked for; hot keys a row
 
 
 class _Batch:
@@ -55,28 +56,57 @@ def _mixture(cells: DataFrame, uniform: float) -> np.ndarray:
     """EM: weights of (uniform, unigram, bigram) for each context-frequency bucket, from ``cells`` (bucket, p1, p2, n).
 
     Each round is one aggregation over all held-out counts, of which a row a bucket reaches the driver. Buckets without
-    held-out tokens get the weights learned on all of them together, which are the last row here.
+    held-out tokens get the mean of the others' weights by their tokens.
     """
-    both = cells.union(cells.select(F.lit(N_BUCKETS).cast("long").alias("bucket"), "p1", "p2", "n"))
-    weights = np.tile(START, (N_BUCKETS + 1, 1))
-    seen = np.zeros(N_BUCKETS + 1, bool)
+    weights, sizes = np.tile(START, (N_BUCKETS, 1)), np.zeros(N_BUCKETS)
     for _ in range(ROUNDS):
         w = [F.element_at(F.lit(weights[:, k].tolist()), (F.col("bucket") + 1).cast("int")) for k in range(3)]
         parts_ = [w[0] * F.lit(uniform), w[1] * F.col("p1"), w[2] * F.col("p2")]
         total = parts_[0] + parts_[1] + parts_[2]
-        rows = both.groupBy("bucket").agg(F.sum("n").alias("all"), *[F.sum(F.col("n") * x / total).alias(f"s{k}") for k, x in enumerate(parts_)]).collect()
+        rows = cells.groupBy("bucket").agg(F.sum("n").alias("all"), *[F.sum(F.col("n") * x / total).alias(f"s{k}") for k, x in enumerate(parts_)]).collect()
         new = weights.copy()
         for r in rows:
-            seen[r["bucket"]], new[r["bucket"]] = True, [r["s0"] / r["all"], r["s1"] / r["all"], r["s2"] / r["all"]]
+            sizes[r["bucket"]], new[r["bucket"]] = r["all"], [r["s0"] / r["all"], r["s1"] / r["all"], r["s2"] / r["all"]]
         moved, weights = np.abs(new - weights).max(), new
         if moved < STILL:
             break
     weights = np.maximum(weights, 1e-6)
-    weights[~seen] = weights[N_BUCKETS]
+    if sizes.any():
+        weights[sizes == 0] = np.average(weights, axis=0, weights=sizes)
     weights[0, 2] = 0.0  # a context never seen has no bigrams
     return weights / weights.sum(1, keepdims=True)
 
 
+def _hot_keys(packed: DataFrame) -> dict[str, np.ndarray]:
+    """Sorted unigram and bigram keys that more than half of a bounded sample of batches hold, at most ``HOT_KEYS`` of each.
+
+    They only decide the way that counts take: those of hot keys are summed by each task, so that a key of the whole corpus reaches
+    no bucket once a batch. All counts are exact whatever the sample.
+    """
+    n = packed.count()
+    sample = packed.where(F.pmod(F.xxhash64("batch"), F.lit(1 << 20)) < int(min(1.0, HOT_SAMPLE / max(n, 1)) * (1 << 20)))
+
+    def keys(rows):
+        for batch in rows:
+            for blob in batch.column("docs"):
+                b = _Batch(blob.as_py())
+                for kind, own in (("u", b.uni), ("b", b.bi)):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.string()), pa.array(own.view(np.int64))], ["kind", "key"])
+
+    least = max(min(n, HOT_SAMPLE) // 2, 2)
+    many = sample.mapInArrow(keys, "kind string, key long").groupBy("kind", "key").count().where(F.col("count") > least)
+    top = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "key"))
+    found = many.withColumn("r", top).where(F.col("r") <= HOT_KEYS).collect()  # bounded
+    return {kind: np.unique(np.array([r["key"] for r in found if r["kind"] == kind], np.int64).view(np.uint64)) for kind in "ub"}
+
+
+def _places(hot: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are hot, and the places of these among the hot ones."""
+    at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+    is_hot = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
+    return is_hot, at[is_hot]
+
+
 def _bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, N_BUCKETS - 1), 0)
 
@@ -96,21 +126,41 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     n_bytes = text_bytes(docs, "text")
     n_buckets = parts(spark, n_bytes, 10 << 20)
     packed = pack(docs, "ngrams", 4 << 20, apart="learn")
+    hot = spark.sparkContext.broadcast(_hot_keys(packed))  # at most HOT_KEYS a kind
 
     def ask(rows):
+        from pyspark import TaskContext
+
+        sums = {kind: np.zeros((2, len(own)), np.uint64) for kind, own in hot.value.items()}
         for batch in rows:
             for number, apart, blob in zip(batch.column("batch").to_pylist(), batch.column("apart").to_pylist(), batch.column("docs")):
                 b = _Batch(blob.as_py())
                 for kind, keys, which in (("u", b.uni, b.u), ("b", b.bi, b.b)):
                     train, dev = b.counts(which, len(keys))
+                    is_hot, place = _places(hot.value[kind], keys)
+                    sums[kind][0][place] += train[is_hot]
+                    sums[kind][1][place] += dev[is_hot]
+                    keys, train, dev = keys[~is_hot], train[~is_hot], dev[~is_hot]
                     at = [(k, i, j) for k, (i, j) in enumerate(zip(*by_bucket(keys, n_buckets))) if j > i]
                     yield pa.RecordBatch.from_pydict({
                         "kind": pa.array([kind] * len(at), pa.string()), "bucket": pa.array([k for k, _, _ in at], pa.int32()), "batch": pa.array([number] * len(at), pa.int64()), "apart": pa.array([apart] * len(at), pa.bool_()),
                         "keys": pa.array([pack_sorted(keys[i:j]) for _, i, j in at], pa.binary()),
                         "train": pa.array([planes(train[i:j]) for _, i, j in at], pa.binary()), "dev": pa.array([planes(dev[i:j]) for _, i, j in at], pa.binary()),
                     })
+        salt = TaskContext.get().partitionId() % 64
+        for kind, both in sums.items():
+            for k in range(0, both.shape[1], _CHUNK):
+                part = [planes(np.ascontiguousarray(x[k : k + _CHUNK])) for x in both]
+                yield pa.RecordBatch.from_pydict({
+                    "kind": pa.array([kind], pa.string()), "bucket": pa.array([-1 - (k // _CHUNK * 64 + salt)], pa.int32()), "batch": pa.array([-1], pa.int64()), "apart": pa.array([False], pa.bool_()),
+                    "keys": pa.array([b""], pa.binary()), "train": pa.array([part[0]], pa.binary()), "dev": pa.array([part[1]], pa.binary()),
+                })
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] < 0:  # hot keys' sums of several tasks
+            first = pdf.iloc[:1]
+            train, dev = (planes(np.sum([unplanes(x, np.uint64) for x in pdf[c]], axis=0, dtype=np.uint64)) for c in ("train", "dev"))
+            return pd.DataFrame({"kind": first["kind"], "bucket": first["bucket"], "batch": first["batch"], "apart": first["apart"], "train": [train], "dev": [dev], "tokens": 0, "types": 0, "learned": 0})
         keys = [unpack_sorted(x) for x in pdf["keys"]]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         _, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -128,15 +178,32 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     answers = packed.mapInArrow(ask, "kind string, bucket int, batch long, apart boolean, keys binary, train binary, dev binary").groupBy("kind", "bucket")
     answers = written(answers.applyInPandas(total, "kind string, bucket int, batch long, apart boolean, train binary, dev binary, tokens long, types long, learned long"), "ngram-counts")
     n_tokens, n_types, n_learn = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types"), F.sum("learned")).first())
+
+    def hot_counts(rows):
+        for batch in rows:
+            for kind, bucket, *both in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "train", "dev"))):
+                train, dev = (unplanes(x, np.int64) for x in both)
+                places = (-1 - bucket) // 64 * _CHUNK + np.arange(len(train))
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(train), pa.string()), pa.array(places), pa.array(train), pa.array(dev)], ["kind", "place", "train", "dev"])
+
+    counted = {kind: np.zeros((2, len(own)), np.uint64) for kind, own in hot.value.items()}
+    for r in answers.where("bucket < 0").mapInArrow(hot_counts, "kind string, place long, train long, dev long").groupBy("kind", "place").agg(F.sum("train"), F.sum("dev")).collect():
+        counted[r[0]][:, r[1]] = r[2], r[3]
+    answers = answers.where("bucket >= 0")
+    n_tokens, n_types, n_learn = n_tokens + int(counted["u"][0].sum()), n_types + int((counted["u"][0] > 0).sum()), n_learn + int(counted["u"][1].sum())
+    counted = spark.sparkContext.broadcast(counted)
     uniform = 1.0 / (n_types + 1)
 
     def looked_up(b: _Batch, right: pd.DataFrame, main: bool):
         """Counts of each token, its context, and the two together; main: without the learning fold."""
         out = []
-        for kind in "ub":
+        for kind, keys in (("u", b.uni), ("b", b.bi)):
+            is_hot, place = _places(hot.value[kind], keys)
             part = right[right["kind"] == kind]
-            c = answers_in_order(part, "train", np.uint64)
-            out.append((c - answers_in_order(part, "dev", np.uint64) if main else c).astype(float))
+            both = np.zeros((2, len(keys)), np.uint64)
+            both[:, is_hot] = counted.value[kind][:, place]
+            both[:, ~is_hot] = [answers_in_order(part, c, np.uint64) for c in ("train", "dev")]
+            out.append((both[0] - both[1] if main else both[0]).astype(float))
         return out[0][b.u], out[0][b.h], out[1][b.b]
 
     def learn_cells(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

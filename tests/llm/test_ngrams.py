@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+from assayframe.llm import ngrams
 from assayframe.llm.ngrams import N_BUCKETS, ROUNDS, START, STILL, op10_ngrams, score_texts
 
 
@@ -50,8 +51,9 @@ def plain_model(rows, folds=7, held=2, learn=3):
         if fold[i] == learn and learn != held:
             for h, w in zip([None, *ts], ts):
                 heldout[h, w] += 1
-    weights = {b: list(START) for b in range(N_BUCKETS + 1)}
-    cells = [(b, 1 / (v + 1), main_uni[w] / max(n_main, 1), main_bi[h, w] / max(main_uni[h], 1), k) for (h, w), k in heldout.items() for b in (bucket(main_uni[h]), N_BUCKETS)]
+    weights = {b: list(START) for b in range(N_BUCKETS)}
+    cells = [(bucket(main_uni[h]), 1 / (v + 1), main_uni[w] / max(n_main, 1), main_bi[h, w] / max(main_uni[h], 1), k) for (h, w), k in heldout.items()]
+    alls = Counter()
     for _ in range(ROUNDS):
         sums, alls = {}, Counter()
         for b, *p, k in cells:
@@ -64,7 +66,10 @@ def plain_model(rows, folds=7, held=2, learn=3):
         weights = new
         if moved < STILL:
             break
-    weights = {b: [max(x, 1e-6) for x in (ws if alls[b] else weights[N_BUCKETS])] for b, ws in weights.items()}
+    weights = {b: [max(x, 1e-6) for x in ws] for b, ws in weights.items()}
+    if alls:
+        mean = [sum(alls[b] * weights[b][j] for b in alls) / sum(alls.values()) for j in range(3)]
+        weights = {b: ws if alls[b] else list(mean) for b, ws in weights.items()}
     weights[0][2] = 0.0
     weights = {b: [x / sum(ws) for x in ws] for b, ws in weights.items()}
 
@@ -84,6 +89,18 @@ def test_scores_equal_brute_force(spark, sf):
         assert abs(sum(p(w, h) for w in uni) + p("an unknown word", h) - 1) < 1e-9
 
 
+def test_hot_keys_change_no_score(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    _, want, _ = plain_model(rows)
+    real = ngrams.pack
+    for size, hot in ((4 << 20, 0), (20_000, 1 << 16), (20_000, 50)):
+        monkeypatch.setattr(ngrams, "pack", lambda d, tag, _, apart: real(d, tag, size, apart=apart))
+        monkeypatch.setattr(ngrams, "HOT_KEYS", hot)
+        got = score_texts(docs).collect()
+        assert len(got) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-6 * -want[r.doc_id] for r in got)
+
+
 def test_small_corpora_equal_brute_force(make_docs):
     """Over all words after a context, the model's probabilities and the unknown word's sum to one."""
     for rows in ([(i, t) for i, t in enumerate(["a b a c", "a B", "b c a", "c a b a", None, ""] * 9)], [(i, "a b") for i in range(3)], [(i, f"w{i}") for i in range(50)]):
