@@ -19,38 +19,46 @@ ZERO = "0" * 64
 TRANSITIONS = {"CREATED": ("INGESTING", "READY"), "READY": ("EXECUTING", "EVALUATING"), "EXECUTING": ("EVALUATING",), "EVALUATING": ("EXPORTING", "FAILED"), "EXPORTING": ("COMPLETED", "FAILED")}
 #: The detail keys that an event of a type must have.
 REQUIRED = {
-    "RUN_CREATED": "pack_id pack_version policy_pack_id policy_pack_version determinism_enabled",
-    "RUN_STATE_CHANGED": "from_state to_state reason",
-    "POLICY_APPLIED": "policy_mode rules_enabled export_requirements",
-    "NETWORK_MODE_SET": "network_mode proof_level ui_remote_fetch_disabled",
-    "ALLOWLIST_UPDATED": "allowlist_hash_sha256 allowlist_count",
-    "ARTIFACT_INGEST_STARTED": "source_type source_ref",
-    "ARTIFACT_INGESTED": "artifact_id artifact_sha256 content_type size_bytes origin_path ingest_transformations",
-    "ARTIFACT_INGEST_COMPLETED": "artifact_count",
-    "EVAL_STARTED": "registry_version",
-    "EVAL_GATE_RESULT": "gate_id result severity evidence_pointers message",
-    "EVAL_COMPLETED": "gates_executed gates_failed_blocker gates_failed_total",
-    "EXPORT_REQUESTED": "requested_by export_targets policy_mode",
-    "EXPORT_BLOCKED": "block_reason failed_gate_ids",
-    "EXPORT_COMPLETED": "bundle_path bundle_sha256 bundle_version validator_result",
-    "EGRESS_REQUEST_ALLOWED": "destination allowlist_rule_id request_hash_sha256 evidence_origin",
-    "EGRESS_REQUEST_BLOCKED": "destination block_reason request_hash_sha256 evidence_origin",
-    "MODEL_SELECTION_RESOLVED": "task_type selected_model_id pinning_level adapter_id adapter_endpoint",
-    "MODEL_CALL_STARTED": "call_id task_type input_artifact_refs request_hash_sha256 timeout_ms",
-    "MODEL_CALL_COMPLETED": "call_id response_hash_sha256 duration_ms",
-    "MODEL_CALL_FAILED": "call_id error_category error_code error_message_redacted",
-    "NO_AI_MODE_USED": "reason affected_tasks",
-    "REDACTION_APPLIED": "artifact_id redaction_type region reason policy_rule_id",
-    "REDACTION_VALIDATION_RESULT": "result missing_required_redactions",
-    "CITATION_VALIDATION_RESULT": "result claims_total claims_missing_citations locator_schema_version",
-    "BUNDLE_VALIDATION_RESULT": "result failed_checks validator_version",
-    "VAULT_ENCRYPTION_STATUS": "encryption_at_rest algorithm key_storage",
-    "VAULT_KEY_ROTATED": "old_key_id new_key_id",
-    "DELETION_REQUESTED": "artifact_ids requested_by",
-    "DELETION_COMPLETED": "artifact_ids_deleted blob_delete_method sqlite_compaction_attempted result",
-    "RUN_COMPLETED": "", "RUN_FAILED": "", "RUN_CANCELLED": "", "DETERMINISM_PROFILE_SET": "", "DETERMINISM_DOWNGRADED": "", "DETERMINISM_VALIDATION_RESULT": "",
-    "BUNDLE_GENERATION_STARTED": "", "BUNDLE_GENERATION_COMPLETED": "", "BUNDLE_VALIDATION_STARTED": "", "EXPORT_FAILED": "",
-}
+    "RUN_CREATED": ("pack_id", "pack_version", "policy_pack_id", "policy_pack_version", "determinism_enabled"),
+    "RUN_STATE_CHANGED": ("from_state", "to_state", "reason"),
+    "POLICY_APPLIED": ("policy_mode", "rules_enabled", "export_requirements"),
+    "NETWORK_MODE_SET": ("network_mode", "proof_level", "ui_remote_fetch_disabled"),
+    "ALLOWLIST_UPDATED": ("allowlist_hash_sha256", "allowlist_count"),
+    "ARTIFACT_INGEST_STARTED": ("source_type", "source_ref"),
+    "ARTIFACT_INGESTED": ("artifact_id", "artifact_sha256", "content_type", "size_bytes", "origin_path", "ingest_transformations"),
+    "ARTIFACT_INGEST_COMPLETED": ("artifact_count",),
+    "EVAL_STARTED": ("registry_version",),
+    "EVAL_GATE_RESULT": ("gate_id", "result", "severity", "evidence_pointers", "message"),
+    "EVAL_COMPLETED": ("gates_executed", "gates_failed_blocker", "gates_failed_total"),
+    "EXPORT_REQUESTED": ("requested_by", "export_targets", "policy_mode"),
+    "EXPORT_BLOCKED": ("block_reason", "failed_gate_ids"),
+    "EXPORT_COMPLETED": ("bundle_path", "bundle_sha256", "bundle_version", "validator_result"),
+    "EGRESS_REQUEST_ALLOWED": ("destination", "allowlist_rule_id", "request_hash_sha256", "evidence_origin"),
+    "EGRESS_REQUEST_BLOCKED": ("destination", "block_reason", "request_hash_sha256", "evidence_origin"),
+    "MODEL_SELECTION_RESOLVED": ("task_type", "selected_model_id", "pinning_level", "adapter_id", "adapter_endpoint"),
+    "MODEL_CALL_STARTED": ("call_id", "task_type", "input_artifact_refs", "request_hash_sha256", "timeout_ms"),
+    "MODEL_CALL_COMPLETED": ("call_id", "response_hash_sha256", "duration_ms"),
+    "MODEL_CALL_FAILED": ("call_id", "error_category", "error_code", "error_message_redacted"),
+    "NO_AI_MODE_USED": ("reason", "affected_tasks"),
+    "REDACTION_APPLIED": ("artifact_id", "redaction_type", "region", "reason", "policy_rule_id"),
+    "REDACTION_VALIDATION_RESULT": ("result", "missing_required_redactions"),
+    "CITATION_VALIDATION_RESULT": ("result", "claims_total", "claims_missing_citations", "locator_schema_version"),
+    "BUNDLE_VALIDATION_RESULT": ("result", "failed_checks", "validator_version"),
+    "VAULT_ENCRYPTION_STATUS": ("encryption_at_rest", "algorithm", "key_storage"),
+    "VAULT_KEY_ROTATED": ("old_key_id", "new_key_id"),
+    "DELETION_REQUESTED": ("artifact_ids", "requested_by"),
+    "DELETION_COMPLETED": ("artifact_ids_deleted", "blob_delete_method", "sqlite_compaction_attempted", "result"),
+    "RUN_COMPLETED": (),
+    "RUN_FAILED": (),
+    "RUN_CANCELLED": (),
+    "DETERMINISM_PROFILE_SET": (),
+    "DETERMINISM_DOWNGRADED": (),
+    "DETERMINISM_VALIDATION_RESULT": (),
+    "BUNDLE_GENERATION_STARTED": (),
+    "BUNDLE_GENERATION_COMPLETED": (),
+    "BUNDLE_VALIDATION_STARTED": (),
+    "EXPORT_FAILED": (),
+}
 ORIGINS = ("CONTROL_SIMULATION", "RUNTIME_OBSERVATION")
 CHAIN = "run_id string, line_no long, prev_event_hash string, event_hash string"
 
@@ -117,9 +125,9 @@ def verify_chain(events: DataFrame) -> DataFrame:
     return out.withColumn("result", F.when(F.col("first_bad_line").isNull(), "PASS").otherwise("FAIL"))
 
 
-def taxonomy(events: DataFrame, required: dict[str, str] = REQUIRED) -> DataFrame:
+def taxonomy(events: DataFrame, required: dict[str, tuple[str, ...]] = REQUIRED) -> DataFrame:
     """Each event with the detail keys it lacks and the verdict: ok, unknown event_type, missing keys or a bad evidence_origin."""
-    table = F.create_map(*[x for k, v in required.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v.split()]).cast("array<string>"))])
+    table = F.create_map(*[x for k, v in required.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]).cast("array<string>"))])
     rows = events.withColumn("required", F.try_element_at(table, F.col("event_type")))
     rows = rows.withColumn("lacks", F.array_join(F.array_sort(missing_keys(F.col("details"), F.col("required"))), ","))
     origin = F.coalesce(F.get_json_object("details", "$.evidence_origin"), F.lit(""))

@@ -1,6 +1,6 @@
 """Queries over the test tables, with the SQL that checks them."""
 
-from . import documents, events, evidence, policies, statements, validation, verification
+from . import documents, events, evidence, policies, sources, statements, validation, verification
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "documents", "events", "evidence", "policies", "statements", "validation", "verification"]
+__all__ = ["QUERIES", "SQL", "documents", "events", "evidence", "policies", "sources", "statements", "validation", "verification"]
