@@ -146,7 +146,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     space = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
     entities = entities.withColumn("space", space)
     real = entities.select("space", F.col("id").alias("surrogate")).distinct()
-    open_, done = entities.withColumn("round", F.lit(0)), []
+    # drawing costs more than the bytes show: a number of tasks by rows, which adaptive execution leaves alone
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entities.count() // 20_000)
+    open_, done = entities.repartition(tasks, "id").withColumn("round", F.lit(0)), []
     for _ in range(_ROUNDS):
         inner = F.sha2(F.concat_ws("\x1f", "key", "kind", "id", F.col("round").cast("string")), 256)
         seed = F.sha2(F.concat_ws("\x1f", "key", inner), 256)
