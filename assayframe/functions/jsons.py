@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def canonical(text: Column) -> Column:
-    """Compact JSON with keys sorted at every level; null if it doesn't parse."""
-    return F.to_json(F.try_parse_json(text))
+def canonical(text: Column, integers: bool = False) -> Column:
+    """Compact JSON with keys sorted at every level; null if it doesn't parse or, with ``integers``, if a number has a fraction or an exponent."""
+    out = F.to_json(F.try_parse_json(text))
+    return F.when(integers_only(text), out) if integers else out
 
 
 def missing_keys(text: Column, required: Column) -> Column:

@@ -49,7 +49,7 @@ def uncovered_boxes(citations: DataFrame, redactions: DataFrame) -> DataFrame:
 
 
 def overall(checks: DataFrame, key: str = "bundle_id") -> DataFrame:
-    """Per bundle: FAIL if a BLOCKER isn't PASS, else WARN if anything isn't, else PASS."""
+    """Per bundle, of evaluated gates: FAIL if a BLOCKER failed, WARN if anything did, else PASS; what doesn't apply has not failed. ``validation.bundle_verdict`` judges checks."""
     bad = ~F.col("result").isin("PASS", "NOT_APPLICABLE")
     out = checks.groupBy(key).agg(F.count("*").alias("n_checks"), F.count_if(bad).alias("n_failed"), F.bool_or(bad & (F.col("severity") == "BLOCKER")).alias("blocked"))
     return out.select(key, "n_checks", "n_failed", F.when(F.col("blocked"), "FAIL").when(F.col("n_failed") > 0, "WARN").otherwise("PASS").alias("overall"))

@@ -180,7 +180,7 @@ def citations_map(claims: DataFrame, output_path: str) -> DataFrame:
     return at.select("narrative_id", "ord", F.to_json(F.struct("claim_id", F.lit(output_path).alias("output_path"), locator.alias("output_claim_locator"), cited.alias("citations"))).alias("json"))
 
 
-# transcripts
+# transcripts; headings and sentences within the builders are fixed values
 
 
 def assessed_transcripts(transcripts: DataFrame, consents: DataFrame, as_of: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Markdown reports as ordered lines.
 
-A report is rows (key, section, the place in it, line_no, line), so that a key with a third of all findings isn't gathered in one
+Headings, labels and sentences within the builders are fixed values. A report is rows (key, section, the place in it, line_no, line), so that a key with a third of all findings isn't gathered in one
 value; ``write_lines`` writes them in order, and ``documents_from_lines`` makes one text of each key where reports are small.
 """
 

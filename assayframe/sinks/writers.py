@@ -69,7 +69,10 @@ def zip_bundles(files: DataFrame, key: str = "bundle_id") -> DataFrame:
 
 
 def write_archives(bundles: DataFrame, path: str, key: str = "bundle_id") -> None:
-    """Publish archives (bundle_id, content, sha256) as Parquet; an existing target is an error, so nothing is overwritten."""
+    """Publish archives (bundle_id, content, sha256) as Parquet; an existing target is an error, so nothing is overwritten, and so is a digest that doesn't fit, before anything is written."""
+    other = bundles.where(~F.coalesce(F.sha2("content", 256) == F.lower("sha256"), F.lit(False))).count()
+    if other:
+        raise ValueError(f"{other} archives don't have their digest")
     bundles.select(key, "content", "sha256").write.mode("errorifexists").parquet(path)
 
 

@@ -7,6 +7,7 @@ Parsers work on a column of file texts, so that one job reads many small files;
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -177,7 +178,11 @@ def tar_entries(archives: DataFrame, id_col: str = "path", content_col: str = "c
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(path relative to the folder, bytes) of all files under a folder."""
+    """(path relative to the folder, bytes) of all files under a folder, and of the folders that hold them (ending in a slash, without bytes). Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.lit(path.rstrip("/") + "/")
-    return files.select(F.substring_index("path", root, -1).alias("path"), F.col("content").alias("bytes"))
+    root = re.sub(r"^[a-z]+:/*", "/", path).rstrip("/") + "/"
+    files = files.select(F.expr("substring(path, instr(path, {0}) + length({0}))".format("'" + root.replace("'", "\\'") + "'")).alias("path"), F.col("content").alias("bytes"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
+    folders = files.where(F.col("path").contains("/")).select(F.explode(above).alias("path")).distinct()
+    return files.unionByName(folders.withColumn("bytes", F.lit(None).cast("binary")))

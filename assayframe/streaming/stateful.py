@@ -18,7 +18,8 @@ def chain_stream(events: DataFrame) -> DataFrame:
     """The events of a stream chained by run as they come: run_id, line_no, prev_event_hash, event_hash.
 
     The state of a run is its last hash, so a restart from the checkpoint goes on where it stopped. Within a
-    micro-batch a run's events are taken in order of line_no.
+    micro-batch a run's events are taken in order of line_no, for which they are held at once: limit a source's files or bytes
+    per trigger (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) where one run may have very many.
     """
     head, tail = envelope()
     rows = events.select("run_id", F.col("line_no").cast("long"), head.alias("head"), tail.alias("tail"))

@@ -62,3 +62,37 @@ def test_policies_with_nulls(spark):
     got = policies.validate_policies(spark.createDataFrame([(None,) * 15], policies.POLICY)).first()
     assert not got.valid and got.failed_rules == list(policies.policy_rules())
     assert policies.validate_policies(spark.createDataFrame([], policies.POLICY)).count() == 0
+
+
+def test_directories(spark, tmp_path):
+    root = tmp_path / "a"
+    (root / "a" / "b").mkdir(parents=True)
+    (root / "x.txt").write_bytes(b"x")
+    (root / "a" / "b" / "y").write_bytes(b"z")
+    for path in (str(root), f"file://{root}/"):
+        got = {(r.path, None if r.bytes is None else bytes(r.bytes)) for r in readers.read_directory(spark, path).collect()}
+        assert got == {("x.txt", b"x"), ("a/", None), ("a/b/", None), ("a/b/y", b"z")}
+
+
+def test_publishing_fails_closed(spark, tmp_path):
+    import pytest
+
+    good, bad = ("a", bytearray(b"x"), "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"), ("b", bytearray(b"x"), "0" * 64)
+    schema = "bundle_id string, content binary, sha256 string"
+    verdicts = spark.createDataFrame([("a", "PASS"), ("b", "FAIL")], "bundle_id string, overall string")
+    with pytest.raises(ValueError):
+        writers.write_archives(spark.createDataFrame([good, bad], schema), f"{tmp_path}/x")
+    assert not (tmp_path / "x").exists()
+    writers.publish_passed(spark.createDataFrame([good, bad], schema), verdicts, f"{tmp_path}/y")
+    assert [r.bundle_id for r in spark.read.parquet(f"{tmp_path}/y").collect()] == ["a"]
+    with pytest.raises(Exception, match="already exists"):
+        writers.publish_passed(spark.createDataFrame([good], schema), verdicts, f"{tmp_path}/y")
+
+
+def test_hash_lists_and_appended_events(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("artifact_id,bundle_rel_path,sha256,bytes,content_type,logical_role\na,\"p,1\",00,12,t,r\nb,q,00,many,t,r\n")
+    assert [(r.artifact_id, r.bundle_rel_path, r.bytes) for r in readers.read_artifact_hashes(spark, f"{tmp_path}/h.csv").collect()] == [("a", "p,1", 12), ("b", "q", 0)]
+    for k in (1, 2):
+        spark.createDataFrame([(k,)], "n int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        writers.append_stream(spark.readStream.schema("n int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/at").awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
