@@ -1,5 +1,6 @@
 import re
 
+from assayframe.llm import pii
 from assayframe.llm.pii import TITLES, op4_pii, replace_entities
 
 TEXT = "Mail ann.lee+x@mail7.example.com, call +1 (269) 555-3296 or 555-123-4567; ip 16.195.23.156, ssn 123-45-6789, card 4539578763621486, iban DE89 3704 0044 0532 0130 00. Mrs. Jane Smith met Herr Karl Maier and господин Иван Петров."
@@ -91,3 +92,32 @@ def test_odd_rows(odd_docs):
     got = replace_entities(odd_docs, "k").collect()
     assert len(got) == odd_docs.count() and all(r.n_entities == 0 for r in got)
     assert replace_entities(odd_docs.limit(0), "k").collect() == []
+
+
+def test_query_equals_walk_of_all_mentions(spark, sf):
+    """Mentions found here, one text after another: what lies between them stays, one identity has one surrogate, and two have two."""
+    import regex
+
+    one, part = (regex.compile(p.removeprefix("(?U)")) for p in (pii.ENTITY, pii.ENTITY_OR_PART))
+    name = regex.compile(pii.NAME.removeprefix("(?U)"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts[-1], texts[-2] = TEXT + " Then Jane Smith, MAIER; call (269) 555-3296.", "Dr. Ann-Marie O'Neil wrote to Ann@X.org and ann@x.org; Mr. Lee. Lee again"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    new = {r.doc_id: (r.text, r.n_entities) for r in replace_entities(docs, "k").collect()}
+    shown, n_all = {}, 0
+    for i, t in texts.items():
+        known = {w.lower() for m in name.finditer(t) for w in m.groups()[1:] if w}
+        spans = [m.span() for m in (part if known else one).finditer(t)]
+        spans = [(a, b) for a, b in spans if not regex.fullmatch(pii._PART, t[a:b]) or t[a:b].lower() in known]
+        between = [t[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)])]
+        m = regex.fullmatch("(.+?)".join(map(regex.escape, between)), new[i][0], flags=regex.DOTALL)
+        assert m and new[i][1] == len(spans), (i, new[i][0][:200])
+        n_all += len(spans)
+        for (a, b), s in zip(spans, m.groups()):
+            v = t[a:b]
+            key = v.lower() if "@" in v or regex.fullmatch(pii._PART, v) else v if regex.fullmatch(pii._IP, v) else regex.sub(r"[^+\dA-Z]", "", v)
+            plain = s.lower() if "@" in s or regex.fullmatch(pii._PART, v) else s if regex.fullmatch(pii._IP, v) else regex.sub(r"[^+\dA-Z]", "", s)
+            assert shown.setdefault(key, plain) == plain != key
+            if not regex.fullmatch(pii._PART, v) and "@" not in v and not regex.fullmatch(pii._IP, v):
+                assert regex.sub(r"\d", "0", s) == regex.sub(r"\d", "0", v) or v[:2].isalpha()
+    assert n_all > 20 and len(set(shown.values())) == len(shown) and not set(shown.values()) & set(shown)
