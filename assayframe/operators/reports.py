@@ -114,6 +114,15 @@ def exception_lines(found: DataFrame) -> DataFrame:
     return found.select("statement_id", "position", line.alias("line"))
 
 
+def compliance_summary(files: DataFrame, tx: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """(statement_id, json): each statement's compliance summary; the period is that of its file (a column of JSON)."""
+    period = files.select(F.from_json(text_col, "statement_id string, period_start string, period_end string").alias("s")).select("s.*").groupBy("statement_id").agg(F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"))
+    all_ = summary(tx).join(compliance(found, tx), "statement_id").join(period, "statement_id", "left")
+    levels = F.struct(F.col("n_high").alias("HIGH"), F.col("n_medium").alias("MEDIUM"), F.col("n_low").alias("LOW"))
+    text = F.struct("statement_id", "period_start", "period_end", F.col("n").alias("transaction_count"), F.col("total").alias("total_amount"), (F.col("n_high") + F.col("n_medium") + F.col("n_low")).alias("exception_count"), levels.alias("exceptions_by_severity"), F.col("status").alias("compliance_status"))
+    return all_.select("statement_id", F.to_json(text).alias("json"))
+
+
 def exceptions_map(found: DataFrame) -> DataFrame:
     """(statement_id, position, item): the exceptions file's items as JSON objects, in order of position."""
     item = F.struct(finding_id().alias("exception_id"), "transaction_id", "date", "amount", F.col("rule").alias("rule_triggered"), "severity", _of_rule(1).alias("recommended_action"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import tarfile
 
 from pyspark.sql import functions as F
 
@@ -45,15 +47,15 @@ def src_logs(spark, sf_dir):
 _TRANSCRIPTS = [json.dumps({"patient_id": "p", "date": "2026-01-01", "provider": "d", "specialty": "s", "content": c, "confidence": 0.5}) for c in ("words", "  ")] + ['{"patient_id":"p"}', "x"]
 
 
-@query("src_transcripts", "SELECT reason, id, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'empty content' ELSE 'missing field' END AS reason, CASE WHEN o_orderkey % 4 < 2 THEN left(sha256('p2026-01-01' || CASE o_orderkey % 4 WHEN 0 THEN 'words' ELSE '  ' END), 16) END AS id FROM orders) GROUP BY ALL")
+@query("src_transcripts", "SELECT reason, id, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'empty content' ELSE 'missing field' END AS reason, CASE WHEN o_orderkey % 4 < 2 THEN 'CLINICAL_' || left(sha256('p2026-01-01' || CASE o_orderkey % 4 WHEN 0 THEN 'words' ELSE '  ' END), 16) END AS id FROM orders) GROUP BY ALL")
 def src_transcripts(spark, sf_dir):
     return readers.parse_transcripts(_texts(spark, sf_dir, "orders", "o_orderkey", _TRANSCRIPTS)).groupBy(F.col("reject_reason").alias("reason"), F.col("transcript_id").alias("id")).agg(F.count("*").alias("n"))
 
 
-@query("src_consents", "SELECT status, expires, reason, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 1 THEN 'REVOKED' ELSE 'VALID' END AS status, CASE WHEN o_orderkey % 3 < 2 THEN '2026-02-29' END AS expires, CASE WHEN o_orderkey % 3 = 2 THEN 'missing field' END AS reason FROM orders) GROUP BY ALL")
+@query("src_consents", "SELECT status, expires, id, reason, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 < 2 THEN 'CONSENT_' || left(sha256('CONSENT_p2024-02-29'), 16) END AS id, CASE o_orderkey % 3 WHEN 1 THEN 'REVOKED' ELSE 'VALID' END AS status, CASE WHEN o_orderkey % 3 < 2 THEN '2026-02-29' END AS expires, CASE WHEN o_orderkey % 3 = 2 THEN 'missing field' END AS reason FROM orders) GROUP BY ALL")
 def src_consents(spark, sf_dir):
     texts = ['{"patient_id":"p","date_given":"2024-02-29","scope":"s"}', '{"patient_id":"p","date_given":"2024-02-29","scope":"s","status":"REVOKED"}', "[]"]
-    return readers.parse_consents(_texts(spark, sf_dir, "orders", "o_orderkey", texts)).groupBy("status", F.col("date_expires").alias("expires"), F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
+    return readers.parse_consents(_texts(spark, sf_dir, "orders", "o_orderkey", texts)).groupBy("status", F.col("date_expires").alias("expires"), F.col("consent_id").alias("id"), F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("src_audit_log", "SELECT 'r' || user_id AS bundle_id, CAST(2 * (row_number() OVER (PARTITION BY user_id ORDER BY event_id)) - 1 AS INTEGER) AS line_no, event_type, props AS details FROM events")
@@ -117,3 +119,34 @@ def aud_taxonomy_all(spark, sf_dir):
     details = F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.when(k == "evidence_origin", origin).otherwise("1"))), ","), F.lit("}"))
     events = table(spark, sf_dir, "events").select("event_id", F.array(*map(F.lit, types))[(n % len(types)).cast("int")].alias("event_type"), details.alias("details"))
     return audit.taxonomy(events).select("event_id", "event_type", "lacks", "verdict")
+
+
+def _tar(*entries: tuple, end: bool = True) -> bytes:
+    """An archive of (path, kind, data)."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as t:
+        for path, kind, data in entries:
+            info = tarfile.TarInfo(path)
+            info.type, info.size = kind, len(data)
+            t.addfile(info, io.BytesIO(data))
+        whole = t.offset
+    return out.getvalue() if end else out.getvalue()[:whole]
+
+
+_DIR, _REG = tarfile.DIRTYPE, tarfile.REGTYPE
+_SOUND = (("./", _DIR, b""), ("home/", _DIR, b""), ("./project", _DIR, b""), ("candidate.patch.json", _REG, b"{}"), ("project/allowed.txt", _REG, b"x" * 700))
+_DAMAGED = bytearray(_tar(*_SOUND))
+_DAMAGED[600] ^= 1
+_TARS = (
+    (_tar(*_SOUND), ""), (b"", "empty"), (_tar(*_SOUND, end=False), "other entries"), (bytes(_DAMAGED), "checksum wrong"), (_tar(*_SOUND[:4]), "other entries"), (_tar(*_SOUND, ("other", _DIR, b"")), "unexpected folder: other"), (_tar(*_SOUND, ("other", _REG, b"")), "unexpected file: other"),
+    (_tar(*_SOUND, ("home/../x", _REG, b"")), "unsafe path: home/../x"), (_tar(*_SOUND, ("l", tarfile.SYMTYPE, b"")), "symbolic link: l"), (_tar(*_SOUND, ("l", tarfile.LNKTYPE, b"")), "hard link: l"), (_tar(*_SOUND, ("l", tarfile.FIFOTYPE, b"")), "special entry: l"), (_tar(*_SOUND[:3], ("candidate.patch.json", _REG, b"{" * 99), _SOUND[4]), "too large: candidate.patch.json"),
+    (_tar(*_SOUND)[: 5 * 512], "other entries"), (_tar(*_SOUND[:4], ("project/allowed.txt", _REG, b"y" * 700))[: 7 * 512], "cut short: project/allowed.txt"), (_tar(*_SOUND).replace(b"ustar", b"other"), "checksum wrong"),
+)
+
+
+@query("src_workspace_tars", f"SELECT p_partkey, w.fault, CASE WHEN w.fault = '' THEN 700 END AS allowed_bytes FROM part JOIN (VALUES {', '.join(f"({k}, '{f}')" for k, (_, f) in enumerate(_TARS))}) w(variant, fault) ON p_partkey % {len(_TARS)} = variant")
+def src_workspace_tars(spark, sf_dir):
+    archives = spark.createDataFrame([(str(k), bytearray(t)) for k, (t, _) in enumerate(_TARS)], "path string, content binary")
+    seen = readers.inspect_tars(archives, ("home", "project"), ("candidate.patch.json", "project/allowed.txt"), {"candidate.patch.json": 50})
+    seen = seen.select(F.col("archive_id").cast("long").alias("variant"), F.coalesce("fault", F.lit("")).alias("fault"), F.octet_length(F.col("files")["project/allowed.txt"]).alias("allowed_bytes"))
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_TARS)).alias("variant")).join(seen, "variant").drop("variant")

@@ -346,6 +346,17 @@ def eval_statuses(spark, sf_dir):
     return made.select("bundle_id", F.size("report.gates").cast("long").alias("n_gates"), F.col("report.overall_status").alias("overall"))
 
 
+@query("gates_satisfied", f"""{_GATES_SQL.replace('SELECT x.bundle_id, x.gate_id', ', gates AS (SELECT x.bundle_id, x.gate_id', 1)}) SELECT b.bundle_id, coalesce(bool_or(result IN ('PASS', 'NOT_APPLICABLE')) FILTER (gate_id = 'AUDIT_HASH_CHAIN.VERIFY_V1'), false) AS audit, b.policy <> 'STRICT' OR coalesce(bool_or(result IN ('PASS', 'NOT_APPLICABLE')) FILTER (gate_id = 'CITATIONS.STRICT_ENFORCED_V1'), false) AS citations,
+    b.policy = 'DRAFT_ONLY' OR coalesce(bool_or(result IN ('PASS', 'NOT_APPLICABLE')) FILTER (gate_id = '{_LIST}'), false) AS allowlist, false AS unknown FROM b JOIN gates USING (bundle_id) GROUP BY b.bundle_id, b.policy""")
+def gates_satisfied(spark, sf_dir):
+    bundles, entries = _bundle_tables(spark, sf_dir)
+    row = F.struct("gate_id", "category", F.col("result").alias("status"), "severity", "message", "evidence_pointers")
+    report = F.struct(F.collect_list(row).alias("gates"))
+    made = validation.evaluate_gates(bundles, entries, PACK).groupBy("bundle_id").agg(report.alias("report")).join(bundles, "bundle_id")
+    named = {"audit": "AUDIT_HASH_CHAIN.VERIFY_V1", "citations": "CITATIONS.STRICT_ENFORCED_V1", "allowlist": _LIST, "unknown": "NO.SUCH_GATE"}
+    return made.select("bundle_id", *[validation.gate_satisfied(F.col("report"), g, F.col("policy"), PACK).alias(k) for k, g in named.items()])
+
+
 _CLAIM = {"as_of_utc": "2026-01-01T12:00:00Z", "expected_case_id": "r1", "expected_source_revision": "abc", **{f"expected_{k}_sha256": _SHA for k in ("executable", "arguments", "environment", "audit_log")}, "credentials_required": False, "required_tool_id": None}
 _BOUND = _changed(_AUTHORITY, "source.audit_log_sha256", _SHA)
 _ASKED = (

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.checks import plus_years
+from ..functions.checks import plus_years, safe_relative_path
 from ..functions.ids import sha
 
 STATEMENT = "statement_id string, period_start string, period_end string, transactions array<struct<date:string,amount:double,account:string,category:string,description:string>>"
@@ -68,13 +68,13 @@ def parse_transcripts(files: DataFrame, text_col: str = "text") -> DataFrame:
     """Transcripts with reject_reason; blank content is rejected."""
     rows = files.select(F.from_json(text_col, TRANSCRIPT).alias("t")).select("t.*")
     missing = F.col("patient_id").isNull() | F.col("date").isNull() | F.col("provider").isNull() | F.col("specialty").isNull() | F.col("content").isNull()
-    return rows.withColumn("reject_reason", F.when(missing, "missing field").when(F.trim("content") == "", "empty content")).withColumn("transcript_id", sha(F.concat("patient_id", "date", "content"), 16))
+    return rows.withColumn("reject_reason", F.when(missing, "missing field").when(F.trim("content") == "", "empty content")).withColumn("transcript_id", F.concat(F.lit("CLINICAL_"), sha(F.concat("patient_id", "date", "content"), 16)))
 
 
 def parse_consents(files: DataFrame, text_col: str = "text") -> DataFrame:
     """Consents with their expiry date and reject_reason; an absent status is VALID."""
     rows = files.select(F.from_json(text_col, CONSENT).alias("t")).select("t.*").withColumn("status", F.coalesce("status", F.lit("VALID")))
-    return rows.withColumns({"date_expires": plus_years(F.col("date_given")), "reject_reason": F.when(F.col("patient_id").isNull() | F.col("date_given").isNull() | F.col("scope").isNull(), "missing field")})
+    return rows.withColumns({"consent_id": F.concat(F.lit("CONSENT_"), sha(F.concat(F.lit("CONSENT_"), "patient_id", "date_given"), 16)), "date_expires": plus_years(F.col("date_given")), "reject_reason": F.when(F.col("patient_id").isNull() | F.col("date_given").isNull() | F.col("scope").isNull(), "missing field")})
 
 
 def parse_audit_log(files: DataFrame, text_col: str = "text", id_col: str = "bundle_id") -> DataFrame:
@@ -177,6 +177,64 @@ def tar_entries(archives: DataFrame, id_col: str = "path", content_col: str = "c
     return archives.select(id_col, content_col).mapInPandas(each, "archive_id string, ord int, path string, kind string, bytes binary")
 
 
+def tar_headers(archives: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(archive_id, ord, header, data): the 512-byte headers of tar archives as they stand, with regular files' bytes (null if cut short).
+
+    The first header of zeros is the last row. Only the walk from header to header is done here; ``inspect_tars`` judges them.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, content in zip(batch[id_col], batch[content_col]):
+                at = k = 0
+                while at + 512 <= len(content or b""):
+                    header, at = content[at : at + 512], at + 512
+                    digits = header[124:136].strip(b" \0")
+                    size = int(digits, 8) if re.fullmatch(rb"[0-7]+", digits) and header[156:157] in (b"\0", b"0") else 0
+                    data = content[at : at + size] if at + size <= len(content) else None
+                    yield pd.DataFrame({"archive_id": [str(archive)], "ord": [k], "header": [header], "data": [data]})
+                    if not any(header):
+                        break
+                    at, k = at + -(-size // 512) * 512, k + 1
+
+    return archives.select(id_col, content_col).mapInPandas(each, "archive_id string, ord int, header binary, data binary")
+
+
+def inspect_tars(archives: DataFrame, folders: tuple[str, ...], files: tuple[str, ...], limits: dict[str, int], most: int = 64 << 20, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(archive_id, files, fault): workspaces that must hold exactly these folders and regular files.
+
+    ``files`` maps paths to bytes, and is null where there is a fault: a header's checksum, format, path or type, a size over its
+    limit in ``limits`` or over ``most`` together, a cut entry, or another set of entries. An empty archive has no end.
+    """
+    text = lambda start, n: F.regexp_replace(F.decode(F.substring("header", start, n), "ISO-8859-1"), "\0.*", "")
+    octal = lambda start, n: F.conv(F.when(F.trim(text(start, n)).rlike("^[0-7]+$"), F.trim(text(start, n))), 8, 10).try_cast("long")
+    total = F.expr("aggregate(sequence(1, 512), 0L, (a, i) -> a + if(i between 149 and 156, 32L, cast(conv(hex(substring(header, i, 1)), 16, 10) as long)))")
+    name = F.when(text(346, 155) == "", text(1, 100)).otherwise(F.concat(text(346, 155), F.lit("/"), text(1, 100)))
+    path = F.regexp_replace(F.regexp_replace(name, r"^\./", ""), "/+$", "")
+    rows = tar_headers(archives, id_col, content_col).withColumns({"path": path, "kind": F.substring(F.hex("header"), 313, 2), "size": octal(125, 12), "end": ~F.hex("header").rlike("[^0]")})
+    regular, at = F.col("kind").isin("00", "30"), lambda what: F.concat(F.lit(f"{what}: "), "path")
+    limit = F.coalesce(*[F.when(F.col("path") == p, n) for p, n in limits.items()], F.lit(most))
+    types = F.when(F.col("kind") == "31", "hard link").when(F.col("kind") == "32", "symbolic link").when(F.col("kind").isin("33", "34", "36", "37"), "special entry").otherwise("unknown type")
+    root = F.col("path") == ""
+    fault = (
+        F.when(F.col("end"), None).when(~F.coalesce(octal(149, 8) == total, F.lit(False)), "checksum wrong").when(~F.hex(F.substring("header", 258, 6)).isin("757374617200", "757374617220"), "not ustar").when(F.col("size").isNull(), "size wrong")
+        .when(root & (F.col("kind") == "35"), None).when(root, "root is no folder").when(~safe_relative_path(F.col("path")), at("unsafe path")).when((F.col("kind") == "35") & ((F.col("size") != 0) | ~F.col("path").isin(*folders)), at("unexpected folder"))
+        .when(F.col("kind") == "35", None).when(~regular, F.concat(types, F.lit(": "), "path")).when(~F.col("path").isin(*files), at("unexpected file")).when(F.col("size") > limit, at("too large")).when(F.col("data").isNull(), at("cut short"))
+    )
+    rows = rows.withColumn("fault", fault)
+    held = F.col("fault").isNull() & regular & ~root & ~F.col("end")
+    sets = rows.groupBy("archive_id").agg(
+        F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ord"))).alias("fault"), F.bool_or("end").alias("ended"), F.sum(F.when(held, F.col("size"))).alias("bytes"), F.collect_set(F.when(F.col("kind") == "35", F.nullif("path", F.lit("")))).alias("folders"),
+        F.array_sort(F.collect_list(F.when(held, F.struct("path", "ord", "data")))).alias("files"),
+    )
+    listed = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)])
+    shape = ~F.col("ended") | (F.array_sort("folders") != listed(folders)) | (F.array_distinct(F.transform("files", lambda f: f["path"])) != listed(files))
+    last = F.map_from_entries(F.filter(F.transform("files", lambda f: F.struct(f["path"], f["data"])), lambda f: f.isNotNull()))
+    out = archives.select(F.col(id_col).cast("string").alias("archive_id")).join(sets, "archive_id", "left")
+    fault = F.when(F.col("ended").isNull(), "empty").otherwise(F.coalesce("fault", F.when(F.col("bytes") > most, "too large together"), F.when(shape, "other entries")))
+    return out.withColumn("fault", fault).select("archive_id", F.when(F.col("fault").isNull(), last).alias("files"), "fault")
+
+
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """(path relative to the folder, bytes) of all files under a folder, and of the folders that hold them (ending in a slash, without bytes). Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

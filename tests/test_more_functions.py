@@ -67,3 +67,28 @@ def test_windows_and_sessions(spark):
     events = spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp, value double")
     assert sorted((r.n, r.total) for r in stateful.tumbling(events).collect()) == [(1, 4.0), (2, 3.0)]
     assert sorted(r.n for r in stateful.sessions(events).collect()) == [1, 2]
+
+
+def test_chain_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    from assayframe.operators import audit
+
+    schema, found = "run_id string, line_no long, ts_utc string, event_type string, vault_id string, actor string, details string", []
+
+    def step(rows):
+        spark.createDataFrame([(r, n, "t", "e", "v", "a", "{}") for r, n in rows], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = stateful.chain_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        stream.writeStream.foreachBatch(lambda df, _: found.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+
+    step([("r", 2), ("r", 1), ("s", 1)])
+    step([("r", 3), ("s", 2), ("s", 3)])
+    whole = audit.build_chain(spark.read.schema(schema).parquet(f"{tmp_path}/in"))
+    assert sorted(found) == sorted(map(tuple, whole.collect())) and len(found) == 6
+
+
+def test_before_over_blocks(spark):
+    from assayframe.operators.audit import before
+
+    rows = [(g, n, n * 7 % 5) for g in "ab" for n in (1, 2, 5, 9, 10, 11, 30, 31)]
+    got = before(spark.createDataFrame(rows, "run_id string, line_no long, v long"), "v", block=3).collect()
+    last = {(g, n): v for (g, m, v), (h, n, _) in zip(rows, rows[1:]) if g == h}
+    assert {(r.run_id, r.line_no): r.before for r in got} == {(g, n): last.get((g, n)) for g, n, _ in rows}
