@@ -24,6 +24,7 @@ from ._exchange import by_bucket, pack, pack_sorted, planes, unpack, unpack_sort
 #: A perfect difference cover of 13 (every residue is a difference of two members).
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _NO_ID = np.iinfo(np.int64).min
+HOT_WINDOWS, HOT_SAMPLE, _SALTS = 1 << 14, 64, 4096  # hot windows at most; batches in which they are looked for; parts in which their firsts are joined
 
 
 class _Batch:
@@ -64,6 +65,13 @@ class _Batch:
         return wins, a, b, ids, pos, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _matches(hot: np.ndarray, key: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are hot, and the places of these among the hot ones (rows of both hashes, sorted)."""
+    at = np.minimum(np.searchsorted(hot[0], key), max(hot.shape[1] - 1, 0))
+    is_hot = (hot[0][at] == key) & (hot[1][at] == key2) if hot.shape[1] else np.zeros(len(key), bool)
+    return is_hot, at[is_hot]
+
+
 def _bits(x: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool)
 
@@ -114,18 +122,47 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     asked = packed.mapInArrow(ask_anchors, "bucket int, batch long, keys binary, many binary")
     anchors = written(asked.groupBy("bucket").applyInPandas(repeated, answer), "anchors")
 
+    def some_windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for blob in left["docs"]:
+            b = read(blob)
+            _, key, key2, _, _, new, _ = b.firsts(b.windows(_in_order(right)))
+            out.append(pd.DataFrame({"a": key[new].view(np.int64), "b": key2[new].view(np.int64)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    # windows that more than half of a bounded sample of batches hold: their firsts are joined in salted parts, so that a passage of the
+    # whole corpus reaches no bucket once a batch. The sample decides that way alone; results are exact whatever it holds
+    n_batches = packed.count()
+    drawn = F.pmod(F.xxhash64("batch"), F.lit(1 << 20)) < int(min(1.0, HOT_SAMPLE / max(n_batches, 1)) * (1 << 20))
+    sampled = packed.where(drawn).groupBy("batch").cogroup(anchors.where(drawn).groupBy("batch")).applyInPandas(some_windows, "a long, b long")
+    many = sampled.groupBy("a", "b").count().where(F.col("count") > max(min(n_batches, HOT_SAMPLE) // 2, 2))
+    many = many.orderBy(F.desc("count"), "a", "b").limit(HOT_WINDOWS).collect()  # bounded
+    hot = np.array([(r["a"], r["b"]) for r in many], np.int64).reshape(-1, 2).view(np.uint64)
+    hot = hot[np.lexsort((hot[:, 1], hot[:, 0]))].T.copy()
+    hot = hot[:, np.diff(hot[0], prepend=hot[0][:1] + np.uint64(1)) != 0]  # of windows of one first hash one
+    hot_windows = spark.sparkContext.broadcast(hot)
+
     def ask_windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, blob in zip(left["batch"], left["docs"]):
             b = read(blob)
             _, key, key2, ids, pos, new, _ = b.firsts(b.windows(_in_order(right)))
             key, key2, ids, pos = key[new], key2[new], ids[new], pos[new]
+            is_hot, place = _matches(hot_windows.value, key, key2)
+            if len(place):
+                out.append((-1 - number % _SALTS, -1, planes(place.astype(np.int64)), b"", planes(ids[is_hot]), planes(pos[is_hot].astype(np.int64))))
+            key, key2, ids, pos = key[~is_hot], key2[~is_hot], ids[~is_hot], pos[~is_hot]
             for k, (i, j) in enumerate(zip(*by_bucket(key, n_buckets))):
                 if j > i:
                     out.append((k, number, pack_sorted(key[i:j]), key2[i:j].tobytes(), planes(ids[i:j]), planes(pos[i:j].astype(np.int64))))
         return pd.DataFrame(out, columns=["bucket", "batch", "keys", "keys2", "ids", "pos"])
 
     def earliest(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] < 0:  # of hot windows the first in some batches
+            place, ids, pos = (np.concatenate([unplanes(x, np.int64) for x in pdf[c]]) for c in ("keys", "ids", "pos"))
+            order = np.lexsort((pos, ids, place))
+            order = order[np.flatnonzero(np.diff(place[order], prepend=-1))]
+            return pd.DataFrame({"kind": "hot", "batch": -1, "bucket": pdf["bucket"].iloc[:1], "n": len(order), "flags": [np.stack([place[order], ids[order], pos[order]]).tobytes()]})
         keys = [unpack_sorted(x) for x in pdf["keys"]]
         a = np.concatenate(keys)
         b = np.frombuffer(b"".join(pdf["keys2"]), np.uint64)
@@ -140,14 +177,29 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         return pd.DataFrame({"kind": "window", "batch": pdf["batch"], "bucket": pdf["bucket"], "n": [len(k) for k in keys], "flags": flags})
 
     asked = packed.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInPandas(ask_windows, "bucket int, batch long, keys binary, keys2 binary, ids binary, pos binary")
-    windows = asked.groupBy("bucket").applyInPandas(earliest, answer)
+    windows = written(asked.groupBy("bucket").applyInPandas(earliest, answer), "windows")
+
+    def hot_firsts(rows):
+        for batch in rows:
+            for flags in batch.column("flags").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(flags, np.int64).reshape(3, -1)], ["place", "id", "pos"])
+
+    firsts = windows.where("kind = 'hot'").mapInArrow(hot_firsts, "place long, id long, pos long").groupBy("place").agg(F.min(F.struct("id", "pos")).alias("f")).collect()  # at most HOT_WINDOWS
+    lead_of = np.zeros((2, hot.shape[1]), np.int64)
+    for r in firsts:
+        lead_of[:, r["place"]] = r["f"]["id"], r["f"]["pos"]
+    hot_leads = spark.sparkContext.broadcast(lead_of)
+    windows = windows.where("kind = 'window'")
 
     def remove(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for blob in left["docs"]:
             b = read(blob)
-            wins, _, _, ids, pos, new, group = b.firsts(b.windows(_in_order(right[right["kind"] == "anchor"])))
-            own = _in_order(right[right["kind"] == "window"])
+            wins, key, key2, ids, pos, new, group = b.firsts(b.windows(_in_order(right[right["kind"] == "anchor"])))
+            is_hot, place = _matches(hot_windows.value, key[new], key2[new])
+            own = np.zeros(len(new), bool)
+            own[~is_hot] = _in_order(right[right["kind"] == "window"])
+            own[is_hot] = (ids[new][is_hot] == hot_leads.value[0][place]) & (pos[new][is_hot] == hot_leads.value[1][place])
             lead = new[group] if len(group) else group
             gone = wins[~(own[group] & (ids == ids[lead]) & (pos == pos[lead]))] if len(group) else wins
             cover_ = np.zeros(len(b.h) + 1, np.int32)

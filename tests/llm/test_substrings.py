@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from assayframe.llm import substrings
 from assayframe.llm.substrings import op6_substrings, remove_repeats
 
 
@@ -46,3 +47,14 @@ def test_every_alignment(make_docs, shift):
 
 def test_empty(make_docs):
     assert remove_repeats(make_docs([(1, "x")]).limit(0)).collect() == []
+
+
+def test_hot_windows_change_no_result(make_docs, monkeypatch):
+    common = " ".join(f"licence{k}" for k in range(45))
+    rows = [(None if k == 7 else k * 3 % 97, f"{'own ' * (k % 5)}text{k} {common} tail{k % 3} " + " ".join(f"z{k % 4}_{j}" for j in range(30))) for k in range(97)]
+    want = sorted(brute(rows), key=str)
+    real = substrings.pack
+    for size, hot in ((3000, 1 << 14), (3000, 5), (3000, 0), (1 << 22, 1 << 14)):
+        monkeypatch.setattr(substrings, "pack", lambda d, tag: real(d, tag, size))
+        monkeypatch.setattr(substrings, "HOT_WINDOWS", hot)
+        assert sorted((tuple(r) for r in remove_repeats(make_docs(rows)).collect()), key=str) == want, (size, hot)
