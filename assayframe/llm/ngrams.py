@@ -21,7 +21,7 @@ _END = np.uint64(0x0123456789ABCDEF)
 _TRAIN, _DEV, _HELD = 0, 1, 2
 N_BUCKETS, ROUNDS, STILL = 64, 40, 1e-3  # context-frequency buckets; rounds of EM at most; the change of a weight at which it ends
 START = (0.01, 0.49, 0.5)
-HOT_KEYS, HOT_SAMPLE, _CHUNK = 1 << 16, 64, 4096  # hot keys of a kind at most; batches in which they are looked for; hot keys a row
+HOT_KEYS, HOT_SAMPLE, _CHUNK = 1 << 16, 16, 4096  # hot keys of a kind at most; batches in which they are looked for; hot keys a row
 
 
 class _Batch:
@@ -90,14 +90,16 @@ def _hot_keys(packed: DataFrame) -> dict[str, np.ndarray]:
         for batch in rows:
             for blob in batch.column("docs"):
                 b = _Batch(blob.as_py())
-                for kind, own in (("u", b.uni), ("b", b.bi)):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.string()), pa.array(own.view(np.int64))], ["kind", "key"])
+                for bi, own in ((False, b.uni), (True, b.bi)):
+                    for k in range(0, len(own), 1 << 16):
+                        part = own[k : k + (1 << 16)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bi)), pa.array(part)], ["bi", "key"])
 
     least = max(min(n, HOT_SAMPLE) // 2, 2)
-    many = sample.mapInArrow(keys, "kind string, key long").groupBy("kind", "key").count().where(F.col("count") > least)
-    top = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "key"))
+    many = sample.mapInArrow(keys, "bi boolean, key long").groupBy("bi", "key").count().where(F.col("count") > least)
+    top = F.row_number().over(Window.partitionBy("bi").orderBy(F.desc("count"), "key"))
     found = many.withColumn("r", top).where(F.col("r") <= HOT_KEYS).collect()  # bounded
-    return {kind: np.unique(np.array([r["key"] for r in found if r["kind"] == kind], np.int64).view(np.uint64)) for kind in "ub"}
+    return {kind: np.unique(np.array([r["key"] for r in found if r["bi"] == (kind == "b")], np.int64).view(np.uint64)) for kind in "ub"}
 
 
 def _places(hot: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
