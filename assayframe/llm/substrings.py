@@ -24,7 +24,7 @@ from ._exchange import by_bucket, pack, pack_sorted, planes, unpack, unpack_sort
 #: A perfect difference cover of 13 (every residue is a difference of two members).
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _NO_ID = np.iinfo(np.int64).min
-HOT_WINDOWS, HOT_SAMPLE, _SALTS = 1 << 14, 64, 4096  # hot windows at most; batches in which they are looked for; parts in which their firsts are joined
+HOT_WINDOWS, HOT_SAMPLE, _SALTS = 1 << 14, 16, 4096  # hot windows at most; batches in which they are looked for; parts in which their firsts are joined
 
 
 class _Batch:
