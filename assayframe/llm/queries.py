@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .decontaminate import op2_decontaminate
 from .digests import op5_digests
 from .langid import op1_langid
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_secrets": op8_secrets,
         "op9_simhash": op9_simhash,
         "op10_ngrams": op10_ngrams,
+        "op11_alignment": op11_alignment,
         **QUERIES,
     }
 
