@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ def plain():
             return None
         over = [[t for t, x in enumerate(side) for _ in x] for side in (bytes_a, bytes_b)]
         links = list(dict.fromkeys(zip(*over)))
-        ends = [{sum(map(len, side[: k + 1])) for k in range(len(side))} for side in (bytes_a, bytes_b)]
+        ends = [set(accumulate(map(len, side))) for side in (bytes_a, bytes_b)]
         groups, i, j, at_a, at_b = [], 0, 0, 0, 0
         for end in sorted(ends[0] & ends[1]):
             x, y = [], []
