@@ -6,6 +6,7 @@ from .alignment import op11_alignment
 from .decontaminate import op2_decontaminate
 from .digests import op5_digests
 from .langid import op1_langid
+from .licenses import op13_licenses
 from .mixing import op3_mixing
 from .ngrams import op10_ngrams
 from .pii import op4_pii
@@ -14,6 +15,7 @@ from .simhash import op9_simhash
 from .sql import QUERIES, SQL
 from .substrings import op6_substrings
 from .warc import op7_warc
+from .whitening import op12_whitening
 
 
 def queries() -> dict:
@@ -29,6 +31,8 @@ def queries() -> dict:
         "op9_simhash": op9_simhash,
         "op10_ngrams": op10_ngrams,
         "op11_alignment": op11_alignment,
+        "op12_whitening": op12_whitening,
+        "op13_licenses": op13_licenses,
         **QUERIES,
     }
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .digests import compare_edited
+from .licenses import op13_licenses
 from .ngrams import score_texts
 from .secrets import op8_secrets
+from .whitening import op12_whitening
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,7 +32,17 @@ def ngram_base(spark, sf_dir: str):
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
-QUERIES = {"ext_digest_texts": digest_texts, "ext_secret_base": secret_base, "ext_ngram_base": ngram_base}
+def license_base(spark, sf_dir: str):
+    """Of the licences' query, words and places of the phrases."""
+    return op13_licenses(spark, sf_dir).drop("labels", "score")
+
+
+def whitening_base(spark, sf_dir: str):
+    """Of the whitening's query, the different vectors and each one's exact deviation; of the components, how many there are."""
+    return op12_whitening(spark, sf_dir).groupBy("vec_id").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("n"), F.max("deviation").alias("deviation"), F.max(F.col("identity_error") <= 0.0001).alias("white"))
+
+
+QUERIES = {"ext_digest_texts": digest_texts, "ext_secret_base": secret_base, "ext_ngram_base": ngram_base, "ext_license_base": license_base, "ext_whitening_base": whitening_base}
 
 _BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 _CRC = """crc AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) t(i)), crcs AS (SELECT list(v ORDER BY i) AS tab FROM crc)"""
@@ -60,4 +72,11 @@ SQL = {
     "ext_ngram_base": rf"""WITH {_CRC}, d AS (SELECT doc_id, {_FOLD} = 2 AS held, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '') AS ws FROM documents, crcs),
       t AS (SELECT doc_id, held, unnest(ws) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY w), z AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
       SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(*) FILTER (coalesce(c, 0) > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1)::DOUBLE)), 3) AS base_score FROM t LEFT JOIN c USING (w), z GROUP BY doc_id""",
+    "ext_license_base": r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+      p AS (SELECT doc_id, ws, list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + 4] = ['under', 'the', 'mit', 'license']) AS m, list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + 4] = ['apache', 'license', 'version', '2']) AS a, list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + 3] = ['cc', 'by', 'nc']) AS c FROM w)
+      SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(m) + len(a) + len(c) AS BIGINT) AS n_base, list_min(m || a || c) AS first_word, list_max(m || a || c) AS last_word,
+        array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "ext_whitening_base": """WITH r AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+      f AS (SELECT DISTINCT x FROM r), z AS (SELECT count(*) AS n FROM f), u AS (SELECT unnest(range(1, len(x) + 1)) AS k, unnest(x) AS c FROM f), s AS (SELECT list(t ORDER BY k) AS tot FROM (SELECT k, CAST(sum(c) AS BIGINT) AS t FROM u GROUP BY k))
+      SELECT vec_id, CAST(4 AS BIGINT) AS components, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda k: (n * x[k] - tot[k]) * (n * x[k] - tot[k]))) AS BIGINT) AS deviation, true AS white FROM r, z, s""",
 }
