@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import ascii_host, bbox_contains, span_contains
+from ..functions.checks import ascii_host, sensitive
+from . import coverage
 from .audit import before
 
 #: Files that a bundle must hold; a name with a final slash is a prefix.
@@ -27,25 +28,23 @@ def required_files(entries: DataFrame, required: tuple[str, ...] = REQUIRED_FILE
 
 
 def verify_hashes(declared: DataFrame, entries: DataFrame) -> DataFrame:
-    """Declared (path, sha256, bytes) against actual entries (path, sha256, bytes): the first failure of each, or ok. Blank paths are skipped."""
+    """Declared (path, sha256, bytes) against actual entries (path, sha256, bytes): the first failure of each, or ok. Digests and paths count as they stand: an upper-case digest differs, a path of blanks is a path. Empty paths are skipped."""
     actual = entries.select("path", F.col("sha256").alias("a_sha"), F.col("bytes").alias("a_bytes"))
-    out = declared.where(F.trim("path") != "").join(actual, "path", "left")
-    why = F.when(F.col("a_sha").isNull(), "missing").when(F.col("a_bytes") != F.col("bytes"), "size mismatch").when(F.col("a_sha") != F.lower("sha256"), "sha256 mismatch").otherwise("ok")
+    out = declared.where(F.col("path") != "").join(actual, "path", "left")
+    why = F.when(F.col("a_sha").isNull(), "missing").when(F.col("a_bytes") != F.col("bytes"), "size mismatch").when(~F.coalesce(F.col("a_sha") == F.col("sha256"), F.lit(False)), "sha256 mismatch").otherwise("ok")
     return out.withColumn("verdict", why).drop("a_sha", "a_bytes")
 
 
-def uncovered_spans(citations: DataFrame, sensitive: DataFrame, redactions: DataFrame) -> DataFrame:
-    """Citations (claim_id, artifact_id, start, end) of sensitive artifacts that no redaction (artifact_id, start, end) contains."""
-    r = redactions.select(F.col("artifact_id").alias("r_id"), F.col("start").alias("r_start"), F.col("end").alias("r_end")).distinct()
-    held = (F.col("artifact_id") == F.col("r_id")) & span_contains(F.col("r_start"), F.col("r_end"), F.col("start"), F.col("end"))
-    return citations.join(sensitive.select("artifact_id").distinct(), "artifact_id", "left_semi").join(r, held, "left_anti")
+def uncovered_spans(citations: DataFrame, artifacts: DataFrame, redactions: DataFrame) -> DataFrame:
+    """Citations (claim_id, artifact_id, start, end) that no redaction (artifact_id, start, end) contains, of sensitive ``artifacts`` (artifact_id, classification, tags)."""
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    guarded = artifacts.where(sensitive(F.coalesce("classification", F.lit("")), tags)).select("artifact_id").distinct()
+    return coverage.uncovered_spans(citations.join(guarded, "artifact_id", "left_semi"), redactions)
 
 
 def uncovered_boxes(citations: DataFrame, redactions: DataFrame) -> DataFrame:
     """Citations (claim_id, artifact_id, x, y, w, h) that no redaction box of the artifact contains."""
-    r = redactions.select(F.col("artifact_id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in "xywh"]).distinct()
-    held = (F.col("artifact_id") == F.col("r_id")) & bbox_contains(*[F.col(f"r_{c}") for c in "xywh"], *[F.col(c) for c in "xywh"])
-    return citations.join(r, held, "left_anti")
+    return coverage.uncovered_boxes(citations, redactions)
 
 
 def overall(checks: DataFrame, key: str = "bundle_id") -> DataFrame:

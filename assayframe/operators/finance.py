@@ -12,6 +12,7 @@ from ..functions.checks import days_apart, days_apart_compat, severity_rank
 
 #: Amounts that count as round.
 ROUND_AMOUNTS = (100.0, 500.0, 1000.0, 5000.0, 10000.0, 50000.0)
+CELL = 16  # tolerances of amount, and days, in a cell in which equal payments are looked for
 EXCEPTION = ("statement_id", "ordinal", "other_ordinal", "rule", "severity", "rule_seq", "date", "amount", "account")
 
 
@@ -34,16 +35,17 @@ def category_anomalies(tx: DataFrame, known: DataFrame) -> DataFrame:
 def duplicates(tx: DataFrame, tolerance: float = 0.01, max_days: int = 1, compat: bool = False) -> DataFrame:
     """Pairs of transactions of one account with nearly equal amounts and dates; the earlier row with other_ordinal.
 
-    The join's key holds a bucket of amounts twice the tolerance wide and one of ``max_days`` days, so that neither an account with a
-    third of all rows nor a fee paid daily for years meets itself; the later row is filed in its bucket and those beside it. The
-    older rule for days has no such bucket, as it takes dates of different years for 99 days apart and no more.
+    Rows meet in cells of ``CELL`` tolerances of amount and ``CELL`` times ``max_days`` days, so that neither an account with a third of all rows nor a fee
+    paid daily for years meets itself. Each row stands in its own cell; a later one also in those beside it that it lies so near to that a row there may match it (the cell's
+    halo), which few do. The older rule for days has no cells of days, as it takes dates of different years for 99 days apart and no more.
     """
-    bucket = F.floor(F.col("amount") / (2 * tolerance))
-    day = F.lit(0).cast("long") if compat else F.floor(F.unix_date(F.col("date").try_cast("date")) / max(max_days, 1))
-    days_of = F.array(day) if compat else F.array(day - 1, day)
-    a = tx.withColumns({"bucket": bucket, "day": day})
-    b = tx.select("statement_id", "account", F.col("ordinal").alias("other_ordinal"), F.col("date").alias("o_date"), F.col("amount").alias("o_amount"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"), days_of.alias("days"))
-    b = b.withColumn("day", F.explode("days")).drop("days")
+    wide, amount, reach_ = CELL * tolerance, F.col("amount"), 1.5 * tolerance  # a bit more than the tolerance: sums are rounded
+    day, days = F.unix_date(F.col("date").try_cast("date")), CELL * max(max_days, 1)
+    cell = lambda c, by: F.floor(c / by)
+    around = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    a = tx.withColumns({"bucket": cell(amount, wide), "day": F.lit(0).cast("long") if compat else cell(day, days)})
+    b = tx.select("statement_id", "account", F.col("ordinal").alias("other_ordinal"), F.col("date").alias("o_date"), amount.alias("o_amount"), (F.lit(0) if compat else day).alias("at"), around(cell(amount - reach_, wide), cell(amount + reach_, wide)).alias("bucket"))
+    b = b.withColumn("day", F.col("at").cast("long") if compat else around(cell(F.col("at") - max_days, days), cell(F.col("at"), days))).drop("at")
     days = (days_apart_compat if compat else days_apart)(F.col("date"), F.col("o_date"))
     later = (F.col("o_date") > F.col("date")) | ((F.col("o_date") == F.col("date")) & (F.col("other_ordinal") > F.col("ordinal")))
     return a.join(b, ["statement_id", "account", "bucket", "day"]).where(later & (F.abs(F.col("amount") - F.col("o_amount")) < tolerance) & (days <= max_days)).drop("bucket", "day", "o_date", "o_amount")

@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import bbox_contains, sensitive, span_contains
+from ..functions.checks import sensitive
 from ..functions.jsons import integers_only
 from ..functions.text import claim_markers
 from .audit import ZERO
 from .bundles import EGRESS_REASONS, REQUIRED_FILES
+from .coverage import uncovered_boxes, uncovered_spans
 from .policies import AUTHORITY, authority_contract, first_failed
 
 #: The checks, and the severity with which each fails.
@@ -197,11 +198,18 @@ def unredacted(facts: DataFrame) -> DataFrame:
     cited = cited.select("bundle_id", "k", "i", "claim_id", "x.artifact_id", F.col("x.locator_type").alias("kind"), F.col("x.locator").alias("l"))
     known = facts.select("bundle_id", F.explode(F.from_json(_path("artifacts", "$.artifacts"), _ARTIFACTS)).alias("a")).where(sensitive(F.coalesce("a.classification", F.lit("")), F.coalesce("a.tags", F.array().cast("array<string>")))).select("bundle_id", "a.artifact_id").distinct()
     red = facts.select("bundle_id", F.explode(F.from_json(_path("redactions", "$.artifacts"), _REDACTED)).alias("a")).select("bundle_id", F.col("a.artifact_id").alias("artifact_id"), F.explode("a.redactions").alias("r"))
-    red = red.select(F.col("bundle_id").alias("r_bundle"), F.col("artifact_id").alias("r_artifact"), F.col("r.redaction_type").alias("r_kind"), F.col("r.region").alias("g"))
-    spans = (F.col("r_kind") == "TEXT_SPAN") & (F.col("kind") == "PDF_TEXT_SPAN_V1") & span_contains(*map(F.col, ("g.start_char", "g.end_char", "l.start_char", "l.end_char")))
-    boxes = (F.col("r_kind") == "IMAGE_BBOX") & F.col("kind").isin("IMAGE_BBOX_V1", "PDF_BBOX_V1") & bbox_contains(*[F.col(f"g.bbox.{c}") for c in "xywh"], *[F.col(f"l.bbox.{c}") for c in "xywh"])
-    covers = (F.col("bundle_id") == F.col("r_bundle")) & (F.col("artifact_id") == F.col("r_artifact")) & (spans | boxes)
-    bare = cited.join(known, ["bundle_id", "artifact_id"], "left_semi").join(red, covers, "left_anti")
+    cited = cited.join(known, ["bundle_id", "artifact_id"], "left_semi")
+    keys = ("bundle_id", "artifact_id")
+    spans = lambda l: [F.col(f"{l}.start_char").alias("start"), F.col(f"{l}.end_char").alias("end")]
+    boxes = lambda l: [F.col(f"{l}.bbox.{c}").alias(c) for c in "xywh"]
+    own, kind = [*keys, "k", "i", "claim_id"], F.coalesce("kind", F.lit(""))
+    boxed = kind.isin("IMAGE_BBOX_V1", "PDF_BBOX_V1")
+    of = lambda name, what: red.where(F.col("r.redaction_type") == name).select(*keys, *what("r.region"))
+    bare = (
+        cited.where((kind != "PDF_TEXT_SPAN_V1") & ~boxed).select(*own)
+        .unionByName(uncovered_spans(cited.where(kind == "PDF_TEXT_SPAN_V1").select(*own, *spans("l")), of("TEXT_SPAN", spans), keys).select(*own))
+        .unionByName(uncovered_boxes(cited.where(boxed).select(*own, *boxes("l")), of("IMAGE_BBOX", boxes), keys).select(*own))
+    )
     named = F.transform(F.array_sort(F.collect_list(F.struct("k", "i", F.concat_ws(":", "claim_id", "artifact_id").alias("x")))), lambda s: s["x"])
     return bare.groupBy("bundle_id").agg(F.array_join(named, ", ").alias("unredacted"))
 

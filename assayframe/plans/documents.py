@@ -142,13 +142,15 @@ def cit_missing_claims(spark, sf_dir):
     return documents.uncited_claims(table(spark, sf_dir, "documents").select(marked.alias("text")), cited)
 
 
-@query("hash_verify", """SELECT 'f' || doc_id AS path, CASE WHEN text IS NULL OR doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'size mismatch' WHEN doc_id % 5 = 0 THEN 'sha256 mismatch' ELSE 'ok' END AS verdict FROM documents""")
+@query("hash_verify", """SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE 'f' || doc_id END AS path, CASE WHEN text IS NULL OR doc_id % 11 = 0 OR doc_id % 17 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'size mismatch' WHEN doc_id % 5 = 0 OR doc_id % 13 = 0 AND sha256(text) <> upper(sha256(text)) THEN 'sha256 mismatch' ELSE 'ok' END AS verdict FROM documents WHERE doc_id % 19 <> 0 OR doc_id % 17 = 0""")
 def hash_verify(spark, sf_dir):
+    """Digests in upper case and paths of blanks are taken as they stand."""
     d = table(spark, sf_dir, "documents")
-    size, n = F.octet_length("text"), F.col("doc_id")
-    declared = d.select(F.concat(F.lit("f"), n.cast("string")).alias("path"), F.when(n % 5 == 0, "0").otherwise(F.upper(F.sha2("text", 256))).alias("sha256"), F.when(n % 7 == 0, size + 1).otherwise(size).alias("bytes"))
-    entries = d.where(n % 11 != 0).select(F.concat(F.lit("f"), n.cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), size.alias("bytes"))
-    return bundles.verify_hashes(declared, entries).select("path", "verdict")
+    size, n, sha, own = F.octet_length("text"), F.col("doc_id"), F.sha2("text", 256), F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    path = F.when(n % 17 == 0, " ").when(n % 19 == 0, "").otherwise(own)
+    declared = d.select(n, path.alias("path"), F.when(n % 5 == 0, "0").when(n % 13 == 0, F.upper(sha)).otherwise(sha).alias("sha256"), F.when(n % 7 == 0, size + 1).otherwise(size).alias("bytes"))
+    entries = d.where(n % 11 != 0).select(own.alias("path"), sha.alias("sha256"), size.alias("bytes"))
+    return bundles.verify_hashes(declared, entries).select("doc_id", "path", "verdict")
 
 
 @query("fingerprint", "SELECT source, sha256(string_agg(e, '|' ORDER BY e)) AS fingerprint FROM (SELECT source, doc_id || coalesce(':' || sha256(text), '') AS e FROM documents) GROUP BY source")

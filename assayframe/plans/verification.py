@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, sets
-from ..operators import bundles
+from ..operators import bundles, coverage
 from .registry import query, table
 
 _CITE = "c AS (SELECT l_orderkey * 8 + l_linenumber AS claim_id, l_partkey AS artifact_id, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + l_linenumber AS e FROM lineitem)"
@@ -17,12 +17,25 @@ def citations(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim_id"), F.col("l_partkey").alias("artifact_id"), q.alias("start"), (q + F.col("l_linenumber")).alias("end"))
 
 
-@query("red_coverage", f"WITH {_CITE}, {_RED} SELECT claim_id, artifact_id FROM c WHERE artifact_id IN (SELECT p_partkey FROM part WHERE p_size > 25) AND NOT EXISTS (SELECT 1 FROM r WHERE r.artifact_id = c.artifact_id AND r.s <= c.s AND r.e >= c.e)")
+@query("red_coverage", f"WITH {_CITE}, {_RED} SELECT claim_id, artifact_id FROM c WHERE artifact_id IN (SELECT p_partkey FROM part WHERE p_size % 5 = 0 OR p_size > 25) AND NOT EXISTS (SELECT 1 FROM r WHERE r.artifact_id = c.artifact_id AND r.s <= c.s AND r.e >= c.e)")
 def red_coverage(spark, sf_dir):
     start = F.col("o_custkey") % 40
     r = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2000).alias("artifact_id"), start.alias("start"), (start + 10).alias("end"))
-    sensitive = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("artifact_id"))
-    return bundles.uncovered_spans(citations(spark, sf_dir), sensitive, r).select("claim_id", "artifact_id")
+    tags = F.array(F.lit("internal"), F.when(F.col("p_size") > 25, "PII").otherwise("public"))
+    artifacts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("artifact_id"), F.when(F.col("p_size") % 5 == 0, "Restricted").otherwise("Internal").alias("classification"), tags.alias("tags"))
+    return bundles.uncovered_spans(citations(spark, sf_dir), artifacts, r).select("claim_id", "artifact_id")
+
+
+@query("red_coverage_hot", """WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS claim_id, l_partkey % 3 AS artifact_id, l_orderkey * 7 % 100003 AS s, l_orderkey * 7 % 100003 + l_linenumber * 3 AS e FROM lineitem), r AS (SELECT o_orderkey % 3 AS artifact_id, o_orderkey * 11 % 100003 AS s, o_orderkey * 11 % 100003 + o_custkey % 12 AS e FROM orders),
+  p AS (SELECT artifact_id, s, max(e) AS e FROM (SELECT artifact_id, s, e FROM r UNION ALL SELECT artifact_id, s, NULL FROM c) GROUP BY ALL), w AS (SELECT artifact_id, s, max(e) OVER (PARTITION BY artifact_id ORDER BY s) AS far FROM p)
+  SELECT claim_id, artifact_id FROM c JOIN w USING (artifact_id, s) WHERE coalesce(far, -1) < c.e""")
+def red_coverage_hot(spark, sf_dir):
+    """Three artifacts with all citations and redactions."""
+    k = F.col("l_orderkey") * 7 % 100003
+    c = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim_id"), (F.col("l_partkey") % 3).alias("artifact_id"), k.alias("start"), (k + F.col("l_linenumber") * 3).alias("end"))
+    s = F.col("o_orderkey") * 11 % 100003
+    r = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("artifact_id"), s.alias("start"), (s + F.col("o_custkey") % 12).alias("end"))
+    return coverage.uncovered_spans(c, r).select("claim_id", "artifact_id")
 
 
 @query("bbox_containment", """WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS claim_id, l_partkey AS a, l_quantity AS x, l_linenumber AS y FROM lineitem), r AS (SELECT o_orderkey % 2000 AS a, o_custkey % 30 AS x, o_custkey % 5 AS y FROM orders)
