@@ -20,7 +20,7 @@ def brute(rows, components=4):
     for i, x in whole:
         dev = sum((n * c - s) ** 2 for c, s in zip(x, total))
         for k in range(min(components, len(e))):
-            out.setdefault((i, k + 1), []).append((n, dev, (np.array(x) - np.array(total) / n) @ axes[:, k] / math.sqrt(e[k]), e[k] / e.sum()))
+            out.setdefault((i, k + 1), []).append((n, dev if dev < 2**63 else None, (np.array(x) - np.array(total) / n) @ axes[:, k] / math.sqrt(e[k]), e[k] / e.sum()))
     return out
 
 
