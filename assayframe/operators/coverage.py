@@ -13,30 +13,61 @@ from pyspark.sql import functions as F
 BLOCK, FEW = 1 << 16, 64  # places in one window; boxes of an artifact up to which each is compared with all its citations
 
 
-def reach(outer: DataFrame, places: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """(keys, __at, __reach): the greatest ``__end`` of the rows of ``outer`` (keys, __at, __end) at or before each place (keys, __at).
-
-    Equal places are one row before any window. Windows run over blocks of places, and a block takes the greatest end of all blocks before it.
-    """
+def _swept(outer: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __b, __at, __reach): within each block the greatest ``__end`` of ``outer`` at or before each place. Equal places are one row before any window."""
     none = F.lit(None).cast(outer.schema["__end"].dataType).alias("__end")
-    points = outer.select(*keys, "__at", "__end").unionByName(places.select(*keys, "__at", none))
-    points = points.groupBy(*keys, "__at").agg(F.max("__end").alias("__end")).withColumn("__b", F.floor(F.col("__at") / block))
-    lasts = points.groupBy(*keys, "__b").agg(F.max("__end").alias("__last"))
-    lasts = lasts.withColumn("__last", F.max("__last").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.max("__end").over(Window.partitionBy(*keys, "__b").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
-    return points.withColumn("__end", within).join(lasts, [*keys, "__b"]).select(*keys, "__at", F.greatest("__end", "__last").alias("__reach"))
+    points = outer.select(*keys, "__b", "__at", "__end").unionByName(places.select(*keys, "__b", "__at", none)).groupBy(*keys, "__b", "__at").agg(F.max("__end").alias("__end"))
+    so_far = Window.partitionBy(*keys, "__b").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    return points.select(*keys, "__b", "__at", F.max("__end").over(so_far).alias("__reach"))
+
+
+def _by_number(outer: DataFrame, keys: list[str], few: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys that have up to ``few``, rows of the others or None if there are none); the second is found by one job over ``outer``."""
+    n = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    many = n.where(F.col("__n") > few).select(*keys)
+    if many.isEmpty():
+        return outer, None
+    return outer.join(many, keys, "left_anti"), outer.join(many, keys, "left_semi")
+
+
+def _compared(inner: DataFrame, outer: DataFrame, keys: list[str], held: str, how: str) -> DataFrame:
+    """``inner`` semi- or anti-joined with ``outer``, whose columns get an r at their end, by the keys and a condition."""
+    outer = outer.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"{c}r") for c in outer.columns if c not in keys])
+    same = F.expr(held)
+    for i, c in enumerate(keys):
+        same = same & (F.col(c) == F.col(f"__k{i}"))
+    return inner.join(outer, same, how)
 
 
-def uncovered_spans(citations: DataFrame, redactions: DataFrame, keys: tuple[str, ...] = ("artifact_id",), block: int = BLOCK) -> DataFrame:
-    """Citations (keys, start, end, ...) that no redaction (keys, start, end) of the same keys contains. Nulls and negative numbers contain nothing and are in nothing."""
+def uncovered_spans(citations: DataFrame, redactions: DataFrame, keys: tuple[str, ...] = ("artifact_id",), block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """Citations (keys, start, end, ...) that no redaction (keys, start, end) of the same keys contains. Nulls and negative numbers contain nothing and are in nothing.
+
+    A citation can only be in a redaction that goes on in the block of ``block`` places in which it starts: a redaction stands in each block that it reaches.
+    Keys with up to ``few`` different redactions are compared directly, which is linear in their citations; the number decides the way alone.
+    """
     keys, whole = list(keys), (F.col("start") >= 0) & (F.col("end") >= 0)
-    outer = redactions.where(whole).select(*keys, F.col("start").alias("__at"), F.col("end").alias("__end"))
+    of = lambda c: F.floor(c / block)
+    outer = redactions.where(whole & (F.col("start") <= F.col("end"))).select(*keys, F.col("start").alias("__s"), F.col("end").alias("__end")).distinct()
+    little, much = _by_number(outer, keys, few)
     cited = citations.withColumn("__at", F.when(whole, F.col("start")))
-    far = reach(outer, cited.where("__at is not null"), keys, block)
-    out = cited.join(far, [*keys, "__at"], "left").where(~F.coalesce(F.col("__reach") >= F.col("end"), F.lit(False)))
+    out = _compared(cited, little, keys, "__at >= __sr and end <= __endr", "left_anti")
+    if much is not None:
+        much = much.select(*keys, "__s", "__end", F.explode(F.sequence(of(F.col("__s")), of(F.col("__end")))).alias("__b"))
+        much = much.select(*keys, "__b", F.greatest("__s", F.col("__b") * block).alias("__at"), "__end")
+        out = out.withColumn("__b", of(F.col("__at")))
+        far = _swept(much, out.where("__at is not null"), keys)
+        out = out.join(far, [*keys, "__b", "__at"], "left").where(~F.coalesce(F.col("__reach") >= F.col("end"), F.lit(False)))
     return out.select(*citations.columns)
 
 
+def reach(outer: DataFrame, places: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """(keys, __b, __at, __reach): the greatest ``__end`` of the rows of ``outer`` (keys, __at, __end) at or before each place (keys, __at). Windows run over blocks; a block takes the greatest end of all before it."""
+    outer, places = (df.withColumn("__b", F.floor(F.col("__at") / block)) for df in (outer, places))
+    lasts = outer.groupBy(*keys, "__b").agg(F.max("__end").alias("__last")).unionByName(places.select(*keys, "__b").distinct().withColumn("__last", F.lit(None).cast(outer.schema["__end"].dataType)))
+    lasts = lasts.groupBy(*keys, "__b").agg(F.max("__last").alias("__last")).withColumn("__last", F.max("__last").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
+    return _swept(outer, places, keys).join(lasts, [*keys, "__b"]).select(*keys, "__b", "__at", F.greatest("__reach", "__last").alias("__reach"))
+
+
 def ranks(values: DataFrame, keys: list[str], block: float = BLOCK) -> DataFrame:
     """(keys, __v, __rank, __size): the place of each different value (keys, __v) among those of its keys, from 0, and their number. Windows run over blocks of values."""
     v = values.distinct().withColumn("__b", F.floor(F.col("__v") / block))
@@ -73,25 +104,20 @@ def _contained(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame
     node = [*keys, "__n__x0", "__n__y0"]
     outer, inner = (df.withColumn("__at", -F.col("__x1")) for df in (outer, inner))
     far = reach(outer.withColumn("__end", F.col("__y1")), inner, node)
-    return inner.join(far, [*node, "__at"]).where("__reach >= __y1").select(*keys, *_BOX).distinct()
+    return inner.join(far.drop("__b"), [*node, "__at"]).where("__reach >= __y1").select(*keys, *_BOX).distinct()
 
 
 def uncovered_boxes(citations: DataFrame, redactions: DataFrame, keys: tuple[str, ...] = ("artifact_id",), few: int = FEW) -> DataFrame:
     """Citations (keys, x, y, w, h, ...) that no redaction box (keys, x, y, w, h) of the same keys contains. Nulls and negative numbers contain nothing and are in nothing.
 
-    Keys with up to ``few`` different redactions are compared directly, which is linear in their citations; the number decides the way alone.
+    Keys with up to ``few`` different redactions are compared directly, as for spans.
     """
     keys = list(keys)
     inner, outer = _corners(citations, keys), _corners(redactions, keys)
-    n = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    with_few, with_many = (n.where(F.col("__n") <= few).select(*keys), n.where(F.col("__n") > few).select(*keys))
-    small = outer.join(with_few, keys, "left_semi").select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"{c}r") for c in _BOX])
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        same = same & (F.col(c) == F.col(f"__k{i}"))
-    direct = inner.join(small, same & F.expr("__x0r <= __x0 and __y0r <= __y0 and __x1r >= __x1 and __y1r >= __y1"), "left_semi")
-    swept = _contained(inner.join(with_many, keys, "left_semi"), outer.join(with_many, keys, "left_semi"), keys)
-    covered = direct.unionByName(swept)
+    little, much = _by_number(outer, keys, few)
+    covered = _compared(inner, little, keys, "__x0r <= __x0 and __y0r <= __y0 and __x1r >= __x1 and __y1r >= __y1", "left_semi")
+    if much is not None:
+        covered = covered.unionByName(_contained(inner.join(much.select(*keys).distinct(), keys, "left_semi"), much, keys))
     x, y, w, h = (F.col(c) for c in "xywh")
     cited = citations.withColumns(dict(zip(_BOX, (x, y, x + w, y + h))))
     # equal corners of boxes with a negative side are no boxes

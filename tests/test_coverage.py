@@ -22,8 +22,8 @@ def test_spans_equal_all_pairs(spark):
     want = sorted(i for i, a, s, e in cited if not (ok(s, e) and any(a is not None and a == b and ok(x, y) and x <= s and y >= e for _, b, x, y in red)))
     schema = "claim_id long, artifact_id string, start long, end long"
     c, r = spark.createDataFrame(cited, schema), spark.createDataFrame(red, schema)
-    for block in (7, 1 << 16):
-        got = coverage.uncovered_spans(c, r, block=block)
+    for block, few in ((7, 0), (1 << 16, 0), (7, 20), (7, 1000)):
+        got = coverage.uncovered_spans(c, r, block=block, few=few)
         assert sorted(x.claim_id for x in got.collect()) == want and got.columns == c.columns
     assert coverage.uncovered_spans(c, r.limit(0)).count() == len(cited) and coverage.uncovered_spans(c.limit(0), r).count() == 0
 
@@ -75,10 +75,10 @@ def test_one_artifact_with_very_many_spans(spark):
 
 def test_one_artifact_with_very_many_boxes(spark):
     made = {}
-    for n in (1000, 4000):
+    for n in (500, 2000):
         box = lambda k, side: spark.range(n).select(F.col("id").alias("claim_id"), F.lit("a").alias("artifact_id"), (F.col("id") * k % 9973).cast("double").alias("x"), (F.col("id") * (k + 2) % 9967).cast("double").alias("y"), F.lit(side).alias("w"), (F.col("id") % 13 + side).alias("h"))  # noqa: B023, E731
         made[n] = rows_of(coverage.uncovered_boxes(box(7919, 2.0), box(104729, 40.0)))
-    assert made[4000] < 4 * 2 * made[1000] and made[4000] < 4000 * 4000 / 10  # rows times the square of the logarithm, not pairs
+    assert made[2000] < 4 * 2 * made[500] and made[2000] < 2000 * 2000 / 5  # rows times the square of the logarithm, not pairs
 
 
 def test_duplicates_over_borders_equal_all_pairs(spark):
