@@ -44,6 +44,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id isn't in the one column of ``ids``; that column gets a name of its own, so none of ``df``'s clashes with it."""
+    name = f"id_{uuid.uuid4().hex}"
+    gone = written(ids.toDF(name).distinct(), "gone")
+    return df.join(gone, df[id_col] == gone[name], "left_anti")
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:

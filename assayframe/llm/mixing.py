@@ -66,8 +66,9 @@ def mix_sources(docs: DataFrame, budget_ratio: float = 1.0, entropy: float | Non
     if repetition is not None and budget_ratio > repetition:
         raise ValueError(f"a budget of {budget_ratio} times the tokens repeats some source more than {repetition} times")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in _NEW])
-    # equal rows have equal hashes, and only equal rows, so that each may stand for the others
-    row = F.xxhash64(F.lit(seed), id_col, text_col, *[F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()])
+    # equal rows have equal hashes, and only equal rows, so that each may stand for the others; maps, which Spark doesn't hash, count by their text
+    hashed = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`")), {"ignoreNullFields": "false"}) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    row = F.xxhash64(F.lit(seed), id_col, text_col, *[hashed(f) for f in docs.schema if f.name not in (id_col, text_col)])
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("none")).alias("src"), tokens(F.col(text_col).cast("string")).alias("tokens"), row.alias("h"))
     slim = written(work.select("src", "tokens", "h"), "mix-rows")
     sizes = written(slim.groupBy("src").agg(F.sum("tokens").alias("all"), F.count("*").alias("rows")), "mix-sources")

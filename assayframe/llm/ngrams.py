@@ -21,6 +21,7 @@ _END = np.uint64(0x0123456789ABCDEF)
 _TRAIN, _DEV, _HELD = 0, 1, 2
 N_BUCKETS, ROUNDS, STILL = 64, 40, 1e-3  # context-frequency buckets; rounds of EM at most; the change of a weight at which it ends
 START = (0.01, 0.49, 0.5)
+FEW_CELLS = 1 << 20  # cells of about 32 bytes that one task takes
 HOT_KEYS, HOT_SAMPLE, _CHUNK = 1 << 16, 16, 4096  # hot keys of a kind at most; batches in which they are looked for; hot keys a row
 
 
@@ -52,24 +53,51 @@ class _Batch:
         return tuple(np.bincount(which, weights=w, minlength=n).astype(np.uint64) for w in (self.fold != _HELD, self.fold == _DEV))
 
 
-def _mixture(cells: DataFrame, uniform: float) -> np.ndarray:
-    """EM: weights of (uniform, unigram, bigram) for each context-frequency bucket, from ``cells`` (bucket, p1, p2, n).
-
-    Each round is one aggregation over all held-out counts, of which a row a bucket reaches the driver. Buckets without
-    held-out tokens get the mean of the others' weights by their tokens.
-    """
-    weights, sizes = np.tile(START, (N_BUCKETS, 1)), np.zeros(N_BUCKETS)
+def _rounds(cells: pa.Table, uniform: float) -> pa.RecordBatch:
+    """All rounds of EM over cells held in one task: (bucket, w0, w1, w2, size)."""
+    bucket, p1, p2, n = (cells.column(c).to_numpy() for c in ("bucket", "p1", "p2", "n"))
+    size = np.bincount(bucket, n, N_BUCKETS)
+    weights, some = np.tile(START, (N_BUCKETS, 1)), size > 0
     for _ in range(ROUNDS):
-        w = [F.element_at(F.lit(weights[:, k].tolist()), (F.col("bucket") + 1).cast("int")) for k in range(3)]
-        parts_ = [w[0] * F.lit(uniform), w[1] * F.col("p1"), w[2] * F.col("p2")]
-        total = parts_[0] + parts_[1] + parts_[2]
-        rows = cells.groupBy("bucket").agg(F.sum("n").alias("all"), *[F.sum(F.col("n") * x / total).alias(f"s{k}") for k, x in enumerate(parts_)]).collect()
+        shares = weights[bucket] * np.stack([np.full(len(n), uniform), p1, p2], 1)
+        shares *= (n / shares.sum(1))[:, None]
         new = weights.copy()
-        for r in rows:
-            sizes[r["bucket"]], new[r["bucket"]] = r["all"], [r["s0"] / r["all"], r["s1"] / r["all"], r["s2"] / r["all"]]
+        new[some] = np.stack([np.bincount(bucket, shares[:, k], N_BUCKETS)[some] for k in range(3)], 1) / size[some, None]
         moved, weights = np.abs(new - weights).max(), new
         if moved < STILL:
             break
+    return pa.RecordBatch.from_arrays([pa.array(range(N_BUCKETS), pa.int64()), *[pa.array(weights[:, k].copy()) for k in range(3)], pa.array(size)], ["bucket", "w0", "w1", "w2", "size"])
+
+
+def _mixture(cells: DataFrame, uniform: float, few: int = FEW_CELLS) -> np.ndarray:
+    """EM: weights of (uniform, unigram, bigram) for each context-frequency bucket, from ``cells`` (bucket, p1, p2, n).
+
+    Up to ``few`` cells all rounds run in one task. Of more, each round is one aggregation over all held-out counts, of which a row a bucket reaches the driver; both give the same. Rounds end when no weight
+    changes by ``STILL`` or more, or after ``ROUNDS``: the likelihood rises in each, and what is left of its rise then is not looked for. Buckets without
+    held-out tokens get the mean of the others' weights by their tokens.
+    """
+    weights, sizes = np.tile(START, (N_BUCKETS, 1)), np.zeros(N_BUCKETS)
+    if cells.count() <= few:
+
+        def whole(rows):
+            held = list(rows)
+            if held:
+                yield _rounds(pa.Table.from_batches(held), uniform)
+
+        for r in cells.coalesce(1).mapInArrow(whole, "bucket long, w0 double, w1 double, w2 double, size double").collect():
+            weights[r["bucket"]], sizes[r["bucket"]] = [r["w0"], r["w1"], r["w2"]], r["size"]
+    else:
+        for _ in range(ROUNDS):
+            w = [F.element_at(F.lit(weights[:, k].tolist()), (F.col("bucket") + 1).cast("int")) for k in range(3)]
+            parts_ = [w[0] * F.lit(uniform), w[1] * F.col("p1"), w[2] * F.col("p2")]
+            total = parts_[0] + parts_[1] + parts_[2]
+            rows = cells.groupBy("bucket").agg(F.sum("n").alias("all"), *[F.sum(F.col("n") * x / total).alias(f"s{k}") for k, x in enumerate(parts_)]).collect()
+            new = weights.copy()
+            for r in rows:
+                sizes[r["bucket"]], new[r["bucket"]] = r["all"], [r["s0"] / r["all"], r["s1"] / r["all"], r["s2"] / r["all"]]
+            moved, weights = np.abs(new - weights).max(), new
+            if moved < STILL:
+                break
     weights = np.maximum(weights, 1e-6)
     if sizes.any():
         weights[sizes == 0] = np.average(weights, axis=0, weights=sizes)

@@ -37,6 +37,8 @@ _CODE = {
 }
 _STRETCH = re.compile(r"[%\\][%\\uUx{}0-9A-Fa-f]*")  # codes, and what may be one once others are decoded, lie within these
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Signs after which a part may begin, and how gzip and zlib data begin in base64.
+_PACKED_BASE64 = re.compile(r"[/_+-](?=H4sI|eAE|eF4|eJw|eNo)")
 _NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
 _PACKED_URL = re.compile(r"(?:%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa]))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()+$-])*")
 _BREAK = re.compile(r"[^A-Za-z0-9+/_=%\\{}-]")
@@ -93,15 +95,37 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
     yield from chunks
 
 
+_WIDE = re.compile(rb"(?:[\x01-\x7f]\0){4,}|(?:\0[\x01-\x7f]){4,}")
+
+
+def _narrowed(data: bytes) -> bytes:
+    """Runs of four or more ASCII characters in UTF-16, of either order and at any place, as single bytes."""
+    return _WIDE.sub(lambda m: m[0].replace(b"\0", b""), data) if b"\0" in data else data
+
+
+def _narrow_stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The chunks with UTF-16 runs narrowed, those over the chunks' ends too."""
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        end = len(held)
+        while end > 1 and len(held) - end < _CHUNK and (held[end - 1] == 0) != (held[end - 2] == 0):
+            end -= 1  # a run may go on
+        end = 0 if end <= 1 else end - 1 if len(held) - end < _CHUNK else len(held) - len(held) % 2
+        yield _narrowed(held[:end])
+        held = held[end:]
+    yield _narrowed(held)
+
+
 def _windows(chunks: Iterator[bytes], size: int, overlap: int) -> Iterator[str]:
     """The text of the chunks, whole up to ``size`` characters, else in windows that overlap.
 
     Windows are cut where no encoded part can run on; in a run of over four times ``size`` a multiple of four characters from its start.
+    A byte that isn't UTF-8 becomes U+FFFD.
     """
-    first = next(chunks, b"")
-    chunks, decode = chain([first], chunks), codecs.getincrementaldecoder(_utf16(first[:4096]) or "utf-8")("replace").decode
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
     held, n, want = [], 0, size
-    for chunk in chunks:
+    for chunk in _narrow_stream(chunks):
         held.append(decode(chunk))
         n += len(held[-1])
         while n > want:
@@ -128,27 +152,17 @@ def _break_before(text: str, end: int) -> int:
     return 0
 
 
-def _utf16(head: bytes) -> str | None:
-    """The codec of bytes that look like UTF-16."""
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "utf-16"
-    half = len(head) // 2
-    if half < 3:
-        return None
-    low, high = head[1 : 2 * half : 2].count(0), head[0 : 2 * half : 2].count(0)
-    return "utf-16-le" if 2 * low > half > 2 * high else "utf-16-be" if 2 * high > half > 2 * low else None
-
-
 def _texts(data: bytes) -> list[str]:
-    """The text of UTF-8 or UTF-16 bytes; of other bytes each is a character. Bytes that only look like UTF-16 are read both ways."""
-    codec, out = _utf16(data[:4096]), []
-    if codec:
-        out.append(data.decode(codec, "replace"))
-    if codec != "utf-16":
+    """The text of UTF-8 bytes, or of other bytes a character each; if some of them look like UTF-16, also the text with those parts narrowed, and all of them read so in both orders."""
+    out = []
+    narrow = _narrowed(data)
+    for x in dict.fromkeys((data, narrow)):
         try:
-            out.append(data.decode())
+            out.append(x.decode())
         except UnicodeDecodeError:
-            out.append(data.decode("latin-1"))
+            out.append(x.decode("latin-1"))
+    if narrow != data or data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        out += [data.decode(codec, "replace") for codec in ("utf-16-le", "utf-16-be")]
     return out
 
 
@@ -241,17 +255,27 @@ def _readings(text: str) -> Iterator[tuple[str, str, Callable[[int], int]]]:
 
 
 def _coded(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(coded, start, end) of base64 parts, on a line and wrapped over lines, and of compressed data in percent codes."""
+    """(coded, start, end) of base64 parts, on a line and wrapped over lines, and of compressed data in percent codes.
+
+    A part may be joined to other characters of its alphabet, as in a path. Whatever stands before it, it is decoded whole from one of the first four characters of the run;
+    compressed data, which has to be decoded from its very start, also from each of its beginnings after a sign.
+    """
     wrapped = 0  # the end of the last wrapped part
     for m in _BASE64.finditer(text) if runs else ():
-        yield m[0], *m.span()
-        lines, end = [m[0]], m.end()
-        while m.start() >= wrapped and len(lines[-1]) == len(m[0]) and not len(m[0]) % 4 and m[0][-1] != "=" and (more := _NEXT_LINE.match(text, end)) and len(more[1]) <= len(m[0]):
+        start, end = m.span()
+        yield m[0], start, end
+        for k in range(1, 4):
+            if end - start - k >= 16:
+                yield m[0][k:], start + k, end
+        for x in _PACKED_BASE64.finditer(text, start, end):
+            yield text[x.end() : end], x.end(), end
+        lines = [m[0]]
+        while start >= wrapped and len(lines[-1]) == len(m[0]) and not len(m[0]) % 4 and m[0][-1] != "=" and (more := _NEXT_LINE.match(text, end)) and len(more[1]) <= len(m[0]):
             lines.append(more[1])
             end = more.end()
         if len(lines) > 1:
             wrapped = end
-            yield "".join(lines), m.start(), end
+            yield "".join(lines), start, end
     for m in _PACKED_URL.finditer(text) if "%" in text else ():
         yield m[0], *m.span()
 
@@ -278,25 +302,34 @@ def _opened(data: bytes, layer: str, limit: int) -> Iterator[tuple[str, str]]:
         seen.add(mark)
         layer += ">inflate"
         if size > limit:
-            stream, heads = chain(held, stream), set()
+            depth, known = 1, set()
             while True:
-                head = next(stream)
-                if not _compressed(head) or head[:4096] in heads:
+                head = next(_unpacked(data, depth), None)
+                if head is None or not _compressed(head):
+                    break
+                whole = hashlib.sha256()
+                for piece in _unpacked(data, depth):  # a pass a layer: what is told apart is the whole layer
+                    whole.update(piece)
+                if whole.digest() in known:
                     break
-                heads.add(head[:4096])
-                inner = _inflated(chain([head], stream))
-                first = next(inner, None)
-                if first is None:
-                    return
-                stream, layer = chain([first], inner), layer + ">inflate"
-            yield from ((layer, text) for text in _windows(chain([head], stream), limit, min(_OVERLAP, limit // 8)))
+                known.add(whole.digest())
+                depth, layer = depth + 1, layer + ">inflate"
+            yield from ((layer, text) for text in _windows(_unpacked(data, depth), limit, min(_OVERLAP, limit // 8)))
             return
         data = b"".join(held)
     yield from ((layer, text) for text in _texts(data))
 
 
+def _unpacked(data: bytes, depth: int) -> Iterator[bytes]:
+    """The contents of compressed data, so many layers deep."""
+    chunks: Iterator[bytes] = iter([data])
+    for _ in range(depth):
+        chunks = _inflated(chunks)
+    return chunks
+
+
 class _Part:
-    """What an encoded part holds: of each kind of secret the layers and value of one; and the parts it stands in."""
+    """What an encoded part holds: the layers of each secret, by its kind and value; and the parts it stands in."""
 
     __slots__ = ("found", "within")
 
@@ -311,7 +344,7 @@ def _expand(part: _Part, coded: str, limit: int) -> Iterator[tuple[str, str]]:
             layers = f"{layer}>{name}" if name else layer
             runs = [m.span() for m in _LONG.finditer(reading)]
             for kind, _, _, value in base_spans(reading, runs):
-                part.found.setdefault(kind, ((layers, None), value))
+                part.found.setdefault((kind, value), (layers, None))
             yield from ((inner, layers) for inner, _, _ in _coded(reading, runs))
 
 
@@ -332,14 +365,13 @@ def _explored(roots: list[str], limit: int) -> dict[bytes, _Part]:
                 stack.append((parts[mark], _expand(parts[mark], coded, limit)))
             if part:
                 parts[mark].within.add((part, layers))
-    work = [(p, kind) for p in parts.values() for kind in p.found]
+    work = [(p, secret) for p in parts.values() for secret in p.found]
     while work:
-        p, kind = work.pop()
-        way, value = p.found[kind]
+        p, secret = work.pop()
         for outer, layers in p.within:
-            if kind not in outer.found:
-                outer.found[kind] = ((layers, way), value)
-                work.append((outer, kind))
+            if secret not in outer.found:
+                outer.found[secret] = (layers, p.found[secret])
+                work.append((outer, secret))
     return parts
 
 
@@ -358,7 +390,7 @@ def _path(name: str, way: tuple | None) -> str:
 
 
 def _layers(text: str, limit: int) -> Iterator[tuple[str, int, int, str, str]]:
-    """All spans of one text, the plain ones first; of equal kind and place the first."""
+    """All spans of one text, the plain ones first; of equal kind and place, and value within a part, the first."""
     have, places = set(), {}
     for name, reading, place in _readings(text):
         runs = [m.span() for m in _LONG.finditer(reading)]
@@ -371,10 +403,10 @@ def _layers(text: str, limit: int) -> Iterator[tuple[str, int, int, str, str]]:
             places.setdefault(coded, {}).setdefault((place(i), place(j)), name)
     parts = _explored(list(places), limit)
     for coded, where in places.items():
-        for kind, (way, value) in parts[_mark(coded)].found.items():
+        for (kind, value), way in parts[_mark(coded)].found.items():
             for (i, j), name in where.items():
-                if (kind, i, j) not in have:
-                    have.add((kind, i, j))
+                if (kind, i, j) not in have and (kind, i, j, value) not in have:
+                    have.add((kind, i, j, value))
                     yield kind, i, j, _path(name, way), value
 
 
@@ -383,8 +415,8 @@ def scan(text: str | None, limit: int = 16 << 20) -> tuple[list[tuple], list[tup
 
     Spans found behind percent codes or Unicode escapes cover the characters they were decoded from, those in a base64
     or compressed layer the whole encoded part. Codes within codes (``%2525``) are undone to the bottom at once.
-    Base64 is taken from 16 characters on, on one line or wrapped over lines of equal length. Bytes that are neither UTF-8 nor
-    UTF-16 are scanned one character a byte. Compressed data of over ``limit`` characters is scanned in windows of about so many.
+    Base64 is taken from 16 characters on, on one line or wrapped over lines of equal length, joined to a path or not. Of a part all secrets are told, each with the part's span.
+    Bytes that are neither UTF-8 nor UTF-16 are scanned one character a byte. Compressed data of over ``limit`` characters is scanned in windows of about so many.
     """
     if not text:
         return [], []
@@ -420,7 +452,7 @@ def drop_secrets(docs: DataFrame, text_col: str = "text", limit: int = 16 << 20)
 
 
 def _joined(spans: str):
-    return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.array_distinct(F.transform(F.col(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))), ",")
 
 
 def _count(kind: str):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import without_ids, written
 from .components import connected_components
 
 FINGERPRINTS = "doc_id long, fp long"
@@ -164,8 +164,7 @@ def keep_one_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     Rows without doc_id stay, and so do all rows that share the smallest doc_id of their component.
     """
     near = near_duplicates(docs, text_col, id_col, shingle, radius)
-    gone = written(near.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without_ids(docs, id_col, near.where("component_id < doc_id").select("doc_id"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

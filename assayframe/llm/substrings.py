@@ -27,6 +27,11 @@ _NO_ID = np.iinfo(np.int64).min
 HOT_WINDOWS, HOT_SAMPLE, _SALTS = 1 << 14, 16, 4096  # hot windows at most; batches in which they are looked for; parts in which their firsts are joined
 
 
+def salt(batch: int) -> int:
+    """The part in which a batch's hot windows are joined; all bits of its number count, the partition's and the running ones."""
+    return int(words_.mix(np.array([batch], np.uint64))[0] % np.uint64(_SALTS))
+
+
 class _Batch:
     """The words of one packed batch."""
 
@@ -150,7 +155,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             key, key2, ids, pos = key[new], key2[new], ids[new], pos[new]
             is_hot, place = _matches(hot_windows.value, key, key2)
             if len(place):
-                out.append((-1 - number % _SALTS, -1, planes(place.astype(np.int64)), b"", planes(ids[is_hot]), planes(pos[is_hot].astype(np.int64))))
+                out.append((-1 - salt(number), -1, planes(place.astype(np.int64)), b"", planes(ids[is_hot]), planes(pos[is_hot].astype(np.int64))))
             key, key2, ids, pos = key[~is_hot], key2[~is_hot], ids[~is_hot], pos[~is_hot]
             for k, (i, j) in enumerate(zip(*by_bucket(key, n_buckets))):
                 if j > i:

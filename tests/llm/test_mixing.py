@@ -95,3 +95,12 @@ def test_impossible_limits_and_clashing_columns(spark, make_docs):
     assert Counter(n for n in Counter(d for d, *_ in use(mix_sources(docs, budget_ratio=6.0, repetition=None))).values()) == {6: 30}
     again = mix_sources(mix_sources(docs).withColumnRenamed("mix_tokens", "MIX_tokens"))
     assert again.columns == [*docs.columns, "mix_epoch", "mix_tokens", "mix_order"] and again.count() == 30
+
+
+def test_rows_that_differ_in_a_map_alone(spark):
+    rows = [(1, "one two three", "s", {"k": None if i == 0 else str(i)}, [{"a": {"b": i}}]) for i in range(40)] + [(1, "one two three", "s", {}, [{"a": {"b": 0}}])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,string>, more array<struct<a:map<string,int>>>")
+    for ratio, times in ((0.5, 1), (2.0, 2)):
+        used = [(r.mix_epoch, str(r.tags), str(r.more)) for r in mix_sources(docs, budget_ratio=ratio, repetition=4.0).collect()]
+        assert len(used) == len(set(used)) == int(41 * ratio)
+        assert max(sum(u[1:] == x[1:] for u in used) for x in used) == times

@@ -124,3 +124,14 @@ def test_empty_and_no_training(make_docs):
     assert score_texts(docs.limit(0)).collect() == []
     alone = score_texts(docs, folds=1, held=0).collect()
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 for r in alone)
+
+
+def test_both_ways_of_em_agree(spark):
+    import numpy as np
+
+    from assayframe.llm.ngrams import _mixture
+
+    rng = np.random.default_rng(0)
+    cells = spark.createDataFrame([(int(b), float(x), float(y), int(n)) for b, x, y, n in zip(rng.integers(0, 6, 500), rng.random(500) / 50, rng.random(500) * (rng.random(500) < 0.5), rng.integers(1, 9, 500))], "bucket long, p1 double, p2 double, n long")
+    for some in (cells, cells.limit(0)):
+        assert np.allclose(_mixture(some, 1e-4), _mixture(some, 1e-4, few=-1), rtol=1e-9)

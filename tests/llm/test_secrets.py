@@ -151,3 +151,48 @@ def test_percent_runs_with_odd_bytes():
     assert [(t[s[1] : s[2]], s[3], s[4]) for s in scan(t)[1]] == [("password%3Dhunter22", "url", "hunter22")]
     t = "password%3D 'hunter22' %FF%C3%A9%80 token%3Dabc%64ef"
     assert [t[s[1] : s[2]] for s in scan(t)[1]] == ["password%3D 'hunter22", "token%3Dabc%64ef"]
+
+
+def found(text, **k):
+    return {(s[0], s[4]) for s in scan(text, **k)[1]}
+
+
+def test_joined_base64():
+    b64 = lambda x: base64.b64encode(x).decode()
+    for plain, value in ((b"token=abcdef", "abcdef"), (b"password=hunter2hunter2", "hunter2hunter2")):
+        part = b64(plain).rstrip("=")
+        for before in ("", "path/", "/", "prefix-", "x", "xy", "xyz", "a/b_c+", "https/very/long/path/"):
+            for after in ("", "/more", "x", "=="):
+                assert any(v.startswith(value) for _, v in found(f"see {before}{part}{after} end")), (before, part, after)
+    packed = b64(gzip.compress(b"password=hunter2hunter2")).rstrip("=")
+    small = b64(zlib.compress(b"password=hunter2hunter2")).rstrip("=")
+    for before in ("v1/", "a-", "abc_", "x/y/z/"):
+        assert ("assign", "hunter2hunter2") in found(before + packed) and ("assign", "hunter2hunter2") in found(before + small)
+
+
+def test_all_values_of_a_part():
+    coded = base64.b64encode(b"password=first1 password=second2 token: third33").decode()
+    assert found(coded) == {("assign", "first1"), ("assign", "second2"), ("assign", "third33")}
+    twice = base64.b64encode(f"x {coded} secret=fourth4".encode()).decode()
+    assert found(twice) == {("assign", "first1"), ("assign", "second2"), ("assign", "third33"), ("assign", "fourth4")}
+
+
+def test_utf16_anywhere():
+    secret = "password=hunter2hunter2"
+    for size in (0, 1, 200, 201, 4100):
+        for codec in ("utf-16-le", "utf-16-be"):
+            for tail in (b"", secret.replace("2", "3").encode(codec) * 2600, b"\xff tail \xfe"):
+                data = b"a" * size + b"\n" * (size > 0) + secret.encode(codec) + tail
+                coded = base64.b64encode(data).decode()
+                assert any(v.startswith("hunter2hunter2") for _, v in found(coded)), (size, codec)
+                if tail[:1] == b"p" or tail[:1] == b"\0":
+                    packed = base64.b64encode(gzip.compress(data)).decode()
+                    assert any(v.startswith("hunter2hunter2") for _, v in found(packed, limit=1000)), (size, codec)
+
+
+def test_layers_that_begin_alike_are_no_cycle():
+    inner = b"password=hunter2hunter2"
+    data = inner + bytes(k * k % 251 for k in range(40_000))
+    for _ in range(4):  # stored, not compressed: each layer begins as the one within it
+        data = zlib.compress(data, 0)
+    assert ("assign", "hunter2hunter2") in {(k, v[:14]) for k, v in found(base64.b64encode(data).decode(), limit=2000)}

@@ -70,3 +70,11 @@ def test_blocks_decide_the_work_alone(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     six, eight = (sorted(tuple(r) for r in near_duplicates(docs, blocks=b).collect()) for b in (6, 8))
     assert six == eight
+
+
+def test_columns_of_any_name_stay(odd_docs):
+    from assayframe.llm.simhash import keep_one_each
+
+    wide = odd_docs.withColumns({c: odd_docs["extra"] for c in ("__gone", "gone", "component_id", "hi", "node")})
+    kept = keep_one_each(wide)
+    assert kept.columns == wide.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in keep_one_each(odd_docs).collect())

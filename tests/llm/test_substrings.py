@@ -58,3 +58,9 @@ def test_hot_windows_change_no_result(make_docs, monkeypatch):
         monkeypatch.setattr(substrings, "pack", lambda d, tag: real(d, tag, size))
         monkeypatch.setattr(substrings, "HOT_WINDOWS", hot)
         assert sorted((tuple(r) for r in remove_repeats(make_docs(rows)).collect()), key=str) == want, (size, hot)
+
+
+def test_salts_spread_over_all_parts():
+    from assayframe.llm.substrings import _SALTS, salt
+
+    assert len({salt(partition << 28 | k) for partition in range(10_000) for k in range(21)}) == _SALTS
