@@ -9,7 +9,7 @@ from ..functions.text import digit_fold
 from ..operators import audit, bundles, incident, reports
 from ..streaming import stateful
 from .documents import _PATTERNS
-from .registry import query, table
+from .registry import query, scratch, table
 
 LOG_SQL = """log AS (SELECT CAST(user_id AS VARCHAR) AS incident_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS idx, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp,
     'sys' || (event_id % 5) AS source_system, event_type AS action, CASE WHEN event_id % 7 = 0 THEN props || ' timeout' ELSE props END AS evidence, CASE WHEN event_type = 'error' THEN 'HIGH' WHEN event_id % 7 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM events),
@@ -173,14 +173,7 @@ def claim_decisions(spark, sf_dir):
 
 def _streamed(spark, sf_dir, make):
     """Run a stateful query over the table as a stream, up to its end; the result is read from the sink."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="assayframe-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     batch = table(spark, sf_dir, "events")
     out = make(spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events*.parquet"))
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
