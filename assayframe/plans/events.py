@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.jsons import canonical
 from ..functions.text import digit_fold
 from ..operators import audit, bundles, incident, reports
-from ..streaming import stateful
+from ..sinks import logs
+from ..streaming import processors, stateful
 from .documents import _PATTERNS
 from .registry import query, scratch, table
 
@@ -190,6 +191,35 @@ def stream_transitions(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda e: stateful.transition_stream(run_states(e)))
 
 
+_LINED = _CHAIN.replace("'r' || user_id", "'r' || event_id % 50").replace("\"run_id\":\"r' || user_id", "\"run_id\":\"r' || event_id % 50").replace("CAST(event_id AS BIGINT) AS line_no", "CAST(event_id // 50 AS BIGINT) AS line_no")
+
+
+def _dealt(spark, rows):
+    """Rows as a stream of one small file after another, in no order."""
+    at = scratch(spark, "dealt")
+    rows.repartition(5).write.parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+@query("stream_log", _LINED)
+def stream_log(spark, sf_dir):
+    """Lines that come in no order, chained in theirs and appended to a log batch by batch."""
+    events, n = table(spark, sf_dir, "events"), F.col("event_id")
+    rows = audit_events(events.withColumn("user_id", n % 50)).withColumn("line_no", F.expr("line_no div 50"))
+    processors.use_rocksdb(spark)
+    log, at = scratch(spark, "log"), scratch(spark, "log-state")
+    logs.append_log(processors.ordered_chain(_dealt(spark, rows)), log, at).awaitTermination()
+    return logs.read_log(spark, log)
+
+
+@query("stream_expired_claims", """WITH c AS (SELECT DISTINCT 'u' || user_id AS claim_id, ts FROM events), n AS (SELECT claim_id, ts, lead(ts) OVER (PARTITION BY claim_id ORDER BY ts) AS again FROM c)
+  SELECT claim_id, ts AS generated, ts + INTERVAL 24 HOUR AS valid_until FROM n WHERE (again IS NULL OR again > ts + INTERVAL 24 HOUR) AND ts + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_expired_claims(spark, sf_dir):
+    processors.use_rocksdb(spark)
+    claims = lambda e: e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("claim_id"), F.col("ts").cast("timestamp").alias("generated"))
+    return _streamed(spark, sf_dir, lambda e: processors.expired_claims(claims(e)))
+
+
 @query("ext_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(CAST(value AS DECIMAL(18,2))), 2)::DOUBLE AS total FROM events GROUP BY 1, 2")
 def ext_tumbling(spark, sf_dir):
     return stateful.tumbling(table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))).withColumn("total", F.col("total").cast("double"))
