@@ -37,7 +37,15 @@ SOUNDS = {
         "start": ("β", "γ", "δ", "ζ", "θ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ", "φ", "χ"), "vowel": ("α", "ε", "ι", "ο", "υ"),
         "family": ("ς", "δης", "κης", "λος", "νος", "ρας"), "m": ("νος", "ρης", "λος", "δας"), "f": ("να", "ρα", "λα", "δα"), "n": ("νι", "ρι", "λι", "δι"),
     },
+    "arabic": {
+        "start": ("ب", "ت", "ج", "ح", "د", "ر", "ز", "س", "ش", "ف", "ك", "ل", "م", "ن", "ه"), "vowel": ("ا", "و", "ي"), "family": ("ري", "اني", "دي", "وي", "مان"), "m": ("د", "ر", "م", "ن"), "f": ("ية", "اء", "رة"), "n": ("ور", "اد"),
+    },
+    "hebrew": {
+        "start": ("ב", "ג", "ד", "ה", "ז", "ח", "ט", "כ", "ל", "מ", "נ", "ס", "ר", "ש", "ת"), "vowel": ("א", "ו", "י"), "family": ("רי", "לי", "מן", "ני", "בי"), "m": ("ר", "ל", "ן"), "f": ("ית", "רה", "לה"), "n": ("ור", "ין"),
+    },
 }
+#: Telephone country codes of one and of two digits; all others have three.
+COUNTRY_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 _POOLS = (
     ("[a-zß-öø-ÿ]", "abcdefghijklmnopqrstuvwxyz"), ("[A-ZÀ-ÖØ-Þ]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("[0-9]", "0123456789"),
     ("[а-яё]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-ЯЁ]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), ("[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
@@ -49,7 +57,7 @@ _IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _CARD = r"(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w])"
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-_PART = r"\p{Lu}(?:[\p{L}\p{M}]|['-](?=\p{L}))+"
+_PART = r"(?:\p{Lu}(?:[\p{L}\p{M}]|['-](?=\p{L}))+|(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])\p{Lo}[\p{L}\p{M}]+|\p{IsHan}{2,4}(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}]))"
 NAME = rf"(?U)(?<!\w)({_ALL_TITLES})\.? ({_PART})(?: ({_PART}))?"
 ENTITY = rf"(?U){_EMAIL}|{_CARD}|{_SSN}|{_IP}|{_PHONE}|{_IBAN}"
 ENTITY_OR_PART = rf"{ENTITY}|(?<![\w'-]){_PART}(?!\w)"
@@ -112,7 +120,15 @@ def _name() -> Column:
         body = F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.col("round"), F.lit(8)) + 2), syllable), "")
         return F.concat(body, F.when(F.col("kind") == "family", end("family")).when(F.col("gender") == "m", end("m")).when(F.col("gender") == "f", end("f")).otherwise(end("n")))
 
-    return F.when(F.col("script") == "cyrillic", made("cyrillic")).when(F.col("script") == "greek", made("greek")).otherwise(made("latin"))
+    of_script = reduce(lambda c, script: c.when(F.col("script") == script, made(script)), [s for s in SOUNDS if s != "latin"], F.when(F.lit(False), ""))
+    return of_script.otherwise(made("latin"))
+
+
+def _mod97(iban: Column) -> Column:
+    """An account's number modulo 97, its first four characters last and letters as 10 to 35; 1 if its check digits hold."""
+    turned = F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(4)))
+    digit = lambda c: F.when(c.rlike("^[0-9]$"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(_chars(turned), F.lit(0), lambda a, c: (a * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + digit(c)) % 97)
 
 
 def surrogate() -> Column:
@@ -129,8 +145,13 @@ def surrogate() -> Column:
     local = F.concat(_like(F.substring_index(id_, "@", 1)), more)
     host = _like(F.regexp_replace(domain, r"\.[^.]*$", ""), 0, 20)
     email = F.concat(local, F.lit("@"), host, F.lit("."), F.substring_index(domain, ".", -1))
-    phone = _like(id_, F.when(id_.startswith("+"), 2).otherwise(0))
-    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "email", email).when(kind == "phone", phone).when(kind == "iban", _like(id_, 2)).when(kind == "ssn", _like(id_)).otherwise(_name())
+    phone = _like(id_, F.when(~id_.startswith("+"), 0).otherwise(1 + F.coalesce(F.nullif(F.length(F.regexp_extract(id_, rf"^\+({COUNTRY_CODES})", 1)), F.lit(0)), F.lit(3))))
+    # as with cards, check digits that hold are set anew
+    iban = _like(id_, 4)
+    country, rest = F.substr(iban, F.lit(1), F.lit(2)), F.substr(iban, F.lit(5))
+    check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    iban = F.when(_mod97(id_) == 1, F.concat(country, check, rest)).otherwise(_like(id_, 2))
+    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "email", email).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ssn", _like(id_)).otherwise(_name())
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -179,7 +200,7 @@ def rendered(kind: Column, value: Column, new: Column) -> Column:
     filled = F.aggregate(_chars(value), start, fill)["out"]
     capital = F.concat(F.upper(F.substr(new, F.lit(1), F.lit(1))), F.substr(new, F.lit(2)))
     email = F.when(value == F.lower(value), new).when(value == F.upper(value), F.upper(new)).when(value.rlike(r"^\p{Lu}"), capital).otherwise(new)
-    name = F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(new)).otherwise(capital)
+    name = F.when((value == F.upper(value)) & (value != F.lower(value)) & (F.length(value) > 1), F.upper(new)).otherwise(capital)
     return F.when(kind == "email", email).when(kind == "ip", new).when(kind.isin("given", "family"), name).otherwise(filled)
 
 
@@ -198,7 +219,8 @@ def _name_parts(hit: DataFrame) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text, n_entities) for every row, each entity of its whole text replaced by its surrogate.
 
-    Names are found after a title; then every capitalised mention of a part of one is replaced in that text, title or not. A given
+    Names are found after a title; then every capitalised mention of a part of one is replaced in that text, title or not; in scripts
+    without case any mention, of Chinese characters two to four that stand alone. A given
     name that follows titles of one gender gets a name of that gender, any other one of neither. Null texts stay null with no
     entities, empty texts stay empty; repeated rows are replaced alike; an empty table gives no rows. Titles, country codes,
     top-level domains and the format stay. ``key`` decides the surrogates: keep it secret, or they can be undone by trial.
@@ -219,7 +241,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", id_col:
     names = written(_name_parts(hit), "pii-names")
     parts = each.where("kind = 'part'").join(names.select("row", "id", F.col("kind").alias("known")), ["row", "id"], "left")
     each = each.where("kind <> 'part'").select("row", "pos", "value", "kind", "id").union(parts.select("row", "pos", "value", "known", "id"))
-    script = F.when(F.col("id").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("id").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    script = reduce(lambda c, name: c.when(F.col("id").rlike(rf"\p{{Is{name.capitalize()}}}"), name), [s for s in SOUNDS if s != "latin"], F.when(F.lit(False), "")).otherwise("latin")
     people = names.groupBy("kind", "id").agg(F.max("m").alias("m"), F.max("f").alias("f"))
     people = people.select("kind", "id", F.when(F.col("m") == F.col("f"), "n").when(F.col("m"), "m").otherwise("f").alias("gender"), script.alias("script"))
     others = each.where("kind not in ('given', 'family')").select("kind", "id").distinct().select("kind", "id", F.lit("n"), F.lit("latin"))

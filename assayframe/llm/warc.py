@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ._common import new_path, written
 
+LONGEST = 64 << 20  # bytes of a block after which a record's beginning within it counts
 EOL = b"\r\n"
 RECORDS = "record_id string, type string, uri string, refers_to string, digest string, payload_length long, segment long, origin string, total long, block binary, whole boolean"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, intact boolean, record_id string"
@@ -147,34 +149,54 @@ def _int(value: str | None) -> int | None:
     return int(value) if value and re.fullmatch(r"[0-9]{1,18}", value) else None
 
 
-def _parse(lines: Iterator[bytes]) -> Iterator[tuple]:
-    """The records of one file from its lines (as cut at CRLF), in the order of ``RECORDS``; one that ends too soon or has no length is not whole."""
-    line = next(lines, None)
+def _parse(lines: Iterator[bytes], longest: int = LONGEST) -> Iterator[tuple]:
+    """The records of one file from its lines (as cut at CRLF), in the order of ``RECORDS``; one that ends too soon or has no length is not whole.
+
+    A record whose length takes it beyond its end, so that another begins within its block and nothing ends where the block should, is not whole, and the file is read on from
+    the other's first line. Within a block of over ``longest`` bytes the first such line counts at once.
+    """
+    ahead: deque[bytes] = deque()
+
+    def take() -> bytes | None:
+        return ahead.popleft() if ahead else next(lines, None)
+
+    line = take()
     while line is not None:
         if not line.startswith(b"WARC/"):
-            line = next(lines, None)
+            line = take()
             continue
         head, key = {}, None
-        while (line := next(lines, None)) and not line.startswith(b"WARC/"):
+        while (line := take()) and not line.startswith(b"WARC/"):
             if line[:1] in b" \t" and key:
                 head[key] += " " + line.strip().decode(errors="replace")
             else:
                 key, _, value = line.partition(b":")
                 key = key.strip().lower().decode(errors="replace")
                 head[key] = value.strip().decode(errors="replace")
-        size, held, have = _int(head.get("content-length")), [], 0
+        size, held, have, other = _int(head.get("content-length")), [], 0, None
         whole = line == b"" and size is not None
         while whole and have < size:
-            line = next(lines, None)
-            if line is None:
+            line = take()
+            if line is None or other and have > longest:
                 whole = False
+                if line is not None:
+                    ahead.appendleft(line)
             else:
+                if other is None and held and line.startswith(b"WARC/"):
+                    other = len(held)
                 held.append(line + EOL)
                 have += len(line) + 2
+        if other:
+            after = take()
+            if after is not None:
+                ahead.appendleft(after)
+            if not whole or have > size + 2 or after:
+                ahead.extendleft(x[:-2] for x in reversed(held[other:]))
+                held, whole = held[:other], False
         block = b"".join(held)
         if not line or not line.startswith(b"WARC/") or held:  # not the start of the next record, met within the header
             rest = block[size:-2] if whole else b""  # what stands in the block's last line where the record's end should be
-            line = rest or next(lines, None)
+            line = rest or take()
         digest = head.get("warc-payload-digest")
         yield (
             head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-refers-to"), digest, _int(head.get("x-payload-length")), _int(head.get("warc-segment-number")),

@@ -121,3 +121,20 @@ def test_query_equals_walk_of_all_mentions(spark, sf):
             if not regex.fullmatch(pii._PART, v) and "@" not in v and not regex.fullmatch(pii._IP, v):
                 assert regex.sub(r"\d", "0", s) == regex.sub(r"\d", "0", v) or v[:2].isalpha()
     assert n_all > 20 and len(set(shown.values())) == len(shown) and not set(shown.values()) & set(shown)
+
+
+def test_country_codes_check_digits_and_scripts_without_case(make_docs):
+    phones = {"+49 30 123 4567": "49", "+44 20 7946 0958": "44", "+1 212 555 0100": "1", "+7 495 123 4567": "7", "+353 86 234 5678": "353"}
+    for phone, code in phones.items():
+        (r,) = replace_entities(make_docs([(1, f"call {phone} now")]), "k").collect()
+        new = re.fullmatch(r"call (.*) now", r.text)[1]
+        assert new != phone and new.startswith(f"+{code} ") and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", phone), (phone, new)
+    sound = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    for iban in ("DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606"):
+        (r,) = replace_entities(make_docs([(1, f"pay {iban} today")]), "k").collect()
+        new = re.fullmatch(r"pay (.*) today", r.text)[1]
+        bare = new.replace(" ", "")
+        assert new != iban and bare[:2] == iban[:2] and sound(iban.replace(" ", "")) and sound(bare) and len(new) == len(iban)
+    for text, name, script in (("see Dr. محمد here, محمد again", "محمد", "؀-ۿ"), ("Prof. דוד said", "דוד", "֐-׿"), ("Dr. 王小明 came", "王小明", "A-Za-z")):
+        (r,) = replace_entities(make_docs([(1, text)]), "k").collect()
+        assert name not in r.text and r.n_entities == text.count(name) and re.search(rf"(?:Dr|Prof)\. [{script}]+", r.text), r.text

@@ -126,3 +126,23 @@ def test_cut_gzip(spark, tmp_path):
         (tmp_path / name / name).write_bytes(data[: len(data) // 2])
         got = read_warc(spark, str(tmp_path / name)).collect()
         assert 18 <= sum(r.intact for r in got) <= 20 and sum(not r.intact for r in got) <= 1, name
+
+
+def record(page, body, size=None):
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}:0>\r\nContent-Length: {len(body) if size is None else size}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_a_length_that_is_too_large_takes_no_other_records():
+    from assayframe.llm.warc import _parse
+
+    inner = b"HTTP/1.1 200 OK\r\n\r\n" + record(9, b"held record") + b"end"
+    for size in (40, 100, 250, 1_000_000, 10**17):
+        for longest in (1, 1 << 20):
+            data = record(1, b"first body\r\nof two lines", size) + record(2, b"second") + record(3, b"") + record(4, b"fourth")
+            got = list(_parse(iter(data.split(b"\r\n")), longest))
+            assert [(r[0], r[10]) for r in got] == [(f"<urn:page:{k}:0>", k > 1) for k in range(1, 5)], (size, longest)
+            assert [r[9] for r in got[1:]] == [b"second", b"", b"fourth"]
+    whole = list(_parse(iter((record(1, inner) + record(2, b"x")).split(b"\r\n"))))
+    assert [(r[9], r[10]) for r in whole] == [(inner, True), (b"x", True)]  # a record within a record is its content
+    many = b"".join(record(k, b"x" * 30, 10**6) for k in range(3000))
+    assert sum(1 for _ in _parse(iter(many.split(b"\r\n")), 1 << 12)) == 3000
