@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as words_
-from ._common import parts, text_bytes, written
+from ._common import parts, small_batches, text_bytes, written
 from ._exchange import by_bucket, pack, pack_sorted, planes, unpack, unpack_sorted, unplanes
 
 #: A perfect difference cover of 13 (every residue is a difference of two members).
@@ -96,6 +96,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or not 1 < period <= window:
         raise ValueError("cover must be a difference cover of period, and period at most window")
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_bytes = text_bytes(docs, "text")
     n_buckets = parts(spark, n_bytes)
