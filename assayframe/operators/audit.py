@@ -97,6 +97,48 @@ def build_chain(events: DataFrame) -> DataFrame:
     return rows.repartition("run_id").sortWithinPartitions("run_id", "line_no", "head", "tail").mapInArrow(fold, CHAIN)
 
 
+def ordered_sha256(rows: DataFrame, key: str, order: list[str], sep: str = "") -> DataFrame:
+    """(key, sha256): the SHA-256 of each group's ``text`` column in an order, joined by ``sep``. Null texts are left out.
+
+    Rows are dealt by group, sorted, and hashed as a stream: a group of any size needs the memory of a batch. A hash is sequential in its group by nature; groups go on side by side.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, some = None, None, False
+        done: tuple[list, list] = ([], [])
+
+        def close() -> None:
+            done[0].append(now)
+            done[1].append(held.hexdigest())
+
+        for batch in batches:
+            keys, texts = (c.to_pylist() for c in batch.columns)
+            i = 0
+            while i < len(keys):
+                j = i
+                while j < len(keys) and keys[j] == keys[i]:
+                    j += 1
+                if held is None or keys[i] != now:
+                    if held is not None:
+                        close()
+                    held, now, some = hashlib.sha256(), keys[i], False
+                mine = [t for t in texts[i:j] if t is not None]
+                if mine:
+                    held.update(((sep if some else "") + sep.join(mine)).encode())
+                    some = True
+                i = j
+            if len(done[0]) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(done[0], batch.schema.field(0).type), pa.array(done[1])], ["key", "sha256"])
+                done = ([], [])
+        if held is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(done[0], batch.schema.field(0).type), pa.array(done[1])], ["key", "sha256"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order).select(F.col(key).alias("key"), "text")
+    return dealt.mapInArrow(fold, f"key {kind}, sha256 string").withColumnRenamed("key", key)
+
+
 def before(rows: DataFrame, value: Column | str, key: str = "run_id", order: str = "line_no", name: str = "before", block: int = 100_000) -> DataFrame:
     """``rows`` with the ``value`` of the row before each in its group, null for the first; ``order`` is a whole number, unique in a group.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import ascii_host, sensitive
 from . import coverage
-from .audit import before
+from .audit import before, ordered_sha256
 
 #: Files that a bundle must hold; a name with a final slash is a prefix.
 REQUIRED_FILES = (
@@ -74,22 +74,43 @@ def gate_report(results: DataFrame, registry: DataFrame, policy: str) -> DataFra
     return out.select("run_id", "gate_id", status.alias("status"), F.coalesce(F.col("passed") & (status == "ok"), F.lit(False)).alias("satisfied"))
 
 
-def egress_decisions(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """Requests (request_id, url) with the first rule of ``rules`` (idx from 1, scheme, host, port, path_prefix) that allows them.
-
-    A host's rules are one sorted array, joined on scheme, host and port, and the first that fits the path is taken within the row; so
-    this works on streams, and requests are shuffled once at most.
-    """
+def _asked(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with the parts of their URL: scheme, host, port, path."""
     part = lambda p: F.try_parse_url("url", F.lit(p))
     scheme = F.lower(part("PROTOCOL"))
     authority = F.regexp_extract(F.coalesce(part("AUTHORITY"), F.lit("")), r":(\d+)$", 1)
     port = F.when(authority != "", authority.try_cast("int")).when(scheme == "https", 443).otherwise(80)
+    return requests.select(*keys, "url", scheme.alias("scheme"), F.lower(part("HOST")).alias("host"), port.alias("port"), F.when(F.coalesce(part("PATH"), F.lit("")) == "", "/").otherwise(part("PATH")).alias("path"))
+
+
+def _first_rules(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """(scheme, host, port, path, idx): the first rule for each different request, by look-ups of its path's beginnings.
+
+    A host's rules have few different lengths: a path is cut to each of them, and each cut is an equi-join with the rules. So a request takes a row a length, however many rules its host has.
+    """
+    target = ["scheme", "host", "port"]
+    prefix = rules.select(*target, F.coalesce("path_prefix", F.lit("")).alias("prefix"), "idx").groupBy(*target, "prefix").agg(F.min("idx").alias("idx"))
+    lengths = prefix.groupBy(*target).agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    cuts = asked.select(*target, "path").distinct().join(lengths, target)
+    cuts = cuts.select(*target, "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).withColumn("prefix", F.expr("left(path, n)"))
+    return cuts.join(prefix, [*target, "prefix"]).groupBy(*target, "path").agg(F.min("idx").alias("idx"))
+
+
+def egress_decisions(requests: DataFrame, rules: DataFrame, many: int = 1000) -> DataFrame:
+    """Requests (request_id, url) with the first rule of ``rules`` (idx from 1, scheme, host, port, path_prefix) that allows them.
+
+    Up to ``many`` rules of a host are one sorted array, joined on scheme, host and port, and the first that fits the path is taken within the row; so
+    this works on streams, and requests are shuffled once at most. If a host has more, rules are looked up by the beginnings of paths; the number, which one job over the rules finds, decides the way alone.
+    """
     keys = [c for c in requests.columns if c != "url"]
-    asked = requests.select(*keys, "url", scheme.alias("scheme"), F.lower(part("HOST")).alias("host"), port.alias("port"), F.when(F.coalesce(part("PATH"), F.lit("")) == "", "/").otherwise(part("PATH")).alias("path"))
-    by_host = rules.groupBy("scheme", "host", "port").agg(F.array_sort(F.collect_list(F.struct("idx", "path_prefix"))).alias("rules"))
-    fits = F.filter("rules", lambda r: r["path_prefix"].isNull() | F.startswith(F.col("path"), r["path_prefix"]))
-    out = asked.join(by_host, ["scheme", "host", "port"], "left").withColumn("idx", F.try_element_at(fits, F.lit(1))["idx"])
-    return out.select(*keys, "url", "scheme", "host", "port", "path", F.when(F.col("idx").isNull(), "BLOCKED").otherwise("ALLOWED").alias("decision"), F.when(F.col("idx").isNotNull(), F.format_string("ALW%04d", "idx")).alias("rule_id"))
+    asked, target = _asked(requests, keys), ["scheme", "host", "port"]
+    if not requests.isStreaming and not rules.groupBy(*target).count().where(F.col("count") > many).isEmpty():
+        out = asked.join(_first_rules(asked, rules), [*target, "path"], "left")
+    else:
+        by_host = rules.groupBy(*target).agg(F.array_sort(F.collect_list(F.struct("idx", "path_prefix"))).alias("rules"))
+        fits = F.filter("rules", lambda r: r["path_prefix"].isNull() | F.startswith(F.col("path"), r["path_prefix"]))
+        out = asked.join(by_host, target, "left").withColumn("idx", F.try_element_at(fits, F.lit(1))["idx"])
+    return out.select(*keys, "url", *target, "path", F.when(F.col("idx").isNull(), "BLOCKED").otherwise("ALLOWED").alias("decision"), F.when(F.col("idx").isNotNull(), F.format_string("ALW%04d", "idx")).alias("rule_id"))
 
 
 def egress_events(decisions: DataFrame, reason: str = "NOT_ALLOWLISTED") -> DataFrame:
@@ -134,8 +155,25 @@ def effect_differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return e.join(o, "effect_id", "full_outer").select("effect_id", why.alias("problem")).where("problem is not null")
 
 
+def nearest_rank(rows: DataFrame, keys: list[str], column: str, percent: int = 95, bits: int = 20) -> DataFrame:
+    """(keys, rank_value): the nearest-rank percentile of whole numbers, exact for groups of any size and any number of different values. Nulls don't count.
+
+    A histogram of ranges of 2^bits values tells which range holds the rank; then only that range's values are counted one by one. So
+    no state holds more than a count a range of a task, and no window more than 2^bits values of a group.
+    """
+    cut = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("long").alias("__v")).withColumn("__bin", F.shiftright("__v", bits))
+    of = Window.partitionBy(*keys)
+    bins = cut.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    below = F.sum("__n").over(of.orderBy("__bin")) - F.col("__n")
+    rank = F.floor((F.sum("__n").over(of) * percent + 99) / 100)
+    bins = bins.select(*keys, "__bin", "__n", below.alias("__below"), rank.alias("__rank")).where((F.col("__below") < F.col("__rank")) & (F.col("__rank") <= F.col("__below") + F.col("__n")))
+    values = cut.join(bins.select(*keys, "__bin", (F.col("__rank") - F.col("__below")).alias("__rank")), [*keys, "__bin"]).groupBy(*keys, "__v", "__rank").agg(F.count(F.lit(1)).alias("__n"))
+    reached = F.sum("__n").over(of.orderBy("__v"))
+    return values.withColumn("__to", reached).where("__to >= __rank").groupBy(*keys).agg(F.min("__v").alias("rank_value"))
+
+
 def p95(column: str) -> Column:
-    """The nearest-rank 95th percentile of whole numbers."""
+    """The nearest-rank 95th percentile of whole numbers, of which a group has few different ones (its state is a count of each); of many see ``nearest_rank``."""
     return F.expr(f"cast(percentile_disc(0.95) within group (order by {column}) as long)")
 
 
@@ -178,6 +216,6 @@ def order_violations(rows: DataFrame, key: str, order: str, value: Column) -> Da
 
 
 def input_fingerprint(items: DataFrame, key: str) -> DataFrame:
-    """The SHA-256 of each group's sorted ``id:sha256`` list joined by ``|``. A group is one run's inputs."""
-    parts = F.array_sort(F.collect_list(F.concat_ws(":", "artifact_id", "sha256")))
-    return items.groupBy(key).agg(F.sha2(F.array_join(parts, "|").cast("binary"), 256).alias("fingerprint"))
+    """The SHA-256 of each group's sorted ``id:sha256`` list joined by ``|``."""
+    text = F.concat_ws(":", "artifact_id", "sha256")
+    return ordered_sha256(items.select(key, text.alias("text")), key, ["text"], "|").withColumnRenamed("sha256", "fingerprint")

@@ -42,6 +42,14 @@ def controls(spark, capabilities: tuple[str, ...] = ()) -> DataFrame:
     return table.where(F.col("capability").isin(*capabilities)) if capabilities else table
 
 
+def controls_for(asked: DataFrame, capabilities: str = "capabilities") -> DataFrame:
+    """Each row with its controls (control_id, title, capability, control_family, description): those with one of its capabilities (an array), or all if it names none. Within the row, as the controls are few and fixed."""
+    one = lambda c: F.struct(*[F.lit(x).alias(n) for n, x in zip(("control_id", "title", "capability", "control_family", "description"), c)])
+    every, own = F.array(*map(one, CONTROLS)), F.coalesce(capabilities, F.array().cast("array<string>"))
+    mine = F.filter(every, lambda c: (F.size(own) == 0) | F.array_contains(own, c["capability"]))
+    return asked.withColumn("__c", F.explode(mine)).select(*asked.columns, "__c.*")
+
+
 def csv_field(text: Column) -> Column:
     """A text as a CSV field, quoted only where it must be."""
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -89,6 +97,12 @@ def output_manifest(spark) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, folder string, file string")
 
 
+def outputs_of(kind: Column) -> Column:
+    """An array of (folder, file): what a pack of a kind writes, in order of OUTPUTS; null for an unknown kind."""
+    files = {k: F.array(*[F.struct(F.lit(folder).alias("folder"), F.lit(f).alias("file")) for folder, fs in zip(("deliverables", "attachments"), both) for f in fs]) for k, both in OUTPUTS.items()}
+    return F.try_element_at(F.create_map(*[x for k, v in files.items() for x in (F.lit(k), v)]), kind)
+
+
 def directory_bytes(files: DataFrame, root_col: str = "root") -> DataFrame:
     """Files and bytes under each root of (root, path, bytes)."""
     return files.groupBy(root_col).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import severity
 from ..functions.ids import event_id, timeline_anchor
 from ..functions.text import digit_fold, drop_nul, keyword_hits
+from .audit import ordered_sha256
 
 #: The patterns of personal data, in the order they are replaced.
 PII = {"email": ("Email address", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), "phone": ("Phone number", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"), "ssn": ("Social security number", r"\b\d{3}-\d{2}-\d{4}\b")}
@@ -30,13 +31,13 @@ def parse_events(log: DataFrame) -> DataFrame:
 def timeline(events: DataFrame) -> DataFrame:
     """Duration, counts by severity and hash of each incident's timeline.
 
-    The hash runs over anchors and times in order, so an incident's anchors (under 100 bytes a row) meet in one row.
+    The hash runs over anchors and times in order, as a stream: an incident of any length needs the memory of a batch.
     """
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("ts", "idx", "anchor_id"))), lambda e: F.concat(e["anchor_id"], e["ts"].cast("string")))
-    return events.groupBy("incident_id").agg(
-        F.greatest(F.max("ts") - F.min("ts"), F.lit(0)).alias("duration"), *[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")],
-        F.sha2(F.array_join(seq, "").cast("binary"), 256).alias("timeline_hash"),
-    )
+    text = F.concat("anchor_id", F.col("ts").cast("string"))
+    hashes = ordered_sha256(events.select("incident_id", "ts", "idx", text.alias("text")), "incident_id", ["ts", "idx", "text"]).withColumnRenamed("sha256", "timeline_hash")
+    counts = events.groupBy("incident_id").agg(F.greatest(F.max("ts") - F.min("ts"), F.lit(0)).alias("duration"), *[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("HIGH", "MEDIUM", "LOW")])
+    joined = counts.join(hashes.withColumnRenamed("incident_id", "of"), F.col("incident_id").eqNullSafe(F.col("of")), "left")
+    return joined.drop("of")
 
 
 def timeline_lines(events: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ number of entries is spread over tasks; single JSON documents are judged within
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import sensitive
 from ..functions.jsons import integers_only
 from ..functions.text import claim_markers
-from .audit import ZERO
+from .audit import ZERO, before
 from .bundles import EGRESS_REASONS, REQUIRED_FILES
 from .coverage import uncovered_boxes, uncovered_spans
 from .policies import AUTHORITY, authority_contract, first_failed
@@ -100,8 +100,8 @@ def _facts(bundles: DataFrame, entries: DataFrame) -> DataFrame:
         F.when(file & (F.col("method") != "DEFLATE"), F.concat(F.lit("not DEFLATE: "), path)).when(F.col("mtime") != "1980-01-01 00:00:00", F.concat(F.lit("timestamp not fixed: "), path))
         .when(F.col("mode") != F.when(file, 0o644).otherwise(0o755), F.concat(F.lit("mode not normal: "), path))
     )
-    before = F.lag("path").over(Window.partitionBy("bundle_id").orderBy("ord"))
-    rows = entries.withColumn("unsorted", F.coalesce(before > path, F.lit(False))).withColumn("zip_rule", zip_rule)
+    rows = before(entries, "path", "bundle_id", "ord", "path_before")
+    rows = rows.withColumn("unsorted", F.coalesce(F.col("path_before") > path, F.lit(False))).withColumn("zip_rule", zip_rule)
     facts = rows.groupBy("bundle_id").agg(
         *[last(name).alias(k) for k, name in _FILES.items()], F.collect_set(F.when(path.isin(*_FILES.values()), path)).alias("have"), F.array(*found).alias("found"),
         F.bool_or(path.startswith("exports/") & ends("templates_used")).alias("layout"), F.min(F.when(ends("citations_map"), path)).alias("citations_path"), F.min_by(F.when(ends("citations_map"), F.col("content")), F.when(ends("citations_map"), path)).alias("citations"),
@@ -122,12 +122,13 @@ def audit_lines(facts: DataFrame) -> DataFrame:
     quoted = lambda k: F.to_json(F.array(k))
     member = lambda k: F.concat(F.regexp_replace(quoted(k), r"^\[|\]$", ""), F.lit(":"), F.when(k == "event_hash", F.lit(f'"{ZERO}"')).otherwise(F.to_json(F.element_at("m", k))))
     own = F.sha2(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys("m")), member), ","), F.lit("}")).cast("binary"), 256)
-    before = F.coalesce(F.lag("event_hash").over(Window.partitionBy("bundle_id").orderBy("line_no")), F.lit(ZERO))
+    rows = before(rows, "event_hash", "bundle_id", "line_no", "hash_before")
+    last = F.coalesce("hash_before", F.lit(ZERO))
     at = lambda text: F.concat(F.lit(text), F.lit(" at line "), F.col("line_no").cast("string"))
     lacks = F.element_at(F.array_append(F.filter(F.array(*map(F.lit, _AUDIT_KEYS)), lambda k: ~F.coalesce(F.map_contains_key("m", k), F.lit(False))), ""), 1)
     wrong = (
         F.when(F.try_parse_json("line").isNull(), at("not JSON")).when(lacks != "", F.concat(F.lit("missing key "), lacks, F.lit(" at line "), F.col("line_no").cast("string")))
-        .when(~F.coalesce(_path("line", "$.prev_event_hash") == before, F.lit(False)), at("link broken")).when(~integers_only(F.col("line")), at("not canonical")).when(~F.coalesce(own == F.col("event_hash"), F.lit(False)), at("hash wrong"))
+        .when(~F.coalesce(_path("line", "$.prev_event_hash") == last, F.lit(False)), at("link broken")).when(~integers_only(F.col("line")), at("not canonical")).when(~F.coalesce(own == F.col("event_hash"), F.lit(False)), at("hash wrong"))
     )
     d = "$.details."
     return rows.select(
@@ -163,9 +164,9 @@ def hash_faults(facts: DataFrame, entries: DataFrame) -> DataFrame:
     field = F.from_csv("line", F.lit("a string, p string, s string, b string"), {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""})
     n_fields = F.size(F.split(F.regexp_replace("line", '"(?:[^"]|"")*"', ""), ",", -1))
     rows = lines.select("bundle_id", "profile", "row", F.coalesce(field["a"], F.lit("")).alias("artifact_id"), F.coalesce(field["p"], F.lit("")).alias("path"), F.coalesce(field["s"], F.lit("")).alias("sha"), F.coalesce(field["b"].try_cast("long"), F.lit(0)).alias("size"), (n_fields != F.col("width")).alias("ragged"))
-    order = Window.partitionBy("bundle_id").orderBy("row")
     key = F.struct("artifact_id", "path")
-    rows = rows.withColumn("unsorted", F.coalesce(F.lag(key).over(order) > key, F.lit(False)))
+    rows = before(rows, key, "bundle_id", "row", "row_before")
+    rows = rows.withColumn("unsorted", F.coalesce(F.col("row_before") > key, F.lit(False)))
     actual = entries.select("bundle_id", "path", F.col("sha256").alias("a_sha"), F.col("bytes").alias("a_bytes"), F.lit(True).alias("there"))
     inputs = entries.where(F.col("path").rlike("^inputs_snapshot/artifacts/.*/bytes$")).select("bundle_id", F.regexp_extract("path", "^inputs_snapshot/artifacts/(.*)/bytes$", 1).alias("artifact_id"), F.lit(True).alias("input"))
     joined = rows.join(actual, ["bundle_id", "path"], "left").join(inputs.distinct(), ["bundle_id", "artifact_id"], "left")

@@ -137,7 +137,7 @@ _PHASE = "CASE WHEN event_type = 'click' THEN 'COLD_CACHED' WHEN event_type = 'v
 
 @query("perf_p95", f"SELECT {_PHASE} AS phase, CAST(quantile_disc(CAST(floor(value * 100) AS BIGINT), 0.95) AS BIGINT) AS p95 FROM events GROUP BY 1")
 def perf_p95(spark, sf_dir):
-    return samples(spark, sf_dir).groupBy("phase").agg(bundles.p95("v").alias("p95"))
+    return bundles.nearest_rank(samples(spark, sf_dir), ["phase"], "v").withColumnRenamed("rank_value", "p95")
 
 
 def samples(spark, sf_dir):

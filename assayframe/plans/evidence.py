@@ -62,10 +62,13 @@ def evd_index_md(spark, sf_dir):
     return evidence.index_lines(items(spark, sf_dir), markdown=True)
 
 
-@query("evd_controls", "SELECT * FROM (VALUES ('all', 'CTRL-AC-001'), ('all', 'CTRL-AU-001'), ('all', 'CTRL-CI-001'), ('all', 'CTRL-DP-001'), ('all', 'CTRL-MG-001'), ('all', 'CTRL-NW-001'), ('two', 'CTRL-AU-001'), ('two', 'CTRL-CI-001')) v(asked, control_id)")
+@query("evd_controls", """WITH c(control_id, capability) AS (VALUES ('CTRL-AC-001', 'Access Controls'), ('CTRL-AU-001', 'Auditability'), ('CTRL-CI-001', 'Traceability'), ('CTRL-DP-001', 'Data Protection'), ('CTRL-MG-001', 'Model Governance'), ('CTRL-NW-001', 'Network Governance')),
+  p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN [] WHEN 2 THEN ['Traceability', 'Auditability', 'No such'] ELSE ['No such'] END AS asked FROM part)
+  SELECT p_partkey, control_id FROM p, c WHERE len(coalesce(asked, [])) = 0 OR list_contains(asked, capability)""")
 def evd_controls(spark, sf_dir):
-    named = lambda asked, *capabilities: evidence.controls(spark, capabilities).select(F.lit(asked).alias("asked"), "control_id")
-    return named("all").union(named("two", "Traceability", "Auditability", "No such"))
+    n, names = F.col("p_partkey"), lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    asked = F.when(n % 4 == 1, names()).when(n % 4 == 2, names("Traceability", "Auditability", "No such")).when(n % 4 == 3, names("No such"))
+    return evidence.controls_for(table(spark, sf_dir, "part").select(n, asked.alias("capabilities"))).select("p_partkey", "control_id")
 
 
 _HASHED = "SELECT source AS bundle_id, CASE WHEN doc_id % 4 = 0 THEN 'o:' ELSE '' END || 'a' || doc_id AS artifact_id, 'p,' || doc_id AS path, sha256(text) AS sha, strlen(text) AS bytes, doc_id FROM documents"
@@ -139,9 +142,13 @@ def small_projections(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.artifact_id(F.coalesce("text", F.lit(""))).alias("artifact_id"), evidence.extraction_confidence(mode).alias("confidence"), evidence.retention_ok(retention).alias("retention"), evidence.same_map(a, b).alias("same"), evidence.within_map(a, b).alias("within"), F.array_join(evidence.map_keys_sorted(a), ",").alias("keys"))
 
 
-@query("output_manifest", "SELECT * FROM (VALUES ('finance', 3, 2), ('incident', 3, 2), ('contract', 3, 2), ('transcript', 2, 3)) v(kind, n_deliverables, n_attachments)")
+@query("output_manifest", """WITH m(kind, files) AS (VALUES ('finance', ['deliverables/exceptions_audit.md', 'deliverables/compliance_internal.md', 'deliverables/exceptions.csv', 'attachments/exceptions_map.json', 'attachments/compliance_summary.json']), ('incident', ['deliverables/customer_packet.md', 'deliverables/internal_packet.md', 'deliverables/timeline.csv', 'attachments/redactions_map.json', 'attachments/citations_map.json']),
+    ('contract', ['deliverables/risk_memo.md', 'deliverables/clause_map.csv', 'deliverables/redline_suggestions.md', 'attachments/citations_map.json', 'attachments/anchor_index.json']), ('transcript', ['deliverables/draft_note.md', 'deliverables/verification_checklist.md', 'attachments/consent_record.json', 'attachments/citations_map.json', 'attachments/uncertainty_map.json']))
+  SELECT s_suppkey, m.kind, unnest(files) AS path FROM supplier JOIN m ON m.kind = ['finance', 'incident', 'contract', 'transcript', 'none'][s_suppkey % 5 + 1]""")
 def output_manifest(spark, sf_dir):
-    return evidence.output_manifest(spark).groupBy("kind").agg(F.count_if(F.col("folder") == "deliverables").cast("int").alias("n_deliverables"), F.count_if(F.col("folder") == "attachments").cast("int").alias("n_attachments"))
+    kind = F.array(*map(F.lit, ("finance", "incident", "contract", "transcript", "none")))[(F.col("s_suppkey") % 5).cast("int")]
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", kind.alias("kind"))
+    return rows.select("*", F.explode(evidence.outputs_of(F.col("kind"))).alias("f")).select("s_suppkey", "kind", F.concat_ws("/", "f.folder", "f.file").alias("path"))
 
 
 # incidents

@@ -126,9 +126,12 @@ _N_RECEIPT = len(RECEIPT_FAULTS)
 
 @query("execution_receipts", f"SELECT p_partkey, reasons, CASE WHEN reasons = '' THEN 'PASS' ELSE 'ERROR' END AS result FROM part JOIN {_expected([(k, e) for k, (_, _, e) in enumerate(RECEIPT_FAULTS)], 'variant', 'reasons')} ON p_partkey % {_N_RECEIPT} = variant")
 def execution_receipts(spark, sf_dir):
+    """A receipt for each part, whose run, case and argument names are the part's own."""
     texts = _variants(spark, [json.dumps(_changed(RECEIPT, path, value)) for path, value, _ in RECEIPT_FAULTS])
-    receipts = policies.validate_receipts(texts.withColumn("receipt", F.from_json("text", f"struct<{policies.RECEIPT}>")), "RECEIPT_V1", "POLICY_V1")
-    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % _N_RECEIPT).alias("variant")).join(receipts, "variant").select("p_partkey", F.array_join("reasons", ",").alias("reasons"), "result")
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % _N_RECEIPT).alias("variant")).join(texts, "variant")
+    own = F.replace("text", F.lit('"r1"'), F.concat(F.lit('"r'), F.col("p_partkey").cast("string"), F.lit('"')))
+    receipts = policies.validate_receipts(rows.withColumn("receipt", F.from_json(own, f"struct<{policies.RECEIPT}>")), "RECEIPT_V1", "POLICY_V1")
+    return receipts.select("p_partkey", F.array_join("reasons", ",").alias("reasons"), "result")
 
 
 _PATCH = {"schema_version": "PATCH_V1", "changes": [{"path": "a/b.txt", "before_sha256": _SHA}]}
@@ -296,8 +299,19 @@ _VARIANTS = _expected([(k, p) for k, (p, *_) in enumerate(BUNDLES)], "variant",
 _FAULTS = _expected([(k, c, m) for k, (_, _, e) in enumerate(BUNDLES) for c, m in e.items()], "variant", "check_id", "message").replace(") w(", ") f(")
 _ZIPS = _expected([(k, m) for k, (_, _, m) in _ZIP_FAULTS.items()], "z", "message").replace(") w(", ") zf(")
 _OFF = [k for k, (_, change, _) in enumerate(BUNDLES) if change is BUNDLES[-5][1]]
+#: The checks, and the gates with severity and policies, written out so that the SQL doesn't take them from what it checks.
+_CHECK_IDS = (
+    "CHK.BUNDLE.REQUIRED_FILES", "CHK.EXPORTS.ATTACHMENTS_LAYOUT", "CHK.NETWORK.SNAPSHOT_PRESENT", "CHK.AUDIT.REQUIRED_KEYS_AND_CHAIN", "CHK.EVIDENCE.AUTHORITY_CONTRACT", "CHK.ARTIFACT_HASHES.VERIFY",
+    "CHK.MODEL.PINNING_LEVEL", "CHK.CITATIONS.STRICT", "CHK.REDACTION.POLICY_GATE", "CHK.EVAL.REPORT_AND_GATES", "CHK.DETERMINISM.ZIP_RULES", "CHK.VAULT_CRYPTO.POLICY_SNAPSHOT",
+)
+_GATE_ROWS = (
+    ("BUNDLE_FORMAT.REQUIRED_FILES_V1", "BLOCKER", "STRICT|BALANCED|DRAFT_ONLY"), ("AUDIT_HASH_CHAIN.VERIFY_V1", "BLOCKER", "STRICT|BALANCED|DRAFT_ONLY"), ("EVIDENCE_AUTHORITY.CONTRACT_V1", "BLOCKER", "STRICT|BALANCED|DRAFT_ONLY"),
+    ("OFFLINE_ENFORCEMENT.MODE_PROOF_V1", "BLOCKER", "STRICT|BALANCED|DRAFT_ONLY"), ("OFFLINE_ENFORCEMENT.ALLOWLIST_MATCH_V1", "BLOCKER", "STRICT|BALANCED"), ("CITATIONS.STRICT_ENFORCED_V1", "BLOCKER", "STRICT"),
+    ("REDACTION.REQUIRED_APPLIED_V1", "BLOCKER", "STRICT|BALANCED"), ("MODEL_PINNING.MIN_LEVEL_V1", "BLOCKER", "STRICT|BALANCED"), ("VAULT_CRYPTO.ENCRYPTION_AT_REST_V1", "BLOCKER", "STRICT|BALANCED|DRAFT_ONLY"),
+    ("DETERMINISM.ZIP_PACKAGING_V1", "BLOCKER", "STRICT|BALANCED"), ("DETERMINISM.PDF_CAPABLE_V1", "MAJOR", "STRICT|BALANCED"), (f"{_GATE}OUTPUTS_PRESENT_V1", "BLOCKER", "STRICT|BALANCED|DRAFT_ONLY"), (f"{_GATE}MAPPING_REVIEW_PRESENT_V1", "BLOCKER", "STRICT|BALANCED|DRAFT_ONLY"),
+)
 _CHECKS_SQL = f"""WITH b AS (SELECT 'b' || c_custkey AS bundle_id, variant, policy, CASE WHEN variant = 0 THEN (c_custkey // {_N_BUNDLE}) % 6 ELSE 0 END AS z FROM customer JOIN {_VARIANTS} ON c_custkey % {_N_BUNDLE} = variant),
-  k AS (SELECT b.*, u.check_id FROM b, (SELECT unnest([{', '.join(f"'{c}'" for c in validation.CHECKS)}]) AS check_id) u),
+  k AS (SELECT b.*, u.check_id FROM b, (SELECT unnest([{', '.join(f"'{c}'" for c in _CHECK_IDS)}]) AS check_id) u),
   r AS (SELECT k.*, coalesce(CASE WHEN k.check_id = '{_ZIP}' THEN zf.message END, f.message) AS fault, k.check_id = '{_CIT}' AND policy <> 'STRICT' OR k.check_id = '{_RED}' AND policy = 'DRAFT_ONLY' OR k.check_id = '{_ZIP}' AND k.variant IN ({', '.join(map(str, _OFF))}) AS idle
     FROM k LEFT JOIN {_FAULTS} ON f.variant = k.variant AND f.check_id = k.check_id LEFT JOIN {_ZIPS} ON zf.z = k.z),
   checks AS (SELECT bundle_id, policy, check_id, CASE WHEN idle AND check_id = '{_ZIP}' THEN 'MAJOR' ELSE 'BLOCKER' END AS severity, CASE WHEN fault IS NULL THEN 'PASS' ELSE 'FAIL' END AS result, coalesce(fault, CASE WHEN idle THEN 'not applicable' ELSE 'ok' END) AS message FROM r)"""
@@ -326,7 +340,7 @@ def _by_change(*numbers: int) -> str:
 
 
 _EMPTY, _BROKEN_LINE, _NO_EGRESS, _LIVE_TOO, _ALLOWED_TOO, _FIRST_LOST = 4, 12, 38, 40, 41, 11
-_GATES_SQL = f"""{_CHECKS_SQL}, g AS (SELECT * FROM (VALUES {', '.join(f"('{g}', '{s}', '{'|'.join(p)}', '{_FOLLOW.get(g, '')}')" for g, _, s, p, _, _ in validation.gate_registry(PACK))}) t(gate_id, severity, policies, follows)),
+_GATES_SQL = f"""{_CHECKS_SQL}, g AS (SELECT * FROM (VALUES {', '.join(f"('{g}', '{s}', '{p}', '{_FOLLOW.get(g, '')}')" for g, s, p in _GATE_ROWS)}) t(gate_id, severity, policies, follows)),
   x AS (SELECT b.bundle_id, b.variant, b.policy, g.gate_id, g.severity, g.follows FROM b JOIN g ON list_contains(string_split(g.policies, '|'), b.policy))
   SELECT x.bundle_id, x.gate_id, x.severity, CASE WHEN x.follows <> '' THEN checks.result WHEN x.gate_id = '{_PDF}' THEN 'NOT_APPLICABLE'
       WHEN x.gate_id = '{_LIST}' THEN CASE WHEN x.variant IN ({_by_change(_EMPTY, _BROKEN_LINE, _NO_EGRESS, _ALLOWED_TOO, _FIRST_LOST, -1)}) THEN 'FAIL' WHEN x.variant = {_LIVE_TOO} THEN 'PASS' ELSE 'NOT_APPLICABLE' END
@@ -339,6 +353,14 @@ def bundle_gates(spark, sf_dir):
     return validation.evaluate_gates(*_bundle_tables(spark, sf_dir), PACK).select("bundle_id", "gate_id", "severity", "result")
 
 
+@query("gates_unmapped", f"""{_CHECKS_SQL} SELECT b.bundle_id, g.gate_id, 'BLOCKER' AS severity, 'FAIL' AS result, m AS message FROM b, (VALUES ('NOBODY.DECIDES_V1', 'nothing decides this gate', 'STRICT|DRAFT_ONLY'), ('NO.SUCH_CHECK_V1', 'no such check', 'BALANCED'), ('NO.SUCH_PREFIX_V1', 'no such checks', 'BALANCED')) g(gate_id, m, p) WHERE list_contains(string_split(g.p, '|'), b.policy)""")
+def gates_unmapped(spark, sf_dir):
+    """Gates that nothing decides block, whatever severity the registry gives them."""
+    rows = [("NOBODY.DECIDES_V1", "X", "MINOR", ["STRICT", "DRAFT_ONLY"], ["e"], None), ("NO.SUCH_CHECK_V1", "X", "BLOCKER", ["BALANCED"], ["e"], "CHK.NONE"), ("NO.SUCH_PREFIX_V1", "X", "BLOCKER", ["BALANCED"], ["e"], "NONE.")]
+    registry = spark.createDataFrame(rows, validation.registry_table(spark, PACK).schema)
+    return validation.evaluate_gates(*_bundle_tables(spark, sf_dir), PACK, registry).select("bundle_id", "gate_id", "severity", "result", "message")
+
+
 @query("eval_statuses", f"""{_GATES_SQL.replace('SELECT x.bundle_id, x.gate_id', ', gates AS (SELECT x.bundle_id, x.gate_id', 1)}) SELECT bundle_id, count(*) AS n_gates, CASE WHEN bool_or(result = 'FAIL' AND severity = 'BLOCKER') THEN 'FAIL' WHEN bool_or(result = 'FAIL') THEN 'WARN' ELSE 'PASS' END AS overall FROM gates GROUP BY bundle_id""")
 def eval_statuses(spark, sf_dir):
     bundles, entries = _bundle_tables(spark, sf_dir)
@@ -370,5 +392,7 @@ _ASKED = (
 def claim_evaluation(spark, sf_dir):
     rows = [(k, json.dumps(a), claim, json.dumps({**_CLAIM, **more})) for k, (a, claim, more, _) in enumerate(_ASKED)]
     asked = spark.createDataFrame(rows, "variant int, authority string, claim string, context string")
-    decision = policies.claim_decision(F.from_json("authority", f"struct<{policies.AUTHORITY}>"), F.col("claim"), F.from_json("context", f"struct<{policies.CONTEXT}>"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(_ASKED)).alias("variant")).join(asked.select("variant", decision.alias("decision")), "variant").select("o_orderkey", "decision")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(_ASKED)).alias("variant")).join(asked, "variant")
+    own = lambda c: F.replace(F.col(c), F.lit('"r1"'), F.concat(F.lit('"r'), F.col("o_orderkey").cast("string"), F.lit('"')))
+    decision = policies.claim_decision(F.from_json(own("authority"), f"struct<{policies.AUTHORITY}>"), F.col("claim"), F.from_json(own("context"), f"struct<{policies.CONTEXT}>"))
+    return rows.select("o_orderkey", decision.alias("decision"))

@@ -87,9 +87,14 @@ def last_hash(events: DataFrame, key: str = "run_id") -> DataFrame:
     return events.groupBy(key).agg(F.max_by("event_hash", "line_no").alias("last_hash"))
 
 
+def hash_columns() -> list[str]:
+    """The columns of a list of hashes, in order."""
+    return [c.split()[0] for c in HASHES.split(", ")]
+
+
 def read_artifact_hashes(spark: SparkSession, path: str) -> DataFrame:
     """artifact_hashes.csv files; a size that doesn't parse is 0."""
-    return spark.read.csv(path, header=True, schema=HASHES).withColumn("bytes", F.coalesce(F.col("bytes").try_cast("long"), F.lit(0).cast("long")))
+    return spark.read.csv(path, header=True, schema=HASHES, escape='"').withColumn("bytes", F.coalesce(F.col("bytes").try_cast("long"), F.lit(0).cast("long")))
 
 
 def parse_reports(lines: DataFrame, prefix: str, schema: str = "map<string,string>", text_col: str = "value") -> DataFrame:
