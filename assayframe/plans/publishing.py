@@ -103,7 +103,7 @@ def allowlist_forms(spark, sf_dir):
     return egress.canonical_rules(rules).select("p_partkey", "scheme", "host", F.col("port").cast("int").alias("port"), "path_prefix", "reject_reason")
 
 
-@query("egress_match_many", """WITH q AS (SELECT o_orderkey, o_orderkey % 9 AS n, o_custkey % 3 = 0 AS other FROM orders), r AS (SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS idx FROM lineitem)
+@query("egress_match_many", """WITH q AS (SELECT o_orderkey, o_orderkey % 9 AS n, o_custkey % 3 = 0 AS other FROM orders), r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS idx FROM lineitem)
   SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'BLOCKED' ELSE 'ALLOWED' END AS decision, 'ALW' || lpad(CAST(idx AS VARCHAR), CAST(greatest(4, length(CAST(idx AS VARCHAR))) AS INTEGER), '0') AS rule_id FROM q LEFT JOIN r ON NOT other AND l_orderkey = o_orderkey AND l_linenumber = n""")
 def egress_match_many(spark, sf_dir):
     """One host with a rule for every line item."""
