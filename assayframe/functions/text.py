@@ -19,11 +19,12 @@ def digit_fold(text: Column) -> Column:
     Digits are taken 18 at a time, so texts of any length have a value.
     """
     whole = lambda x: x.cast("decimal(38,0)")
-    pieces = F.regexp_extract_all(F.regexp_replace(text, "[^0-9]", ""), F.lit("[0-9]{1,18}"), F.lit(0))
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    pieces = F.regexp_extract_all(digits, F.lit("[0-9]{1,18}"), F.lit(0))
     power = lambda piece: whole(F.rpad(F.lit("1"), F.length(piece) + 1, F.lit("0")))
     n = F.aggregate(pieces, whole(F.lit(0)), lambda acc, piece: whole((whole(acc * power(piece)) + whole(piece)) % F.lit(Decimal(2**64))))
     signed = F.when(n >= F.lit(Decimal(2**63)), n - F.lit(Decimal(2**64))).otherwise(n)
-    return F.nullif(signed.cast("long"), F.lit(0).cast("long"))
+    return F.nullif(F.when(F.length(digits) <= 18, digits.try_cast("long")).otherwise(signed.cast("long")), F.lit(0).cast("long"))
 
 
 def keyword_hits(text: Column, words: tuple[str, ...], fold: bool = True) -> Column:

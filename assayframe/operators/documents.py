@@ -27,9 +27,11 @@ def uncertainty(content: Column, confidence: Column, limit: float = 0.95) -> Col
 def consent_check(transcripts: DataFrame, consents: DataFrame, as_of: str) -> DataFrame:
     """Transcripts (patient_id ...) with the status of the patient's consent (patient_id, date_given, status), and whether it blocks or warns.
 
-    A null status is VALID; a consent lasts two years. One consent a patient is assumed.
+    A null status is VALID; a consent lasts two years. Of a patient's consents the one given last counts, of several of one date a revoked one.
     """
-    known = consents.select("patient_id", F.coalesce("status", F.lit("VALID")).alias("consent"), plus_years(F.col("date_given")).alias("date_expires"), F.lit(True).alias("found"))
+    status = F.coalesce("status", F.lit("VALID"))
+    last = consents.groupBy("patient_id").agg(F.max(F.struct("date_given", (status == "REVOKED").alias("revoked"), status.alias("consent"))).alias("c"))
+    known = last.select("patient_id", "c.consent", plus_years(F.col("c.date_given")).alias("date_expires"), F.lit(True).alias("found"))
     out = transcripts.join(known, "patient_id", "left").withColumn("consent_status", consent_status(F.coalesce("found", F.lit(False)), F.col("consent"), F.col("date_expires"), as_of))
     return out.withColumns({"blocked": F.col("consent_status").isin("Missing", "Revoked"), "warned": F.col("consent_status") == "Expired"}).drop("found", "consent")
 

@@ -257,6 +257,12 @@ def check_bundles(bundles: DataFrame, entries: DataFrame, pack: str, preflight:
 
 
 def _checks(facts: DataFrame, pack: str, preflight: bool) -> DataFrame:
+    rows = facts.select("bundle_id", "policy", F.explode(_judgements(pack, preflight)).alias("c"))
+    return rows.select("bundle_id", "policy", "c.*")
+
+
+def _judgements(pack: str, preflight: bool) -> Column:
+    """Of a bundle's facts the array of its checks: check_id, severity, result, message."""
     policy, have = F.col("policy"), F.coalesce("have", F.array().cast("array<string>"))
     unreadable = lambda k: F.when(F.col(k).isNull() | ~_json(k), F.lit(f"unreadable: {_FILES[k]}"))
     lacking = F.array_compact(F.transform(F.arrays_zip(F.coalesce("found", F.array_repeat(F.lit(False), len(REQUIRED_FILES))).alias("f"), F.array(*map(F.lit, REQUIRED_FILES)).alias("n")), lambda z: F.when(~z["f"], z["n"])))
@@ -296,13 +302,11 @@ def _checks(facts: DataFrame, pack: str, preflight: bool) -> DataFrame:
         "CHK.VAULT_CRYPTO.POLICY_SNAPSHOT": F.coalesce(unreadable("policy_text"), F.when(~crypto, "no encryption at rest by a known algorithm"), F.when(~F.coalesce("key_storage", F.lit(False)), "key storage not told")),
     }
     idle = {"CHK.CITATIONS.STRICT": policy != "STRICT", "CHK.REDACTION.POLICY_GATE": policy == "DRAFT_ONLY", "CHK.DETERMINISM.ZIP_RULES": ~fixed_zip & _json("policy_text")}
-    one = [F.struct(F.lit(k).alias("check_id"), x.alias("fault"), idle.get(k, F.lit(False)).alias("idle")) for k, x in faults.items()]
-    rows = facts.select("bundle_id", "policy", F.explode(F.array(*one)).alias("c")).select("bundle_id", "policy", "c.*")
-    minor = (F.col("check_id") == "CHK.DETERMINISM.ZIP_RULES") & F.coalesce("idle", F.lit(False))
-    return rows.select(
-        "bundle_id", "policy", "check_id", F.when(minor, "MAJOR").otherwise("BLOCKER").alias("severity"), F.when(F.col("fault").isNull(), "PASS").otherwise("FAIL").alias("result"),
-        F.coalesce("fault", F.when(F.coalesce("idle", F.lit(False)), "not applicable").otherwise("ok")).alias("message"),
-    )
+    never = F.lit(False)
+    minor = lambda k: F.coalesce(idle[k], never) if k == "CHK.DETERMINISM.ZIP_RULES" else never
+    message = lambda k, x: F.coalesce(x, F.when(F.coalesce(idle.get(k, never), never), "not applicable").otherwise("ok"))
+    one = [F.struct(F.lit(k).alias("check_id"), F.when(minor(k), "MAJOR").otherwise("BLOCKER").alias("severity"), F.when(x.isNull(), "PASS").otherwise("FAIL").alias("result"), message(k, x).alias("message")) for k, x in faults.items()]
+    return F.array(*one)
 
 
 def bundle_verdict(checks: DataFrame, key: str = "bundle_id") -> DataFrame:
@@ -320,7 +324,7 @@ def evaluate_gates(bundles: DataFrame, entries: DataFrame, pack: str, registry:
     """
     facts = _judged(bundles, entries)
     registry = registry_table(entries.sparkSession, pack) if registry is None else registry
-    checks = _checks(facts, pack, True).groupBy("bundle_id").agg(F.map_from_entries(F.collect_list(F.struct("check_id", F.struct("result", "message")))).alias("checks"))
+    checks = F.map_from_entries(F.transform(_judgements(pack, True), lambda c: F.struct(c["check_id"], F.struct(c["result"].alias("result"), c["message"].alias("message")))))
     zero = lambda c: F.coalesce(c, F.lit(0))
     no = lambda text: F.struct(F.lit("FAIL").alias("result"), (F.lit(text) if isinstance(text, str) else text).alias("message"))
     idle = lambda text: F.struct(F.lit("NOT_APPLICABLE").alias("result"), (F.lit(text) if isinstance(text, str) else text).alias("message"))
@@ -339,7 +343,7 @@ def evaluate_gates(bundles: DataFrame, entries: DataFrame, pack: str, registry:
     mapping = F.when(~own, idle("another pack")).when(review.isNull(), no("mapping review missing")).when(F.try_parse_json(review).isNull(), no("mapping review not JSON")).when(F.coalesce(_path(review, "$.schema_version"), F.lit("")) != "EVIDENCE_MAPPING_REVIEW_V1", no("mapping review of another schema")).otherwise(ok)
     name = pack.upper()
     decided = F.create_map(F.lit("OFFLINE_ENFORCEMENT.ALLOWLIST_MATCH_V1"), allowlist, F.lit("DETERMINISM.PDF_CAPABLE_V1"), idle("no PDF here"), F.lit(f"{name}.OUTPUTS_PRESENT_V1"), outputs, F.lit(f"{name}.MAPPING_REVIEW_PRESENT_V1"), mapping)
-    rows = facts.select("bundle_id", F.col("policy").alias("p"), decided.alias("decided")).join(checks, "bundle_id")
+    rows = facts.select("bundle_id", F.col("policy").alias("p"), decided.alias("decided"), checks.alias("checks"))
     by = registry.select("*", F.explode("policies").alias("p")).drop("policies")
     rows = rows.join(by, "p")
     prefixed = F.map_values(F.map_filter("checks", lambda k, v: k.startswith(F.col("decided_by"))))

@@ -84,7 +84,7 @@ _MESSAGES = ["request timeout", "model not found", "op unsupported", "else", Non
 
 
 @query("fn_checks", """SELECT p_partkey, coalesce(p_partkey % 8 IN (0, 1, 3), false) AS loopback, ['TIMEOUT', 'MODEL_NOT_FOUND', 'NOT_SUPPORTED', 'RUNTIME_ERROR', 'RUNTIME_ERROR'][p_partkey % 5 + 1] AS category, ['ADAPTER_TIMEOUT', 'MODEL_NOT_FOUND', 'NOT_SUPPORTED', 'RUNTIME_ERROR', 'RUNTIME_ERROR'][p_partkey % 5 + 1] AS code, p_partkey % 5 = 0 AS retryable,
-    CASE WHEN p_partkey % 3 = 2 THEN 'NAME_ONLY' WHEN p_partkey % 2 = 0 THEN 'CRYPTO_PINNED' ELSE 'VERSION_PINNED' END AS pinning, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'r_' || left(sha256(CAST(p_partkey AS VARCHAR)), 32) END AS run_id, 'a,b c' AS list, 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) AS lines, '\\(x\\) \\\\' AS pdf, CASE WHEN p_partkey % 2 = 0 THEN 'z' ELSE '' END AS unknown, p_partkey % 6 IN (1, 2) AS below FROM part""")
+    CASE WHEN p_partkey % 3 = 2 THEN 'NAME_ONLY' WHEN p_partkey % 2 = 0 THEN 'CRYPTO_PINNED' ELSE 'VERSION_PINNED' END AS pinning, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'r_' || left(sha256(CAST(p_partkey AS VARCHAR)), 32) END AS run_id, 'a,b c,x' || p_partkey AS list, 'a' || chr(10) || 'b' || chr(10) || p_partkey || chr(10) AS lines, '\\(x\\) \\\\' || p_partkey AS pdf, CASE WHEN p_partkey % 2 = 0 THEN 'z' ELSE '' END AS unknown, p_partkey % 6 IN (1, 2) AS below FROM part""")
 def fn_checks(spark, sf_dir):
     n = F.col("p_partkey")
     pick = lambda xs: F.array(*map(F.lit, xs))[(n % len(xs)).cast("int")]
@@ -92,7 +92,7 @@ def fn_checks(spark, sf_dir):
     key = F.sha2(n.cast("string").cast("binary"), 256)
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.coalesce(checks.loopback(pick(_URLS)), F.lit(False)).alias("loopback"), error["category"].alias("category"), error["code"].alias("code"), error["retryable"].alias("retryable"), checks.pinning_level(F.when(n % 2 == 0, "x"), F.when(n % 3 == 2, "").otherwise("a"), F.lit("1")).alias("pinning"),
-        ids.run_id(F.when(n % 4 == 3, "short").when(n % 4 == 1, F.upper(key)).otherwise(key)).alias("run_id"), F.array_join(text.csv_list(F.lit(" b c,a,, a ,")), ",").alias("list"), text.unix_newlines(F.lit("a\r\nb\rc\n")).alias("lines"), text.pdf_escaped(F.lit("(x) \\")).alias("pdf"),
+        ids.run_id(F.when(n % 4 == 3, "short").when(n % 4 == 1, F.upper(key)).otherwise(key)).alias("run_id"), F.array_join(text.csv_list(F.concat(F.lit(" b c,a,, a ,x"), n.cast("string"), F.lit(" "))), ",").alias("list"), text.unix_newlines(F.concat(F.lit("a\r\nb\r"), n.cast("string"), F.lit("\r"))).alias("lines"), text.pdf_escaped(F.concat(F.lit("(x) \\"), n.cast("string"))).alias("pdf"),
         F.array_join(jsons.unknown_keys(F.when(n % 2 == 0, '{"a":1,"z":2}').otherwise('{"a":{"z":1}}'), ("a", "b")), ",").alias("unknown"), checks.strict_descendant(F.lit("/a/b"), pick(["/a/b", "/a/b/c", "/a/b/c/d", "/a/bc", "/a/b/../c", "a/b/c"])).alias("below"),
     )
 

@@ -83,3 +83,11 @@ def test_controls_and_outputs_of_rows(spark):
     assert sorted(r.control_id for r in rows if r.k == "all") == sorted(c[0] for c in evidence.CONTROLS) and {r.control_id for r in rows if r.k == "two"} == {"CTRL-AU-001", "CTRL-CI-001"} and not [r for r in rows if r.k == "none"]
     kinds = spark.createDataFrame([("finance",), ("odd",), (None,)], "k string").select("k", evidence.outputs_of(F.col("k")).alias("f")).collect()
     assert len(kinds[0].f) == 5 and kinds[1].f is None and kinds[2].f is None
+
+
+def test_last_consent_counts(spark):
+    from assayframe.operators import documents
+
+    consents = spark.createDataFrame([("p", "2024-01-01", "REVOKED"), ("p", "2025-01-01", None), ("q", "2025-01-01", "VALID"), ("q", "2025-01-01", "REVOKED"), ("r", "2020-01-01", None)], "patient_id string, date_given string, status string")
+    got = documents.consent_check(spark.createDataFrame([(x,) for x in "pqrs"], "patient_id string"), consents, "2026-01-01").collect()
+    assert {r.patient_id: r.consent_status for r in got} == {"p": "Valid", "q": "Revoked", "r": "Expired", "s": "Missing"} and len(got) == 4
