@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import workflows
+from ..operators.audit import ordered_sha256
+from .events import log_rows
 from .evidence import _claims, items
-from .registry import query, table
+from .registry import SQL, query, table
 from .sources import _texts
 from .statements import EX_SQL, known_categories, transactions
 
@@ -60,3 +62,25 @@ def wf_evidence(spark, sf_dir):
     cited = F.array(F.struct(F.lit("a1").alias("artifact_id"), F.lit("L").alias("locator_type"), F.lit("{}").alias("locator")))
     claims = _claims(spark, sf_dir).withColumn("citations", F.when(F.col("ord") % 2 == 0, cited))
     return _counts(workflows.evidence_workflow(items(spark, sf_dir), claims, "r1"), "rejected", "evidence_index.csv", "evidence_index.md", "evidence_mapping_review.json", "citations_map.json")
+
+
+def _content(outputs: dict[str, DataFrame], key: str, orders: dict[str, list[str]]) -> DataFrame:
+    """(key, output, sha256): the digest of each output's lines, in order, each ended by a newline."""
+    lines = [outputs[k].select(key, F.lit(k).alias("output"), F.struct(*[F.col(c).cast("long") for c in order]).alias("at"), F.concat(F.col(line), F.lit("\n")).alias("text")) for k, (line, *order) in orders.items()]
+    one = [ordered_sha256(x.select(F.col(key).alias("k"), "at", "text"), "k", ["at"]).select(F.col("k").alias(key), F.lit(name).alias("output"), "sha256") for name, x in zip(orders, lines)]
+    return reduce(DataFrame.union, one)
+
+
+def _content_sql(output: str, name: str, order: str, line: str = "line") -> str:
+    return f"SELECT incident_id, '{output}' AS output, sha256(string_agg({line} || chr(10), '' ORDER BY {order})) AS sha256 FROM ({SQL[name]}) GROUP BY incident_id"
+
+
+@query("wf_incident_content", " UNION ALL ".join([_content_sql("timeline.csv", "inc_timeline_csv", "ts, idx"), _content_sql("internal_packet.md", "inc_packet_internal", "section, ts, idx, line_no"), _content_sql("customer_packet.md", "inc_packet_customer", "section, ts, idx, line_no"), _content_sql("citations_map.json", "inc_citations_map", "ts, idx", "item")]))
+def wf_incident_content(spark, sf_dir):
+    """Logs as text, through the whole workflow: what its files hold."""
+    rows = log_rows(spark, sf_dir)
+    line = F.to_json(F.struct("timestamp", "source_system", "actor", "action", "affected_resource", "evidence_text"))
+    logs = rows.groupBy("incident_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("x")))), lambda e: e["x"]), "\n").alias("text"))
+    out = workflows.incident_workflow(logs)
+    packet = ["line", "section", "ts", "idx", "line_no"]
+    return _content(out, "incident_id", {"timeline.csv": ["line", "ts", "idx"], "internal_packet.md": packet, "customer_packet.md": packet, "citations_map.json": ["item", "ts", "idx"]})
