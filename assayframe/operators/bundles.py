@@ -16,7 +16,7 @@ REQUIRED_FILES = (
 )
 #: Reasons for which egress may be blocked.
 EGRESS_REASONS = ("OFFLINE_MODE", "NOT_ALLOWLISTED", "UI_DIRECT_EGRESS_BLOCKED")
-_SEVERITIES = ("MINOR", "MAJOR", "BLOCKER")
+_SEVERITIES, MOST_GATES = ("MINOR", "MAJOR", "BLOCKER"), 1000
 
 
 def required_files(entries: DataFrame, required: tuple[str, ...] = REQUIRED_FILES) -> DataFrame:
@@ -64,11 +64,15 @@ def prefix_rollup(checks: DataFrame, prefixes: tuple[str, ...], key: str = "bund
 
 def gate_report(results: DataFrame, registry: DataFrame, policy: str) -> DataFrame:
     """Per run and gate: ok, missing, unexpected, duplicate or downgraded, of results (run_id, gate_id, severity, result) against the
-    gates of ``registry`` (gate_id, severity, policies: array) that apply to ``policy``."""
+    gates of ``registry`` (gate_id, severity, policies: array) that apply to ``policy``. A registry of over ``MOST_GATES`` of them is refused: they become a list in the plan, so that no run is joined with all gates."""
     rank = lambda c: F.array_position(F.array(*map(F.lit, _SEVERITIES)), c)
     due = registry.where(F.array_contains("policies", policy)).select("gate_id", F.col("severity").alias("due_severity"))
     got = results.groupBy("run_id", "gate_id").agg(F.count("*").alias("n"), F.min(rank(F.col("severity"))).alias("lowest"), F.bool_and(F.col("result").isin("PASS", "NOT_APPLICABLE")).alias("passed"))
-    expected = results.select("run_id").distinct().crossJoin(F.broadcast(due))  # the registry is a constant of few rows
+    listed = due.limit(MOST_GATES + 1).collect()
+    if len(listed) > MOST_GATES:
+        raise ValueError(f"over {MOST_GATES} gates apply to {policy}")
+    one = F.array(*[F.struct(F.lit(g.gate_id).alias("gate_id"), F.lit(g.due_severity).alias("due_severity")) for g in listed]).cast("array<struct<gate_id:string,due_severity:string>>")
+    expected = results.select("run_id").distinct().select("run_id", F.explode(one).alias("g")).select("run_id", "g.*")
     out = expected.join(got, ["run_id", "gate_id"], "full_outer")
     status = F.when(F.col("n").isNull(), "missing").when(F.col("due_severity").isNull(), "unexpected").when(F.col("n") > 1, "duplicate").when(F.col("lowest") < rank(F.col("due_severity")), "downgraded").otherwise("ok")
     return out.select("run_id", "gate_id", status.alias("status"), F.coalesce(F.col("passed") & (status == "ok"), F.lit(False)).alias("satisfied"))

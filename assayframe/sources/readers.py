@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import plus_years, safe_relative_path
 from ..functions.ids import sha
+from .folders import read_folders
 
 STATEMENT = "statement_id string, period_start string, period_end string, transactions array<struct<date:string,amount:double,account:string,category:string,description:string>>"
 LOG = "struct<timestamp:string,source_system:string,actor:string,action:string,affected_resource:string,evidence_text:string>"
@@ -241,11 +242,5 @@ def inspect_tars(archives: DataFrame, folders: tuple[str, ...], files: tuple[str
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(path relative to the folder, bytes) of all files under a folder, and of the folders that hold them (ending in a slash, without bytes). Spark lists no empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = re.sub(r"^[a-z]+:/*", "/", path).rstrip("/") + "/"
-    files = files.select(F.expr("substring(path, instr(path, {0}) + length({0}))".format("'" + root.replace("'", "\\'") + "'")).alias("path"), F.col("content").alias("bytes"))
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
-    folders = files.where(F.col("path").contains("/")).select(F.explode(above).alias("path")).distinct()
-    return files.unionByName(folders.withColumn("bytes", F.lit(None).cast("binary")))
+    """(path relative to the folder, bytes) of all files under a folder, empty ones too, and of its folders (ending in a slash, without bytes): see ``folders.read_folders``."""
+    return read_folders(spark, path)
