@@ -220,6 +220,14 @@ def stream_expired_claims(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda e: processors.expired_claims(claims(e)))
 
 
+@query("stream_sliding", """WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS window_start, event_type, value FROM events, range(4) r(k))
+  SELECT window_start, event_type, count(*) AS n, round(sum(CAST(value AS DECIMAL(18,2))), 2)::DOUBLE AS total FROM w WHERE window_start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+def stream_sliding(spark, sf_dir):
+    """Days that begin every six hours, on a stream: those that the watermark has passed."""
+    days = lambda e: stateful.tumbling(e.withColumns({"value": F.col("value").cast("decimal(18,2)"), "ts": F.col("ts").cast("timestamp")}), slide="6 hours").withColumn("total", F.col("total").cast("double"))
+    return _streamed(spark, sf_dir, days)
+
+
 @query("ext_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(CAST(value AS DECIMAL(18,2))), 2)::DOUBLE AS total FROM events GROUP BY 1, 2")
 def ext_tumbling(spark, sf_dir):
     return stateful.tumbling(table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))).withColumn("total", F.col("total").cast("double"))

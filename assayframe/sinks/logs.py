@@ -13,7 +13,8 @@ class BrokenLog(ValueError):
     """What should be appended doesn't go on from the last lines of the log."""
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path in it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
@@ -25,7 +26,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def _heads(spark: SparkSession, path: str) -> DataFrame | None:
     """(run_id, line_no, event_hash): the last line of each run of the log; None for an empty log."""
-    fs, pattern = _folder(spark, f"{path}/batch-*/heads")
+    fs, pattern = folder(spark, f"{path}/batch-*/heads")
     if not fs.globStatus(pattern):
         return None
     rows = spark.read.parquet(f"{path}/batch-*/heads")
@@ -39,7 +40,7 @@ def append_batch(lines: DataFrame, path: str, name: str) -> bool:
     run, or from nothing; otherwise ``BrokenLog`` is raised and the log stays as it was.
     """
     spark = lines.sparkSession
-    fs, final = _folder(spark, f"{path}/batch-{name}")
+    fs, final = folder(spark, f"{path}/batch-{name}")
     if fs.exists(final):
         return False
     aside = f"{path}/.aside-{name}"
@@ -52,9 +53,9 @@ def append_batch(lines: DataFrame, path: str, name: str) -> bool:
     last = starts.withColumn("last", F.lit(ZERO)) if heads is None else starts.join(heads.select("run_id", F.col("event_hash").alias("last")), "run_id", "left")
     broken = last.where(F.col("prev") != F.coalesce("last", F.lit(ZERO))).select("run_id").limit(5).collect()
     if broken:
-        fs.delete(_folder(spark, aside)[1], True)
+        fs.delete(folder(spark, aside)[1], True)
         raise BrokenLog(f"batch {name} doesn't go on from the log in runs {', '.join(str(r.run_id) for r in broken)}")
-    if not fs.rename(_folder(spark, aside)[1], final):
+    if not fs.rename(folder(spark, aside)[1], final):
         raise OSError(f"{final} can't be made")
     return True
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .logs import folder
+
 
 def documents_from_lines(lines: DataFrame, key: str, order: list[str], header: str = "", line_col: str = "line") -> DataFrame:
     """(key, content): the lines of each key in order, after a header, each ended by a newline. A key is one report file."""
@@ -69,11 +72,26 @@ def zip_bundles(files: DataFrame, key: str = "bundle_id") -> DataFrame:
 
 
 def write_archives(bundles: DataFrame, path: str, key: str = "bundle_id") -> None:
-    """Publish archives (bundle_id, content, sha256) as Parquet; an existing target is an error, so nothing is overwritten, and so is a digest that doesn't fit, before anything is written."""
-    other = bundles.where(~F.coalesce(F.sha2("content", 256) == F.lower("sha256"), F.lit(False))).count()
-    if other:
-        raise ValueError(f"{other} archives don't have their digest")
-    bundles.select(key, "content", "sha256").write.mode("errorifexists").parquet(path)
+    """Publish archives (bundle_id, content, sha256) as Parquet: written aside, their digests checked in what was written, and then seen at ``path`` by one rename.
+
+    An existing target is an error, so nothing is overwritten, and so is a digest that doesn't fit; after any error nothing is left.
+    """
+    spark = bundles.sparkSession
+    fs, target = folder(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(f"{path} already exists")
+    head, _, name = path.rstrip("/").rpartition("/")
+    aside = f"{head}/.{name}.aside-{uuid.uuid4().hex}"
+    try:
+        rows = bundles.select(key, "content", "sha256")
+        rows.write.parquet(aside)
+        other = spark.read.schema(rows.schema).parquet(aside).where(~F.coalesce(F.sha2("content", 256) == F.lower("sha256"), F.lit(False))).count()
+        if other:
+            raise ValueError(f"{other} archives don't have their digest")
+        if fs.exists(target) or not fs.rename(folder(spark, aside)[1], target):
+            raise FileExistsError(f"{path} already exists")
+    finally:
+        fs.delete(folder(spark, aside)[1], True)
 
 
 def publish_passed(bundles: DataFrame, verdicts: DataFrame, path: str, key: str = "bundle_id") -> None:

@@ -59,10 +59,10 @@ def egress_stream(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return chain_stream(egress_events(egress_decisions(requests, rules)))
 
 
-def tumbling(events: DataFrame, ts_col: str = "ts", width: str = "1 day", late: str = "1 hour", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    """Counts and sums by time window; the watermark only acts on streams."""
+def tumbling(events: DataFrame, ts_col: str = "ts", width: str = "1 day", late: str = "1 hour", keys: tuple[str, ...] = ("event_type",), slide: str | None = None) -> DataFrame:
+    """Counts and sums by time window, or by windows that begin every ``slide``. On a stream rows later than ``late`` are left out, and a window is told once the watermark has passed its end."""
     df = events.withWatermark(ts_col, late) if events.isStreaming else events
-    return df.groupBy(F.window(ts_col, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", "total")
+    return df.groupBy(F.window(ts_col, width, slide).alias("w"), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, ts_col: str = "ts", gap: str = "30 minutes", key: str = "user_id", late: str = "1 hour") -> DataFrame:

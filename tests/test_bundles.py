@@ -73,3 +73,19 @@ def test_folders_with_empty_ones(spark, tmp_path):
     assert folders.read_folders(spark, f"file://{tmp_path}", contents=False).where("bytes is not null").count() == 0
     with pytest.raises(Exception, match="missing"):
         folders.read_folders(spark, f"{tmp_path}/missing").collect()
+
+
+def test_archives_are_seen_whole_or_not_at_all(spark, tmp_path):
+    from assayframe.sinks import writers
+
+    good = spark.createDataFrame([("a", b"x"), ("b", b"y")], "bundle_id string, content binary").withColumn("sha256", F.upper(F.sha2("content", 256)))
+    with pytest.raises(ValueError, match="1 archives"):
+        writers.write_archives(good.withColumn("sha256", F.when(F.col("bundle_id") == "a", "0").otherwise(F.col("sha256"))), f"{tmp_path}/out")
+    assert os.listdir(tmp_path) == []
+    with pytest.raises(Exception, match="torn"):
+        writers.write_archives(good.withColumn("content", F.when(F.col("bundle_id") == "b", F.raise_error(F.lit("torn"))).otherwise(F.col("content"))), f"{tmp_path}/out")
+    assert os.listdir(tmp_path) == []
+    writers.write_archives(good, f"{tmp_path}/out")
+    assert os.listdir(tmp_path) == ["out"] and spark.read.parquet(f"{tmp_path}/out").count() == 2
+    with pytest.raises(FileExistsError):
+        writers.write_archives(good, f"{tmp_path}/out")
