@@ -19,19 +19,24 @@ _MARK = "
 
 
 def uncertainty(content: Column, confidence: Column, limit: float = 0.95) -> Column:
-    """What a transcript leaves uncertain: ``speech_recognition``, then the terms that it holds."""
-    heard = F.when(confidence < limit, F.array(F.lit("speech_recognition"))).otherwise(F.array().cast("array<string>"))
+    """What a transcript leaves uncertain: ``speech_recognition``, then the terms that it holds. Confidences are compared as floats, as transcripts hold them."""
+    heard = F.when(confidence.cast("float") < F.lit(limit).cast("float"), F.array(F.lit("speech_recognition"))).otherwise(F.array().cast("array<string>"))
     return F.concat(heard, keyword_hits(content, UNCERTAIN_TERMS))
 
 
+def latest_consents(consents: DataFrame) -> DataFrame:
+    """(patient_id, date_given, status): of each patient the consent given last, of several of one date a revoked one. A null status is VALID."""
+    status = F.coalesce("status", F.lit("VALID"))
+    last = consents.groupBy("patient_id").agg(F.max(F.struct("date_given", (status == "REVOKED").alias("revoked"), status.alias("status"))).alias("c"))
+    return last.select("patient_id", "c.date_given", "c.status")
+
+
 def consent_check(transcripts: DataFrame, consents: DataFrame, as_of: str) -> DataFrame:
     """Transcripts (patient_id ...) with the status of the patient's consent (patient_id, date_given, status), and whether it blocks or warns.
 
     A null status is VALID; a consent lasts two years. Of a patient's consents the one given last counts, of several of one date a revoked one.
     """
-    status = F.coalesce("status", F.lit("VALID"))
-    last = consents.groupBy("patient_id").agg(F.max(F.struct("date_given", (status == "REVOKED").alias("revoked"), status.alias("consent"))).alias("c"))
-    known = last.select("patient_id", "c.consent", plus_years(F.col("c.date_given")).alias("date_expires"), F.lit(True).alias("found"))
+    known = latest_consents(consents).select("patient_id", F.col("status").alias("consent"), plus_years(F.col("date_given")).alias("date_expires"), F.lit(True).alias("found"))
     out = transcripts.join(known, "patient_id", "left").withColumn("consent_status", consent_status(F.coalesce("found", F.lit(False)), F.col("consent"), F.col("date_expires"), as_of))
     return out.withColumns({"blocked": F.col("consent_status").isin("Missing", "Revoked"), "warned": F.col("consent_status") == "Expired"}).drop("found", "consent")
 

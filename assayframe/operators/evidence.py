@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import consent_status, plus_years
 from ..functions.ids import sha
-from .documents import UNCERTAIN_TERMS, claim_lines
+from .documents import UNCERTAIN_TERMS, claim_lines, latest_consents
 
 #: The controls: id, title, capability, family, description.
 CONTROLS = (
@@ -198,16 +198,16 @@ def citations_map(claims: DataFrame, output_path: str) -> DataFrame:
 
 
 def assessed_transcripts(transcripts: DataFrame, consents: DataFrame, as_of: str) -> DataFrame:
-    """Transcripts with consent_status: that of the patient's latest consent (by date_given, then by status), so that one transcript stays one row."""
-    last = consents.groupBy("patient_id").agg(F.max(F.struct("date_given", F.coalesce("status", F.lit("VALID")).alias("status"))).alias("c"))
+    """Transcripts with consent_status: that of the patient's latest consent (as ``documents.latest_consents``), so that one transcript stays one row."""
+    last = latest_consents(consents).select("patient_id", F.struct("date_given", "status").alias("c"))
     status = consent_status(F.col("c").isNotNull(), F.col("c.status"), plus_years(F.col("c.date_given")), as_of)
     return transcripts.join(last, "patient_id", "left").withColumn("consent_status", status).drop("c")
 
 
 def draft_note(transcripts: DataFrame) -> DataFrame:
-    """(transcript_id, line_no, line): the draft note of transcripts (transcript_id, patient_id, date, provider, specialty, confidence, content, consent_status). A blocked consent gets none."""
+    """(transcript_id, line_no, line): the draft note of transcripts (transcript_id, patient_id, date, provider, specialty, confidence, content, consent_status). A blocked consent gets none. A confidence half-way between two percent goes to the even one."""
     field = lambda name, c: F.concat(F.lit(f"- **{name}:** "), c)
-    percent = F.concat(F.round(F.col("confidence").cast("double") * 100, 0).cast("int").cast("string"), F.lit("%"))
+    percent = F.concat(F.bround(F.col("confidence").cast("float") * F.lit(100).cast("float"), 0).cast("int").cast("string"), F.lit("%"))
     warning = F.when(F.col("consent_status") == "Expired", F.array(F.lit("⚠️ **WARNING:** Patient consent has expired. Request renewal before finalization."), F.lit(""))).otherwise(F.array().cast("array<string>"))
     texts = lambda *x: F.array(*[F.lit(t) if isinstance(t, str) else t for t in x])
     claim = F.concat(F.lit("<!-- CLAIM:C"), "transcript_id", F.lit(" ANCHOR:"), "transcript_id", F.lit(" -->"))
@@ -235,8 +235,8 @@ def verification_checklist(transcripts: DataFrame) -> DataFrame:
 
 
 def uncertainty_map(transcripts: DataFrame, limit: float = 0.95) -> DataFrame:
-    """(transcript_id, item_no, item): what a transcript leaves uncertain, as JSON objects."""
-    heard = F.when(F.col("confidence") < limit, F.to_json(F.struct(F.lit("speech_recognition").alias("type"), F.col("confidence"), F.lit("Verify medical terms against clinical context").alias("recommendation"))))
+    """(transcript_id, item_no, item): what a transcript leaves uncertain, as JSON objects; confidences are compared as floats."""
+    heard = F.when(F.col("confidence").cast("float") < F.lit(limit).cast("float"), F.to_json(F.struct(F.lit("speech_recognition").alias("type"), F.col("confidence"), F.lit("Verify medical terms against clinical context").alias("recommendation"))))
     low = F.lower("content")
     terms = [F.when(low.contains(t), F.to_json(F.struct(F.lit("clinical_uncertainty").alias("type"), F.lit(t).alias("term"), F.lit("Clarify with provider before finalization").alias("recommendation")))) for t in UNCERTAIN_TERMS]
     return transcripts.select("transcript_id", F.posexplode(F.array_compact(F.array(heard, *terms))).alias("item_no", "item"))

@@ -36,6 +36,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def kept(df: DataFrame, tag: str = "kept") -> DataFrame:
+    """``df`` written once in the shared folder and read back, for what several outputs read."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

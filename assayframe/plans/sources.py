@@ -44,10 +44,10 @@ def src_logs(spark, sf_dir):
     return rows.select("incident_id", "idx", "line_no", F.col("timestamp").alias("stamp"), F.col("reject_reason").alias("reason"))
 
 
-_TRANSCRIPTS = [json.dumps({"patient_id": "p", "date": "2026-01-01", "provider": "d", "specialty": "s", "content": c, "confidence": 0.5}) for c in ("words", "  ")] + ['{"patient_id":"p"}', "x"]
+_TRANSCRIPTS = [json.dumps({"patient_id": "p", "date": "2026-01-01", "provider": "d", "specialty": "s", "content": c, "confidence": 0.5}) for c in ("words", "")] + ['{"patient_id":"p"}', "x", '{"patient_id":"p","date":"2026-01-01","provider":"d","specialty":"s","content":"words","confidence":"high"}']
 
 
-@query("src_transcripts", "SELECT reason, id, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'empty content' ELSE 'missing field' END AS reason, CASE WHEN o_orderkey % 4 < 2 THEN 'CLINICAL_' || left(sha256('p2026-01-01' || CASE o_orderkey % 4 WHEN 0 THEN 'words' ELSE '  ' END), 16) END AS id FROM orders) GROUP BY ALL")
+@query("src_transcripts", "SELECT reason, id, count(*) AS n FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'empty content' ELSE 'missing field' END AS reason, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN 'CLINICAL_' || left(sha256('p2026-01-01' || CASE o_orderkey % 5 WHEN 1 THEN '' ELSE 'words' END), 16) END AS id FROM orders) GROUP BY ALL")
 def src_transcripts(spark, sf_dir):
     return readers.parse_transcripts(_texts(spark, sf_dir, "orders", "o_orderkey", _TRANSCRIPTS)).groupBy(F.col("reject_reason").alias("reason"), F.col("transcript_id").alias("id")).agg(F.count("*").alias("n"))
 

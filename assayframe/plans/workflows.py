@@ -1,4 +1,4 @@
-"""Queries that run whole packs over files made from the tables; each gives the number of lines of each output."""
+"""Queries that run whole packs over files made from the tables: the number of lines of each output, and (``_content``) the digest of what each file holds."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import workflows
 from ..operators.audit import ordered_sha256
 from .events import log_rows
-from .evidence import _claims, items
-from .registry import SQL, query, table
+from .evidence import _TRANSCRIPTS, _claims, items
+from .registry import SQL, kept, query, table
 from .sources import _texts
-from .statements import EX_SQL, known_categories, transactions
+from .statements import _LINE, EX_SQL, known_categories, transactions
 
 _TALLY = "count(*) AS n"
 
@@ -23,13 +23,17 @@ def _counts(outputs: dict[str, DataFrame], *names: str) -> DataFrame:
     return reduce(DataFrame.union, [outputs[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("output"), "n") for k in names])
 
 
+def _statements(spark, sf_dir):
+    """(text): statements as files of JSON."""
+    row = F.struct("ordinal", F.struct("date", "amount", "account", "category").alias("t"))
+    texts = transactions(spark, sf_dir).groupBy("statement_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]).alias("transactions"))
+    return texts.select(F.to_json(F.struct("statement_id", F.lit("a").alias("period_start"), F.lit("b").alias("period_end"), "transactions")).alias("text"))
+
+
 @query("wf_finance", f"""WITH {EX_SQL} SELECT 'exceptions.csv' AS output, {_TALLY} FROM placed UNION ALL SELECT 'exceptions_map.json', count(*) FROM placed UNION ALL SELECT 'compliance_summary.json', count(DISTINCT statement_id) FROM tx UNION ALL SELECT 'rejected', 1
   UNION ALL SELECT 'exceptions_audit.md', (SELECT count(*) * 9 FROM placed) + (SELECT count(DISTINCT statement_id) * 14 FROM tx)""")
 def wf_finance(spark, sf_dir):
-    row = F.struct("ordinal", F.struct("date", "amount", "account", "category").alias("t"))
-    texts = transactions(spark, sf_dir).groupBy("statement_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]).alias("transactions"))
-    texts = texts.select(F.to_json(F.struct("statement_id", F.lit("a").alias("period_start"), F.lit("b").alias("period_end"), "transactions")).alias("text"))
-    out = workflows.finance_workflow(texts.union(spark.createDataFrame([("{",)], "text string")), known_categories(spark))
+    out = workflows.finance_workflow(_statements(spark, sf_dir).union(spark.createDataFrame([("{",)], "text string")), known_categories(spark), once=kept)
     return _counts(out, "exceptions.csv", "exceptions_map.json", "compliance_summary.json", "rejected", "exceptions_audit.md")
 
 
@@ -51,7 +55,7 @@ def wf_contract(spark, sf_dir):
 @query("wf_transcript", """WITH o AS (SELECT o_orderkey % 4 AS v FROM orders) SELECT unnest(['rejected', 'draft_note.md', 'verification_checklist.md', 'uncertainty_map.json']) AS output, unnest([count(*) FILTER (v <> 0), count(*) FILTER (v = 0) * 26, count(*) FILTER (v IN (0, 1)) * 31, count(*) FILTER (v IN (0, 1))]) AS n FROM o""")
 def wf_transcript(spark, sf_dir):
     made = lambda patient, content: f'{{"patient_id":"{patient}","date":"2026-01-01","provider":"d","specialty":"s","content":"{content}","confidence":0.5}}'
-    files = _texts(spark, sf_dir, "orders", "o_orderkey", [made("p", "clear words"), made("q", "clear words"), made("p", " "), "x"])
+    files = _texts(spark, sf_dir, "orders", "o_orderkey", [made("p", "clear words"), made("q", "clear words"), made("p", ""), "x"])
     consents = spark.createDataFrame([('{"patient_id":"p","date_given":"2025-01-01","scope":"s"}',)], "text string")
     return _counts(workflows.transcript_workflow(files, consents, "2026-06-01"), "rejected", "draft_note.md", "verification_checklist.md", "uncertainty_map.json")
 
@@ -66,21 +70,109 @@ def wf_evidence(spark, sf_dir):
 
 def _content(outputs: dict[str, DataFrame], key: str, orders: dict[str, list[str]]) -> DataFrame:
     """(key, output, sha256): the digest of each output's lines, in order, each ended by a newline."""
-    lines = [outputs[k].select(key, F.lit(k).alias("output"), F.struct(*[F.col(c).cast("long") for c in order]).alias("at"), F.concat(F.col(line), F.lit("\n")).alias("text")) for k, (line, *order) in orders.items()]
+    lines = [outputs[k].select(key, F.lit(k).alias("output"), F.struct(*order).alias("at"), F.concat(F.col(line), F.lit("\n")).alias("text")) for k, (line, *order) in orders.items()]
     one = [ordered_sha256(x.select(F.col(key).alias("k"), "at", "text"), "k", ["at"]).select(F.col("k").alias(key), F.lit(name).alias("output"), "sha256") for name, x in zip(orders, lines)]
     return reduce(DataFrame.union, one)
 
 
-def _content_sql(output: str, name: str, order: str, line: str = "line") -> str:
-    return f"SELECT incident_id, '{output}' AS output, sha256(string_agg({line} || chr(10), '' ORDER BY {order})) AS sha256 FROM ({SQL[name]}) GROUP BY incident_id"
+def _content_sql(key: str, *outputs: tuple) -> str:
+    """SQL of ``_content`` for outputs (name, SQL of its lines, their order, the line's column)."""
+    return " UNION ALL ".join(f"SELECT {key}, '{name}' AS output, sha256(string_agg({line} || chr(10), '' ORDER BY {order})) AS sha256 FROM ({sql}) GROUP BY {key}" for name, sql, order, line in outputs)
+
+
+_PACKET = "section, ts, idx, line_no"
 
 
-@query("wf_incident_content", " UNION ALL ".join([_content_sql("timeline.csv", "inc_timeline_csv", "ts, idx"), _content_sql("internal_packet.md", "inc_packet_internal", "section, ts, idx, line_no"), _content_sql("customer_packet.md", "inc_packet_customer", "section, ts, idx, line_no"), _content_sql("citations_map.json", "inc_citations_map", "ts, idx", "item")]))
+@query("wf_incident_content", _content_sql("incident_id", ("timeline.csv", SQL["inc_timeline_csv"], "ts, idx", "line"), ("internal_packet.md", SQL["inc_packet_internal"], _PACKET, "line"), ("customer_packet.md", SQL["inc_packet_customer"], _PACKET, "line"), ("citations_map.json", SQL["inc_citations_map"], "ts, idx", "item")))
 def wf_incident_content(spark, sf_dir):
     """Logs as text, through the whole workflow: what its files hold."""
     rows = log_rows(spark, sf_dir)
     line = F.to_json(F.struct("timestamp", "source_system", "actor", "action", "affected_resource", "evidence_text"))
     logs = rows.groupBy("incident_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("x")))), lambda e: e["x"]), "\n").alias("text"))
-    out = workflows.incident_workflow(logs)
+    out = workflows.incident_workflow(logs, once=kept)
     packet = ["line", "section", "ts", "idx", "line_no"]
     return _content(out, "incident_id", {"timeline.csv": ["line", "ts", "idx"], "internal_packet.md": packet, "customer_packet.md": packet, "citations_map.json": ["item", "ts", "idx"]})
+
+
+def _placed(sql: str) -> str:
+    """SQL whose transactions are numbered within their statement, as those of a file are."""
+    return sql.replace("o_orderkey AS ordinal", "row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS ordinal")
+
+
+_SECTIONS = "section, position, line_no"
+_SUMMARY = """SELECT s.statement_id AS statement_id, '{"statement_id":"' || s.statement_id || '","period_start":"a","period_end":"b","transaction_count":' || n || ',"total_amount":' || total || ',"exception_count":' || (n_high + n_medium + n_low) || ',"exceptions_by_severity":{"HIGH":' || n_high || ',"MEDIUM":' || n_medium || ',"LOW":' || n_low || '},"compliance_status":"' || status || '"}' AS json
+    FROM (SELECT statement_id, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,1))) AS DOUBLE) AS total FROM (%s) GROUP BY 1) s JOIN (%s) c USING (statement_id)"""
+
+
+@query("wf_finance_content", _content_sql(
+    "statement_id", ("exceptions.csv", _placed(f"WITH {EX_SQL} SELECT statement_id, position, {_LINE} AS line FROM placed"), "position", "line"), ("exceptions_map.json", _placed(SQL["fin_exceptions_map"]), "position", "item"),
+    ("exceptions_audit.md", _placed(SQL["fin_report_audit"]), _SECTIONS, "line"), ("compliance_internal.md", _placed(SQL["fin_report_compliance"]), _SECTIONS, "line"),
+    ("compliance_summary.json", _SUMMARY % (f"WITH {EX_SQL} SELECT * FROM tx", _placed(SQL["fin_compliance"])), "json", "json"),
+))
+def wf_finance_content(spark, sf_dir):
+    """Statements as JSON, through the whole workflow: what its files hold."""
+    out = workflows.finance_workflow(_statements(spark, sf_dir), known_categories(spark), once=kept)
+    out["compliance_summary.json"] = out["compliance_summary.json"].withColumn("position", F.lit(0))
+    report = ["line", "section", "position", "line_no"]
+    return _content(out, "statement_id", {"exceptions.csv": ["line", "position"], "exceptions_map.json": ["item", "position"], "exceptions_audit.md": report, "compliance_internal.md": report, "compliance_summary.json": ["json", "position"]})
+
+
+def _contract(sql: str) -> str:
+    """SQL over contracts as they are read from the files of ``wf_contract_content``."""
+    text = "'1 Parties' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN '2 The supplier (' || p_partkey || ') shall indemnify' WHEN 1 THEN '2.1 Breach of lot ' || p_partkey ELSE '3 Delivery of ' || p_partkey END"
+    file = "'%PDF-1.4 BT (1 Parties) Tj ET BT (' || CASE p_partkey % 3 WHEN 0 THEN '2 The supplier ' || chr(92) || '(' || p_partkey || chr(92) || ') shall indemnify' WHEN 1 THEN '2.1 Breach of lot ' || p_partkey ELSE '3 Delivery of ' || p_partkey END || ') Tj ET'"
+    head, tail = sql.split("ct AS (", 1)
+    return f"{head}ct AS (SELECT 'a_contract_' || left(sha256({file}), 8) AS contract_id, {text} AS text FROM part)" + tail.split("FROM documents)", 1)[1]
+
+
+@query("wf_contract_content", _content_sql("contract_id", ("clause_map.csv", _contract(SQL["ctr_clause_map"]), "start_offset", "line"), ("risk_memo.md", _contract(SQL["ctr_risk_memo"]), "section, start_offset, line_no", "line"), ("redline_suggestions.md", _contract(SQL["ctr_suggestions"]), "section, start_offset, line_no", "line")))
+def wf_contract_content(spark, sf_dir):
+    """Contracts as PDFs, with escaped brackets, through the whole workflow: what its files hold."""
+    n = F.col("p_partkey").cast("string")
+    term = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("2 The supplier \\("), n, F.lit("\\) shall indemnify"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("2.1 Breach of lot "), n)).otherwise(F.concat(F.lit("3 Delivery of "), n))
+    files = table(spark, sf_dir, "part").select(n.alias("path"), F.concat(F.lit("%PDF-1.4 BT (1 Parties) Tj ET BT ("), term, F.lit(") Tj ET")).cast("binary").alias("content"))
+    memo = ["line", "section", "start_offset", "line_no"]
+    return _content(workflows.contract_workflow(files, once=kept), "contract_id", {"clause_map.csv": ["line", "start_offset"], "risk_memo.md": memo, "redline_suggestions.md": memo})
+
+
+def _heard(sql: str) -> str:
+    """SQL over transcripts as they are read from the files of ``wf_transcript_content``: ids of contents, confidences as floats, some of them 0.95."""
+    read = """, tr AS (SELECT * REPLACE ('CLINICAL_' || left(sha256(patient || d || content || ' ' || substr(id, 2)), 16) AS id, content || ' ' || substr(id, 2) AS content, conf::FLOAT AS conf) FROM heard)"""
+    made = _TRANSCRIPTS.replace("tr AS", "heard AS", 1) + read
+    assert _TRANSCRIPTS in sql
+    return sql.replace(_TRANSCRIPTS, made).replace("CASE content WHEN", "CASE regexp_replace(content, ' [0-9]+$', '') WHEN").replace("conf < 0.95", "conf < 0.95::FLOAT")
+
+
+@query("wf_transcript_content", _content_sql("transcript_id", ("draft_note.md", _heard(SQL["cln_draft_note"]), "line_no", "line"), ("verification_checklist.md", _heard(SQL["cln_checklist"]), "line_no", "line"), ("uncertainty_map.json", _heard(SQL["cln_uncertainty_map"]), "item_no", "item")))
+def wf_transcript_content(spark, sf_dir):
+    """Transcripts and consents as JSON, through the whole workflow: what its files hold. Every patient with a consent has an older one that doesn't count."""
+    n, c = F.col("o_orderkey"), F.col("c_custkey")
+    content = F.concat(F.when(n % 3 == 0, "Suspected, Possible ").when(n % 3 == 1, "we May Have ").otherwise("clear "), n.cast("string"))
+    fields = F.struct(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("patient_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit("Dr Who").alias("provider"), F.col("o_orderpriority").alias("specialty"), content.alias("content"), ((F.lit(50) + n % 50) / 100.0).alias("confidence"))
+    given = table(spark, sf_dir, "customer").where(c % 3 != 0).withColumn("old", F.explode(F.array(F.lit(0), F.lit(1))))
+    dated = F.when(F.col("old") == 1, "1990-01-01").when(c % 5 < 2, "1996-01-01").otherwise("1998-01-01")
+    consent = F.struct(F.concat(F.lit("p"), c.cast("string")).alias("patient_id"), dated.alias("date_given"), F.lit("s").alias("scope"), F.when((c % 7 == 0) == (F.col("old") == 0), "REVOKED").alias("status"))
+    out = workflows.transcript_workflow(table(spark, sf_dir, "orders").select(F.to_json(fields).alias("text")), given.select(F.to_json(consent).alias("text")), "1999-06-01", once=kept)
+    return _content(out, "transcript_id", {"draft_note.md": ["line", "line_no"], "verification_checklist.md": ["line", "line_no"], "uncertainty_map.json": ["item", "item_no"]})
+
+
+_REVIEW = SQL["evd_mapping_review"].replace("sha256('{\"mappings\"", "('{\"mappings\"").replace("AS json_sha256", "AS json").replace("\"r_' || pack || '\"", "\"r1\"")
+_GOOD = "FROM (SELECT * FROM conversations WHERE turn % 2 = 0 AND trim(coalesce(text, '')) <> '')"
+
+
+def _good(sql: str) -> str:
+    """SQL over the claims that the workflow accepts."""
+    return sql.replace("FROM conversations", _GOOD).replace('"n.md"', '"evidence_narrative.md"')
+
+
+@query("wf_evidence_content", f"""SELECT pack AS name, output, sha256 FROM ({_content_sql("pack", ("evidence_index.csv", SQL["evd_index_csv"], "section, artifact_id", "line"), ("evidence_index.md", SQL["evd_index_md"], "section, artifact_id", "line"), ("evidence_mapping_review.json", _REVIEW, "json", "json"), ("missing_evidence_checklist.md", SQL["evd_missing_checklist"], "ord", "line"))})
+  UNION ALL SELECT CAST(narrative_id AS VARCHAR), output, sha256 FROM ({_content_sql("narrative_id", ("evidence_narrative.md", _good(SQL["evd_narrative"]), "ord NULLS FIRST, k", "line"), ("citations_map.json", _good(SQL["evd_citations_map"]), "ord", "json"))})""")
+def wf_evidence_content(spark, sf_dir):
+    """Evidence items and narratives through the whole workflow: what its files hold, a pack or a narrative each."""
+    cited = F.array(F.struct(F.lit("a1").alias("artifact_id"), F.lit("L").alias("locator_type"), F.lit('{"page": 1}').alias("locator")))
+    claims = _claims(spark, sf_dir).withColumn("citations", F.when(F.col("ord") % 2 == 0, cited))
+    out = workflows.evidence_workflow(items(spark, sf_dir), claims, "r1", once=kept)
+    index = ["line", "section", "artifact_id"]
+    packs = _content(out, "pack", {"evidence_index.csv": index, "evidence_index.md": index, "evidence_mapping_review.json": ["json", "pack"], "missing_evidence_checklist.md": ["line", "ord"]})
+    told = _content(out, "narrative_id", {"evidence_narrative.md": ["line", "ord", "k"], "citations_map.json": ["json", "ord"]})
+    return packs.withColumnRenamed("pack", "name").union(told.select(F.col("narrative_id").cast("string"), "output", "sha256"))

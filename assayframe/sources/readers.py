@@ -66,10 +66,10 @@ def parse_logs(files: DataFrame, text_col: str = "text", id_col: str = "incident
 
 
 def parse_transcripts(files: DataFrame, text_col: str = "text") -> DataFrame:
-    """Transcripts with reject_reason; blank content is rejected."""
+    """Transcripts with reject_reason; empty content is rejected, and so is a confidence that is no number."""
     rows = files.select(F.from_json(text_col, TRANSCRIPT).alias("t")).select("t.*")
-    missing = F.col("patient_id").isNull() | F.col("date").isNull() | F.col("provider").isNull() | F.col("specialty").isNull() | F.col("content").isNull()
-    return rows.withColumn("reject_reason", F.when(missing, "missing field").when(F.trim("content") == "", "empty content")).withColumn("transcript_id", F.concat(F.lit("CLINICAL_"), sha(F.concat("patient_id", "date", "content"), 16)))
+    missing = F.col("patient_id").isNull() | F.col("date").isNull() | F.col("provider").isNull() | F.col("specialty").isNull() | F.col("content").isNull() | F.col("confidence").isNull()
+    return rows.withColumn("reject_reason", F.when(missing, "missing field").when(F.col("content") == "", "empty content")).withColumn("transcript_id", F.concat(F.lit("CLINICAL_"), sha(F.concat("patient_id", "date", "content"), 16)))
 
 
 def parse_consents(files: DataFrame, text_col: str = "text") -> DataFrame:

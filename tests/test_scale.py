@@ -91,3 +91,20 @@ def test_last_consent_counts(spark):
     consents = spark.createDataFrame([("p", "2024-01-01", "REVOKED"), ("p", "2025-01-01", None), ("q", "2025-01-01", "VALID"), ("q", "2025-01-01", "REVOKED"), ("r", "2020-01-01", None)], "patient_id string, date_given string, status string")
     got = documents.consent_check(spark.createDataFrame([(x,) for x in "pqrs"], "patient_id string"), consents, "2026-01-01").collect()
     assert {r.patient_id: r.consent_status for r in got} == {"p": "Valid", "q": "Revoked", "r": "Expired", "s": "Missing"} and len(got) == 4
+
+
+def test_transcripts_of_odd_confidence_and_consents_of_one_date(spark):
+    from assayframe.operators import documents, workflows
+
+    made = '{{"patient_id":"{}","date":"2026-01-01","provider":"d","specialty":"s","content":"{}","confidence":{}}}'.format
+    texts = [made("p", "clear", "0.95"), made("p", "may have", "0.9499"), made("q", "clear", "0.125"), made("q", "  ", "0.375"), made("q", "", "0.5"), made("q", "no number", '"high"'), '{"patient_id":"q"}', "x", "", None]
+    consents = [('{"patient_id":"%s","date_given":"2025-01-01","scope":"s","status":"%s"}' % x,) for x in (("p", "VALID"), ("p", "REVOKED"), ("q", "VALID"))]
+    kept = []
+    out = workflows.transcript_workflow(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame(consents, "text string"), "2026-06-01", once=lambda df: kept.append(df) or df)
+    assert len(kept) == 1
+    assert sorted(r.reject_reason for r in out["rejected"].collect()) == ["consent revoked"] * 2 + ["empty content"] + ["missing field"] * 5
+    assert sorted(r.line for r in out["draft_note.md"].where("line like '%Confidence%'").collect()) == ["- **Confidence:** 12%", "- **Confidence:** 38%"]
+    heard = out["uncertainty_map.json"].where("item like '%speech%'").count()
+    assert heard == 3 and out["uncertainty_map.json"].where("item like '%clinical_uncertainty%'").count() == 1
+    one = spark.createDataFrame([(0.95,), (0.9499,), (None,)], "c double").select(F.size(documents.uncertainty(F.lit("x"), F.col("c"))).alias("n")).collect()
+    assert [r.n for r in one] == [0, 1, 0]
