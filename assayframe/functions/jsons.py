@@ -27,6 +27,21 @@ def integers_only(text: Column) -> Column:
     return ~bare.rlike(r"\d[.eE]")
 
 
+def number_text(c: Column) -> Column:
+    """A double as JSON number: plain from 0.00001 to below 1e16, with a fraction at all times (12300000.0), else with an exponent (1.5e-7). No text for what isn't finite."""
+    size, text = F.abs(c), c.cast("string")
+    digits = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    short = (size == 0) | ((size >= 1e-3) & (size < 1e7))
+    finite = ~F.isnan(c) & (size != float("inf"))
+    return F.when(short, text).when((size >= 1e-5) & (size < 1e16), plain).when(finite, F.lower(F.regexp_replace(text, r"\.0E", "E")))
+
+
+def with_numbers(json: Column, *names: str) -> Column:
+    """JSON text in which the strings under these names, made by ``number_text``, stand as numbers. Quotes within values are escaped, so none passes for a name."""
+    return F.regexp_replace(json, f'"({"|".join(names)})":"([^"]*)"', '"$1":$2')
+
+
 def seccomp_profile(options: Column) -> tuple[Column, Column, Column]:
     """(digest, architectures, reason) of the one ``seccomp=`` option among an array of security options.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsons import number_text, with_numbers
 from ..functions.text import csv_quoted, money2
 from .documents import risk
 from .finance import compliance, summary
@@ -119,14 +120,14 @@ def compliance_summary(files: DataFrame, tx: DataFrame, found: DataFrame, text_c
     period = files.select(F.from_json(text_col, "statement_id string, period_start string, period_end string").alias("s")).select("s.*").groupBy("statement_id").agg(F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"))
     all_ = summary(tx).join(compliance(found, tx), "statement_id").join(period, "statement_id", "left")
     levels = F.struct(F.col("n_high").alias("HIGH"), F.col("n_medium").alias("MEDIUM"), F.col("n_low").alias("LOW"))
-    text = F.struct("statement_id", "period_start", "period_end", F.col("n").alias("transaction_count"), F.col("total").alias("total_amount"), (F.col("n_high") + F.col("n_medium") + F.col("n_low")).alias("exception_count"), levels.alias("exceptions_by_severity"), F.col("status").alias("compliance_status"))
-    return all_.select("statement_id", F.to_json(text).alias("json"))
+    text = F.struct("statement_id", "period_start", "period_end", F.col("n").alias("transaction_count"), number_text(F.col("total")).alias("total_amount"), (F.col("n_high") + F.col("n_medium") + F.col("n_low")).alias("exception_count"), levels.alias("exceptions_by_severity"), F.col("status").alias("compliance_status"))
+    return all_.select("statement_id", with_numbers(F.to_json(text), "total_amount").alias("json"))
 
 
 def exceptions_map(found: DataFrame) -> DataFrame:
     """(statement_id, position, item): the exceptions file's items as JSON objects, in order of position."""
-    item = F.struct(finding_id().alias("exception_id"), "transaction_id", "date", "amount", F.col("rule").alias("rule_triggered"), "severity", _of_rule(1).alias("recommended_action"))
-    return found.select("statement_id", "position", F.to_json(item).alias("item"))
+    item = F.struct(finding_id().alias("exception_id"), "transaction_id", "date", number_text(F.col("amount")).alias("amount"), F.col("rule").alias("rule_triggered"), "severity", _of_rule(1).alias("recommended_action"))
+    return found.select("statement_id", "position", with_numbers(F.to_json(item), "amount").alias("item"))
 
 
 def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:

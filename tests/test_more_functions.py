@@ -1,6 +1,7 @@
 """Host names, allowlists, system-call profiles, report lines, and streams in small steps."""
 
 import hashlib
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -92,3 +93,15 @@ def test_before_over_blocks(spark):
     got = before(spark.createDataFrame(rows, "run_id string, line_no long, v long"), "v", block=3).collect()
     last = {(g, n): v for (g, m, v), (h, n, _) in zip(rows, rows[1:]) if g == h}
     assert {(r.run_id, r.line_no): r.before for r in got} == {(g, n): last.get((g, n)) for g, n, _ in rows}
+
+
+def test_json_numbers(spark):
+    from assayframe.functions.jsons import number_text, with_numbers
+
+    want = {0.0: "0.0", 1.5: "1.5", -12300000.0: "-12300000.0", 24691356.78: "24691356.78", 1234567890123456.0: "1234567890123456.0", 1e16: "1e16", -1.25e20: "-1.25e20", 0.00095: "0.00095", 1.234567890123e-5: "0.00001234567890123", 1.5e-7: "1.5e-7", float("inf"): None, float("nan"): None}
+    df = spark.createDataFrame([(k, 'a "n":"1" \\ b') for k in want] + [(None, "x")], "v double, s string")
+    rows = df.select("v", number_text(F.col("v")).alias("t"), with_numbers(F.to_json(F.struct("s", number_text(F.col("v")).alias("n"))), "n").alias("j")).collect()
+    for r in rows:
+        assert r.t == (None if r.v is None or r.v != r.v else want[r.v])
+        read = json.loads(r.j)
+        assert read.get("n") == (r.v if r.t else None) and read["s"] == ("x" if r.v is None else 'a "n":"1" \\ b')
