@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import consent_status, plus_years
 from ..functions.ids import sha
+from ..functions.jsons import number_text, with_numbers
 from .documents import UNCERTAIN_TERMS, claim_lines, latest_consents
 
 #: The controls: id, title, capability, family, description.
@@ -235,8 +236,10 @@ def verification_checklist(transcripts: DataFrame) -> DataFrame:
 
 
 def uncertainty_map(transcripts: DataFrame, limit: float = 0.95) -> DataFrame:
-    """(transcript_id, item_no, item): what a transcript leaves uncertain, as JSON objects; confidences are compared as floats."""
-    heard = F.when(F.col("confidence").cast("float") < F.lit(limit).cast("float"), F.to_json(F.struct(F.lit("speech_recognition").alias("type"), F.col("confidence"), F.lit("Verify medical terms against clinical context").alias("recommendation"))))
+    """(transcript_id, item_no, item): what a transcript leaves uncertain, as JSON objects; confidences are compared as floats, and written as the doubles equal to them."""
+    single = F.col("confidence").cast("float")
+    item = F.to_json(F.struct(F.lit("speech_recognition").alias("type"), number_text(single.cast("double")).alias("confidence"), F.lit("Verify medical terms against clinical context").alias("recommendation")))
+    heard = F.when(single < F.lit(limit).cast("float"), with_numbers(item, "confidence"))
     low = F.lower("content")
     terms = [F.when(low.contains(t), F.to_json(F.struct(F.lit("clinical_uncertainty").alias("type"), F.lit(t).alias("term"), F.lit("Clarify with provider before finalization").alias("recommendation")))) for t in UNCERTAIN_TERMS]
     return transcripts.select("transcript_id", F.posexplode(F.array_compact(F.array(heard, *terms))).alias("item_no", "item"))

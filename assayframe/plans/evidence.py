@@ -215,7 +215,7 @@ def cln_checklist(spark, sf_dir):
     return evidence.verification_checklist(transcripts(spark, sf_dir))
 
 
-@query("cln_uncertainty_map", f"""WITH {_TRANSCRIPTS}, l AS (SELECT id, list_concat(CASE WHEN conf < 0.95 THEN ['{{"type":"speech_recognition","confidence":' || conf || ',"recommendation":"Verify medical terms against clinical context"}}'] ELSE [] END, list_transform(CASE content WHEN 'Suspected, Possible' THEN ['possible', 'suspected'] WHEN 'we May Have' THEN ['may have'] ELSE [] END, lambda t: '{{"type":"clinical_uncertainty","term":"' || t || '","recommendation":"Clarify with provider before finalization"}}')) AS ls FROM tr)
+@query("cln_uncertainty_map", f"""WITH {_TRANSCRIPTS}, l AS (SELECT id, list_concat(CASE WHEN conf < 0.95 THEN ['{{"type":"speech_recognition","confidence":' || CAST(conf AS FLOAT)::DOUBLE || ',"recommendation":"Verify medical terms against clinical context"}}'] ELSE [] END, list_transform(CASE content WHEN 'Suspected, Possible' THEN ['possible', 'suspected'] WHEN 'we May Have' THEN ['may have'] ELSE [] END, lambda t: '{{"type":"clinical_uncertainty","term":"' || t || '","recommendation":"Clarify with provider before finalization"}}')) AS ls FROM tr)
   SELECT id AS transcript_id, CAST(unnest(range(len(ls))) AS INTEGER) AS item_no, unnest(ls) AS item FROM l""")
 def cln_uncertainty_map(spark, sf_dir):
     return evidence.uncertainty_map(transcripts(spark, sf_dir))
