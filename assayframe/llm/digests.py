@@ -213,7 +213,7 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
         return pd.Series([[2 * r] + ([2 * before[i] + 1] if i in before else []) for i, r in zip(filled, run_of(ids).tolist())])
 
     spread = docs.select(F.explode(places("doc_id")).alias("place"), "doc_id", "text").select((F.col("place") / 2).cast("long").alias("run"), (F.col("place") % 2 == 1).alias("after"), "doc_id", "text")
-    return spread.repartition(n, "run").sortWithinPartitions("run", "after", "doc_id", "text")
+    return spread.repartitionById(n, F.col("run").cast("int")).sortWithinPartitions("run", "after", "doc_id", "text")  # a run is a task
 
 
 def compare_edited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayframe.llm._words import hash_spans
-from assayframe.llm.digests import CLASSES, FEATURES, FILTER_BITS, HASHES, NEIGHBOURS, VOTES, WINDOW, as_string, class_counts, compare_edited, digests, entropy_classes, fingerprint, from_string, likeness, op5_digests, ranks
+from assayframe.llm.digests import CLASSES, FEATURES, FILTER_BITS, HASHES, NEIGHBOURS, VOTES, WINDOW, as_string, class_counts, compare_edited, digests, entropy_classes, fingerprint, from_string, likeness, op5_digests, ranks, with_successor
 
 RANK = ranks(np.abs(np.arange(CLASSES) - 40) * -7)
 
@@ -112,3 +113,10 @@ def test_odd_rows(odd_docs, make_docs):
     one = compare_edited(make_docs([(1, "abcdef")])).collect()
     assert [(r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in one] == [(1, 6, hashlib.sha256(b"abcabc").hexdigest(), 1.0)]
     assert compare_edited(odd_docs.limit(0)).collect() == []
+
+
+def test_every_run_of_ids_is_a_task_of_its_own(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    placed = with_successor(docs, 6).select("run", F.spark_partition_id().alias("task"), "doc_id").collect()
+    assert len({r.run for r in placed}) == 6 and all(r.run == r.task for r in placed)
+    assert {r.doc_id for r in placed} == set(range(600)) and len(placed) == 606
