@@ -43,6 +43,12 @@ def kept(df: DataFrame, tag: str = "kept") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in equal parts over all tasks, for rows that take far more work than reading them: a file has as many tasks as it has row groups at most."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import policies, validation
-from .registry import query, table
+from .registry import dealt, query, table
 
 PACK = "evidencepack"
 _ZERO, _SHA = "0" * 64, "ab" * 32
@@ -392,7 +392,8 @@ _ASKED = (
 def claim_evaluation(spark, sf_dir):
     rows = [(k, json.dumps(a), claim, json.dumps({**_CLAIM, **more})) for k, (a, claim, more, _) in enumerate(_ASKED)]
     asked = spark.createDataFrame(rows, "variant int, authority string, claim string, context string")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(_ASKED)).alias("variant")).join(asked, "variant")
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").withColumn("variant", F.col("o_orderkey") % len(_ASKED)).join(F.broadcast(asked), "variant")  # a constant of this module
     own = lambda c: F.replace(F.col(c), F.lit('"r1"'), F.concat(F.lit('"r'), F.col("o_orderkey").cast("string"), F.lit('"')))
-    decision = policies.claim_decision(F.from_json(own("authority"), f"struct<{policies.AUTHORITY}>"), F.col("claim"), F.from_json(own("context"), f"struct<{policies.CONTEXT}>"))
-    return rows.select("o_orderkey", decision.alias("decision"))
+    # parsed in columns of their own, which the rules read: within the rules each would parse the text again
+    rows = rows.select("o_orderkey", "claim", F.from_json(own("authority"), f"struct<{policies.AUTHORITY}>").alias("a"), F.from_json(own("context"), f"struct<{policies.CONTEXT}>").alias("context"))
+    return rows.select("o_orderkey", policies.claim_decision(F.col("a"), F.col("claim"), F.col("context")).alias("decision"))
