@@ -12,7 +12,7 @@ from ..functions import checks, ids, jsons, text
 from ..operators import audit, incident
 from ..sources import readers
 from .events import LOG_SQL, audit_events, log_rows
-from .registry import query, table
+from .registry import dealt, query, table
 
 
 def _texts(spark, sf_dir, name: str, number: str, variants: list):
@@ -148,7 +148,8 @@ _TARS = (
 def src_workspace_tars(spark, sf_dir):
     """An archive for each part, whose file holds the part's number."""
     made = spark.createDataFrame([(k, t.hex().upper()) for k, (t, _) in enumerate(_TARS)], "variant int, hex string")
-    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_TARS)).alias("variant")).join(made, "variant")
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    rows = parts.withColumn("variant", F.col("p_partkey") % len(_TARS)).join(F.broadcast(made), "variant")  # a constant of this module
     own = F.hex(F.rpad(F.col("p_partkey").cast("string"), 700, "x"))
     archives = rows.select(F.col("p_partkey").cast("string").alias("path"), F.unhex(F.replace("hex", F.lit("78" * 700), own)).alias("content"))
     seen = readers.inspect_tars(archives, ("home", "project"), ("candidate.patch.json", "project/allowed.txt"), {"candidate.patch.json": 50})

@@ -183,13 +183,15 @@ def tar_entries(archives: DataFrame, id_col: str = "path", content_col: str = "c
     return archives.select(id_col, content_col).mapInPandas(each, "archive_id string, ord int, path string, kind string, bytes binary")
 
 
-def tar_headers(archives: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(archive_id, ord, header, data): the 512-byte headers of tar archives as they stand, with regular files' bytes (null if cut short).
+def tar_headers(archives: DataFrame, id_col: str = "path", content_col: str = "content", most: int = 8 << 20) -> DataFrame:
+    """(archive_id, ord, header, data, total): the 512-byte headers of tar archives as they stand, with regular files' bytes (null if cut short) and the sum of the header's bytes, its checksum taken as blanks.
 
-    The first header of zeros is the last row. Only the walk from header to header is done here; ``inspect_tars`` judges them.
+    The first header of zeros is the last row. Only the walk from header to header is done here; ``inspect_tars`` judges them. Rows go out in frames of about ``most`` bytes.
     """
+    columns = ["archive_id", "ord", "header", "data", "total"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for archive, content in zip(batch[id_col], batch[content_col]):
                 at = k = 0
@@ -198,12 +200,18 @@ def tar_headers(archives: DataFrame, id_col: str = "path", content_col: str = "c
                     digits = header[124:136].strip(b" \0")
                     size = int(digits, 8) if re.fullmatch(rb"[0-7]+", digits) and header[156:157] in (b"\0", b"0") else 0
                     data = content[at : at + size] if at + size <= len(content) else None
-                    yield pd.DataFrame({"archive_id": [str(archive)], "ord": [k], "header": [header], "data": [data]})
+                    rows.append((str(archive), k, header, data, sum(header) - sum(header[148:156]) + 8 * 32))
+                    held += 512 + len(data or b"")
+                    if held >= most:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
                     if not any(header):
                         break
                     at, k = at + -(-size // 512) * 512, k + 1
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
-    return archives.select(id_col, content_col).mapInPandas(each, "archive_id string, ord int, header binary, data binary")
+    return archives.select(id_col, content_col).mapInPandas(each, "archive_id string, ord int, header binary, data binary, total long")
 
 
 def inspect_tars(archives: DataFrame, folders: tuple[str, ...], files: tuple[str, ...], limits: dict[str, int], most: int = 64 << 20, id_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -214,7 +222,6 @@ def inspect_tars(archives: DataFrame, folders: tuple[str, ...], files: tuple[str
     """
     text = lambda start, n: F.regexp_replace(F.decode(F.substring("header", start, n), "ISO-8859-1"), "\0.*", "")
     octal = lambda start, n: F.conv(F.when(F.trim(text(start, n)).rlike("^[0-7]+$"), F.trim(text(start, n))), 8, 10).try_cast("long")
-    total = F.expr("aggregate(sequence(1, 512), 0L, (a, i) -> a + if(i between 149 and 156, 32L, cast(conv(hex(substring(header, i, 1)), 16, 10) as long)))")
     name = F.when(text(346, 155) == "", text(1, 100)).otherwise(F.concat(text(346, 155), F.lit("/"), text(1, 100)))
     path = F.regexp_replace(F.regexp_replace(name, r"^\./", ""), "/+$", "")
     rows = tar_headers(archives, id_col, content_col).withColumns({"path": path, "kind": F.substring(F.hex("header"), 313, 2), "size": octal(125, 12), "end": ~F.hex("header").rlike("[^0]")})
@@ -223,7 +230,7 @@ def inspect_tars(archives: DataFrame, folders: tuple[str, ...], files: tuple[str
     types = F.when(F.col("kind") == "31", "hard link").when(F.col("kind") == "32", "symbolic link").when(F.col("kind").isin("33", "34", "36", "37"), "special entry").otherwise("unknown type")
     root = F.col("path") == ""
     fault = (
-        F.when(F.col("end"), None).when(~F.coalesce(octal(149, 8) == total, F.lit(False)), "checksum wrong").when(~F.hex(F.substring("header", 258, 6)).isin("757374617200", "757374617220"), "not ustar").when(F.col("size").isNull(), "size wrong")
+        F.when(F.col("end"), None).when(~F.coalesce(octal(149, 8) == F.col("total"), F.lit(False)), "checksum wrong").when(~F.hex(F.substring("header", 258, 6)).isin("757374617200", "757374617220"), "not ustar").when(F.col("size").isNull(), "size wrong")
         .when(root & (F.col("kind") == "35"), None).when(root, "root is no folder").when(~safe_relative_path(F.col("path")), at("unsafe path")).when((F.col("kind") == "35") & ((F.col("size") != 0) | ~F.col("path").isin(*folders)), at("unexpected folder"))
         .when(F.col("kind") == "35", None).when(~regular, F.concat(types, F.lit(": "), "path")).when(~F.col("path").isin(*files), at("unexpected file")).when(F.col("size") > limit, at("too large")).when(F.col("data").isNull(), at("cut short"))
     )
