@@ -70,34 +70,56 @@ def ordered_chain(events: DataFrame, first: int = 0) -> DataFrame:
     return rows.groupBy("run_id").transformWithStateInPandas(statefulProcessor=_Chain(first), outputStructType=CHAIN, outputMode="Append", timeMode="None")
 
 
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start, end, start of the statement that ends last), those that meet made one: a statement made until another's end renews it."""
+    out: list[tuple[int, int, int]] = []
+    for start, end, last in sorted(spans):
+        if out and start <= out[-1][1]:
+            first, until, kept = out[-1]
+            out[-1] = (first, max(until, end), last if end > until else min(kept, last) if end == until else kept)
+        else:
+            out.append((start, end, last))
+    return out
+
+
 class _Claims(StatefulProcessor):
-    """A claim's statements by the end of their validity, each with a timer for it."""
+    """A claim's statements as spans in which it is valid without a break: a span's end is that of the one statement which nothing renewed. One timer stands for the span that ends first."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "until_us long", "generated_us long")
+        self.open = handle.getValueState("open", "starts array<long>, ends array<long>, lasts array<long>")
+
+    def _held(self) -> list[tuple[int, int, int]]:
+        state = self.open.get()
+        return list(zip(*state)) if state else []
+
+    def _keep(self, spans: list[tuple[int, int, int]]) -> None:
+        self.open.update(tuple(map(list, zip(*spans))))
+        self.handle.registerTimer(-(-spans[0][1] // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spans = self._held()
         for batch in rows:
-            for generated, until in batch[["generated_us", "until_us"]].itertuples(index=False):
-                until, generated = int(until), int(generated)
-                if not self.open.containsKey((until,)) or self.open.getValue((until,))[0] > generated:
-                    self.open.updateValue((until,), (generated,))
-                    self.handle.registerTimer(-(-until // 1000))
+            generated, until = batch["generated_us"].tolist(), batch["until_us"].tolist()
+            spans = _joined([*spans, *zip(generated, until, generated)])
+        if spans:
+            self._keep(spans)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = sorted((u[0], g[0]) for u, g in self.open.iterator())
-        ended = [(u, g) for u, g in held if u <= now]
-        # a statement that began while another was valid and goes on after it has renewed it
-        out = [(key[0], g, u) for u, g in ended if not any(g2 <= u < u2 for u2, g2 in held)]
-        for u, _ in ended:
-            self.open.removeKey((u,))
-        if out:
-            ids, generated, until = zip(*out)
+        # all that the watermark has passed ends at once, so a timer of a span that grew since finds nothing or the next end
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        held = self._held()
+        ended, spans = [s for s in held if s[1] <= now], [s for s in held if s[1] > now]
+        if ended and spans:
+            self._keep(spans)
+        elif ended:
+            self.open.clear()
+        elif spans:
+            self.handle.registerTimer(-(-spans[0][1] // 1000))
+        if ended:
             stamps = lambda us: pd.to_datetime(pd.Series(us, dtype="int64"), unit="us")
-            yield pd.DataFrame({"claim_id": ids, "generated": stamps(generated), "valid_until": stamps(until)})
+            yield pd.DataFrame({"claim_id": [key[0]] * len(ended), "generated": stamps([s[2] for s in ended]), "valid_until": stamps([s[1] for s in ended])})
 
     def close(self) -> None:
         pass
@@ -107,7 +129,7 @@ def expired_claims(claims: DataFrame, late: str = "1 hour", valid: str = "24 hou
     """(claim_id, generated, valid_until) of statements in a stream of (claim_id, generated) that ran out without having been renewed.
 
     A statement is valid for ``valid``; one made until then renews the claim. Timers fire once the watermark, ``late`` behind the newest statement, has passed the end, so the
-    result doesn't depend on the order of statements that are no later than that. State is the statements that haven't ended. Nulls are left out.
+    result doesn't depend on the order of statements that are no later than that. State is the spans that haven't ended, those that meet joined. Nulls are left out.
     """
     us = lambda c: F.unix_micros(c)
     rows = claims.where("claim_id is not null and generated is not null").withWatermark("generated", late)
