@@ -47,22 +47,22 @@ def risk(text: Column) -> tuple[Column, Column]:
     return F.when(F.size(high) > 0, "HIGH").when(F.size(medium) > 0, "MEDIUM").otherwise("LOW"), F.concat(high, medium)
 
 
-def clauses(contracts: DataFrame, text_col: str = "text", id_col: str = "contract_id") -> DataFrame:
+def clauses(contracts: DataFrame, text_col: str = "text", id_col: str = "contract_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(contract_id, clause_id, clause_number, title, text, start_offset, end_offset, confidence, anchor_id): numbered clauses.
 
     A clause begins at a line with a number and text, and ends before the next. A text without any is one clause;
-    blank texts have none. Offsets are bytes. All work is within the row.
+    blank texts have none. Offsets are bytes. All work is within the row. Columns named in ``keep`` stay, before the others.
     """
     text = F.col(text_col)
     pieces = F.split(F.regexp_replace(text, CLAUSE, f"{_MARK}$0"), _MARK, -1)
     starts = F.aggregate(F.transform("pieces", lambda p: F.octet_length(p)), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = contracts.where(F.trim(text) != "").select(F.col(id_col).alias("contract_id"), text.alias("whole"), pieces.alias("pieces")).withColumn("starts", starts)
+    rows = contracts.where(F.trim(text) != "").select(*keep, F.col(id_col).alias("contract_id"), text.alias("whole"), pieces.alias("pieces")).withColumn("starts", starts)
     cut = F.transform(F.filter("pieces", lambda p, i: i > 0), lambda p, i: F.struct(F.regexp_replace(p, r"^\s+|\s+$", "").alias("text"), F.element_at("starts", i + 2).alias("start")))
-    numbered = rows.where(F.size("pieces") > 1).select("contract_id", F.posexplode(cut).alias("k", "c")).select(
-        "contract_id", F.concat("contract_id", F.lit("_C"), F.col("k").cast("string")).alias("clause_id"), F.concat((F.col("k") + 1).cast("string"), F.lit(".0")).alias("clause_number"),
+    numbered = rows.where(F.size("pieces") > 1).select(*keep, "contract_id", F.posexplode(cut).alias("k", "c")).select(
+        *keep, "contract_id", F.concat("contract_id", F.lit("_C"), F.col("k").cast("string")).alias("clause_id"), F.concat((F.col("k") + 1).cast("string"), F.lit(".0")).alias("clause_number"),
         F.lit(None).cast("string").alias("title"), F.col("c.text").alias("text"), F.col("c.start").alias("start_offset"), F.lit(0.85).alias("confidence"),
     )
-    single = rows.where(F.size("pieces") == 1).select("contract_id", F.concat("contract_id", F.lit("_C0")).alias("clause_id"), F.lit("1.0").alias("clause_number"), F.lit("General Terms").alias("title"), F.col("whole").alias("text"), F.lit(0).alias("start_offset"), F.lit(0.7).alias("confidence"))
+    single = rows.where(F.size("pieces") == 1).select(*keep, "contract_id", F.concat("contract_id", F.lit("_C0")).alias("clause_id"), F.lit("1.0").alias("clause_number"), F.lit("General Terms").alias("title"), F.col("whole").alias("text"), F.lit(0).alias("start_offset"), F.lit(0.7).alias("confidence"))
     out = numbered.unionByName(single).withColumn("end_offset", F.col("start_offset") + F.octet_length("text"))
     return out.withColumn("anchor_id", clause_anchor(F.col("contract_id"), F.col("text"), F.col("start_offset"))).withColumn("stable_anchor", stable_anchor(F.col("text")))
 

@@ -166,36 +166,36 @@ def assess(clauses: DataFrame) -> DataFrame:
     return rows.withColumn("advisory", F.when(F.size("keywords") == 0, "No significant risk keywords detected. Standard contract language.").otherwise(said))
 
 
-def clause_map_lines(assessed: DataFrame) -> DataFrame:
-    """(contract_id, start_offset, line): the clause map's CSV lines."""
-    return assessed.select("contract_id", "start_offset", F.concat_ws(",", "anchor_id", "risk_level", F.array_join("keywords", ";"), "anchor_id").alias("line"))
+def clause_map_lines(assessed: DataFrame, keys: tuple[str, ...] = ("contract_id",)) -> DataFrame:
+    """(contract_id, start_offset, line): the clause map's CSV lines. Here and below ``keys`` are the columns that tell contracts apart."""
+    return assessed.select(*keys, "start_offset", F.concat_ws(",", "anchor_id", "risk_level", F.array_join("keywords", ";"), "anchor_id").alias("line"))
 
 
-def _clause_lines(rows: DataFrame, section: int, place: Column, *lines: Column | str) -> DataFrame:
+def _clause_lines(rows: DataFrame, keys: tuple[str, ...], section: int, place: Column, *lines: Column | str) -> DataFrame:
     texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
-    return rows.select("contract_id", F.lit(section).alias("section"), place.cast("int").alias("start_offset"), F.posexplode(texts).alias("line_no", "line"))
+    return rows.select(*keys, F.lit(section).alias("section"), place.cast("int").alias("start_offset"), F.posexplode(texts).alias("line_no", "line"))
 
 
-def risk_memo(assessed: DataFrame) -> DataFrame:
+def risk_memo(assessed: DataFrame, keys: tuple[str, ...] = ("contract_id",)) -> DataFrame:
     """(contract_id, section, start_offset, line_no, line): the memo on the risks of each contract's clauses."""
     counts = [F.count_if(F.col("risk_level") == level).alias(level.lower()) for level in ("HIGH", "MEDIUM", "LOW")]
-    whole, first = assessed.groupBy("contract_id").agg(*counts), F.lit(0)
+    whole, first = assessed.groupBy(*keys).agg(*counts), F.lit(0)
     tally = [F.concat(F.lit(f"- **{level} Risk Clauses:** "), F.col(level.lower()).cast("string")) for level in ("HIGH", "MEDIUM", "LOW")]
-    head = _clause_lines(whole, 0, first, "# Risk Assessment Memo", "", "## Summary", "", *tally, "", "## Detailed Findings", "")
+    head = _clause_lines(whole, keys, 0, first, "# Risk Assessment Memo", "", "## Summary", "", *tally, "", "## Detailed Findings", "")
     claim = F.concat(F.lit("<!-- CLAIM:C"), "anchor_id", F.lit(" ANCHOR:"), "anchor_id", F.lit(" -->"))
     body = _clause_lines(
-        assessed, 1, F.col("start_offset"), F.concat(F.lit("### Clause: "), "anchor_id", F.lit(" ")), F.concat(F.lit("**Risk Level:** "), "risk_level"), "", F.concat(F.lit("**Advisory:** "), "advisory"), "", claim, "",
+        assessed, keys, 1, F.col("start_offset"), F.concat(F.lit("### Clause: "), "anchor_id", F.lit(" ")), F.concat(F.lit("**Risk Level:** "), "risk_level"), "", F.concat(F.lit("**Advisory:** "), "advisory"), "", claim, "",
     )
-    return head.union(body).union(_clause_lines(whole, 2, first, "---", "", "*Determinism: Enabled (reproducible outputs)*"))
+    return head.union(body).union(_clause_lines(whole, keys, 2, first, "---", "", "*Determinism: Enabled (reproducible outputs)*"))
 
 
-def redline_suggestions(assessed: DataFrame) -> DataFrame:
+def redline_suggestions(assessed: DataFrame, keys: tuple[str, ...] = ("contract_id",)) -> DataFrame:
     """(contract_id, section, start_offset, line_no, line): what should be redlined in each contract."""
-    whole, first = assessed.groupBy("contract_id").agg(F.count_if(F.col("risk_level") == "HIGH").alias("high")), F.lit(0)
+    whole, first = assessed.groupBy(*keys).agg(F.count_if(F.col("risk_level") == "HIGH").alias("high")), F.lit(0)
     said = F.when(F.col("high") == 0, F.lit("No HIGH-risk clauses requiring redlines.")).otherwise(F.format_string("## %d HIGH-Risk Clauses Requiring Review", "high"))
-    head = _clause_lines(whole, 0, first, "# Suggested Redlines", "", said)
+    head = _clause_lines(whole, keys, 0, first, "# Suggested Redlines", "", said)
     body = _clause_lines(
-        assessed.where("risk_level = 'HIGH'"), 1, F.col("start_offset"), "", F.concat(F.lit("### Clause: "), "anchor_id"), "", F.concat(F.lit("**Issue:** "), "advisory"), "",
+        assessed.where("risk_level = 'HIGH'"), keys, 1, F.col("start_offset"), "", F.concat(F.lit("### Clause: "), "anchor_id"), "", F.concat(F.lit("**Issue:** "), "advisory"), "",
         "**Recommended Action:** Consult legal counsel for appropriate redlines.",
     )
     return head.union(body)
