@@ -46,15 +46,16 @@ def incident_workflow(files: DataFrame, profile: str = "STANDARD", id_col: str =
     }
 
 
-def contract_workflow(files: DataFrame, id_col: str = "path", content_col: str = "content", once: Once = _again) -> dict[str, DataFrame]:
+def contract_workflow(files: DataFrame, id_col: str = "path", content_col: str = "content", once: Once = _again, apart: bool = True) -> dict[str, DataFrame]:
     """Contract PDFs (path, content) to memos, clause maps and suggestions, each with a contract's path and id. The id is that of its bytes; one without text is rejected.
 
-    An id is short, so that different contracts may share it: a contract is told by its path, and each has its own files.
+    An id is short, so that different contracts may share it: a contract is told by its path, and each has its own files. If not ``apart``,
+    contracts are told by their ids alone: those that share one have their clauses in one set of files.
     """
     named = F.struct(F.col(id_col).alias("path"), evidence.artifact_id(F.col(content_col)).alias("contract_id"))
     read = once(readers.pdf_text(files.select(named.alias("of"), content_col), content_col, "of")).select("of.*", "text")
     blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\r\n\t]", "")) == "", F.lit(True))
-    judged, keys = reports.assess(documents.clauses(read.where(~blank), keep=("path",))), ("path", "contract_id")
+    judged, keys = reports.assess(documents.clauses(read.where(~blank), keep=("path",))), ("path", "contract_id") if apart else ("contract_id",)
     return {
         "rejected": read.where(blank).select("contract_id", F.when(F.col("text").isNull(), "not a PDF").otherwise("no text").alias("reject_reason")),
         "risk_memo.md": reports.risk_memo(judged, keys), "clause_map.csv": reports.clause_map_lines(judged, keys), "redline_suggestions.md": reports.redline_suggestions(judged, keys),
