@@ -1,7 +1,8 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard verifies them.
+"""Near copies by word shingles: SimHash blocks and MinHash bands find candidates, exact Jaccard verifies them.
 
-A 64-bit SimHash can't do this at a similarity of 0.8: such texts lie about 9.7 bits apart (standard deviation
-2.9), and blocks for a radius of 17 or more bits would be of three bits each. With 32 bands of five minima a pair
+Fingerprints within four bits are linked by blocks (``simhash.near_duplicates``), and what they link is a group of candidates.
+A 64-bit SimHash can't do all at a similarity of 0.8: such texts lie about 9.7 bits apart (standard deviation
+2.9), and blocks for a radius of 17 or more bits would be of three bits each; the rest come from bands. With 32 bands of five minima a pair
 of similarity 0.8 shares a band with a probability of 1 - 3e-6. Sets that share bands meet in the group of
 the smallest of them and are verified by a walk that compares whole sets; only what is verified is closed transitively.
 """
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import without_ids, written
 from .components import connected_components
 
@@ -192,6 +194,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return filed.join(hubs, "key").select("comp", "node").distinct()
 
 
+def hashed_groups(texts: DataFrame, nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """(comp, node): the ``nodes`` (node, keys) of each component of SimHash fingerprints within ``radius`` bits, named by the smallest of them. Those of empty sets are left out."""
+    found = simhash.near_duplicates(texts, radius=radius).select(F.col("doc_id").alias("node"), "component_id")
+    own = found.join(nodes.where(F.size("keys") > 0).select("node"), "node").distinct()
+    hubs = own.groupBy("component_id").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("component_id", "comp")
+    return own.join(hubs, "component_id").select("comp", "node")
+
+
 def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, tile: int = 256) -> DataFrame:
     """(doc_id, component_id) for every row: the smallest doc_id reachable over links of shingle sets of that Jaccard similarity or more.
 
@@ -201,7 +211,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = written(_sketches(texts, shingle), "near-sketches")
     nodes = written(sketches.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).where("node is not null"), "near-nodes")
-    pairs = written(candidates(nodes), "near-groups")
+    pairs = written(hashed_groups(texts, nodes).union(candidates(nodes)).distinct(), "near-groups")
     some = pairs.select("node").distinct()
     sets = written(_members(texts.join(some, F.col("doc_id") == F.col("node")).select(F.lit(0).cast("long").alias("comp"), "node", "text"), shingle), "near-sets").drop("comp")
     members = written(pairs.join(sets, "node").select("comp", "node", "size", "shingles"), "near-members")

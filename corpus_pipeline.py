@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays."""
+    """Near-dedup: candidates by SimHash blocks and by MinHash bands; of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays."""
     small_batches(spark)
     return keep_one_each(docs)
 

@@ -80,3 +80,15 @@ def test_texts_of_one_template_make_no_giant_group(spark):
         compared[n] = sum(g * (g - 1) // 2 for g in groups)
         assert max(groups, default=0) < n / 2
     assert compared[2000] < 2000 * 2000 / 2 / 10
+
+
+def test_simhash_blocks_find_candidates_of_their_own(make_docs, monkeypatch):
+    from assayframe.llm import nearcopies
+    from assayframe.llm.simhash import simhash
+
+    monkeypatch.setattr(nearcopies, "candidates", lambda nodes: nodes.select(nodes.node.alias("comp"), "node").limit(0))  # no bands
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for _ in range(20)]
+    rows = list(enumerate(texts + [f"{t} end" for t in texts] + [None, "", " "]))
+    assert all((simhash(t) ^ simhash(f"{t} end")).bit_count() <= 4 for t in texts)
+    assert {r.doc_id: r.component_id for r in near_copies(make_docs(rows)).collect()} == brute(rows)
