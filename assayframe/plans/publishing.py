@@ -68,9 +68,10 @@ def vault_rotation(spark, sf_dir):
     keys = spark.read.parquet(at)
     vault.reencrypt(sealed, "data", keys, second, "k2").write.parquet(at := scratch(spark, "blobs"))
     moved = spark.read.parquet(at)
-    plain = vault.decrypt_named(moved, "data", keys, second).select("doc_id", F.sha2("data", 256).alias("sha256"))
-    both = sealed.select("doc_id", F.col("key_id").alias("first_key"), F.col("data").alias("before")).join(moved.select("doc_id", F.col("key_id").alias("last_key"), "data"), "doc_id")
-    return both.select("doc_id", "first_key", "last_key", F.col("before").eqNullSafe(F.col("data")).alias("kept")).join(plain, "doc_id")
+    sealed_sha = F.sha2("data", 256)  # blobs are compared by their digests, so that none is shuffled
+    plain = vault.decrypt_named(moved.withColumn("after", sealed_sha), "data", keys, second).select("doc_id", F.col("key_id").alias("last_key"), "after", F.sha2("data", 256).alias("sha256"))
+    both = sealed.select("doc_id", F.col("key_id").alias("first_key"), sealed_sha.alias("before")).join(plain, "doc_id")
+    return both.select("doc_id", "first_key", "last_key", F.col("before").eqNullSafe(F.col("after")).alias("kept"), "sha256")
 
 
 @query("vault_blobs", "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) + 28 AS sealed_bytes FROM documents")

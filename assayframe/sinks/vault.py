@@ -26,13 +26,17 @@ def wrapped_key(spark: SparkSession, key_id: str, master: bytes, data_key: bytes
 
 
 def _unwrapped(keys: DataFrame, master: bytes) -> DataFrame:
-    """(__key_id, __data): raises where the master key isn't the one a key was wrapped with."""
+    """(__key_id, __data), few rows that go to every task, as rows joined by their key would meet in one task a key. Raises where the master key isn't the one a key was wrapped with."""
+    return F.broadcast(_plain(keys, master))
+
+
+def _plain(keys: DataFrame, master: bytes) -> DataFrame:
     return _with_master(keys, master).select(F.col("key_id").alias("__key_id"), F.aes_decrypt("wrapped", "__master", F.lit("GCM")).alias("__data"))
 
 
 def rewrap(keys: DataFrame, old_master: bytes, new_master: bytes) -> DataFrame:
     """The same data keys under another master key."""
-    plain = _unwrapped(keys, old_master).select(F.col("__key_id").alias("key_id"), "__data")
+    plain = _plain(keys, old_master).select(F.col("__key_id").alias("key_id"), "__data")
     return _with_master(plain, new_master).select("key_id", F.aes_encrypt("__data", "__master", F.lit("GCM")).alias("wrapped"))
 
 
@@ -57,7 +61,7 @@ def decrypt_named(df: DataFrame, column: str, keys: DataFrame, master: bytes) ->
 def reencrypt(df: DataFrame, column: str, keys: DataFrame, master: bytes, key_id: str) -> DataFrame:
     """All rows under the data key ``key_id``: rows under it already stay as they are, byte for byte, so the step can be taken again after it broke off, on what it left."""
     one = _unwrapped(keys, master)
-    new = one.where(F.col("__key_id") == key_id).select(F.col("__key_id").alias("__new_id"), F.col("__data").alias("__new"))
+    new = F.broadcast(one.where(F.col("__key_id") == key_id).select(F.col("__key_id").alias("__new_id"), F.col("__data").alias("__new")))
     out = df.join(one, F.col("key_id") == F.col("__key_id"), "left").withColumn("__to", F.lit(key_id)).join(new, F.col("__to") == F.col("__new_id"), "left")
     plain = _known(F.col("key_id"), F.col("__data"), F.aes_decrypt(column, "__data", F.lit("GCM")))
     moved = F.when(F.col("key_id") == key_id, F.col(column)).otherwise(_known(F.col("__to"), F.col("__new"), F.aes_encrypt(plain, "__new", F.lit("GCM"))))
