@@ -1,7 +1,7 @@
 """Evidence bundles as folders of files, written so that a bundle is seen whole or not at all.
 
 The files of a bundle come from ``bundle_files``: its fixed layout, JSON in canonical form, line ends unified, and the audit log's digest bound into the run manifest.
-``write_bundles`` writes them through a data source of its own: tasks write bundles into a staging folder and read every file back against its digest; the driver
+``write_bundles`` writes them through a data source of its own: tasks write files into a staging folder and read every file back against its digest; the driver
 publishes all of them by renaming that folder once, or removes it if any task failed.
 """
 
@@ -70,11 +70,11 @@ def bundle_files(bundles: DataFrame, deliverables: DataFrame | None = None) -> D
 
 @dataclass
 class _Done(WriterCommitMessage):
-    bundles: int
+    bundles: int  # of which the task wrote files
 
 
 class _Writer(DataSourceArrowWriter):
-    """Writes the bundles of a task, each in a folder of its own attempt, which takes its final name once it is whole."""
+    """Writes the files of a task, each in a folder of the task's own attempt, from where it takes its final name once it is whole."""
 
     def __init__(self, path: str):
         self.path, self.staging = path.rstrip("/"), None
@@ -86,36 +86,30 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, batches: Iterator) -> _Done:
         fs, staging = store(self.staging)
-        fs.create_dir(staging, recursive=True)
-        n, bundle, folder = 0, None, ""
-
-        def whole() -> None:
-            final = f"{staging}/{bundle}"
-            if fs.get_file_info(final).type == pafs.FileType.NotFound:
-                fs.move(folder, final)
-            else:  # an earlier attempt of this task got so far
-                fs.delete_dir(folder)
-
+        own = f"{staging}/.{uuid.uuid4().hex}"
+        fs.create_dir(own, recursive=True)
+        n, bundle, last, folder = 0, None, None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bundle_id"] != bundle:
-                    if bundle is not None:
-                        whole()
-                    bundle, n = row["bundle_id"], n + 1
-                    folder = f"{staging}/.{uuid.uuid4().hex}"
-                self._file(fs, f"{folder}/{row['path']}", row)
-        if bundle is not None:
-            whole()
+                name = f"{row['bundle_id']}/{row['path']}"
+                if name == last:
+                    raise ValueError(f"two files {name}")
+                n += row["bundle_id"] != bundle
+                bundle, last = row["bundle_id"], name
+                self._file(fs, f"{own}/file", name, row)
+                final = f"{staging}/{name}"
+                if folder != (folder := final.rpartition("/")[0]):
+                    fs.create_dir(folder, recursive=True)
+                if fs.get_file_info(final).type == pafs.FileType.File:  # an earlier attempt of this task got so far
+                    fs.delete_file(final)
+                fs.move(f"{own}/file", final)
+        fs.delete_dir(own)
         return _Done(n)
 
     @staticmethod
-    def _file(fs: pafs.FileSystem, at: str, row: dict) -> None:
-        name = f"{row['bundle_id']}/{row['path']}"
+    def _file(fs: pafs.FileSystem, at: str, name: str, row: dict) -> None:
         if row["content"] is None:
             raise ValueError(f"no content for {name}")
-        fs.create_dir(at.rpartition("/")[0], recursive=True)
-        if fs.get_file_info(at).type != pafs.FileType.NotFound:
-            raise ValueError(f"two files {name}")
         with fs.open_output_stream(at) as out:
             out.write(row["content"])
         with fs.open_input_stream(at) as back:
@@ -154,9 +148,11 @@ class BundleFolders(DataSource):
 def write_bundles(files: DataFrame, path: str) -> None:
     """Publish bundles (``FILES``) under a path that all executors share and that doesn't exist yet.
 
-    A file without content, two files of one name, a digest that what was written doesn't have, or a failing task: nothing is published and nothing is left. A bundle is written by one task, a file at a time.
+    A file without content, two files of one name, a digest that what was written doesn't have, or a failing task: nothing is published and nothing is left.
+    Files are dealt over tasks by bundle and path, so that one large bundle is no task of its own, and written one at a time.
     """
     spark = files.sparkSession
     spark.dataSource.register(BundleFolders)
-    one = files.select("bundle_id", "path", "content", F.lower("sha256").alias("sha256")).repartition("bundle_id").sortWithinPartitions("bundle_id", "path")
+    path_ = F.regexp_replace("path", r"/(\.?/)+", "/")  # of one file's names, the same task gets all
+    one = files.select("bundle_id", path_.alias("path"), "content", F.lower("sha256").alias("sha256")).repartition("bundle_id", "path").sortWithinPartitions("bundle_id", "path")
     one.write.format("bundle_folders").mode("append").save(path)

@@ -1,4 +1,4 @@
-"""Folders listed and read in parallel, empty files and folders included."""
+"""Folders listed and read in parallel, empty files and folders included: what is listed is dealt anew before it is read, so that a folder of many files is read by many tasks."""
 
 from __future__ import annotations
 
@@ -22,8 +22,8 @@ class _Folder(InputPartition):
 class _Reader(DataSourceReader):
     """The driver lists folders level by level until there are enough for ``tasks`` tasks, and no more than that; each task goes on below its own."""
 
-    def __init__(self, path: str, tasks: int, contents: bool):
-        self.path, self.tasks, self.contents = path.rstrip("/"), tasks, contents
+    def __init__(self, path: str, tasks: int):
+        self.path, self.tasks = path.rstrip("/"), tasks
 
     def partitions(self) -> list[_Folder]:
         fs, root = store(self.path)
@@ -39,33 +39,29 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Folder) -> Iterator[pa.RecordBatch]:
         fs, root = store(self.path)
         stack = list(partition.folders)
-        names, data, size = [], [], 0
+        names = []
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["path", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.nulls(len(names), pa.binary())], ["path", "bytes"])
 
         while stack:
             folder = stack.pop()
             if folder != root:
                 names.append(folder[len(root) :].lstrip("/") + "/")
-                data.append(None)
             for x in fs.get_file_info(pafs.FileSelector(folder)):
                 if x.type == pafs.FileType.Directory:
                     stack += [x.path] * partition.deep
                 elif x.type == pafs.FileType.File:
                     names.append(x.path[len(root) :].lstrip("/"))
-                    with fs.open_input_stream(x.path) as f:
-                        data.append(f.read() if self.contents else None)
-                    size += x.size or 0
-                    if size > 8 << 20 or len(names) >= 10_000:
+                    if len(names) >= 10_000:
                         yield batch()
-                        names, data, size = [], [], 0
+                        names = []
         if names:
             yield batch()
 
 
 class Folders(DataSource):
-    """The source ``folders`` with the options ``path``, ``tasks`` and ``contents``."""
+    """The source ``folders`` with the options ``path`` and ``tasks``: the paths alone, ``bytes`` is null."""
 
     @classmethod
     def name(cls) -> str:
@@ -75,7 +71,30 @@ class Folders(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], int(self.options.get("tasks", "64")), self.options.get("contents", "true").lower() == "true")
+        return _Reader(self.options["path"], int(self.options.get("tasks", "64")))
+
+
+def _contents(path: str):
+    """Of rows (path, bytes) the same with the bytes of files, in batches of about 8 MB."""
+
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = store(path)
+        for batch in rows:
+            names, data, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                names.append(name)
+                if name.endswith("/"):
+                    data.append(None)
+                else:
+                    with fs.open_input_stream(f"{root.rstrip('/')}/{name}") as f:
+                        data.append(f.read())
+                    size += len(data[-1])
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["path", "bytes"])
+                    names, data, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["path", "bytes"])
+
+    return each
 
 
 def read_folders(spark: SparkSession, path: str, tasks: int | None = None, contents: bool = True) -> DataFrame:
@@ -84,4 +103,9 @@ def read_folders(spark: SparkSession, path: str, tasks: int | None = None, conte
     Links and other special files are left out. A folder that isn't there is an error. One folder's listing is held at once.
     """
     spark.dataSource.register(Folders)
-    return spark.read.format("folders").option("tasks", tasks or spark.sparkContext.defaultParallelism).option("contents", str(contents).lower()).load(path)
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    listed = spark.read.format("folders").option("tasks", tasks).load(path)
+    if not contents:
+        return listed
+    n = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return listed.repartition(n, "path").mapInArrow(_contents(path.rstrip("/")), SCHEMA)
