@@ -37,7 +37,7 @@ def finance_workflow(files: DataFrame, known: DataFrame, threshold: float = 1000
 def incident_workflow(files: DataFrame, profile: str = "STANDARD", id_col: str = "incident_id", once: Once = _again) -> dict[str, DataFrame]:
     """Logs (incident_id, text) to packets, timelines and maps."""
     rows = once(readers.parse_logs(files, id_col=id_col))
-    events = incident.parse_events(rows.where("reject_reason is null"))
+    events = once(incident.parse_events(rows.where("reject_reason is null")))
     spans = incident.redaction_spans(events, "evidence_text", ["incident_id", "idx"], profile)
     masked = events.select("incident_id", "idx").join(spans.groupBy("incident_id", "idx").agg(F.count("*").alias("n_masked")), ["incident_id", "idx"], "left").na.fill(0)
     return {
