@@ -1,7 +1,7 @@
 """Stateful processors: audit logs chained in order of their lines, and claims that expire.
 
 They keep keyed state in the state store (``spark.sql.streaming.stateStore.providerClass`` has to name the one on RocksDB: see ``use_rocksdb``), touch it only for
-what is out of order or has to be remembered, and take rows as they come: no batch is gathered.
+what is out of order or has to be remembered, and take rows as they come: no more than a bounded part of a batch is gathered.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.audit import CHAIN, ZERO, envelope
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Line numbers in a block of waiting lines; rows of a run that are judged at once.
+BLOCK, AT_ONCE = 2048, 1 << 16
+Lines = dict[int, tuple[str, str]]  # line number -> the text before and after its previous hash
 EXPIRED = "claim_id string, generated timestamp, valid_until timestamp"
 
 
@@ -25,32 +28,86 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames joined to some of about ``AT_ONCE`` rows each."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= AT_ONCE:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 class _Chain(StatefulProcessor):
-    """A run's chain: the number of the next line, the last hash, and the lines that came before their turn."""
+    """A run's chain: the number of the next line, the last hash, and the lines that came before their turn.
+
+    These wait in pieces, each of a block of ``BLOCK`` line numbers: a state entry a line would take a call of the state's server for each. A new piece takes in those before it that aren't
+    larger, so a line is written again about as often as its block doubles, and one that comes again and again doesn't add up.
+    """
 
     def __init__(self, first: int):
         self.first = first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "line long, last string, waiting long")
-        self.early = handle.getMapState("early", "line long", "head string, tail string")
+        self.at = handle.getValueState("at", "line long, last string, waiting long")  # waiting: blocks with lines in the state
+        self.sizes = handle.getMapState("sizes", "block long", "sizes array<int>")
+        self.early = handle.getMapState("early", "block long, piece int", "lines array<long>, heads array<string>, tails array<string>")
+
+    def _piece(self, block: int, piece: int) -> Lines:
+        lines, heads, tails = self.early.getValue((block, piece))
+        self.early.removeKey((block, piece))
+        return dict(zip(lines, zip(heads, tails)))
+
+    def _sizes(self, block: int) -> list[int]:
+        return list(self.sizes.getValue((block,))[0]) if self.sizes.containsKey((block,)) else []
+
+    def _take(self, block: int) -> Lines:
+        """The waiting lines of a block, which leave the state; of equal numbers the first that came."""
+        found: Lines = {}
+        pieces = len(self._sizes(block))
+        for k in range(pieces):
+            found = self._piece(block, k) | found
+        if pieces:
+            self.sizes.removeKey((block,))
+        return found
+
+    def _put(self, block: int, lines: Lines) -> bool:
+        """Let the lines of a block wait; whether none of it waited before."""
+        sizes = self._sizes(block)
+        new = not sizes
+        while sizes and sizes[-1] <= len(lines):
+            sizes.pop()
+            lines = lines | self._piece(block, len(sizes))
+        self.early.updateValue((block, len(sizes)), (list(lines), [h for h, _ in lines.values()], [t for _, t in lines.values()]))
+        self.sizes.updateValue((block,), ([*sizes, len(lines)],))
+        return new
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         line, last, waiting = self.at.get() if self.at.exists() else (self.first, ZERO, 0)
-        for batch in rows:
-            out = []
-            for n, head, tail in batch.sort_values("line_no", kind="stable")[["line_no", "head", "tail"]].itertuples(index=False):
-                if n > line and not (waiting and self.early.containsKey((int(n),))):
-                    self.early.updateValue((int(n),), (head, tail))
-                    waiting += 1
-                while n == line:
+        for batch in _gathered(rows):
+            out, came = [], {}
+            for n, head, tail in zip(batch["line_no"].tolist(), batch["head"], batch["tail"]):
+                if n >= line:
+                    came.setdefault(n // BLOCK, {}).setdefault(n, (head, tail))
+            on = line in came.get(line // BLOCK, ())  # the next line isn't in the state, as it would have been taken
+            while on:
+                block = line // BLOCK
+                taken = self._take(block) if waiting else {}
+                waiting -= bool(taken)
+                held = came.pop(block, {}) | taken
+                while line in held:
+                    head, tail = held.pop(line)
                     mine = hashlib.sha256(f"{head}{last}{tail}".encode()).hexdigest()
                     out.append((key[0], line, last, mine))
                     line, last = line + 1, mine
-                    if waiting and self.early.containsKey((line,)):
-                        head, tail = self.early.getValue((line,))
-                        self.early.removeKey((line,))
-                        n, waiting = line, waiting - 1
+                if held:
+                    came[block] = held
+                on = line // BLOCK > block
+            for block, lines in came.items():
+                waiting += self._put(block, lines)
             if out:
                 yield pd.DataFrame(out, columns=["run_id", "line_no", "prev_event_hash", "event_hash"])
         self.at.update((line, last, waiting))

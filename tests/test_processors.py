@@ -1,8 +1,10 @@
 """Stateful processors over small steps and restarts; a log that no crash doubles or cuts."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from assayframe.operators import audit
@@ -36,6 +38,34 @@ def test_lines_wait_for_their_turn_over_restarts(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and len(got) == 25
 
 
+def test_waiting_lines_stand_in_few_pieces(monkeypatch):
+    """A state entry for each line took some calls of the state's server a line."""
+    calls = []
+
+    class State(dict):
+        exists, get = (lambda self: "v" in self), (lambda self, k="v": self[k])
+        containsKey, getValue, removeKey = (lambda self, k: calls.append(k) or k in self), (lambda self, k: calls.append(k) or self[k]), (lambda self, k: calls.append(k) or self.pop(k))
+        updateValue = lambda self, k, v: calls.append(k) or self.__setitem__(k, v)
+        update = lambda self, v, k="v": self.__setitem__(k, v)
+
+    class Handle(dict):
+        getMapState = getValueState = lambda self, name, *_: self.setdefault(name, State())
+
+    monkeypatch.setattr(processors, "BLOCK", 64, raising=False)
+    chain, handle, lines, got = processors._Chain(0), Handle(), [*range(1, 2000)], []
+    chain.init(handle)
+    random.Random(2).shuffle(lines)
+    for part in (lines[:900], lines[700:], lines[700:], [0, 0], [5]):  # some come twice while they wait, and one when it is done
+        frame = pd.DataFrame({"line_no": part, "head": [f"h{n}" for n in part], "tail": [f"t{n}" for n in part]})
+        got += [r for f in chain.handleInputRows(("r",), iter([frame[:500], frame[500:]]), None) for r in f.itertuples(index=False)]
+    last = "0" * 64
+    for n, r in enumerate(got):
+        assert (r.line_no, r.prev_event_hash) == (n, last)
+        last = hashlib.sha256(f"h{n}{last}t{n}".encode()).hexdigest()
+        assert r.event_hash == last
+    assert len(got) == 2000 and not handle["early"] and len(calls) < 2000
+
+
 def test_a_batch_repeated_after_a_crash_is_appended_once(spark, tmp_path, monkeypatch):
     log, whole = f"{tmp_path}/log", logs.append_batch
     calls = []
