@@ -2,6 +2,7 @@
 
 Headings, labels and sentences within the builders are fixed values. A report is rows (key, section, the place in it, line_no, line), so that a key with a third of all findings isn't gathered in one
 value; ``write_lines`` writes them in order, and ``documents_from_lines`` makes one text of each key where reports are small.
+Some builders also give their lines ``packed``: those of one place as one array ``lines``, for readers that sort or send them.
 """
 
 from __future__ import annotations
@@ -52,7 +53,12 @@ def marker() -> Column:
 
 def _lines(rows: DataFrame, section: int, position: Column, *lines: Column | str) -> DataFrame:
     texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
-    return rows.select("statement_id", F.lit(section).alias("section"), position.cast("int").alias("position"), F.posexplode(texts).alias("line_no", "line"))
+    return rows.select("statement_id", F.lit(section).alias("section"), position.cast("int").alias("position"), texts.alias("lines"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """A row for each of ``lines``: line_no, line."""
+    return rows.select(*[c for c in rows.columns if c != "lines"], F.posexplode("lines").alias("line_no", "line"))
 
 
 def _counted(tx: DataFrame, found: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def _tally(sep: str = "") -> Column:
     return F.format_string("%d HIGH, %d MEDIUM, %d LOW" + sep, "n_high", "n_medium", "n_low")
 
 
-def audit_report(tx: DataFrame, found: DataFrame) -> DataFrame:
+def audit_report(tx: DataFrame, found: DataFrame, packed: bool = False) -> DataFrame:
     """The auditor's report on every statement of ``tx``, as ordered lines.
 
     ``found``: statement_id, position, rule, severity, date, amount, account, transaction_id. A statement without findings gets a conclusion.
@@ -81,10 +87,11 @@ def audit_report(tx: DataFrame, found: DataFrame) -> DataFrame:
         F.concat(F.lit("**Rule:** "), "rule"), F.concat(F.lit("**Finding:** "), finding_text()), F.concat(F.lit("**Action Required:** "), _of_rule(1)), "", marker(), "",
     )
     foot = _lines(all_, 3, first, "---", "", "*This audit report contains exceptions for investigation*")
-    return head.union(clean).union(title).union(body).union(foot)
+    out = head.union(clean).union(title).union(body).union(foot)
+    return out if packed else _unpacked(out)
 
 
-def compliance_report(tx: DataFrame, found: DataFrame) -> DataFrame:
+def compliance_report(tx: DataFrame, found: DataFrame, packed: bool = False) -> DataFrame:
     """The compliance team's report on every statement of ``tx``, as ordered lines; ``found`` as for ``audit_report``."""
     all_, first = _counted(tx, found), F.lit(0)
     spaced = lambda c: F.replace(F.col(c), F.lit(","), F.lit(", "))
@@ -102,7 +109,8 @@ def compliance_report(tx: DataFrame, found: DataFrame) -> DataFrame:
         item = F.concat(F.lit("- **"), "transaction_id", F.lit("** on "), "date", *([F.lit(" ($"), money2(F.col("amount")), F.lit(")")] if level == "HIGH" else []))
         more = [F.concat(F.lit("  - Rule: "), "rule"), F.concat(F.lit("  - Finding: "), finding_text())] if level == "HIGH" else []
         out = out.union(_lines(found.where(F.col("severity") == level), 2 * k + 2, F.col("position"), item, *more, F.concat(F.lit("  "), marker())))
-    return out.union(_lines(all_, 7, first, "", "---", "", "*This compliance report contains full analysis for internal teams*"))
+    out = out.union(_lines(all_, 7, first, "", "---", "", "*This compliance report contains full analysis for internal teams*"))
+    return out if packed else _unpacked(out)
 
 
 #: The heading of the exceptions file.
@@ -130,7 +138,7 @@ def exceptions_map(found: DataFrame) -> DataFrame:
     return found.select("statement_id", "position", with_numbers(F.to_json(item), "amount").alias("item"))
 
 
-def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:
+def incident_packet(events: DataFrame, profile: str | None = None, packed: bool = False) -> DataFrame:
     """(incident_id, section, ts, idx, line_no, line): the packet on every incident of ``events`` (see ``incident.parse_events``).
 
     With a redaction profile it is the customer's, whose evidence is masked; without one the internal packet.
@@ -140,7 +148,7 @@ def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:
 
     def part(rows: DataFrame, section: int, ts: Column, idx: Column, *lines: Column | str) -> DataFrame:
         texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
-        return rows.select("incident_id", F.lit(section).alias("section"), ts.alias("ts"), idx.cast("long").alias("idx"), F.posexplode(texts).alias("line_no", "line"))
+        return rows.select("incident_id", F.lit(section).alias("section"), ts.alias("ts"), idx.cast("long").alias("idx"), texts.alias("lines"))
 
     title, tally, last, heading, end = (
         ("Internal Analysis", "Breakdown", F.concat(F.lit("- **Timeline Hash:** "), "timeline_hash"), "Complete Timeline with Citations", "*This internal packet contains full unredacted details*") if profile is None
@@ -155,7 +163,8 @@ def incident_packet(events: DataFrame, profile: str | None = None) -> DataFrame:
         events, 1, F.col("ts"), F.col("idx"), F.concat(F.lit("**"), "timestamp", F.lit("** | "), "source_system", F.lit(" | "), "severity"), F.concat("actor", F.lit(" → "), "action"),
         F.concat(F.lit("Resource: "), "affected_resource"), *evidence, claim, "",
     )
-    return head.union(body).union(part(whole, 2, zero, zero, "---", "", end))
+    out = head.union(body).union(part(whole, 2, zero, zero, "---", "", end))
+    return out if packed else _unpacked(out)
 
 
 def assess(clauses: DataFrame) -> DataFrame:

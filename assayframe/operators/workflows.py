@@ -23,25 +23,25 @@ def _again(df: DataFrame) -> DataFrame:
     return df
 
 
-def finance_workflow(files: DataFrame, known: DataFrame, threshold: float = 10000.0, once: Once = _again) -> dict[str, DataFrame]:
-    """Statements (a column ``text`` of JSON) to their exceptions and reports; ``known`` names each account's categories."""
+def finance_workflow(files: DataFrame, known: DataFrame, threshold: float = 10000.0, once: Once = _again, packed: bool = False) -> dict[str, DataFrame]:
+    """Statements (a column ``text`` of JSON) to their exceptions and reports; ``known`` names each account's categories. Reports come ``packed`` as in ``reports``, if asked for."""
     rows = once(readers.parse_statements(files))
     tx = rows.where("reject_reason is null")
     found = once(finance.exceptions(tx, known, threshold).withColumn("transaction_id", transaction_id(*map(F.col, ("statement_id", "date", "amount", "account", "ordinal")))))
     return {
         "rejected": rows.where("reject_reason is not null").select("statement_id", "reject_reason"), "exceptions.csv": reports.exception_lines(found), "exceptions_map.json": reports.exceptions_map(found), "compliance_summary.json": reports.compliance_summary(files, tx, found),
-        "exceptions_audit.md": reports.audit_report(tx, found), "compliance_internal.md": reports.compliance_report(tx, found),
+        "exceptions_audit.md": reports.audit_report(tx, found, packed), "compliance_internal.md": reports.compliance_report(tx, found, packed),
     }
 
 
-def incident_workflow(files: DataFrame, profile: str = "STANDARD", id_col: str = "incident_id", once: Once = _again) -> dict[str, DataFrame]:
-    """Logs (incident_id, text) to packets, timelines and maps."""
+def incident_workflow(files: DataFrame, profile: str = "STANDARD", id_col: str = "incident_id", once: Once = _again, packed: bool = False) -> dict[str, DataFrame]:
+    """Logs (incident_id, text) to packets, timelines and maps. Packets come ``packed`` as in ``reports``, if asked for."""
     rows = once(readers.parse_logs(files, id_col=id_col))
     events = once(incident.parse_events(rows.where("reject_reason is null")))
     spans = incident.redaction_spans(events, "evidence_text", ["incident_id", "idx"], profile)
     masked = events.select("incident_id", "idx").join(spans.groupBy("incident_id", "idx").agg(F.count("*").alias("n_masked")), ["incident_id", "idx"], "left").na.fill(0)
     return {
-        "rejected": rows.where("reject_reason is not null").select("incident_id", "line_no", "reject_reason"), "customer_packet.md": reports.incident_packet(events, profile), "internal_packet.md": reports.incident_packet(events), "timeline.csv": incident.timeline_lines(events),
+        "rejected": rows.where("reject_reason is not null").select("incident_id", "line_no", "reject_reason"), "customer_packet.md": reports.incident_packet(events, profile, packed), "internal_packet.md": reports.incident_packet(events, packed=packed), "timeline.csv": incident.timeline_lines(events),
         "redactions_map.json": incident.redactions_map(events, profile), "citations_map.json": incident.citations_map(events), "counts": evidence.workflow_counts(masked),
     }
 
