@@ -205,7 +205,12 @@ def assessed_transcripts(transcripts: DataFrame, consents: DataFrame, as_of: str
     return transcripts.join(last, "patient_id", "left").withColumn("consent_status", status).drop("c")
 
 
-def draft_note(transcripts: DataFrame) -> DataFrame:
+def _note(rows: DataFrame, lines: Column, packed: bool, names: tuple[str, str] = ("line_no", "line")) -> DataFrame:
+    """A row for each of a transcript's lines; ``packed``, one row a transcript with the array ``lines``, unless that is empty."""
+    return rows.select("transcript_id", lines.alias("lines")).where(F.size("lines") > 0) if packed else rows.select("transcript_id", F.posexplode(lines).alias(*names))
+
+
+def draft_note(transcripts: DataFrame, packed: bool = False) -> DataFrame:
     """(transcript_id, line_no, line): the draft note of transcripts (transcript_id, patient_id, date, provider, specialty, confidence, content, consent_status). A blocked consent gets none. A confidence half-way between two percent goes to the even one."""
     field = lambda name, c: F.concat(F.lit(f"- **{name}:** "), c)
     percent = F.concat(F.bround(F.col("confidence").cast("float") * F.lit(100).cast("float"), 0).cast("int").cast("string"), F.lit("%"))
@@ -216,7 +221,7 @@ def draft_note(transcripts: DataFrame) -> DataFrame:
         texts("# Clinical Draft Note", "", "## Patient Information", "", field("Patient ID", "patient_id"), field("Date", "date"), field("Provider", "provider"), field("Specialty", "specialty"), field("Confidence", percent), ""), warning,
         texts("## Clinical Summary", "", F.col("content"), "", claim, "", "## Verification Status", "", "- [ ] Demographics verified", "- [ ] Chief complaint captured", "- [ ] Assessment accurate", "- [ ] Plan documented", "", "---", "", "*This draft requires provider review and signature*"),
     )
-    return transcripts.where(~F.col("consent_status").isin("Missing", "Revoked")).select("transcript_id", F.posexplode(lines).alias("line_no", "line"))
+    return _note(transcripts.where(~F.col("consent_status").isin("Missing", "Revoked")), lines, packed)
 
 
 #: What is to be verified, by section.
@@ -228,18 +233,18 @@ VERIFICATIONS = {
 }
 
 
-def verification_checklist(transcripts: DataFrame) -> DataFrame:
+def verification_checklist(transcripts: DataFrame, packed: bool = False) -> DataFrame:
     """(transcript_id, line_no, line): the verification checklist of transcripts."""
     head = [F.lit("# Verification Checklist"), F.lit(""), *[F.concat(F.lit(f"**{n}:** "), c) for n, c in (("Patient", "patient_id"), ("Date", "date"), ("Provider", "provider"))], F.lit(""), F.lit("## Required Verifications"), F.lit("")]
     body = [F.lit(x) for name, items in VERIFICATIONS.items() for x in (f"### {name}", *[f"- [ ] {i}" for i in items], "")]
-    return transcripts.select("transcript_id", F.posexplode(F.array(*head, *body)).alias("line_no", "line"))
+    return _note(transcripts, F.array(*head, *body), packed)
 
 
-def uncertainty_map(transcripts: DataFrame, limit: float = 0.95) -> DataFrame:
+def uncertainty_map(transcripts: DataFrame, limit: float = 0.95, packed: bool = False) -> DataFrame:
     """(transcript_id, item_no, item): what a transcript leaves uncertain, as JSON objects; confidences are compared as floats, and written as the doubles equal to them."""
     single = F.col("confidence").cast("float")
     item = F.to_json(F.struct(F.lit("speech_recognition").alias("type"), number_text(single.cast("double")).alias("confidence"), F.lit("Verify medical terms against clinical context").alias("recommendation")))
     heard = F.when(single < F.lit(limit).cast("float"), with_numbers(item, "confidence"))
     low = F.lower("content")
     terms = [F.when(low.contains(t), F.to_json(F.struct(F.lit("clinical_uncertainty").alias("type"), F.lit(t).alias("term"), F.lit("Clarify with provider before finalization").alias("recommendation")))) for t in UNCERTAIN_TERMS]
-    return transcripts.select("transcript_id", F.posexplode(F.array_compact(F.array(heard, *terms))).alias("item_no", "item"))
+    return _note(transcripts, F.array_compact(F.array(heard, *terms)), packed, ("item_no", "item"))

@@ -62,14 +62,14 @@ def contract_workflow(files: DataFrame, id_col: str = "path", content_col: str =
     }
 
 
-def transcript_workflow(files: DataFrame, consents: DataFrame, as_of: str, once: Once = _again) -> dict[str, DataFrame]:
-    """Transcripts and consents (columns ``text`` of JSON) to draft notes, checklists and maps; transcripts without a valid consent get no note."""
+def transcript_workflow(files: DataFrame, consents: DataFrame, as_of: str, once: Once = _again, packed: bool = False) -> dict[str, DataFrame]:
+    """Transcripts and consents (columns ``text`` of JSON) to draft notes, checklists and maps; transcripts without a valid consent get no note. ``packed``, a transcript's lines are one array."""
     rows = readers.parse_transcripts(files)
     given = readers.parse_consents(consents).where("reject_reason is null").select("patient_id", "date_given", "status")
     known = once(evidence.assessed_transcripts(rows.where("reject_reason is null").drop("reject_reason"), given, as_of))
     blocked = known.where("consent_status in ('Missing', 'Revoked')").select("transcript_id", F.concat(F.lit("consent "), F.lower("consent_status")).alias("reject_reason"))
     return {
-        "rejected": rows.where("reject_reason is not null").select("transcript_id", "reject_reason").union(blocked), "draft_note.md": evidence.draft_note(known), "verification_checklist.md": evidence.verification_checklist(known), "uncertainty_map.json": evidence.uncertainty_map(known),
+        "rejected": rows.where("reject_reason is not null").select("transcript_id", "reject_reason").union(blocked), "draft_note.md": evidence.draft_note(known, packed), "verification_checklist.md": evidence.verification_checklist(known, packed), "uncertainty_map.json": evidence.uncertainty_map(known, packed=packed),
     }
 
 
