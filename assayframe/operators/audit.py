@@ -71,20 +71,21 @@ def envelope() -> tuple[Column, Column]:
     return head, tail
 
 
-def build_chain(events: DataFrame) -> DataFrame:
-    """(run_id, line_no, prev_event_hash, event_hash): each run's events chained in order of line_no.
+def build_chain(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(run_id, line_no, prev_event_hash, event_hash) and the columns ``keep`` of an event: each run's events chained in order of line_no.
 
     A run's chain is sequential by nature: rows are dealt by run, sorted, and hashed as a stream, so that a
     run of any length needs the memory of one row; different runs go on side by side. Ties in
     line_no are taken in order of their text.
     """
     head, tail = envelope()
-    rows = events.select("run_id", F.col("line_no").cast("long"), head.alias("head"), tail.alias("tail"))
+    rows = events.select("run_id", F.col("line_no").cast("long"), head.alias("head"), tail.alias("tail"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
+    schema = ", ".join([CHAIN, *[f"__k{i} {events.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, last = None, ZERO
         for batch in batches:
-            runs, lines, heads, tails = (c.to_pylist() for c in batch.columns)
+            runs, heads, tails = (batch.column(i).to_pylist() for i in (0, 2, 3))
             prevs, hashes = [], []
             for r, h, t in zip(runs, heads, tails):
                 if r != run:
@@ -92,9 +93,10 @@ def build_chain(events: DataFrame) -> DataFrame:
                 prevs.append(last)
                 last = hashlib.sha256(f"{h}{last}{t}".encode()).hexdigest()
                 hashes.append(last)
-            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(lines, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], ["run_id", "line_no", "prev_event_hash", "event_hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prevs, pa.string()), pa.array(hashes, pa.string()), *batch.columns[4:]], ["run_id", "line_no", "prev_event_hash", "event_hash", *batch.schema.names[4:]])
 
-    return rows.repartition("run_id").sortWithinPartitions("run_id", "line_no", "head", "tail").mapInArrow(fold, CHAIN)
+    out = rows.repartition("run_id").sortWithinPartitions("run_id", "line_no", "head", "tail").mapInArrow(fold, schema)
+    return out.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keep)})
 
 
 def ordered_sha256(rows: DataFrame, key: str, order: list[str], sep: str = "") -> DataFrame:

@@ -77,7 +77,7 @@ def aud_chain_build(spark, sf_dir):
     CASE WHEN count(*) FILTER (event_id % 1000 = 3) = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM events GROUP BY user_id""")
 def aud_chain_verify(spark, sf_dir):
     events = audit_events(table(spark, sf_dir, "events"))
-    chained = events.join(audit.build_chain(events), ["run_id", "line_no"])
+    chained = audit.build_chain(events, keep=("ts_utc", "event_type", "vault_id", "actor", "details"))
     altered = chained.withColumn("vault_id", F.when(F.col("line_no") % 1000 == 3, "v2").otherwise(F.col("vault_id")))
     return audit.verify_chain(altered)
 
