@@ -100,11 +100,11 @@ def _first_rules(asked: DataFrame, rules: DataFrame) -> DataFrame:
     return cuts.join(prefix, [*target, "prefix"]).groupBy(*target, "path").agg(F.min("idx").alias("idx"))
 
 
-def egress_decisions(requests: DataFrame, rules: DataFrame, many: int = 1000) -> DataFrame:
+def egress_decisions(requests: DataFrame, rules: DataFrame, many: int = 1000, small: int = 50_000) -> DataFrame:
     """Requests (request_id, url) with the first rule of ``rules`` (idx from 1, scheme, host, port, path_prefix) that allows them.
 
     Up to ``many`` rules of a host are one sorted array, joined on scheme, host and port, and the first that fits the path is taken within the row; so
-    this works on streams, and requests are shuffled once at most. If a host has more, rules are looked up by the beginnings of paths; the number, which one job over the rules finds, decides the way alone.
+    this works on streams, and requests are shuffled once at most. An allowlist of up to ``small`` rules goes to every task, so that the requests of a host don't meet in one. If a host has more, rules are looked up by the beginnings of paths; the number, which one job over the rules finds, decides the way alone.
     """
     keys = [c for c in requests.columns if c != "url"]
     asked, target = _asked(requests, keys), ["scheme", "host", "port"]
@@ -112,6 +112,7 @@ def egress_decisions(requests: DataFrame, rules: DataFrame, many: int = 1000) ->
         out = asked.join(_first_rules(asked, rules), [*target, "path"], "left")
     else:
         by_host = rules.groupBy(*target).agg(F.array_sort(F.collect_list(F.struct("idx", "path_prefix"))).alias("rules"))
+        by_host = F.broadcast(by_host) if rules.limit(small + 1).count() <= small else by_host
         fits = F.filter("rules", lambda r: r["path_prefix"].isNull() | F.startswith(F.col("path"), r["path_prefix"]))
         out = asked.join(by_host, target, "left").withColumn("idx", F.try_element_at(fits, F.lit(1))["idx"])
     return out.select(*keys, "url", *target, "path", F.when(F.col("idx").isNull(), "BLOCKED").otherwise("ALLOWED").alias("decision"), F.when(F.col("idx").isNotNull(), F.format_string("ALW%04d", "idx")).alias("rule_id"))
