@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .digests import compare_edited
-from .licenses import op13_licenses
+from .licenses import phrase_columns, scan_phrases
 from .ngrams import score_texts
 from .secrets import op8_secrets
 from .whitening import op12_whitening
@@ -34,7 +34,8 @@ def ngram_base(spark, sf_dir: str):
 
 def license_base(spark, sf_dir: str):
     """Of the licences' query, words and places of the phrases."""
-    return op13_licenses(spark, sf_dir).drop("labels", "score")
+    out = scan_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("doc_id",))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), *phrase_columns())
 
 
 def whitening_base(spark, sf_dir: str):

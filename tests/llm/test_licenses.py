@@ -6,6 +6,7 @@ import pytest
 
 from assayframe.llm import licenses
 from assayframe.llm.licenses import PHRASES, RARE, SLACK, TEMPLATES, op13_licenses, rare_index, scan_licenses
+from assayframe.llm.sql import license_base
 
 
 def plain_words(text):
@@ -104,3 +105,21 @@ def test_odd_rows(odd_docs, make_docs, spark, tmp_path):
 def test_no_python_worker(spark, sf):
     plan = op13_licenses(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_phrases_alone_count_no_words_of_the_corpus(spark, sf, monkeypatch):
+    want = sorted(map(tuple, op13_licenses(spark, sf).drop("labels", "score").collect()), key=repr)
+
+    def counted(*a):
+        raise AssertionError("phrases need no document frequencies")
+
+    monkeypatch.setattr(licenses, "document_frequencies", counted)
+    assert sorted(map(tuple, license_base(spark, sf).collect()), key=repr) == want
+
+
+def test_words_of_all_characters(spark):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[i : i + 997]) for i in range(0, len(every), 997)] + [f"a{c}b{c}{c}c" for c in every[:700]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.select(licenses.folded(df.text).alias("folded"), licenses.words("text").alias("ws")).collect()
+    assert len(got) == len(texts) and all(r.ws == plain_words(r.folded) for r in got)
