@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, FEW = 1 << 16, 64  # places in one window; boxes of an artifact up to which each is compared with all its citations
+SENT = 1 << 18  # rows up to which a small side goes to every task, so that citations aren't dealt by keys that may be three
 
 
 def _swept(outer: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,17 +22,28 @@ def _swept(outer: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
     return points.select(*keys, "__b", "__at", F.max("__end").over(so_far).alias("__reach"))
 
 
-def _by_number(outer: DataFrame, keys: list[str], few: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of keys that have up to ``few``, rows of the others or None if there are none); the second is found by one job over ``outer``."""
-    n = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    many = n.where(F.col("__n") > few).select(*keys)
-    if many.isEmpty():
-        return outer, None
-    return outer.join(many, keys, "left_anti"), outer.join(many, keys, "left_semi")
-
+def _by_number(outer: DataFrame, keys: list[str], few: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(rows of keys that have up to ``few``, rows of the others, the others' keys), None where there are none; one job over ``outer`` counts them.
 
-def _compared(inner: DataFrame, outer: DataFrame, keys: list[str], held: str, how: str) -> DataFrame:
-    """``inner`` semi- or anti-joined with ``outer``, whose columns get an r at their end, by the keys and a condition."""
+    Up to ``SENT`` rows of the first and third are broadcast. Without null keys, which equal none.
+    """
+    for c in keys:
+        outer = outer.where(F.col(c).isNotNull())
+    n = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    found = n.agg(F.sum(F.when(F.col("__n") <= few, F.col("__n"))).alias("rows"), F.count_if(F.col("__n") > few).alias("many")).first()
+    sent = lambda df, rows: F.broadcast(df) if rows <= SENT else df
+    if not found.many:
+        return (sent(outer, found.rows) if found.rows else None), None, None
+    many = sent(n.where(F.col("__n") > few).select(*keys), found.many)
+    if not found.rows:
+        return None, outer, many
+    return sent(outer.join(many, keys, "left_anti"), found.rows), outer.join(many, keys, "left_semi"), many
+
+
+def _compared(inner: DataFrame, outer: DataFrame | None, keys: list[str], held: str, how: str) -> DataFrame:
+    """``inner`` semi- or anti-joined with ``outer``, whose columns get an r at their end, by the keys and a condition. Nothing is joined where ``outer`` is None."""
+    if outer is None:
+        return inner if how == "left_anti" else inner.limit(0)
     outer = outer.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"{c}r") for c in outer.columns if c not in keys])
     same = F.expr(held)
     for i, c in enumerate(keys):
@@ -48,15 +60,20 @@ def uncovered_spans(citations: DataFrame, redactions: DataFrame, keys: tuple[str
     keys, whole = list(keys), (F.col("start") >= 0) & (F.col("end") >= 0)
     of = lambda c: F.floor(c / block)
     outer = redactions.where(whole & (F.col("start") <= F.col("end"))).select(*keys, F.col("start").alias("__s"), F.col("end").alias("__end")).distinct()
-    little, much = _by_number(outer, keys, few)
+    little, much, many = _by_number(outer, keys, few)
     cited = citations.withColumn("__at", F.when(whole, F.col("start")))
-    out = _compared(cited, little, keys, "__at >= __sr and end <= __endr", "left_anti")
-    if much is not None:
+    if much is None:
+        out = _compared(cited, little, keys, "__at >= __sr and end <= __endr", "left_anti")
+    else:
+        swept = cited if little is None else cited.join(many, keys, "left_semi")
         much = much.select(*keys, "__s", "__end", F.explode(F.sequence(of(F.col("__s")), of(F.col("__end")))).alias("__b"))
         much = much.select(*keys, "__b", F.greatest("__s", F.col("__b") * block).alias("__at"), "__end")
-        out = out.withColumn("__b", of(F.col("__at")))
-        far = _swept(much, out.where("__at is not null"), keys)
-        out = out.join(far, [*keys, "__b", "__at"], "left").where(~F.coalesce(F.col("__reach") >= F.col("end"), F.lit(False)))
+        swept = swept.withColumn("__b", of(F.col("__at")))
+        far = _swept(much, swept.where("__at is not null"), keys)
+        out = swept.join(far, [*keys, "__b", "__at"], "left").where(~F.coalesce(F.col("__reach") >= F.col("end"), F.lit(False))).select(*citations.columns)
+        if little is not None:
+            rest = _compared(cited.join(many, keys, "left_anti"), little, keys, "__at >= __sr and end <= __endr", "left_anti")
+            out = out.unionByName(rest.select(*citations.columns))
     return out.select(*citations.columns)
 
 
@@ -114,10 +131,10 @@ def uncovered_boxes(citations: DataFrame, redactions: DataFrame, keys: tuple[str
     """
     keys = list(keys)
     inner, outer = _corners(citations, keys), _corners(redactions, keys)
-    little, much = _by_number(outer, keys, few)
+    little, much, many = _by_number(outer, keys, few)
     covered = _compared(inner, little, keys, "__x0r <= __x0 and __y0r <= __y0 and __x1r >= __x1 and __y1r >= __y1", "left_semi")
     if much is not None:
-        covered = covered.unionByName(_contained(inner.join(much.select(*keys).distinct(), keys, "left_semi"), much, keys))
+        covered = covered.unionByName(_contained(inner.join(many, keys, "left_semi"), much, keys))
     x, y, w, h = (F.col(c) for c in "xywh")
     cited = citations.withColumns(dict(zip(_BOX, (x, y, x + w, y + h))))
     # equal corners of boxes with a negative side are no boxes

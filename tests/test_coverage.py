@@ -1,6 +1,7 @@
 """Containment against all pairs, and hot artifacts whose pairs would be too many."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -64,6 +65,44 @@ def rows_of(df):
     return most
 
 
+def most_dealt_by(df, key):
+    """The most rows that an exchange dealt by one column alone."""
+    plan = df._jdf.queryExecution()
+    df._jdf.collectToPython()
+    stack, most = [plan.executedPlan()], 0
+    while stack:
+        p = stack.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        if re.match(rf"hashpartitioning\({key}#\d+L?, \d+\)", p.outputPartitioning().toString()) and p.metrics().contains("shuffleRecordsWritten"):
+            most = max(most, p.metrics().apply("shuffleRecordsWritten").value())
+        if "QueryStage" in p.getClass().getSimpleName():
+            stack.append(p.plan())
+        stack += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_citations_are_not_dealt_by_their_artifact_alone(spark):
+    """As with tables that are too large to be broadcast by their size: three artifacts hold all, with and without one of few redactions."""
+    n, threshold = 20_000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = lambda k: F.col("id") * k % 9973
+        cited = spark.range(n).select(F.col("id").alias("claim_id"), (F.col("id") % 3).alias("artifact_id"), at(7919).alias("start"), (at(7919) + 3).alias("end"))
+        red = spark.range(900).select((F.col("id") % 3).alias("artifact_id"), at(1047).alias("start"), (at(1047) + F.col("id") % 12).alias("end"))
+        for some in (red, red.where("artifact_id > 0 or start < 200")):
+            few = some.groupBy("artifact_id").count().where(F.col("count") <= coverage.FEW).count()
+            got = coverage.uncovered_spans(cited, some)
+            assert most_dealt_by(got, "artifact_id") < n / 10, few
+            want = cited.join(F.broadcast(some.toDF("a", "s", "e")), F.expr("artifact_id = a and s <= start and e >= end"), "left_anti")
+            assert sorted(r.claim_id for r in got.collect()) == sorted(r.claim_id for r in want.collect())
+        assert few == 1
+        box = lambda df: df.withColumns({"x": F.col("start") * 1.0, "y": F.col("start") % 7 * 1.0, "w": F.lit(2.0), "h": F.lit(1.0)})
+        assert most_dealt_by(coverage.uncovered_boxes(box(cited), box(red).where("start < 600")), "artifact_id") < n / 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_one_artifact_with_very_many_spans(spark):
     n = 100_000
     cited = spark.range(n).select(F.col("id").alias("claim_id"), F.lit("a").alias("artifact_id"), (F.col("id") * 7919 % 1_000_000).alias("start"))
