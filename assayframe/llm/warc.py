@@ -190,7 +190,9 @@ def _parse(lines: Iterator[bytes], longest: int = LONGEST) -> Iterator[tuple]:
             after = take()
             if after is not None:
                 ahead.appendleft(after)
-            if not whole or have > size + 2 or after:
+            # behind the block: the rest of its last line, else the next line; a record that begins there ends this one as an empty line does
+            behind = held[-1][:-2][size - have + 2 :] if whole and have > size + 2 else after
+            if not whole or behind and not behind.startswith(b"WARC/"):
                 ahead.extendleft(x[:-2] for x in reversed(held[other:]))
                 held, whole = held[:other], False
         block = b"".join(held)

@@ -146,3 +146,14 @@ def test_a_length_that_is_too_large_takes_no_other_records():
     assert [(r[9], r[10]) for r in whole] == [(inner, True), (b"x", True)]  # a record within a record is its content
     many = b"".join(record(k, b"x" * 30, 10**6) for k in range(3000))
     assert sum(1 for _ in _parse(iter(many.split(b"\r\n")), 1 << 12)) == 3000
+
+
+def test_records_without_ends_that_quote_a_record():
+    from assayframe.llm.warc import _lines, _parse
+
+    quoting = b"HTTP/1.1 200 OK\r\n\r\n<html>\r\nWARC/1.0\r\nWARC-Type: response\r\n"
+    for block in (quoting + b"\r\nend", quoting + b"\r\n", quoting):
+        one, two = foreign("response", "1", block), foreign("response", "2", b"HTTP/1.1 200 OK\r\n\r\nx")
+        for data in (one + two, one[:-4] + two, one[:-4], one):
+            got = {r[0]: (r[9], r[-1]) for r in _parse(_lines(data))}
+            assert got["1"] == (block, True) and len(got) == 1 + (two in data), (block, data)
